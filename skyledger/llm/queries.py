@@ -6,9 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skyledger.llm.bpe import encode_documents
 from skyledger.llm.exact_dedup import exact_groups
-from skyledger.llm.shared import table
+from skyledger.llm.shared import scratch_path, staged, table
 from skyledger.llm.sharding import shard_documents
+from skyledger.llm.token_files import read_token_files, write_token_files
+from skyledger.llm.vocabularies import vocabulary
+
+
+def op1_merge_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), keep_ids=False)
 
 
 def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +26,11 @@ def op4_merge_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op7_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = write_token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), scratch_path(spark, "token-files"), end_id=2)
+    return read_token_files(staged(written, "token-manifest"), keep_ids=False)
+
+
 OP4_SQL = """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
 g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY body)
@@ -29,8 +41,10 @@ FROM t JOIN g USING (body)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_merge_automaton": op1_merge_automaton,
         "op3_virtual_slots": op3_virtual_slots,
         "op4_merge_index_dedup": op4_merge_index_dedup,
+        "op7_plane_files": op7_plane_files,
     }
 
 
