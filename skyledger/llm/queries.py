@@ -10,6 +10,7 @@ from skyledger.llm.bpe import encode_documents
 from skyledger.llm.exact_dedup import exact_groups
 from skyledger.llm.shared import scratch_path, staged, table
 from skyledger.llm.sharding import shard_documents
+from skyledger.llm.simhash import simhash_groups
 from skyledger.llm.token_files import read_token_files, write_token_files
 from skyledger.llm.vocabularies import vocabulary
 
@@ -31,6 +32,10 @@ def op7_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(staged(written, "token-manifest"), keep_ids=False)
 
 
+def op8_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"), words=3, radius=2)
+
+
 OP4_SQL = """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
 g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY body)
@@ -45,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_virtual_slots": op3_virtual_slots,
         "op4_merge_index_dedup": op4_merge_index_dedup,
         "op7_plane_files": op7_plane_files,
+        "op8_simhash_blocks": op8_simhash_blocks,
     }
 
 
