@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skyledger.llm.bpe import encode_documents
 from skyledger.llm.exact_dedup import exact_groups
-from skyledger.llm.shared import scratch_path, staged, table
+from skyledger.llm.langid import identify
+from skyledger.llm.shared import held_out, scratch_path, staged, table
 from skyledger.llm.sharding import shard_documents
 from skyledger.llm.simhash import simhash_groups
 from skyledger.llm.token_files import read_token_files, write_token_files
+from skyledger.llm.toxicity import toxicity
 from skyledger.llm.vocabularies import vocabulary
 
 
@@ -36,6 +39,16 @@ def op8_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), words=3, radius=2)
 
 
+def op5_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id")), threshold=0.3)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op9_segmentation_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identify(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), ~held_out(F.col("doc_id")))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 OP4_SQL = """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
 g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY body)
@@ -49,8 +62,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_merge_automaton": op1_merge_automaton,
         "op3_virtual_slots": op3_virtual_slots,
         "op4_merge_index_dedup": op4_merge_index_dedup,
+        "op5_subword_toxicity": op5_subword_toxicity,
         "op7_plane_files": op7_plane_files,
         "op8_simhash_blocks": op8_simhash_blocks,
+        "op9_segmentation_langid": op9_segmentation_langid,
     }
 
 

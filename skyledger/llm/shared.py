@@ -68,3 +68,15 @@ def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: s
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id, written as text, leaves 2 modulo 4 (null ids: of the empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4 == 2
+
+
+_kept: dict[str, object] = {}
+
+
+def kept_in_worker(key: str, build: Callable[[], object]) -> object:
+    """The worker's object of this key, built once; only the latest of each kind (key up to its colon) is held."""
+    if key not in _kept:
+        for old in [k for k in _kept if k.partition(":")[0] == key.partition(":")[0]]:
+            del _kept[old]
+        _kept[key] = build()
+    return _kept[key]
