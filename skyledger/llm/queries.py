@@ -7,14 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyledger.llm.bitsliced import top_k
 from skyledger.llm.bpe import encode_documents
 from skyledger.llm.exact_dedup import exact_groups
 from skyledger.llm.langid import identify
+from skyledger.llm.packing import pack
 from skyledger.llm.shared import held_out, scratch_path, staged, table
 from skyledger.llm.sharding import shard_documents
 from skyledger.llm.simhash import simhash_groups
 from skyledger.llm.token_files import read_token_files, write_token_files
 from skyledger.llm.toxicity import toxicity
+from skyledger.llm.urlfilter import judge_urls
 from skyledger.llm.vocabularies import vocabulary
 
 
@@ -49,6 +52,35 @@ def op9_segmentation_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op2_variable_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+def op6_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op10_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+OP10_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 OP4_SQL = """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
 g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY body)
@@ -60,14 +92,17 @@ FROM t JOIN g USING (body)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_merge_automaton": op1_merge_automaton,
+        "op2_variable_best_fit": op2_variable_best_fit,
         "op3_virtual_slots": op3_virtual_slots,
         "op4_merge_index_dedup": op4_merge_index_dedup,
         "op5_subword_toxicity": op5_subword_toxicity,
+        "op6_url_language_model": op6_url_language_model,
         "op7_plane_files": op7_plane_files,
         "op8_simhash_blocks": op8_simhash_blocks,
         "op9_segmentation_langid": op9_segmentation_langid,
+        "op10_bit_sliced_top_k": op10_bit_sliced_top_k,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_merge_index_dedup": OP4_SQL}
+    return {"op4_merge_index_dedup": OP4_SQL, "op10_bit_sliced_top_k": OP10_SQL}
