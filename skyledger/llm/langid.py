@@ -12,6 +12,7 @@ import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ EVIDENCE = 20
 #: Words of which a worker keeps the log-probabilities; emptied when full.
 CACHED_WORDS = 1_000_000
 UNDETERMINED = "und"
+#: A filter rejects texts whose best language scores less.
+LEAST_SCORE = 0.35
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -181,6 +184,29 @@ def training_texts(docs: DataFrame, trainable: Column, sample_docs: int = SAMPLE
     return dict(texts)
 
 
+def language_filter(docs: DataFrame, pieces_path: str, trainable: Column, least: float = LEAST_SCORE) -> DataFrame:
+    """The documents whose language is recognised, all columns as they are.
+
+    Rejected: null texts, texts without a letter, and scores under `least`. With no language to learn only the first two.
+    """
+    pieces = read_pieces(pieces_path)
+    langs, table = fit(pieces, training_texts(docs, trainable))
+    model = docs.sparkSession.sparkContext.broadcast((pieces, langs, table))
+    key = f"langid:{uuid.uuid4().hex}"
+
+    @F.pandas_udf("boolean")
+    def accepted(text: pd.Series) -> pd.Series:
+        judge = kept_in_worker(key, lambda: Judge(*model.value))
+        found = []
+        for start in range(0, len(text), 256):
+            part = [t if isinstance(t, str) else None for t in text.iloc[start : start + 256]]
+            names, scores = judge.judge(part)
+            found += [n != UNDETERMINED and s >= least if judge.langs else bool(t and LETTERS.search(t)) for n, s, t in zip(names, scores, part, strict=True)]
+        return pd.Series(found, dtype=bool)
+
+    return docs.where(accepted("text"))
+
+
 def identify(docs: DataFrame, pieces_path: str, trainable: Column, passed: list[str] | None = None, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """doc_id (or the columns `passed`), lang_pred and score of every whole text.
 

@@ -13,6 +13,7 @@ import uuid
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -192,3 +193,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, trainable: Column, threshold: f
     slim = docs.select(*passed, F.col("text").alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
     return map_batches(slim, rows, f"{kinds}, score double, predicted int")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, trainable: Column, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that score under the threshold, all columns as they are. Without two labels to learn from, all stay."""
+    texts, ys = training_rows(docs, labels, trainable)
+    if len(set(ys)) < 2:
+        return docs
+    model = calibrated(texts, ys, threshold)
+    sent = docs.sparkSession.sparkContext.broadcast((model.scale(), model.bias))
+    key = f"toxicity:{uuid.uuid4().hex}"
+
+    @F.pandas_udf("double")
+    def score(text: pd.Series) -> pd.Series:
+        judge = kept_in_worker(key, lambda: Judge(*sent.value))
+        return pd.Series([judge.score(t if isinstance(t, str) else None) for t in text], dtype="float64")
+
+    return docs.where(score("text") < threshold)
