@@ -97,14 +97,38 @@ def truncated(text: Column, most: int = 190) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("…"))).otherwise(text)
 
 
+def mean_line_length(lines: Column) -> Column:
+    """Mean length of an array of lines (0 lines: null)."""
+    total = F.aggregate(lines, F.lit(0).cast("double"), lambda acc, x: acc + F.length(x))
+    return F.when(F.size(lines) > 0, total / F.size(lines))
+
+
+def build_reference(kind: str, *keys: Column) -> Column:
+    return F.concat_ws(":", F.lit(kind), *keys)
+
+
+def _long_date(key: Column) -> Column:
+    return F.coalesce(F.date_format(F.try_to_timestamp(key, F.lit("yyyy-MM-dd")), "EEEE, MMMM d, yyyy"), key)
+
+
 def reference_label(ref: Column) -> Column:
-    """A reading of 'kind:key:...' references: day, examen, voice and passage have their own wording."""
+    """What a 'kind:key:...' reference is about: a day, its examen, a voice of a month-day, a passage, or any note."""
     part = F.split(ref, ":")
+    month_day = F.split(F.get(part, F.lit(2)), "-")
+    month = F.get(month_day, F.lit(0)).try_cast("int")
+    named = F.date_format(F.make_date(F.lit(2000), F.when(month.between(1, 12), month), F.lit(1)), "MMMM")
+    voice = F.concat(F.lit("On "), named, F.lit(" "), F.get(month_day, F.lit(1)), F.lit("’s voice"))
+    passage = F.concat(F.lit("On "), F.get(part, F.lit(1)), F.lit(" — "), F.get(part, F.lit(2)))
     kind = part[0]
     return (
-        F.when(kind == "day", F.concat(F.lit("Entry for "), F.get(part, F.lit(1))))
-        .when(kind == "examen", F.concat(F.lit("Examen: "), F.get(part, F.lit(2)), F.lit(", "), F.get(part, F.lit(1))))
-        .when(kind == "voice", F.concat(F.lit("Voice "), F.get(part, F.lit(2)), F.lit(" of "), F.get(part, F.lit(1))))
-        .when(kind == "passage", F.concat(F.lit("Passage "), F.get(part, F.lit(1)), F.lit(" "), F.get(part, F.lit(2))))
-        .otherwise(ref)
+        F.when(kind == "day", F.concat(F.lit("The morning of "), _long_date(F.get(part, F.lit(1)))))
+        .when(kind == "examen", F.concat(F.lit("The evening of "), _long_date(F.get(part, F.lit(1)))))
+        .when(kind == "voice", F.coalesce(voice, F.lit("On a kept voice")))
+        .when(kind == "passage", F.coalesce(passage, F.lit("On a passage")))
+        .otherwise("A note")
     )
+
+
+def reference_link(ref: Column) -> Column:
+    part = F.split(ref, ":")
+    return F.when(part[0] == "passage", F.concat(F.lit("#/hall/"), F.get(part, F.lit(1)))).when(part[0] == "voice", "#/vault").otherwise("#/today")

@@ -58,7 +58,7 @@ def sign_parts(longitude: Column) -> dict[str, Column]:
 
 def longitude_label(longitude: Column) -> Column:
     part = sign_parts(longitude)
-    return F.concat(part["degree"].cast("string"), F.lit("° "), part["sign_name"], F.lit(" "), F.lpad(part["minute"].cast("string"), 2, "0"), F.lit("'"))
+    return F.concat(part["degree"].cast("string"), F.lit("° "), part["sign_name"], F.lit(" "), F.lpad(part["minute"].cast("string"), 2, "0"), F.lit("′"))
 
 
 def _solar(day_of_year: Column, hour: float | Column = 12.0) -> tuple[Column, Column]:
