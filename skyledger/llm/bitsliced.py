@@ -21,7 +21,7 @@ from skyledger.llm.shared import staged
 
 #: Rows of an index block, queries of a query block, bits kept of a component and of a query's component.
 BLOCK_ROWS = 1 << 15
-QUERY_ROWS = 128
+QUERY_ROWS = 64
 COMPONENT_BITS = 7
 QUERY_BITS = 6
 #: Buckets that index blocks are dealt to, at most; queries are sent once to each.
@@ -195,9 +195,14 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: st
     n = vectors.count()
     blocks = staged(_blocked(rows.coalesce(max(1, -(-n // BLOCK_ROWS))), BLOCK_ROWS), "index-blocks")
     spread = max(1, min(BUCKETS, blocks.count()))
-    placed = blocks.withColumn("bucket", F.pmod(F.xxhash64("block"), F.lit(spread)))
+    # few bytes but much work: as many tasks as the session has shuffle partitions; while there are fewer blocks than tasks,
+    # blocks are sent to several lanes and each lane has a share of the queries
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lanes = max(1, tasks // spread)
+    lane = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))).alias("lane")
+    placed = blocks.select("*", F.pmod(F.xxhash64("block"), F.lit(spread)).alias("bucket"), lane)
     asked = _blocked(rows.where(is_query).dropDuplicates(), QUERY_ROWS).select(
-        "dim", F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))).alias("bucket")
+        "dim", F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), F.pmod(F.xxhash64("block"), F.lit(lanes)).alias("lane"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))).alias("bucket")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +219,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: st
                     found += [(q, key, v, s) for v, s in block.best(q, query, k)]
                 yield pa.RecordBatch.from_pydict({c: pa.array([f[i] for f in found], pa.int64()) for i, c in enumerate(("query_id", "query_key", "vec_id", "score"))})
 
-    pairs = placed.join(asked, ["dim", "bucket"]).select("block", "dim", "ids", "x", "q_ids", "q_x")
+    key = ["dim", "bucket", "lane"]
+    pairs = placed.repartition(tasks, *key).join(asked.repartition(tasks, *key), key).select("block", "dim", "ids", "x", "q_ids", "q_x")
     found = pairs.mapInArrow(run, "query_id long, query_key long, vec_id long, score long")
     best = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
