@@ -38,7 +38,7 @@ def slot_skipped(slot: Column, year: Column) -> Column:
 def cyclic_day(today: Column, start: Column) -> Column:
     """Day 1 to 366 of a plan begun at `start`, over and over; a future start gives 1, no start the calendar's slot."""
     gone = F.greatest(F.datediff(today, start), F.lit(0))
-    return F.coalesce(F.pmod(gone, F.lit(SLOTS)) + 1, slot_of_date(today)).cast("int")
+    return F.when(start.isNotNull(), F.pmod(gone, F.lit(SLOTS)) + 1).otherwise(slot_of_date(today)).cast("int")
 
 
 def weekday(date: Column) -> Column:
@@ -53,9 +53,19 @@ def season(month: Column, latitude: Column) -> Column:
     return F.when(latitude < 0, south).otherwise(north)
 
 
+def millis(ts: Column) -> Column:
+    """Epoch milliseconds of a UTC wall clock (timestamps without zone are taken as UTC)."""
+    return F.timestamp_diff("MILLISECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), ts.cast("timestamp_ntz"))
+
+
+def in_zone(ts: Column, zone: str | Column) -> Column:
+    """The wall clock of a zone at a UTC instant."""
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone) if isinstance(zone, str) else zone, ts.cast("timestamp_ntz"))
+
+
 def date_key(ts: Column, zone: str | Column) -> Column:
     """YYYY-MM-DD of an instant in a zone."""
-    return F.date_format(F.from_utc_timestamp(ts, zone), "yyyy-MM-dd")
+    return F.date_format(in_zone(ts, zone), "yyyy-MM-dd")
 
 
 def long_date(date: Column) -> Column:
@@ -63,20 +73,19 @@ def long_date(date: Column) -> Column:
 
 
 def zone_offset_minutes(ts: Column, zone: str | Column) -> Column:
-    """Minutes that a zone is ahead of UTC at an instant (session zone UTC)."""
-    local = F.from_utc_timestamp(ts, zone)
-    return ((F.unix_seconds(local) - F.unix_seconds(ts)) / 60).cast("int")
+    """Minutes that a zone is ahead of UTC at an instant."""
+    return F.timestamp_diff("MINUTE", ts.cast("timestamp_ntz"), in_zone(ts, zone)).cast("int")
 
 
 def utc_of_local(local: Column, zone: str | Column, offset_hours: Column | None = None) -> Column:
-    """The instant of a wall time; a given offset (hours ahead of UTC) beats the zone."""
-    by_zone = F.to_utc_timestamp(local, zone)
+    """The instant (UTC wall clock) of a zone's wall time; a given offset (hours ahead of UTC) beats the zone."""
+    local = local.cast("timestamp_ntz")
+    by_zone = F.convert_timezone(F.lit(zone) if isinstance(zone, str) else zone, F.lit("UTC"), local)
     if offset_hours is None:
         return by_zone
-    shifted = F.timestamp_micros(F.unix_micros(local) - (offset_hours * 3_600_000_000).cast("long"))
-    return F.coalesce(shifted, by_zone)
+    return F.coalesce(F.timestamp_add("SECOND", (-offset_hours * 3600).cast("int"), local), by_zone)
 
 
 def minutes_after(day: Column, minutes: Column) -> Column:
     """The instant so many minutes after a UTC midnight, to the millisecond; null minutes give null."""
-    return F.timestamp_millis(F.unix_millis(F.date_trunc("day", day)) + F.floor(minutes * 60000 + 0.5).cast("long"))
+    return F.timestamp_add("MILLISECOND", F.floor(minutes * 60000 + 0.5).cast("int"), day.cast("date").cast("timestamp_ntz"))

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from skyledger.functions.calendar import millis
+
 #: Zenith angles of sunrise and of civil dawn, cuts of the altitude phases.
 SUNRISE_ZENITH, DAWN_ZENITH = 90.833, 96.0
 NIGHT_BELOW, DAY_FROM = -6.0, 10.0
@@ -22,6 +25,11 @@ ASPECTS = [("Conjunction", 0.0, 8.0, "major"), ("Opposition", 180.0, 8.0, "major
 SIGNS = ["Aries", "Taurus", "Gemini", "Cancer", "Leo", "Virgo", "Libra", "Scorpio", "Sagittarius", "Capricorn", "Aquarius", "Pisces"]
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once: an expression that a lambda refers to would be worked out at each step."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def turn(x: Column) -> Column:
     """An angle in [0, 360)."""
     return F.pmod(x, F.lit(360.0))
@@ -106,7 +114,7 @@ def sun_phase(ts: Column, latitude: Column, longitude: Column) -> Column:
 
 def moon_age(ts: Column) -> Column:
     """Days since the mean new moon."""
-    return F.pmod((F.unix_millis(ts) - NEW_MOON_MS) / 86_400_000, F.lit(SYNODIC))
+    return F.pmod((millis(ts) - NEW_MOON_MS) / 86_400_000, F.lit(SYNODIC))
 
 
 def moon_phase_name(age: Column) -> Column:
@@ -128,7 +136,7 @@ def phase_of_angle(angle: Column) -> Column:
 
 def centuries(ts: Column) -> Column:
     """Julian centuries since 2000-01-01 12:00."""
-    return (F.unix_millis(ts) / 86_400_000 + 2440587.5 - 2451545.0) / 36525
+    return (millis(ts) / 86_400_000 + 2440587.5 - 2451545.0) / 36525
 
 
 def obliquity(t: Column) -> Column:
@@ -142,7 +150,7 @@ def mean_node(t: Column) -> Column:
 
 def sidereal_degrees(ts: Column, longitude: Column) -> Column:
     """Local mean sidereal time as an angle (published polynomial)."""
-    days = F.unix_millis(ts) / 86_400_000 + 2440587.5 - 2451545.0
+    days = millis(ts) / 86_400_000 + 2440587.5 - 2451545.0
     t = days / 36525
     return turn(280.46061837 + 360.98564736629 * days + 0.000387933 * t * t - t * t * t / 38710000 + longitude)
 
@@ -159,13 +167,16 @@ def ascendant(ramc: Column, eps: Column, latitude: Column) -> Column:
     return F.when(turn(rising - midheaven(ramc, eps)) > 180, turn(rising + 180)).otherwise(rising)
 
 
+def _cusps_from(start: Column) -> Column:
+    return bound(start, lambda a: F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.pmod((a + 30 * i).cast("double"), F.lit(360.0))))
+
+
 def whole_sign_cusps(asc: Column) -> Column:
-    base = F.floor(turn(asc) / 30) * 30
-    return F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.pmod((base + 30 * i).cast("double"), F.lit(360.0)))
+    return _cusps_from((F.floor(turn(asc) / 30) * 30).cast("double"))
 
 
 def equal_cusps(asc: Column) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.pmod(asc + 30 * i, F.lit(360.0)))
+    return _cusps_from(asc)
 
 
 #: Placidus houses as (house, offset of the right ascension, share of the semi-arc, sign of the ascensional difference).
@@ -178,20 +189,19 @@ def placidus_cusp(ramc: Column, eps: Column, latitude: Column, house: int, round
     Twelve rounds change the value by less than a micro-degree where it settles at all.
     """
     _, offset, share, sign = next(p for p in PLACIDUS if p[0] == house)
-    e, lat = F.radians(eps), F.radians(latitude)
 
-    def longitude_of(ra: Column) -> Column:
-        a = F.radians(ra)
-        return turn(F.degrees(F.atan2(F.sin(a), F.cos(a) * F.cos(e))))
+    def longitude_of(ra: Column, at: Column) -> Column:
+        return F.atan2(F.sin(F.radians(ra)), F.cos(F.radians(ra)) * F.cos(at["e"]))
+
+    def settled(at: Column) -> Column:
+        def step(ra: Column, _: Column) -> Column:
+            tilt = F.tan(at["lat"]) * F.tan(F.asin(F.sin(at["e"]) * F.sin(longitude_of(ra, at))))
+            return bound(tilt, lambda x: F.when(F.abs(x) <= 1, at["ramc"] + offset + F.degrees(F.asin(x)) * (sign * share)))
 
-    def step(ra: Column, _: Column) -> Column:
-        decl = F.asin(F.sin(e) * F.sin(F.radians(longitude_of(ra))))
-        x = F.tan(lat) * F.tan(decl)
-        ascensional = F.degrees(F.asin(F.when(F.abs(x) <= 1, x)))
-        return ramc + offset + ascensional * (sign * share)
+        ra = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), at["ramc"] + offset, step)
+        return turn(F.degrees(longitude_of(ra, at)))
 
-    ra = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), ramc + offset, step)
-    return longitude_of(ra)
+    return bound(F.struct(ramc.alias("ramc"), F.radians(eps).alias("e"), F.radians(latitude).alias("lat")), settled)
 
 
 def part_of_fortune(asc: Column, sun: Column, moon: Column, by_day: Column) -> Column:
@@ -200,12 +210,16 @@ def part_of_fortune(asc: Column, sun: Column, moon: Column, by_day: Column) -> C
 
 def house_of(longitude: Column, cusps: Column) -> Column:
     """House 1 to 12: the first whose span from its cusp to the next holds the longitude; 1 if none does."""
-    def inside(i: Column) -> Column:
-        here, after = F.get(cusps, i), F.get(cusps, F.pmod(i + 1, F.lit(12)))
-        span = turn(after - here)
-        return (span == 0) | (turn(longitude - here) < span)
 
-    return F.coalesce(F.get(F.filter(F.sequence(F.lit(0), F.lit(11)), inside), F.lit(0)) + 1, F.lit(1)).cast("int")
+    def found(at: Column) -> Column:
+        def inside(i: Column) -> Column:
+            here, after = F.get(at["cusps"], i), F.get(at["cusps"], F.pmod(i + 1, F.lit(12)))
+            span = turn(after - here)
+            return (span == 0) | (turn(at["lon"] - here) < span)
+
+        return F.coalesce(F.get(F.filter(F.sequence(F.lit(0), F.lit(11)), inside), F.lit(0)) + 1, F.lit(1)).cast("int")
+
+    return bound(F.struct(longitude.alias("lon"), cusps.alias("cusps")), found)
 
 
 def placidus_cusps(asc: Column, mc: Column, ramc: Column, eps: Column, latitude: Column) -> Column:
