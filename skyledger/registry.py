@@ -15,7 +15,7 @@ _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
 #: Modules that register queries.
-CATALOG: tuple[str, ...] = ("search", "text", "dates", "solar")
+CATALOG: tuple[str, ...] = ("search", "text", "dates", "solar", "plans")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
