@@ -1 +1 @@
-"""Part of the analytics library."""
+"""Structured Streaming: record changes merged in micro-batches."""
