@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from skyledger.llm.shared import map_batches
+from skyledger.llm.shared import kept_in_worker, map_batches
 
 #: Words of which a worker keeps the encoding; the store is emptied when it is full (about 250 MB).
 CACHED_WORDS = 1_500_000
@@ -194,15 +194,9 @@ class _Words(dict):
         return ids
 
 
-_coders: dict[str, ByteBpe] = {}
-
-
 def coder_for(spec: str) -> ByteBpe:
     """The worker's coder for a vocabulary file's text, built once for each worker."""
-    key = hashlib.sha256(spec.encode()).hexdigest()
-    if key not in _coders:
-        _coders[key] = ByteBpe(spec)
-    return _coders[key]
+    return kept_in_worker(f"byte-bpe:{hash(spec)}", lambda: ByteBpe(spec))
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:

@@ -1,11 +1,12 @@
 """Near-duplicate documents (word-shingle Jaccard similarity at or above a bound) by wide SimHash fingerprints in pigeonhole blocks.
 
-A text's fingerprint has 252 bits, the majority bits of the hashes of its distinct words, in 12 blocks of 21 bits. Documents that share a block
-are candidates: certainly those up to 11 bits apart (fewer bits differ than there are blocks), and nearly all pairs at the
-similarity asked for, which lie about 17 bits apart. The Hamming distance and then the shingles themselves decide.
+A text's fingerprint has 504 bits, the majority bits of the hashes of its distinct words, in 24 blocks of 21 bits. Documents that share a block
+are candidates: certainly those up to 23 bits apart (fewer bits differ than there are blocks), and nearly all pairs at the
+similarity asked for, which lie up to 60 bits apart. The Hamming distance and then the shingles themselves decide.
 
 A block is not turned into all its pairs. First every member is compared with the block's smallest; verified links make components. Then
-only members of different components still meet. What a block's members are in one component for, needs no further pair.
+only members of different components still meet, and only if fingerprints of their shingles are close as well. A pair within one
+component needs no further look.
 """
 
 from __future__ import annotations
@@ -17,50 +18,84 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.llm.components import components
-from skyledger.llm.shared import map_batches, staged
+from skyledger.llm.shared import kept_in_worker, map_batches, staged
 from skyledger.llm.simhash import shingle_hashes
 
-#: Bits in which candidates differ at most.
-RADIUS = 40
-BLOCK_BITS, WORD_BLOCKS, WORDS = 21, 3, 4
+#: Bits in which fingerprints of words (of 512) and of shingles (of 2048) differ at most. At a similarity of 0.8 about 34 differ for words
+#: (spread 6) and 308 for shingles (spread 16).
+RADIUS, SHINGLE_RADIUS = 64, 350
+SHINGLE_WORDS = 32
+BLOCK_BITS, WORD_BLOCKS, WORDS = 21, 3, 8
 #: Node lists up to this number (8 bytes each) are broadcast; beyond, they are joined by shuffle.
 BROADCAST_NODES = 1_000_000
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 500_000
+CHUNK = 256
 
 
 class _Digests(dict):
     def __missing__(self, word: bytes) -> bytes:
-        found = self[word] = xxhash.xxh128_digest(word, 1) + xxhash.xxh128_digest(word, 2)
+        found = self[word] = b"".join(xxhash.xxh128_digest(word, seed) for seed in range(1, WORDS // 2 + 1))
         return found
 
 
-_digests = _Digests()
-
-
-def wide_fingerprint(text: str) -> list[int]:
-    """Four signed 64-bit numbers: majority bits over the distinct lower-cased (A-Z) words; zeros for no words."""
+def wide_fingerprint(text: str, digests: dict[bytes, bytes]) -> list[int]:
+    """Eight signed 64-bit numbers: majority bits over the distinct lower-cased (A-Z) words; zeros for no words."""
     words = set(text.encode("utf-8", "replace").lower().split())
     if not words:
         return [0] * WORDS
-    if len(_digests) > CACHED_WORDS:
-        _digests.clear()
+    if len(digests) > CACHED_WORDS:
+        digests.clear()
     counts = np.zeros(64 * WORDS, np.int64)
     listed = list(words)
     for start in range(0, len(listed), 1 << 13):
         part = listed[start : start + (1 << 13)]
-        bits = np.unpackbits(np.frombuffer(b"".join(map(_digests.__getitem__, part)), np.uint8).reshape(len(part), -1), axis=1)
+        bits = np.unpackbits(np.frombuffer(b"".join(map(digests.__getitem__, part)), np.uint8).reshape(len(part), -1), axis=1)
         counts += bits.sum(0, dtype=np.uint16 if len(part) < 1 << 16 else np.int64)
     return np.packbits(counts * 2 > len(words)).view(np.int64).tolist()
 
 
 def _fingerprints(docs: DataFrame) -> DataFrame:
     def rows(batch: pa.RecordBatch) -> dict:
-        found = [wide_fingerprint(t.as_py() or "") for t in batch.column(1)]
+        digests = kept_in_worker("word-digests", _Digests)
+        found = [wide_fingerprint(t.as_py() or "", digests) for t in batch.column(1)]
         return {"node": batch.column(0)} | {f"w{i}": pa.array([f[i] for f in found], pa.int64()) for i in range(WORDS)}
 
     return map_batches(docs, rows, "node long, " + ", ".join(f"w{i} long" for i in range(WORDS)))
 
 
+#: Odd multipliers that make one 64-bit hash into many.
+MIX = [(0x9E3779B97F4A7C15 * (2 * k + 1)) & (1 << 64) - 1 for k in range(1, SHINGLE_WORDS + 1)]
+
+
+def shingle_fingerprint(hashes: np.ndarray) -> list[int]:
+    """Signed 64-bit numbers: majority bits over the distinct shingles' hashes; zeros for none."""
+    if not len(hashes):
+        return [0] * SHINGLE_WORDS
+    counts = np.zeros(64 * SHINGLE_WORDS, np.int64)
+    for start in range(0, len(hashes), 1 << 11):
+        part = hashes[start : start + (1 << 11), None] * np.array(MIX, np.uint64)
+        part ^= part >> np.uint64(32)
+        part *= np.uint64(MIX[0])
+        part ^= part >> np.uint64(29)
+        counts += np.unpackbits(part.view(np.uint8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(hashes)).view(np.int64).tolist()
+
+
+def _shingle_fingerprints(docs: DataFrame, words: int) -> DataFrame:
+    def rows(batch: pa.RecordBatch) -> dict:
+        found = [shingle_fingerprint(np.unique(shingle_hashes(t.as_py() or "", words))) for t in batch.column(1)]
+        return {"node": batch.column(0)} | {f"s{i}": pa.array([f[i] for f in found], pa.int64()) for i in range(SHINGLE_WORDS)}
+
+    return map_batches(docs, rows, "node long, " + ", ".join(f"s{i} long" for i in range(SHINGLE_WORDS)))
+
+
+def _of_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of docs (node, text) whose node is among the nodes (column node)."""
+    if nodes.count() <= BROADCAST_NODES:
+        nodes = F.broadcast(nodes)
+    return docs.join(nodes, "node", "left_semi").select("node", "text")
+
+
 def _shingles(docs: DataFrame, words: int) -> DataFrame:
     def rows(batch: pa.RecordBatch) -> dict:
         found = [np.unique(shingle_hashes(t.as_py() or "", words)).tobytes() for t in batch.column(1)]
@@ -71,11 +106,8 @@ def _shingles(docs: DataFrame, words: int) -> DataFrame:
 
 def _verified(docs: DataFrame, edges: DataFrame, words: int, similarity: float) -> DataFrame:
     """The edges (a, b) whose texts' shingle sets have at least this Jaccard similarity."""
-    nodes = staged(edges.select("a").unionByName(edges.select(F.col("b").alias("a"))).distinct(), "near-nodes")
-    if nodes.count() <= BROADCAST_NODES:
-        nodes = F.broadcast(nodes)
-    sets = staged(_shingles(docs.join(nodes, docs["node"] == nodes["a"], "left_semi").select("node", "text"), words), "near-shingles")
-    sets = sets.dropDuplicates(["node"])
+    nodes = staged(edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct(), "near-nodes")
+    sets = staged(_shingles(_of_nodes(docs, nodes), words), "near-shingles")
     both = (
         edges.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
         .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
@@ -93,19 +125,61 @@ def _verified(docs: DataFrame, edges: DataFrame, words: int, similarity: float)
     return staged(map_batches(both, rows, "a long, b long"), "near-edges")
 
 
-def _distance(left: str, right: str) -> Column:
-    return sum((F.bit_count(F.col(f"{left}{i}").bitwiseXOR(F.col(f"{right}{i}"))) for i in range(WORDS)), F.lit(0))
+def _distance(left: str, right: str, words: int = WORDS) -> Column:
+    return sum((F.bit_count(F.col(f"{left}{i}").bitwiseXOR(F.col(f"{right}{i}"))) for i in range(words)), F.lit(0))
 
 
-def _blocks(fps: DataFrame) -> DataFrame:
+def _block_bits(prefix: str) -> list[Column]:
+    """The bits of every block of a fingerprint."""
     mask = (1 << BLOCK_BITS) - 1
-    keys = [
-        F.struct(F.lit(i * WORD_BLOCKS + b).alias("which"), F.shiftrightunsigned(F.col(f"w{i}"), b * BLOCK_BITS).bitwiseAND(mask).alias("bits"))
-        for i in range(WORDS) for b in range(WORD_BLOCKS)
-    ]
+    return [F.shiftrightunsigned(F.col(f"{prefix}{i}"), b * BLOCK_BITS).bitwiseAND(mask) for i in range(WORDS) for b in range(WORD_BLOCKS)]
+
+
+def _blocks(fps: DataFrame) -> DataFrame:
+    keys = [F.struct(F.lit(k).alias("which"), bits.alias("bits")) for k, bits in enumerate(_block_bits("w"))]
     return fps.select("node", *(f"w{i}" for i in range(WORDS)), F.explode(F.array(*keys)).alias("key")).select("node", *(f"w{i}" for i in range(WORDS)), "key.which", "key.bits")
 
 
+def _chunk_pairs(rows: DataFrame, numbers: list[str], radius: int) -> DataFrame:
+    """Pairs (a, b) of rows of one block, but of different roots, that are close in words and shingles; each in its first shared block only.
+
+    A block is dealt into chunks of about CHUNK rows, and chunks meet chunks, so that no task holds a whole large block.
+    """
+    sizes = rows.groupBy("which", "bits").agg(F.count("*").alias("n")).where("n > 1")
+    dealt = rows.join(sizes, ["which", "bits"]).withColumn("chunk", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / CHUNK)))
+    chunks = staged(dealt.groupBy("which", "bits", "chunk").agg(F.collect_list(F.struct("a", "root", *numbers)).alias("x")), "near-chunks")
+    both = chunks.join(chunks.select("which", "bits", F.col("chunk").alias("other"), F.col("x").alias("y")), ["which", "bits"]).where("chunk <= other")
+
+    def table(cell: pa.ListScalar) -> np.ndarray:
+        flat = cell.values.flatten()
+        return np.stack([c.to_numpy(zero_copy_only=False) for c in flat])
+
+    def rows_of(batch: pa.RecordBatch) -> dict:
+        found: list[np.ndarray] = []
+        mask = np.uint64((1 << BLOCK_BITS) - 1)
+        for which, same, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            p, q = table(x), table(y)
+            apart = p[1][:, None] != q[1][None, :]
+            if same:
+                apart = np.triu(apart, 1)
+            i, j = np.nonzero(apart)
+            for part, most in ((slice(2, 2 + WORDS), radius), (slice(2 + WORDS, None), SHINGLE_RADIUS)):
+                # a few rows of numbers at a time bound the memory at chunk x chunk x 8 bytes
+                gone = np.zeros(len(i), np.int64)
+                for u, v in zip(p[part].view(np.uint64), q[part].view(np.uint64), strict=True):
+                    gone += np.bitwise_count(u[i] ^ v[j])
+                i, j = i[gone <= most], j[gone <= most]
+            first = np.ones(len(i), bool)
+            for k in range(which):
+                u, v = p[2 + k // WORD_BLOCKS].view(np.uint64), q[2 + k // WORD_BLOCKS].view(np.uint64)
+                first &= ((u[i] ^ v[j]) >> np.uint64(k % WORD_BLOCKS * BLOCK_BITS)) & mask != 0
+            found.append(np.stack([np.minimum(p[0][i], q[0][j]), np.maximum(p[0][i], q[0][j])])[:, first])
+        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        return {"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())}
+
+    return map_batches(both.select("which", (F.col("chunk") == F.col("other")).alias("same"), "x", "y"), rows_of, "a long, b long")
+
+
 def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
     """(doc_id, root) of every document that is linked to another; root is the smallest doc_id that links lead to.
 
@@ -127,12 +201,13 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
     found = staged(components(edges), "near-components")
     placed = members.join(found, "node", "left").select("which", "bits", "node", *ws, F.coalesce("root", "node").alias("root"))
     split = placed.groupBy("which", "bits").agg((F.min("root") != F.max("root")).alias("split")).where("split").drop("split")
-    open_ = staged(placed.join(split, ["which", "bits"]), "near-open")
-    right = open_.select("which", "bits", F.col("node").alias("b"), F.col("root").alias("b_root"), *(F.col(c).alias(f"b_{c}") for c in ws))
-    rest = (
-        open_.withColumnRenamed("node", "a").join(right, ["which", "bits"])
-        .where((F.col("a") < F.col("b")) & (F.col("root") != F.col("b_root")) & (_distance("w", "b_w") <= radius)).select("a", "b").distinct()
-    )
+    apart = (F.col("a") != F.col("b")) & (F.col("root") != F.col("b_root")) & (_distance("w", "b_w") <= radius)
+    open_ = placed.join(split, ["which", "bits"]).withColumnRenamed("node", "a")
+    there = open_.select("which", "bits", F.col("a").alias("b"), F.col("root").alias("b_root"), *(F.col(c).alias(f"b_{c}") for c in ws))
+    open_ = staged(open_.join(there, (open_["which"] == there["which"]) & (open_["bits"] == there["bits"]) & apart, "left_semi"), "near-open")
+    sketched = staged(_shingle_fingerprints(_of_nodes(named, staged(open_.select(F.col("a").alias("node")).distinct(), "open-nodes")), words), "shingle-fingerprints")
+    left = open_.join(sketched.withColumnRenamed("node", "a"), "a")
+    rest = _chunk_pairs(left, [*ws, *(f"s{i}" for i in range(SHINGLE_WORDS))], radius)
     more = _verified(named, staged(rest.join(spokes, ["a", "b"], "left_anti"), "near-rest"), words, similarity)
     return components(edges.unionByName(more)).select(F.col("node").alias("doc_id"), "root")
 

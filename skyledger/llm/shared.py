@@ -74,9 +74,8 @@ _kept: dict[str, object] = {}
 
 
 def kept_in_worker(key: str, build: Callable[[], object]) -> object:
-    """The worker's object of this key, built once; only the latest of each kind (key up to its colon) is held."""
+    """The worker's object of this key, built once; only the latest is held, so that jobs in turn do not add up in memory."""
     if key not in _kept:
-        for old in [k for k in _kept if k.partition(":")[0] == key.partition(":")[0]]:
-            del _kept[old]
+        _kept.clear()
         _kept[key] = build()
     return _kept[key]

@@ -28,6 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skyledger.llm.shared import kept_in_worker
+
 MAGIC = b"SKYPLANE"
 BLOCK = 1 << 16
 #: Words of which a worker keeps the ids; the store is emptied when it is full (about 250 MB).
@@ -182,14 +184,9 @@ class WordIds:
             return b"".join(map(words.__getitem__, found))
 
 
-_coders: dict[int, WordIds] = {}
-
-
 def word_ids(spec: str) -> WordIds:
-    key = hash(spec)
-    if key not in _coders:
-        _coders[key] = WordIds(spec)
-    return _coders[key]
+    """The worker's coder for a vocabulary file's text, built once for each worker."""
+    return kept_in_worker(f"word-ids:{hash(spec)}", lambda: WordIds(spec))
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
