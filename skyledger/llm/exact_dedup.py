@@ -82,7 +82,6 @@ def drop_copies(docs: DataFrame, keep: str = "min") -> DataFrame:
         exact_groups(docs, keep).where("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_text")).distinct(),
         "dedup-gone",
     )
-    if gone.count() <= BROADCAST_HITS:
-        gone = F.broadcast(gone)
     sha = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone_id")) & (sha == F.col("gone_text")), "left_anti")
+    same = docs["doc_id"].eqNullSafe(gone["gone_id"]) & (sha == gone["gone_text"])
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_HITS else gone, same, "left_anti")

@@ -258,7 +258,7 @@ def read_token_files(manifest: DataFrame, keep_ids: bool = True) -> DataFrame:
 def manifest_of(spark: SparkSession, path: str) -> DataFrame:
     """The manifest of a folder of plane files, read from their indexes."""
     fs, folder = file_system(path)
-    names = sorted(f.base_name for f in fs.get_file_info(pafs.FileSelector(folder)) if f.base_name.endswith(".planes"))
+    names = sorted(f.base_name for f in fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True)) if f.base_name.endswith(".planes"))
     listed = spark.createDataFrame([(int(n[5:11]), f"{path}/{n}") for n in names], "part int, path string")
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
