@@ -12,20 +12,20 @@ from skyledger.sources.tables import read
 def lines_of(spark, sf_dir):
     """documents as chapters (lines) of verses (words): doc_id, ch."""
     lines = F.transform(F.split("text", "\n"), lambda x: F.split(x, " "))
-    return read(spark, sf_dir, "documents").where("doc_id % 10 < 3").select("doc_id", lines.alias("ch"))
+    return read(spark, sf_dir, "documents").select("doc_id", lines.alias("ch"))
 
 
-@query("e1_chapters_of_verses", "WITH c AS (SELECT doc_id, i AS chapter, string_split(string_split(text, chr(10))[i], ' ') AS w FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) t(i) WHERE doc_id % 10 < 3) SELECT doc_id, CAST(chapter AS INTEGER) AS chapter, CAST(j AS INTEGER) AS verse, w[j] AS text FROM c, unnest(range(1, len(w) + 1)) u(j)")
+@query("e1_chapters_of_verses", "WITH c AS (SELECT doc_id, i AS chapter, string_split(string_split(text, chr(10))[i], ' ') AS w FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) t(i)) SELECT doc_id, CAST(chapter AS INTEGER) AS chapter, CAST(j AS INTEGER) AS verse, w[j] AS text FROM c, unnest(range(1, len(w) + 1)) u(j)")
 def e1(spark, sf_dir):
     return nested.chapters_of_verses(lines_of(spark, sf_dir), ["doc_id"], "ch")
 
 
-TALK_SQL = "t AS (SELECT conv_id, role, list(text ORDER BY turn) FILTER (turn % 3 <> 0) AS v FROM conversations GROUP BY conv_id, role)"
+TALK_SQL = "t AS (SELECT conv_id, role, list(text ORDER BY turn) FILTER (role <> 'system') AS v FROM conversations GROUP BY conv_id, role)"
 
 
 def talk(spark, sf_dir):
     """Hymns: one per role, with its texts; some have none."""
-    texts = F.sort_array(F.collect_list(F.when(F.col("turn") % 3 != 0, F.struct("turn", "text"))))
+    texts = F.sort_array(F.collect_list(F.when(F.col("role") != "system", F.struct("turn", "text"))))
     by_role = read(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.transform(texts, lambda x: x["text"]).alias("v"))
     return by_role.groupBy("conv_id").agg(F.collect_list(F.struct(F.col("role").alias("h"), "v")).alias("hymns"))
 
@@ -49,13 +49,13 @@ def e4(spark, sf_dir):
     return nested.labelled(pairs, ["conv_id"], "v")
 
 
-@query("e5_blocks_of_lines", "SELECT doc_id, CAST(i AS INTEGER) AS n, string_split(text, chr(10))[i] AS text FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) t(i) WHERE doc_id % 10 < 3")
+@query("e5_blocks_of_lines", "SELECT doc_id, CAST(i AS INTEGER) AS n, string_split(text, chr(10))[i] AS text FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) t(i)")
 def e5(spark, sf_dir):
     chapters = F.transform(F.col("ch"), lambda words, i: F.struct((i + 1).alias("n"), F.array(words).alias("b")))
     return nested.blocks(lines_of(spark, sf_dir).select("doc_id", chapters.alias("c")), ["doc_id"], "c")
 
 
-@query("e6_sections", "SELECT doc_id, CAST(1 AS INTEGER) AS n, replace(text, chr(10), ' ') AS text FROM documents WHERE doc_id % 10 < 3")
+@query("e6_sections", "SELECT doc_id, CAST(1 AS INTEGER) AS n, replace(text, chr(10), ' ') AS text FROM documents")
 def e6(spark, sf_dir):
     sections = F.array(F.struct(F.lit(1).alias("n"), F.col("ch").alias("b")))
     return nested.blocks(lines_of(spark, sf_dir).select("doc_id", sections.alias("c")), ["doc_id"], "c")
@@ -103,7 +103,6 @@ def f49(spark, sf_dir):
 
 @query("o7_spread_angles")
 def o7(spark, sf_dir):
-    """Display angles of each user's first events pushed apart; an iteration, tested against plain Python."""
-    lon = (F.col("event_id") * 137 % 360).cast("double")
-    few = read(spark, sf_dir, "events").groupBy("user_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("event_id", lon.alias("x")))), 1, 10).alias("p"))
-    return few.select("user_id", nested.spread_angles(F.transform("p", lambda s: s["x"])).alias("angles"))
+    """Display angles of each user's points (the last event of each type) pushed apart; an iteration, tested against plain Python."""
+    points = read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg((F.max("event_id") * 137 % 360).cast("double").alias("x"))
+    return points.groupBy("user_id").agg(F.sort_array(F.collect_list("x")).alias("x")).select("user_id", nested.spread_angles(F.col("x")).alias("angles"))

@@ -111,10 +111,10 @@ def j6(spark, sf_dir):
 TALK_SQL = "t AS (SELECT conv_id, turn, text, CAST(ntile(30) OVER (ORDER BY conv_id, turn) AS INTEGER) AS slot FROM conversations)"
 
 
-@query("j4_plan_day_text", f"WITH {TALK_SQL} SELECT t.slot, t.conv_id, t.turn, length(c.text) AS chars FROM t JOIN conversations c USING (conv_id, turn) WHERE slot BETWEEN 5 AND 9")
+@query("j4_plan_day_text", f"WITH {TALK_SQL} SELECT t.slot, t.conv_id, t.turn, length(c.text) AS chars FROM t JOIN conversations c USING (conv_id, turn)")
 def j4(spark, sf_dir):
     talk = read(spark, sf_dir, "conversations")
-    days = balanced_chunks(talk.select("conv_id", "turn"), ["conv_id", "turn"], 30).where("slot BETWEEN 5 AND 9").select("conv_id", "turn", "slot")
+    days = balanced_chunks(talk.select("conv_id", "turn"), ["conv_id", "turn"], 30).select("conv_id", "turn", "slot")
     return days.join(talk, ["conv_id", "turn"]).select("slot", "conv_id", "turn", F.length("text").cast("long").alias("chars"))
 
 
@@ -158,10 +158,10 @@ def j11(spark, sf_dir):
     return reading.first_end_at_least(verses, "verse", chapters, "stop").select("p_partkey", "verse", "chapter")
 
 
-@query("j21_month_of_plan", f"WITH {PLAN_SQL}, {LABEL_SQL}, s AS (SELECT CAST(x AS INTEGER) AS slot, CAST(day(DATE '2000-01-01' + CAST(x - 1 AS INTEGER)) AS INTEGER) AS d FROM range(1, 367) t(x) WHERE month(DATE '2000-01-01' + CAST(x - 1 AS INTEGER)) = 2), done AS (SELECT DISTINCT CAST(o_custkey % 366 + 1 AS INTEGER) AS slot FROM orders WHERE o_orderstatus = 'F' AND o_custkey < 400) SELECT s.slot, d, label, done.slot IS NOT NULL AS done, s.slot = 60 AS skipped FROM s JOIN labels USING (slot) LEFT JOIN done ON done.slot = s.slot")
+@query("j21_month_of_plan", f"WITH {PLAN_SQL}, {LABEL_SQL}, s AS (SELECT CAST(x AS INTEGER) AS slot, CAST(day(DATE '2000-01-01' + CAST(x - 1 AS INTEGER)) AS INTEGER) AS d FROM range(1, 367) t(x) WHERE month(DATE '2000-01-01' + CAST(x - 1 AS INTEGER)) = 2), done AS (SELECT DISTINCT CAST(o_custkey % 366 + 1 AS INTEGER) AS slot FROM orders WHERE o_orderstatus = 'P') SELECT s.slot, d, label, done.slot IS NOT NULL AS done, s.slot = 60 AS skipped FROM s JOIN labels USING (slot) LEFT JOIN done ON done.slot = s.slot")
 def j21(spark, sf_dir):
     """A month's slots with label, done and skipped flags."""
-    done = read(spark, sf_dir, "orders").where("o_orderstatus = 'F' AND o_custkey < 400").select((F.col("o_custkey") % 366 + 1).cast("int").alias("slot")).distinct().withColumn("hit", F.lit(1))
+    done = read(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select((F.col("o_custkey") % 366 + 1).cast("int").alias("slot")).distinct().withColumn("hit", F.lit(1))
     spine = slot_spine(spark, 1999).where("m = 2")
     return spine.join(reading.day_labels(plan(spark, sf_dir)), "slot").join(done, "slot", "left").select("slot", "d", "label", F.col("hit").isNotNull().alias("done"), "skipped")
 
@@ -181,10 +181,10 @@ def j22(spark, sf_dir):
     return found.groupBy("role").agg(F.min(key).alias("first"), F.max(key).alias("last"), F.count("*").alias("n"))
 
 
-@query("p9_parts_of_a_day", f"WITH {PLAN_SQL} SELECT DISTINCT slot, p_brand AS work, book FROM plan JOIN part ON book = p_partkey WHERE slot BETWEEN 100 AND 103")
+@query("p9_parts_of_a_day", f"WITH {PLAN_SQL} SELECT DISTINCT slot, p_brand AS work, book FROM plan JOIN part ON book = p_partkey")
 def p9(spark, sf_dir):
-    """Works and parts that some days of a plan need."""
-    days = plan(spark, sf_dir).where("slot BETWEEN 100 AND 103").select("slot", "book")
+    """Works and parts that each day of a plan needs."""
+    days = plan(spark, sf_dir).select("slot", "book")
     return days.join(read(spark, sf_dir, "part"), F.col("book") == F.col("p_partkey")).select("slot", F.col("p_brand").alias("work"), "book").distinct()
 
 
@@ -193,3 +193,10 @@ def p10(spark, sf_dir):
     held = read(spark, sf_dir, "part").where("p_retailprice < 1500").select(F.col("p_partkey").alias("book"), F.lit(True).alias("held"))
     need = plan(spark, sf_dir).select("slot", "book").distinct()
     return need.join(held, "book", "left").groupBy("slot").agg(F.bool_and(F.coalesce("held", F.lit(False))).alias("is_local"))
+
+
+@query("e12_ticks_and_sectors", "SELECT CAST(d AS INTEGER) AS tick, CAST(d // 30 AS INTEGER) AS sector, d % 30 = 0 AS cusp FROM range(0, 360) t(d)")
+def e12(spark, sf_dir):
+    """A tick for each degree of a wheel with its sector of 30."""
+    d = F.col("id").cast("int")
+    return spark.range(360).select(d.alias("tick"), F.floor(d / 30).cast("int").alias("sector"), (d % 30 == 0).alias("cusp"))

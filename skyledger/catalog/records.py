@@ -161,10 +161,11 @@ def p6(spark, sf_dir):
     return read(spark, sf_dir, "orders").where(F.startswith(key, F.concat(F.left(key, F.lit(1)), F.lit("-U"))) | key.startswith("2")).select("o_orderkey")
 
 
-@query("p15_lookup_with_default", "SELECT CAST(k AS BIGINT) AS k, coalesce(first(c.text), '') AS text FROM range(0, 40) t(k) LEFT JOIN conversations c ON c.conv_id = k AND c.turn = 3 GROUP BY k")
+@query("p15_lookup_with_default", "SELECT k, coalesce(c.text, '') AS text FROM (SELECT DISTINCT conv_id AS k FROM conversations) LEFT JOIN conversations c ON c.conv_id = k AND c.turn = 3")
 def p15(spark, sf_dir):
     entries = read(spark, sf_dir, "conversations").where("turn = 3").select(F.col("conv_id").alias("k"), "text")
-    return spark.range(0, 40).withColumnRenamed("id", "k").join(entries, "k", "left").select("k", F.coalesce("text", F.lit("")).alias("text"))
+    keys = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("k")).distinct()
+    return keys.join(entries, "k", "left").select("k", F.coalesce("text", F.lit("")).alias("text"))
 
 
 @query("p16_state_or_default", f"WITH {DONE_SQL} SELECT c_custkey, coalesce(done, 0) AS done, done IS NULL AS fresh FROM customer LEFT JOIN x ON c_custkey = o_custkey")
@@ -173,10 +174,10 @@ def p16(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey").join(state, "c_custkey", "left").select("c_custkey", F.coalesce("done", F.lit(0)).alias("done"), F.col("done").isNull().alias("fresh"))
 
 
-@query("p17_chosen_theme", "WITH s AS (SELECT user_id, arg_max(event_type, ts) FILTER (event_type <> 'view') AS session, arg_max(event_type, ts) AS stored FROM events WHERE event_id % 3 = 0 GROUP BY user_id), t(name, note) AS (VALUES ('click', 'press'), ('purchase', 'give'), ('view', 'look')) SELECT user_id, coalesce(session, stored) AS chosen, note FROM s LEFT JOIN t ON name = coalesce(session, stored)")
+@query("p17_chosen_theme", "WITH s AS (SELECT user_id, arg_max(event_type, ts) FILTER (event_type <> 'view') AS session, arg_max(event_type, ts) AS stored FROM events GROUP BY user_id), t(name, note) AS (VALUES ('click', 'press'), ('purchase', 'give'), ('view', 'look')) SELECT user_id, coalesce(session, stored) AS chosen, note FROM s LEFT JOIN t ON name = coalesce(session, stored)")
 def p17(spark, sf_dir):
     themes = spark.createDataFrame([("click", "press"), ("purchase", "give"), ("view", "look")], "name string, note string")
-    seen = read(spark, sf_dir, "events").where("event_id % 3 = 0").groupBy("user_id").agg(F.max_by(F.when(F.col("event_type") != "view", F.col("event_type")), F.when(F.col("event_type") != "view", F.col("ts"))).alias("session"), F.max_by("event_type", "ts").alias("stored"))
+    seen = read(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by(F.when(F.col("event_type") != "view", F.col("event_type")), F.when(F.col("event_type") != "view", F.col("ts"))).alias("session"), F.max_by("event_type", "ts").alias("stored"))
     return seen.withColumn("chosen", F.coalesce("session", "stored")).join(F.broadcast(themes), F.col("chosen") == F.col("name"), "left").select("user_id", "chosen", "note")
 
 

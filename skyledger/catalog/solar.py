@@ -267,9 +267,9 @@ def w7(spark, sf_dir):
 CUSPS_SQL = "SELECT c_nationkey, CAST(c_custkey * 31 % 360 AS DOUBLE) AS cusp FROM customer"
 
 
-@query("w10_wrapping_lead", f"WITH c AS ({CUSPS_SQL} WHERE c_custkey <= 200) SELECT c_nationkey, cusp, coalesce(lead(cusp) OVER w, first(cusp) OVER w) AS next_cusp FROM (SELECT DISTINCT * FROM c) WINDOW w AS (PARTITION BY c_nationkey ORDER BY cusp)")
+@query("w10_wrapping_lead", f"WITH c AS ({CUSPS_SQL}) SELECT c_nationkey, cusp, coalesce(lead(cusp) OVER w, first(cusp) OVER w) AS next_cusp FROM (SELECT DISTINCT * FROM c) WINDOW w AS (PARTITION BY c_nationkey ORDER BY cusp)")
 def w10(spark, sf_dir):
-    cusps = read(spark, sf_dir, "customer").where("c_custkey <= 200").select("c_nationkey", (F.col("c_custkey") * 31 % 360).cast("double").alias("cusp")).distinct()
+    cusps = read(spark, sf_dir, "customer").select("c_nationkey", (F.col("c_custkey") * 31 % 360).cast("double").alias("cusp")).distinct()
     w = Window.partitionBy("c_nationkey").orderBy("cusp")
     return cusps.select("c_nationkey", "cusp", F.coalesce(F.lead("cusp").over(w), F.first("cusp").over(w)).alias("next_cusp"))
 
@@ -289,3 +289,10 @@ def j12(spark, sf_dir):
 def j15(spark, sf_dir):
     at = with_angles(event_places(spark, sf_dir))
     return at.select("event_id", sky.house_of(body_lon(), sky.equal_cusps(F.col("asc_"))).alias("house"))
+
+
+@query("f42_polar_and_easing", f"SELECT event_id, round(100 + 80 * cos(radians({BODY_LON})), 6) AS x, round(100 - 80 * sin(radians({BODY_LON})), 6) AS y, round((1 - cos({PI} * (value % 1))) / 2, 6) AS eased FROM events")
+def f42(spark, sf_dir):
+    """A point on a circle (radius 80 around 100, 100) and a cosine ease of a share."""
+    lon = F.radians(body_lon())
+    return read(spark, sf_dir, "events").select("event_id", F.round(100 + 80 * F.cos(lon), 6).alias("x"), F.round(100 - 80 * F.sin(lon), 6).alias("y"), F.round((1 - F.cos(math.pi * (F.col("value") % 1))) / 2, 6).alias("eased"))
