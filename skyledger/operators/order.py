@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.sources.tables import stored
@@ -17,8 +17,8 @@ def with_position(df: DataFrame, *order: str, name: str = "pos") -> DataFrame:
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = stored(ranged.select("*", F.monotonically_increasing_id().alias("_at")), "ranged").withColumn("_part", F.shiftright("_at", 33)).withColumn("_in", F.col("_at").bitwiseAND((1 << 33) - 1))
     sizes = placed.groupBy("_part").agg(F.count("*").alias("n"))
-    # one row per task of the range exchange
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy(F.col("a._part").alias("_part")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("_before"))
+    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per task of the range exchange
+    before = sizes.select("_part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("_before"))
     return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_in")).drop("_at", "_part", "_in", "_before")
 
 
