@@ -23,12 +23,12 @@ from skyledger.llm.shared import kept_in_worker, map_batches
 SAMPLE_DOCS = 150
 ROUNDS = 3
 #: Longer words are scored in runs of this many letters.
-LONGEST_WORD = 64
+LONGEST_WORD = 40
 LONGEST_PIECE = 16
 #: Words of evidence that a score counts at most; without this bound every longer text would score 0 or 1.
 EVIDENCE = 20
 #: Words of which a worker keeps the log-probabilities; emptied when full.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 350_000
 UNDETERMINED = "und"
 #: A filter rejects texts whose best language scores less.
 LEAST_SCORE = 0.35

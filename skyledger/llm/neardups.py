@@ -28,7 +28,7 @@ SHINGLE_WORDS = 32
 BLOCK_BITS, WORD_BLOCKS, WORDS = 21, 3, 8
 #: Node lists up to this number (8 bytes each) are broadcast; beyond, they are joined by shuffle.
 BROADCAST_NODES = 1_000_000
-CACHED_WORDS = 500_000
+CACHED_WORDS = 300_000
 CHUNK = 256
 
 
@@ -193,8 +193,12 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
     leads = staged(fps.groupBy(*ws).agg(first), "wide-leads")
     same = fps.join(leads, ws).where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
     blocks = _blocks(leads.select(F.col("lead").alias("node"), *ws))
-    sizes = blocks.groupBy("which", "bits").agg(F.count("*").alias("n"), F.min(F.struct("node", *ws)).alias("hub")).where("n > 1")
-    members = staged(blocks.join(sizes, ["which", "bits"]).select("which", "bits", "node", *ws, *(F.col(f"hub.{c}").alias(f"h_{c}") for c in ("node", *ws))), "near-blocks")
+    # most of those that share a block do so by chance; a semi-join leaves those with a close one in it
+    peers = blocks.select("which", "bits", F.col("node").alias("b_node"), *(F.col(c).alias(f"b_{c}") for c in ws))
+    in_block = (blocks["which"] == peers["which"]) & (blocks["bits"] == peers["bits"])
+    close = staged(blocks.join(peers, in_block & (F.col("node") != F.col("b_node")) & (_distance("w", "b_w") <= radius), "left_semi"), "near-close")
+    hubs = close.groupBy("which", "bits").agg(F.min(F.struct("node", *ws)).alias("hub"))
+    members = staged(close.join(hubs, ["which", "bits"]).select("which", "bits", "node", *ws, *(F.col(f"hub.{c}").alias(f"h_{c}") for c in ("node", *ws))), "near-blocks")
     spokes = members.where((F.col("node") != F.col("h_node")) & (_distance("w", "h_w") <= radius)).select(F.col("h_node").alias("a"), F.col("node").alias("b"))
     edges = _verified(named, staged(spokes.unionByName(same).distinct(), "near-spokes"), words, similarity)
 
@@ -215,6 +219,5 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents with one (the smallest id) of each group of near-duplicates; all columns as they are."""
     gone = staged(near_groups(docs, words, similarity).where("doc_id <> root").select(F.col("doc_id").alias("gone_id")), "near-gone")
-    if gone.count() <= BROADCAST_NODES:
-        gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
+    same = docs["doc_id"].cast("long") == gone["gone_id"]
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_NODES else gone, same, "left_anti")

@@ -28,7 +28,7 @@ PASSAGE = 6
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1200, 1800
 EPOCHS, RATE = 40, 2.0
 THRESHOLD = 0.3
-CACHED_WORDS = 700_000
+CACHED_WORDS = 400_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
