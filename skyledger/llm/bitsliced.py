@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -215,7 +216,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: st
                     block = SlicedBlock(np.frombuffer(ids.as_py(), np.int64), np.frombuffer(x.as_py(), np.int64).reshape(-1, d))
                 found = []
                 for q, query in zip(np.frombuffer(q_ids.as_py(), np.int64).tolist(), np.frombuffer(q_x.as_py(), np.int64).reshape(-1, d), strict=True):
-                    key = hash(query.tobytes())
+                    key = xxhash.xxh64_intdigest(query.tobytes()) >> 1
                     found += [(q, key, v, s) for v, s in block.best(q, query, k)]
                 yield pa.RecordBatch.from_pydict({c: pa.array([f[i] for f in found], pa.int64()) for i, c in enumerate(("query_id", "query_key", "vec_id", "score"))})
 

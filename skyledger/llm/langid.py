@@ -158,7 +158,7 @@ class Judge:
         self._learn([w for w in dict.fromkeys(w for ws in split for w in ws) if w not in self.rows])
         names, scores = [], []
         for ws in split:
-            if not ws or not self.langs:
+            if not self.langs or not any(c.isalpha() for w in ws for c in w):
                 names.append(UNDETERMINED)
                 scores.append(0.0)
                 continue
@@ -201,7 +201,7 @@ def language_filter(docs: DataFrame, pieces_path: str, trainable: Column, least:
         for start in range(0, len(text), 256):
             part = [t if isinstance(t, str) else None for t in text.iloc[start : start + 256]]
             names, scores = judge.judge(part)
-            found += [n != UNDETERMINED and s >= least if judge.langs else bool(t and LETTERS.search(t)) for n, s, t in zip(names, scores, part, strict=True)]
+            found += [n != UNDETERMINED and s >= least if judge.langs else bool(t and any(map(str.isalpha, t))) for n, s, t in zip(names, scores, part, strict=True)]
         return pd.Series(found, dtype=bool)
 
     return docs.where(accepted("text"))

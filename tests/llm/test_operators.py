@@ -305,7 +305,7 @@ def test_language_of_words():
     pieces = ["▁" + c for c in "kmtsspgw"] + list("abcdefghijklmnopqrstuvwxyz") + ["kalo", "lo", "miru", "ta", "ne", "strunk", "felt", "ol", "st", "▁ka", "ram"]
     langs, table = langid.fit(pieces, {lang: [text(lang) for _ in range(20)] for lang in stems})
     judge = langid.Judge(pieces, langs, table)
-    names, scores = judge.judge([text("aa"), text("bb"), None, "", "12 !?", "x" * 500])
+    names, scores = judge.judge([text("aa"), text("bb"), None, "", "12 !? ½ ²", "x" * 500])
     assert names[:5] == ["aa", "bb", "und", "und", "und"] and scores[2:5] == [0.0] * 3 and min(scores[:2]) > 0.9 and names[5] in langs
 
 
