@@ -7,9 +7,10 @@ counts, map-side first. A hit (a digest met more than once) counts only after th
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.llm.shared import staged
@@ -22,12 +23,13 @@ def sha256_digest(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+#: Writer options that give each file of a run a Bloom filter on the digest.
+FILTERS = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "200000"}
+
+
 def flushed_runs(rows: DataFrame) -> DataFrame:
     """Level 0: every task's (digest, doc_id) sorted by digest, with a Bloom filter per file."""
-    return staged(
-        rows.sortWithinPartitions("digest"), "digest-runs",
-        **{"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "200000"},
-    )
+    return staged(rows.sortWithinPartitions("digest"), "digest-runs", **FILTERS)
 
 
 def compacted(runs: DataFrame, keep: str = "min") -> DataFrame:
@@ -85,3 +87,55 @@ def drop_copies(docs: DataFrame, keep: str = "min") -> DataFrame:
     sha = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
     same = docs["doc_id"].eqNullSafe(gone["gone_id"]) & (sha == gone["gone_text"])
     return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_HITS else gone, same, "left_anti")
+
+
+class MergeIndex:
+    """A stored index that documents are added to batch by batch; runs are Parquet folders under a path.
+
+    A batch is flushed as a level-0 run. Compaction merges all runs into one of level 1 and then removes them. A run that a failed job left
+    without its success mark is not read. Should the driver die between the two steps of a compaction, counts (not identifiers) are too
+    high until the old runs are removed.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keep: str = "min", digest: Callable[[Column], Column] = sha256_digest):
+        self.spark, self.path, self.keep, self.digest = spark, path, keep, digest
+
+    def _runs(self) -> list[str]:
+        root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/*/_SUCCESS")
+        found = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(root)
+        return [x.getPath().getParent().toString() for x in found or []]
+
+    def _write(self, rows: DataFrame, level: int) -> None:
+        rows.sortWithinPartitions("digest").write.options(**FILTERS).parquet(f"{self.path}/level{level}-{uuid.uuid4().hex}")
+
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
+        """Flush the documents' digests as a run."""
+        self._write(as_run(docs.select(F.col(id_col).alias("doc_id"), self.digest(F.coalesce(F.col(text_col), F.lit(""))).alias("digest"))), 0)
+
+    def table(self) -> DataFrame:
+        """(digest, keep_id, n) over all runs."""
+        runs = self._runs()
+        empty = self.spark.createDataFrame([], "digest binary, keep_id long, n long")
+        return compacted(self.spark.read.parquet(*runs), self.keep) if runs else empty
+
+    def compact(self) -> None:
+        """Merge all runs into one."""
+        old = self._runs()
+        if len(old) < 2:
+            return
+        self._write(compacted(self.spark.read.parquet(*old), self.keep), 1)
+        for run in old:
+            folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run)
+            folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+    def lookup(self, text: str) -> DataFrame:
+        """(keep_id, n) of texts with this text's digest; row groups whose filter or range lacks it are not read."""
+        wanted = self.spark.range(1).select(self.digest(F.lit(text)).alias("d")).first()["d"]
+        return self.table().where(F.col("digest") == F.lit(bytes(wanted))).select("keep_id", "n")
+
+    def seen(self, docs: DataFrame, corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """Documents whose text is in the indexed corpus: doc_id, keep_id. Hits are compared byte by byte with the kept document's text."""
+        new = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+        hits = new.withColumn("digest", self.digest(F.col("body"))).join(self.table(), "digest")
+        held = corpus.select(F.col(id_col).alias("keep_id"), F.coalesce(F.col(text_col), F.lit("")).alias("held"))
+        return hits.join(held, "keep_id").where("body = held").select("doc_id", "keep_id").distinct()

@@ -95,6 +95,22 @@ def test_exact_groups(odd, digest, keep):
     assert exact_dedup.exact_groups(odd.limit(0)).count() == 0
 
 
+def test_merge_index_in_batches(spark, tmp_path):
+    index = exact_dedup.MergeIndex(spark, f"{tmp_path}/index", keep="max")
+    assert index.table().count() == 0
+    batches = [[(1, "a"), (2, "b")], [(3, "a"), (4, None)], [(5, ""), (6, "c"), (6, "c")]]
+    corpus = spark.createDataFrame([r for b in batches for r in b], "doc_id long, text string")
+    for rows in batches:
+        index.add(spark.createDataFrame(rows, "doc_id long, text string"))
+    whole = lambda: sorted((r.keep_id, r.n) for r in index.table().collect())
+    assert whole() == [(2, 1), (3, 2), (5, 2), (6, 2)]
+    index.compact()
+    assert len(index._runs()) == 1 and whole() == [(2, 1), (3, 2), (5, 2), (6, 2)]
+    assert [(r.keep_id, r.n) for r in index.lookup("a").collect()] == [(3, 2)] and index.lookup("zz").count() == 0
+    new = spark.createDataFrame([(9, "a"), (10, "zz"), (11, None)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.keep_id) for r in index.seen(new, corpus).collect()) == [(9, 3), (11, 5)]
+
+
 def test_drop_copies(odd):
     left = exact_dedup.drop_copies(odd)
     assert sorted((r.doc_id or 0) for r in left.collect()) == [0, 1, 3, 5, 6, 8, 8, 9] and left.columns == odd.columns
