@@ -36,8 +36,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return path
+    file_system = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    file_system.deleteOnExit(hadoop_path)
+    return file_system.makeQualified(hadoop_path).toString()  # with its scheme, for readers that do not know the default one
 
 
 def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
