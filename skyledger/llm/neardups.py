@@ -147,7 +147,8 @@ def _chunk_pairs(rows: DataFrame, numbers: list[str], radius: int) -> DataFrame:
     """
     sizes = rows.groupBy("which", "bits").agg(F.count("*").alias("n")).where("n > 1")
     dealt = rows.join(sizes, ["which", "bits"]).withColumn("chunk", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / CHUNK)))
-    chunks = staged(dealt.groupBy("which", "bits", "chunk").agg(F.collect_list(F.struct("a", "root", *numbers)).alias("x")), "near-chunks")
+    # dealt by chunk, or else Spark would gather all chunks of a block in the task that holds the block
+    chunks = staged(dealt.repartition("which", "bits", "chunk").groupBy("which", "bits", "chunk").agg(F.collect_list(F.struct("a", "root", *numbers)).alias("x")), "near-chunks")
     both = chunks.join(chunks.select("which", "bits", F.col("chunk").alias("other"), F.col("x").alias("y")), ["which", "bits"]).where("chunk <= other")
 
     def table(cell: pa.ListScalar) -> np.ndarray:
