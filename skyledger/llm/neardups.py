@@ -21,10 +21,10 @@ from skyledger.llm.components import components
 from skyledger.llm.shared import kept_in_worker, map_batches, staged
 from skyledger.llm.simhash import shingle_hashes
 
-#: Bits in which fingerprints of words (of 512) and of shingles (of 2048) differ at most. At a similarity of 0.8 about 34 differ for words
-#: (spread 6) and 308 for shingles (spread 16).
-RADIUS, SHINGLE_RADIUS = 64, 350
-SHINGLE_WORDS = 32
+#: Bits in which fingerprints of words (of 512) and of shingles (of 4096) differ at most. At a similarity of 0.8 about 34 differ for words
+#: (spread 6) and 616 for shingles (spread 23).
+RADIUS, SHINGLE_RADIUS = 64, 680
+SHINGLE_WORDS = 64
 BLOCK_BITS, WORD_BLOCKS, WORDS = 21, 3, 8
 #: Node lists up to this number (8 bytes each) are broadcast; beyond, they are joined by shuffle.
 BROADCAST_NODES = 1_000_000
@@ -72,8 +72,8 @@ def shingle_fingerprint(hashes: np.ndarray) -> list[int]:
     if not len(hashes):
         return [0] * SHINGLE_WORDS
     counts = np.zeros(64 * SHINGLE_WORDS, np.int64)
-    for start in range(0, len(hashes), 1 << 11):
-        part = hashes[start : start + (1 << 11), None] * np.array(MIX, np.uint64)
+    for start in range(0, len(hashes), 1 << 10):
+        part = hashes[start : start + (1 << 10), None] * np.array(MIX, np.uint64)
         part ^= part >> np.uint64(32)
         part *= np.uint64(MIX[0])
         part ^= part >> np.uint64(29)

@@ -252,7 +252,9 @@ def read_token_files(manifest: DataFrame, keep_ids: bool = True) -> DataFrame:
     # one row per file: its number is that of the write's tasks
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
-    files = starts.select("path", "start").repartition("path")
+    # few bytes but much to read: a number of tasks of its own, which Spark does not merge
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    files = starts.select("path", "start").repartition(tasks, "path")
     return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if keep_ids else ""))
 
 
