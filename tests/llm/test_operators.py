@@ -271,6 +271,17 @@ def test_near_duplicates(spark):
     assert sorted(r.doc_id for r in left.collect()) == sorted(set(want.values())) and left.columns == table.columns
 
 
+def test_cut_texts_lie_within_the_radius():
+    """Where a fifth of the shingles is cut off, far more words are gone than where single words change."""
+    rng, digests = random.Random(5), neardups._Digests()
+    for n in (30, 100, 300):
+        for _ in range(60):
+            words = ["".join(rng.choices("abcdefghij", k=8)) for _ in range(n)]
+            whole, cut = (neardups.wide_fingerprint(" ".join(w), digests) for w in (words, words[: n - (n - 4) // 5]))
+            apart = np.bitwise_count(np.array(whole).view(np.uint64) ^ np.array(cut).view(np.uint64)).sum()
+            assert apart <= neardups.RADIUS
+
+
 def test_near_duplicates_of_odd_rows(odd):
     left = neardups.drop_near_copies(odd)
     ids = [r.doc_id for r in left.collect()]
