@@ -1,31 +1,36 @@
-"""Near-duplicate documents (word-shingle Jaccard similarity at or above a bound) by wide SimHash fingerprints in pigeonhole blocks.
+"""Near-duplicate documents: word-shingle Jaccard similarity at or above a bound, every such pair.
 
-A text's fingerprint has 504 bits, the majority bits of the hashes of its distinct words, in 24 blocks of 21 bits. Documents that share a block
-are candidates: certainly those up to 23 bits apart (fewer bits differ than there are blocks), and most pairs at the similarity asked
-for: about 0.97 of those 45 bits apart, 0.6 of those 72 apart. The Hamming distance and then the shingles themselves decide.
+Candidates come from prefixes. All shingles have one order, rare ones first; of a text's n distinct shingles the first n - ceil(bound * n) + 1
+are its keys. Two texts at the bound or above share a key: the first shingle that they have in common is in both prefixes. Where that
+one stands, and how many shingles the texts have, bounds what they can share; pairs that cannot reach the similarity are dropped by
+these bounds alone. So nothing is left to chance: the order (taken from a sample) decides the cost, not the result.
 
-A block is not turned into all its pairs. First every member is compared with the block's smallest; verified links make components. Then
-only members of different components still meet, and only if fingerprints of their shingles are close as well. A pair within one
+A key is not turned into all its pairs. First every member is compared with the key's smallest; verified links make components. Then
+only members of different components still meet, and only if the parities of their shingles allow the similarity. A pair within one
 component needs no further look.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.llm.components import components
 from skyledger.llm.shared import kept_in_worker, map_batches, staged
 from skyledger.llm.simhash import shingle_hashes
 
-#: Bits in which fingerprints of words (of 512) and of shingles (of 4096) differ at most. At a similarity of 0.8 about 34 differ for words
-#: (spread 6) where single words are changed, 75 (spread 8) where a fifth of the text is cut off, and 616 for shingles (spread 23).
-RADIUS, SHINGLE_RADIUS = 100, 680
-SHINGLE_WORDS = 64
-BLOCK_BITS, WORD_BLOCKS, WORDS = 21, 3, 8
+#: Bits of 512 in which fingerprints of words differ at most where a fifth of a text without repeated words is cut off. They no longer decide
+#: about candidates.
+RADIUS, WORDS = 100, 8
+#: One in so many documents is read for the order of shingles; so many frequent ones at most (12 bytes each) are put last.
+SAMPLED, FREQUENT = 16, 100_000
+#: Longs of a text's parities.
+PARITIES = 8
 #: Node lists up to this number (8 bytes each) are broadcast; beyond, they are joined by shuffle.
 BROADCAST_NODES = 1_000_000
 CACHED_WORDS = 300_000
@@ -54,39 +59,65 @@ def wide_fingerprint(text: str, digests: dict[bytes, bytes]) -> list[int]:
     return np.packbits(counts * 2 > len(words)).view(np.int64).tolist()
 
 
-def _fingerprints(docs: DataFrame) -> DataFrame:
-    def rows(batch: pa.RecordBatch) -> dict:
-        digests = kept_in_worker("word-digests", _Digests)
-        found = [wide_fingerprint(t.as_py() or "", digests) for t in batch.column(1)]
-        return {"node": batch.column(0)} | {f"w{i}": pa.array([f[i] for f in found], pa.int64()) for i in range(WORDS)}
+def parities(hashes: np.ndarray) -> list[int]:
+    """Signed 64-bit numbers: bit i tells whether an odd number of the distinct hashes leaves i; two sets differ in at least as many members as bits."""
+    counts = np.bincount((hashes & np.uint64(64 * PARITIES - 1)).astype(np.int64), minlength=64 * PARITIES)
+    return np.packbits(counts & 1 == 1).view(np.int64).tolist()
 
-    return map_batches(docs, rows, "node long, " + ", ".join(f"w{i} long" for i in range(WORDS)))
 
+def _parities(docs: DataFrame, words: int) -> DataFrame:
+    def rows(batch: pa.RecordBatch) -> dict:
+        found = [parities(np.unique(shingle_hashes(t.as_py() or "", words))) for t in batch.column(1)]
+        return {"node": batch.column(0)} | {f"s{i}": pa.array([f[i] for f in found], pa.int64()) for i in range(PARITIES)}
 
-#: Odd multipliers that make one 64-bit hash into many.
-MIX = [(0x9E3779B97F4A7C15 * (2 * k + 1)) & (1 << 64) - 1 for k in range(1, SHINGLE_WORDS + 1)]
+    return map_batches(docs, rows, "node long, " + ", ".join(f"s{i} long" for i in range(PARITIES)))
 
 
-def shingle_fingerprint(hashes: np.ndarray) -> list[int]:
-    """Signed 64-bit numbers: majority bits over the distinct shingles' hashes; zeros for none."""
-    if not len(hashes):
-        return [0] * SHINGLE_WORDS
-    counts = np.zeros(64 * SHINGLE_WORDS, np.int64)
-    for start in range(0, len(hashes), 1 << 10):
-        part = hashes[start : start + (1 << 10), None] * np.array(MIX, np.uint64)
-        part ^= part >> np.uint64(32)
-        part *= np.uint64(MIX[0])
-        part ^= part >> np.uint64(29)
-        counts += np.unpackbits(part.view(np.uint8), axis=1).sum(0, dtype=np.int64)
-    return np.packbits(counts * 2 > len(hashes)).view(np.int64).tolist()
+def _frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles (ascending) that most sampled documents have, and how many have them."""
 
+    def rows(batch: pa.RecordBatch) -> dict:
+        found = [np.unique(shingle_hashes(t.as_py() or "", words)) for t in batch.column(1)]
+        return {"key": pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())}
+
+    sampled = map_batches(docs.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0), rows, "key long")
+    counts = staged(sampled.groupBy("key").agg(F.count("*").alias("n")).where("n > 2"), "near-frequent")
+    least, total = 1 << 62, 0
+    for n, keys in sorted(((r["n"], r["keys"]) for r in counts.groupBy("n").agg(F.count("*").alias("keys")).collect()), reverse=True):
+        total += keys
+        if total > FREQUENT:
+            break
+        least = n
+    found = counts.where(F.col("n") >= least).toArrow()
+    keys, often = found["key"].to_numpy().astype(np.int64).view(np.uint64), found["n"].to_numpy().astype(np.int32)
+    order = np.argsort(keys)
+    return keys[order], often[order]
+
+
+def prefix(hashes: np.ndarray, similarity: float, frequent: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The keys of a set of hashes (ascending): those first in the order, one of which any set that is similar enough has too."""
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        hashes = hashes[np.argsort(np.where(frequent[at] == hashes, often[at], 0), kind="stable")]
+    return hashes[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]
+
+
+def _keys(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(key, node, n, at): the keys of every document, its number of distinct shingles and the key's place among them in the order."""
+    sent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, words))
 
-def _shingle_fingerprints(docs: DataFrame, words: int) -> DataFrame:
     def rows(batch: pa.RecordBatch) -> dict:
-        found = [shingle_fingerprint(np.unique(shingle_hashes(t.as_py() or "", words))) for t in batch.column(1)]
-        return {"node": batch.column(0)} | {f"s{i}": pa.array([f[i] for f in found], pa.int64()) for i in range(SHINGLE_WORDS)}
+        sets = [np.unique(shingle_hashes(t.as_py() or "", words)) for t in batch.column(1)]
+        # texts without words share a key of their own, which differs from others' by the number of shingles
+        keys = [prefix(x, similarity, *sent.value) if len(x) else np.zeros(1, np.uint64) for x in sets]
+        sizes = [len(k) for k in keys]
+        nodes, counts = np.repeat(batch.column(0).to_numpy(), sizes), np.repeat([len(x) for x in sets], sizes)
+        return {
+            "key": pa.array(np.concatenate(keys).view(np.int64) if keys else [], pa.int64()), "node": pa.array(nodes, pa.int64()),
+            "n": pa.array(counts, pa.int32()), "at": pa.array(np.concatenate([np.arange(k) for k in sizes]) if keys else [], pa.int32()),
+        }
 
-    return map_batches(docs, rows, "node long, " + ", ".join(f"s{i} long" for i in range(SHINGLE_WORDS)))
+    return map_batches(docs, rows, "key long, node long, n int, at int")
 
 
 def _of_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -125,96 +156,63 @@ def _verified(docs: DataFrame, edges: DataFrame, words: int, similarity: float)
     return staged(map_batches(both, rows, "a long, b long"), "near-edges")
 
 
-def _distance(left: str, right: str, words: int = WORDS) -> Column:
-    return sum((F.bit_count(F.col(f"{left}{i}").bitwiseXOR(F.col(f"{right}{i}"))) for i in range(words)), F.lit(0))
+def _shared_least(n: Column, m: Column, similarity: float) -> Column:
+    """Shingles that texts of n and m shingles share at least if they are similar enough."""
+    return F.ceil((n + m) * (similarity / (1 + similarity)) - 1e-9)
 
 
-def _block_bits(prefix: str) -> list[Column]:
-    """The bits of every block of a fingerprint."""
-    mask = (1 << BLOCK_BITS) - 1
-    return [F.shiftrightunsigned(F.col(f"{prefix}{i}"), b * BLOCK_BITS).bitwiseAND(mask) for i in range(WORDS) for b in range(WORD_BLOCKS)]
+def _possible(left: str, right: str, similarity: float) -> Column:
+    """Whether the similarity can be reached if this key is the first shingle that both texts have."""
+    n, at, m, bt = (F.col(side + c) for side in (left, right) for c in ("n", "at"))
+    return (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-9) & (F.least(n - at, m - bt) >= _shared_least(n, m, similarity))
 
 
-def _blocks(fps: DataFrame) -> DataFrame:
-    keys = [F.struct(F.lit(k).alias("which"), bits.alias("bits")) for k, bits in enumerate(_block_bits("w"))]
-    return fps.select("node", *(f"w{i}" for i in range(WORDS)), F.explode(F.array(*keys)).alias("key")).select("node", *(f"w{i}" for i in range(WORDS)), "key.which", "key.bits")
+def _apart_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of rows (key, node, root, n, at, parities) of one key, but of different roots, that can be similar enough; with their roots and score.
 
-
-def _chunk_pairs(rows: DataFrame, numbers: list[str], radius: int) -> DataFrame:
-    """Pairs (a, b) of rows of one block, but of different roots, that are close in words and shingles; each in its first shared block only.
-
-    A block is dealt into chunks of about CHUNK rows, and chunks meet chunks, so that no task holds a whole large block.
+    A key is dealt into chunks of about CHUNK rows, and chunks meet chunks, so that no task holds a whole large key. Scores are lower for pairs
+    more likely to be similar.
     """
-    sizes = rows.groupBy("which", "bits").agg(F.count("*").alias("n")).where("n > 1")
-    dealt = rows.join(sizes, ["which", "bits"]).withColumn("chunk", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / CHUNK)))
-    # dealt by chunk, or else Spark would gather all chunks of a block in the task that holds the block
-    chunks = staged(dealt.repartition("which", "bits", "chunk").groupBy("which", "bits", "chunk").agg(F.collect_list(F.struct("a", "root", *numbers)).alias("x")), "near-chunks")
-    both = chunks.join(chunks.select("which", "bits", F.col("chunk").alias("other"), F.col("x").alias("y")), ["which", "bits"]).where("chunk <= other")
-
-    def table(cell: pa.ListScalar) -> np.ndarray:
-        flat = cell.values.flatten()
-        return np.stack([c.to_numpy(zero_copy_only=False) for c in flat])
-
-    def rows_of(batch: pa.RecordBatch) -> dict:
-        found: list[np.ndarray] = []
-        mask = np.uint64((1 << BLOCK_BITS) - 1)
-        for which, same, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-            p, q = table(x), table(y)
-            apart = p[1][:, None] != q[1][None, :]
-            if same:
-                apart = np.triu(apart, 1)
-            i, j = np.nonzero(apart)
-            for part, most in ((slice(2, 2 + WORDS), radius), (slice(2 + WORDS, None), SHINGLE_RADIUS)):
-                # a few rows of numbers at a time bound the memory at chunk x chunk x 8 bytes
-                gone = np.zeros(len(i), np.int64)
-                for u, v in zip(p[part].view(np.uint64), q[part].view(np.uint64), strict=True):
-                    gone += np.bitwise_count(u[i] ^ v[j])
-                i, j = i[gone <= most], j[gone <= most]
-            first = np.ones(len(i), bool)
-            for k in range(which):
-                u, v = p[2 + k // WORD_BLOCKS].view(np.uint64), q[2 + k // WORD_BLOCKS].view(np.uint64)
-                first &= ((u[i] ^ v[j]) >> np.uint64(k % WORD_BLOCKS * BLOCK_BITS)) & mask != 0
-            found.append(np.stack([np.minimum(p[0][i], q[0][j]), np.maximum(p[0][i], q[0][j])])[:, first])
-        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        return {"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())}
-
-    return map_batches(both.select("which", (F.col("chunk") == F.col("other")).alias("same"), "x", "y"), rows_of, "a long, b long")
-
-
-def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
+    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    dealt = rows.join(sizes, "key").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("lo", F.least("chunk", "other")).withColumn("hi", F.greatest("chunk", "other"))
+    cells = staged(cells.drop("chunks", "other"), "near-cells")
+    there = cells.select("key", "lo", "hi", *(F.col(c).alias(f"b_{c}") for c in cells.columns if c not in ("key", "lo", "hi")))
+    once = (F.col("chunk") != F.col("b_chunk")) | (F.col("lo") == F.col("hi"))
+    gone = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"b_s{i}"))) for i in range(PARITIES)), F.lit(0))
+    most = F.col("n") + F.col("b_n") - 2 * _shared_least(F.col("n"), F.col("b_n"), similarity)
+    met = cells.join(there, ["key", "lo", "hi"]).where((F.col("node") < F.col("b_node")) & (F.col("root") != F.col("b_root")) & once & _possible("", "b_", similarity) & (gone <= most))
+    return met.select(F.col("node").alias("a"), F.col("b_node").alias("b"), "root", "b_root", (gone - most).alias("score")).groupBy("a", "b").agg(F.first("root").alias("root"), F.first("b_root").alias("b_root"), F.min("score").alias("score"))
+
+
+def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, root) of every document that is linked to another; root is the smallest doc_id that links lead to.
 
     Texts without words are alike. Rows with a null id take no part; rows that share an id count as one document.
     """
     named = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("node"), "text")
-    ws = [f"w{i}" for i in range(WORDS)]
-    fps = staged(_fingerprints(named), "wide-fingerprints")
-    # equal fingerprints in a row's place: one of them stands in the blocks, the others are compared with it alone
-    first = F.min("node").alias("lead")
-    leads = staged(fps.groupBy(*ws).agg(first), "wide-leads")
-    same = fps.join(leads, ws).where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
-    blocks = _blocks(leads.select(F.col("lead").alias("node"), *ws))
-    # most of those that share a block do so by chance; a semi-join leaves those with a close one in it
-    peers = blocks.select("which", "bits", F.col("node").alias("b_node"), *(F.col(c).alias(f"b_{c}") for c in ws))
-    in_block = (blocks["which"] == peers["which"]) & (blocks["bits"] == peers["bits"])
-    close = staged(blocks.join(peers, in_block & (F.col("node") != F.col("b_node")) & (_distance("w", "b_w") <= radius), "left_semi"), "near-close")
-    hubs = close.groupBy("which", "bits").agg(F.min(F.struct("node", *ws)).alias("hub"))
-    members = staged(close.join(hubs, ["which", "bits"]).select("which", "bits", "node", *ws, *(F.col(f"hub.{c}").alias(f"h_{c}") for c in ("node", *ws))), "near-blocks")
-    spokes = members.where((F.col("node") != F.col("h_node")) & (_distance("w", "h_w") <= radius)).select(F.col("h_node").alias("a"), F.col("node").alias("b"))
-    edges = _verified(named, staged(spokes.unionByName(same).distinct(), "near-spokes"), words, similarity)
+    of_key = Window.partitionBy("key")
+    hub = F.min(F.struct("node", "n", "at")).over(of_key)
+    shared = staged(_keys(named, words, similarity).select("*", hub.alias("hub"), F.count("*").over(of_key).alias("members")).where("members > 1").drop("members"), "near-shared")
+    met = shared.select("node", "n", "at", F.col("hub.node").alias("h_node"), F.col("hub.n").alias("h_n"), F.col("hub.at").alias("h_at"))
+    spokes = met.where((F.col("node") != F.col("h_node")) & _possible("", "h_", similarity)).select(F.col("h_node").alias("a"), F.col("node").alias("b"))
+    spokes = staged(spokes.distinct(), "near-spokes")
+    edges = _verified(named, spokes, words, similarity)
 
     found = staged(components(edges), "near-components")
-    placed = members.join(found, "node", "left").select("which", "bits", "node", *ws, F.coalesce("root", "node").alias("root"))
-    split = placed.groupBy("which", "bits").agg((F.min("root") != F.max("root")).alias("split")).where("split").drop("split")
-    apart = (F.col("a") != F.col("b")) & (F.col("root") != F.col("b_root")) & (_distance("w", "b_w") <= radius)
-    open_ = placed.join(split, ["which", "bits"]).withColumnRenamed("node", "a")
-    there = open_.select("which", "bits", F.col("a").alias("b"), F.col("root").alias("b_root"), *(F.col(c).alias(f"b_{c}") for c in ws))
-    open_ = staged(open_.join(there, (open_["which"] == there["which"]) & (open_["bits"] == there["bits"]) & apart, "left_semi"), "near-open")
-    sketched = staged(_shingle_fingerprints(_of_nodes(named, staged(open_.select(F.col("a").alias("node")).distinct(), "open-nodes")), words), "shingle-fingerprints")
-    left = open_.join(sketched.withColumnRenamed("node", "a"), "a")
-    rest = _chunk_pairs(left, [*ws, *(f"s{i}" for i in range(SHINGLE_WORDS))], radius)
-    more = _verified(named, staged(rest.join(spokes, ["a", "b"], "left_anti"), "near-rest"), words, similarity)
-    return components(edges.unionByName(more)).select(F.col("node").alias("doc_id"), "root")
+    placed = shared.drop("hub").join(found, "node", "left").select("key", "node", "n", "at", F.coalesce("root", "node").alias("root"))
+    split = placed.groupBy("key").agg((F.min("root") != F.max("root")).alias("split")).where("split").drop("split")
+    open_ = staged(placed.join(split, "key"), "near-open")
+    odd_even = staged(_parities(_of_nodes(named, staged(open_.select("node").distinct(), "open-nodes")), words), "near-parities")
+    rest = staged(_apart_pairs(open_.join(odd_even, "node"), similarity).join(spokes, ["a", "b"], "left_anti"), "near-rest")
+    # of a document's pairs with one component the likeliest goes first; it often saves the others
+    first = staged(rest.groupBy("root", "b").agg(F.min_by("a", F.struct("score", "a")).alias("a")).select("a", "b"), "near-first")
+    edges = edges.unionByName(_verified(named, first, words, similarity))
+    found = staged(components(edges), "near-components")
+    roots = [found.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")) for side in ("a", "b")]
+    still = rest.select("a", "b").join(first, ["a", "b"], "left_anti").join(roots[0], "a", "left").join(roots[1], "b", "left")
+    still = staged(still.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"), "near-still")
+    return components(edges.unionByName(_verified(named, still, words, similarity))).select(F.col("node").alias("doc_id"), "root")
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -289,6 +289,30 @@ def test_near_duplicates_of_odd_rows(odd):
     assert neardups.drop_near_copies(odd.limit(0)).count() == 0
 
 
+def made_words(rng, n):
+    return ["".join(rng.choices("abcdefghij", k=8)) for _ in range(n)]
+
+
+def assert_all_near_copies_go(spark, texts):
+    """What is left is one document of each group that all pairs of texts make, and there are groups."""
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    want = brute_components(range(len(texts)), near)
+    left = neardups.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert len(set(want.values())) < len(texts)
+    assert sorted(r.doc_id for r in left.collect()) == sorted(set(want.values()))
+
+
+def test_near_copies_with_a_fifth_cut_off(spark):
+    """Of their words' fingerprints 62 to 74 bits of 512 differ, so that equal blocks of them come by chance."""
+    rng, texts = random.Random(12), []
+    for n in (9, 29, 104, 299):
+        for _ in range(20):
+            words = made_words(rng, n)
+            texts += [" ".join(words), " ".join(words[: n - (n - 4) // 5])]
+    assert_all_near_copies_go(spark, texts)
+
+
 def test_packing(odd, docs):
     for table in (odd, docs):
         sizes = (256, 1024, 4096)
