@@ -313,6 +313,16 @@ def test_near_copies_with_a_fifth_cut_off(spark):
     assert_all_near_copies_go(spark, texts)
 
 
+def test_near_copies_of_equal_words_in_another_order(spark):
+    """The smallest id of one set of words is no near copy of the others, which are of each other."""
+    rng, texts = random.Random(13), []
+    for _ in range(5):
+        words = made_words(rng, 100)
+        other = rng.sample(words, 100)
+        texts += [" ".join(w) for w in (words, other, [*other[:50], other[51], other[50], *other[52:]], [*other[:-1], "new"])]
+    assert_all_near_copies_go(spark, texts)
+
+
 def test_packing(odd, docs):
     for table in (odd, docs):
         sizes = (256, 1024, 4096)
