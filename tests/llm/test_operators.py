@@ -323,6 +323,15 @@ def test_near_copies_of_equal_words_in_another_order(spark):
     assert_all_near_copies_go(spark, texts)
 
 
+def test_near_copies_of_repetitive_texts(spark):
+    """A fifth of new words more than doubles the distinct words."""
+    rng, texts = random.Random(14), []
+    for _ in range(5):
+        words = rng.choices(made_words(rng, 200), k=1000)
+        texts += [" ".join(words), " ".join(words + made_words(rng, 240))]
+    assert_all_near_copies_go(spark, texts)
+
+
 def test_packing(odd, docs):
     for table in (odd, docs):
         sizes = (256, 1024, 4096)
