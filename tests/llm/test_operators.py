@@ -332,6 +332,15 @@ def test_near_copies_of_repetitive_texts(spark):
     assert_all_near_copies_go(spark, texts)
 
 
+def test_near_copies_of_short_texts_in_families(spark):
+    """Texts with most words in common and smaller ids stand between two near copies of nine and eight words."""
+    rng, texts = random.Random(15), []
+    for _ in range(20):
+        words = made_words(rng, 9)
+        texts += [" ".join([*words[:4], *made_words(rng, 1), *words[5:]]) for _ in range(6)] + [" ".join(words), " ".join(words[:8])]
+    assert_all_near_copies_go(spark, texts)
+
+
 def test_packing(odd, docs):
     for table in (odd, docs):
         sizes = (256, 1024, 4096)
