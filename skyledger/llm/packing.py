@@ -26,6 +26,8 @@ def opened_size(length: int, waiting: list[int], sizes: tuple[int, ...], overhea
 
     waiting: lengths still to be packed, ascending. overhead: what a bin costs besides its room.
     """
+    if length == 0:  # the longest piece comes first, so nothing of any length waits
+        return min(sizes)
     best, best_cost = sizes[-1], None
     for size in sizes:
         if size < length:

@@ -358,6 +358,11 @@ def test_packing(odd, docs):
     assert packing.pack(odd.limit(0)).count() == 0
 
 
+def test_packing_of_empty_texts_alone():
+    bins, places, size = packing.packed(np.zeros(3, np.int64))
+    assert bins.tolist() == places.tolist() == [0, 0, 0] and size.tolist() == [1024] * 3
+
+
 def test_packing_against_a_plain_best_fit():
     rng = random.Random(8)
     lengths = np.array([rng.randint(0, 1000) for _ in range(400)])
