@@ -3,23 +3,25 @@
 Two variable-order Markov models, one of accepted and one of rejected addresses, give every character a probability after its
 longest known context, smoothed with shorter ones (Witten-Bell). The verdict follows the mean log-likelihood difference per
 character against a threshold that was calibrated on addresses kept out of the models.
+
+The models are tables: all rule-decided addresses are counted in Spark but those held out by their hash. Probabilities are worked out from
+shorter to longer contexts, once for each run of six characters that an address to be scored has.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
 from collections import Counter, defaultdict
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyledger.llm.shared import kept_in_worker
+from skyledger.llm.shared import staged
 
-#: Longest context; addresses read per verdict at most to fit the models (those whose hashes are lowest).
+#: Longest context.
 ORDER = 5
-SAMPLE = 4000
+#: Tables of runs of characters up to this number (about 40 bytes each) are broadcast; beyond, they are joined by shuffle, so many times salted.
+BROADCAST_RUNS, SALTS = 300_000, 16
 #: Characters of which a worker keeps the log ratios after their contexts; emptied when full.
 CACHED = 2_000_000
 
@@ -106,32 +108,104 @@ def fitted(accepted: list[str], rejected: list[str]) -> Ratio | None:
     return ratio
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", sample: int = SAMPLE) -> DataFrame:
+def held_out_address(text: Column) -> Column:
+    """True for the quarter of the addresses that the threshold is calibrated on."""
+    return F.pmod(F.xxhash64(text), F.lit(4)) == 3
+
+
+def _runs(texts: DataFrame) -> DataFrame:
+    """The columns of texts and run: ORDER characters and the next one, for every character of the column text and its end."""
+    marked = F.concat(F.lit("\x02" * ORDER), F.col("text"), F.lit("\x03"))
+    starts = F.sequence(F.lit(1), F.length("text") + 1)
+    return texts.withColumn("run", F.explode(F.transform(starts, lambda i: F.substring(marked, i, F.lit(ORDER + 1)))))
+
+
+def _log_ratios(learnt: DataFrame, runs: DataFrame) -> DataFrame:
+    """(run, value): the log ratio of the next character's probabilities. learnt: (ruled, text), distinct; runs: (run), distinct."""
+    counted = staged(_runs(learnt).groupBy("run").agg(*(F.count(F.when(F.col("ruled") == v, 1)).alias(f"n_{v}") for v in ("allow", "block"))), "url-runs")
+    known = None
+    for n in range(ORDER + 1):
+        cut = F.substring("run", ORDER + 1 - n, n + 1)  # n characters of context and the next one
+        grams = staged(counted.groupBy(cut.alias("gram")).agg(*(F.sum(f"n_{v}").alias(f"n_{v}") for v in ("allow", "block"))), "url-grams")
+        context = F.substring("gram", 1, n)
+        stats = grams.groupBy(context.alias("context")).agg(
+            *(F.sum(f"n_{v}").alias(f"total_{v}") for v in ("allow", "block")), *(F.count(F.when(F.col(f"n_{v}") > 0, 1)).alias(f"kinds_{v}") for v in ("allow", "block"))
+        )
+        asked = runs.select(cut.alias("gram")).distinct().withColumn("context", context)
+        level = asked.join(grams, "gram", "left").join(stats, "context", "left")
+        if known is None:
+            level = level.withColumn("p_allow", F.lit(1 / 1024)).withColumn("p_block", F.lit(1 / 1024))  # any character at all
+        else:
+            level = level.withColumn("shorter", F.substring("gram", 2, n)).join(known.withColumnRenamed("gram", "shorter"), "shorter")
+        # a context without kinds leaves the shorter one's probability as it is
+        p = lambda v: F.when(F.col(f"kinds_{v}") > 0, (F.coalesce(f"n_{v}", F.lit(0)) + F.col(f"kinds_{v}") * F.col(f"p_{v}")) / (F.col(f"total_{v}") + F.col(f"kinds_{v}"))).otherwise(F.col(f"p_{v}"))
+        known = staged(level.select("gram", p("allow").alias("p_allow"), p("block").alias("p_block")), "url-level")
+    return known.select(F.col("gram").alias("run"), F.log(F.col("p_allow") / F.col("p_block")).alias("value"))
+
+
+def _scores(texts: DataFrame, runs: DataFrame, values: DataFrame) -> DataFrame:
+    """(text, score): mean log ratio per character. texts: (text), distinct; runs: theirs."""
+    each = _runs(texts)
+    if runs.count() <= BROADCAST_RUNS:
+        joined = each.join(F.broadcast(values), "run")
+    else:
+        salted = values.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = each.withColumn("salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int")).join(salted, ["run", "salt"])
+    # sums of doubles depend on their order in the last digits
+    return joined.groupBy("text").agg(F.round(F.sum("value"), 9).alias("sum")).select("text", (F.col("sum") / (F.length("text") + 1)).alias("score"))
+
+
+def best_threshold(scored: DataFrame) -> float:
+    """The middle of the cuts that best tell the verdicts apart, of all cuts between neighbouring scores. scored: (ruled, score)."""
+    a, r = (F.count(F.when(F.col("ruled") == v, 1)).alias(n) for v, n in (("allow", "a"), ("block", "r")))
+    values = scored.groupBy("score").agg(a, r)
+    ranged = staged(values.repartitionByRange("score").withColumn("part", F.spark_partition_id()), "url-scores")
+    parts = ranged.groupBy("part").agg(F.sum("a").alias("part_a"), F.sum("r").alias("part_r"), F.min("score").alias("least"))
+    by_part = Window.orderBy("part")  # one row per task of the range exchange
+    upto = by_part.rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.select("part", *(F.coalesce(F.sum(f"part_{c}").over(upto), F.lit(0)).alias(f"before_{c}") for c in "ar"), F.lead("least").over(by_part).alias("after"))
+    total = parts.agg(F.sum("part_a").alias("a"), F.sum("part_r").alias("r")).first()
+    if not total["a"] or not total["r"]:
+        return 0.0
+    own = Window.partitionBy("part").orderBy("score")
+    sums = own.rowsBetween(Window.unboundedPreceding, 0)
+    cuts = ranged.select("part", "score", *(F.sum(c).over(sums).alias(f"sum_{c}") for c in "ar"), F.lead("score").over(own).alias("next")).join(F.broadcast(before), "part")
+    right = (total["a"] - F.col("sum_a") - F.col("before_a")) / total["a"] + (F.col("sum_r") + F.col("before_r")) / total["r"]
+    cuts = staged(cuts.select(right.alias("right"), ((F.col("score") + F.coalesce("next", "after")) / 2).alias("cut")).where("cut IS NOT NULL"), "url-cuts")
+    most = cuts.agg(F.max("right")).first()[0]
+    if most is None:
+        return 0.0
+    low, high = cuts.where(F.col("right") >= most - 1e-12).agg(F.min("cut"), F.max("cut")).first()
+    return (low + high) / 2
+
+
+def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule (null if none fits), verdict ('allow' or 'block') and lm_score (null where a rule decided).
 
-    The models learn from addresses that rules decide. Addresses without host and path score like any text, by the empty one;
-    without both verdicts among the rules' addresses, all others are allowed. Repeated rows are each judged.
+    The models learn from all addresses that rules decide, but those held out. Addresses without host and path score like any text, by the
+    empty one; without both verdicts among the rules' addresses, all others are allowed. Repeated rows are each judged.
     """
     host, path = address_parts(F.col(url_col))
     judged = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     judged = judged.withColumn("found", matched_rule(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", "found.rule", F.col("found.verdict").alias("ruled"))
-    known = judged.where("ruled IS NOT NULL").select("ruled", F.concat("host", "path").alias("text"))
-
-    def lowest(verdict: str) -> list[str]:
-        rows = known.where(F.col("ruled") == verdict).distinct().orderBy(F.xxhash64("text"), "text").limit(sample).collect()
-        return [r.text for r in rows]
-
-    ratio = fitted(lowest("allow"), lowest("block"))
-    if ratio is None:
+    judged = judged.withColumn("text", F.concat("host", "path"))
+    addresses = staged(judged.groupBy("text", "ruled").agg(F.lit(1).alias("one")).drop("one"), "url-addresses")
+    learnt = addresses.where(F.col("ruled").isNotNull() & ~held_out_address(F.col("text")))
+    whole = learnt.select("ruled").distinct().count() < 2
+    if whole:  # few addresses, all of a verdict held out: learn from them, too, and calibrate on none
+        learnt = addresses.where("ruled IS NOT NULL")
+    if whole and learnt.select("ruled").distinct().count() < 2:
         return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("lm_score"))
-    sent = pages.sparkSession.sparkContext.broadcast((ratio.accepted, ratio.rejected, ratio.threshold))  # of at most 2 * sample addresses
-    key = f"urls:{uuid.uuid4().hex}"
-
-    @F.pandas_udf("double")
-    def scored(text: pd.Series) -> pd.Series:
-        own = kept_in_worker(key, lambda: Ratio(*sent.value))
-        return pd.Series([None if t is None else own.score(t) for t in text], dtype="float64")
-
-    with_score = judged.withColumn("lm_score", scored(F.when(F.col("ruled").isNull(), F.concat("host", "path"))))
-    verdict = F.coalesce("ruled", F.when(F.col("lm_score") >= ratio.threshold, "allow").otherwise("block"))
-    return with_score.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "lm_score")
+    asked = addresses.where(F.col("ruled").isNull() | held_out_address(F.col("text")))
+    texts = asked.select("text").distinct()
+    runs = staged(_runs(texts).select("run").distinct(), "url-asked")
+    scores = staged(_scores(texts, runs, _log_ratios(learnt, runs)), "url-scored")
+    threshold = 0.0 if whole else best_threshold(asked.where("ruled IS NOT NULL").join(scores, "text").select("ruled", "score"))
+    # rows that a rule decided need no partner
+    ruled, free = judged.where("ruled IS NOT NULL"), judged.where("ruled IS NULL")
+    wanted = staged(addresses.where("ruled IS NULL").join(scores, "text").select("text", "score"), "url-free")
+    if wanted.count() <= BROADCAST_RUNS:
+        wanted = F.broadcast(wanted)
+    scored = free.join(wanted, "text").withColumn("verdict", F.when(F.col("score") >= threshold, "allow").otherwise("block"))
+    columns = ["page_id", "host", "path", "rule", "verdict"]
+    return scored.select(*columns, F.col("score").alias("lm_score")).unionByName(ruled.withColumn("verdict", F.col("ruled")).select(*columns, F.lit(None).cast("double").alias("lm_score")))

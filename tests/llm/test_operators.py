@@ -459,6 +459,24 @@ def test_url_model():
     assert urlfilter.fitted(good, []) is None
 
 
+def test_url_model_learns_from_all_addresses(spark):
+    """Scores are those of models of every address learnt from, of over 4000 per verdict, and the threshold is the best of all cuts."""
+    rng = random.Random(16)
+    pages = [f"http://{''.join(rng.choices('abcdefgh', k=8))}.{end}" for end in ("com/p", "net/es/q", "org/x") for _ in range(5500)]
+    table = spark.createDataFrame(list(enumerate(pages)), "page_id long, url string")
+    texts = spark.createDataFrame(sorted({(p[7:],) for p in pages}), "text string")
+    held = {r.text for r in texts.where(urlfilter.held_out_address(F.col("text"))).collect()}
+    kinds = [sorted({p[7:] for p in pages if end in p}) for end in (".com/", ".net/es/")]
+    assert min(map(len, kinds)) > 5000
+    ratio = urlfilter.Ratio(*(urlfilter.MarkovModel([t for t in k if t not in held]) for k in kinds))
+    got = urlfilter.judge_urls(table, RULES).where("rule IS NULL").collect()
+    assert len(got) == 5500 and all(abs(r.lm_score - ratio.score(r.host + r.path)) < 1e-8 for r in got)
+    tried = [[ratio.score(t) for t in k if t in held] for k in kinds]
+    assert max(tried[1]) < min(tried[0])
+    middle = (max(tried[1]) + min(tried[0])) / 2
+    assert all(r.verdict == ("allow" if r.lm_score >= middle else "block") for r in got)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(0, 0.2, (400, 16)).astype(np.float32)
