@@ -14,16 +14,21 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path under ``spark.checkpoint.dir`` (a temporary folder only where that is unset), removed when the JVM ends."""
+    """A fresh path, with its scheme, under ``spark.checkpoint.dir``; removed when the JVM ends.
+
+    Only in a local session (one JVM) that leaves the setting unset a temporary folder takes its place; on a cluster that is an error.
+    """
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="skyledger-"))
         base = context.getCheckpointDir()
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    hadoop_path = context._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return path
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    file_system = path.getFileSystem(context._jsc.hadoopConfiguration())
+    file_system.deleteOnExit(path)
+    return file_system.makeQualified(path).toString()  # for readers that do not know the default scheme
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
