@@ -1,13 +1,16 @@
 """Near-duplicate documents: word-shingle Jaccard similarity at or above a bound, every such pair.
 
-Candidates come from prefixes. All shingles have one order, rare ones first; of a text's n distinct shingles the first n - ceil(bound * n) + 1
-are its keys. Two texts at the bound or above share a key: the first shingle that they have in common is in both prefixes. Where that
-one stands, and how many shingles the texts have, bounds what they can share; pairs that cannot reach the similarity are dropped by
-these bounds alone. So nothing is left to chance: the order (taken from a sample) decides the cost, not the result.
-
-A key is not turned into all its pairs. First every member is compared with the key's smallest; verified links make components. Then
-only members of different components still meet, and only if the parities of their shingles allow the similarity. A pair within one
-component needs no further look.
+Two kinds of blocks propose pairs, and shingle sets decide about each.
+
+* SimHash fingerprints of the shingles, joined on pigeonhole blocks and verified by their Hamming distance (`simhash.links`). They find most copies
+  cheaply, but fingerprints of texts at a similarity of 0.8 may lie any number of bits apart, so alone they would lose links.
+* Prefixes of the shingle sets, which lose none. All shingles have one order, rare ones first; of a text's n distinct shingles the first
+  n - ceil(bound * n) + 1 are its keys. Two texts at the bound or above share a key: the first shingle that they have in common is in both
+  prefixes. Where that one stands, how many shingles the texts have, and the parities of their shingles bound what they can share;
+  pairs that cannot reach the similarity are dropped by these bounds alone. The order (taken from a sample) decides the cost, not the result.
+
+A key is not turned into all its pairs. First every member is compared with the key's smallest; verified links make components. Then only
+members outside the key's largest component meet the key's other members, chunk by chunk. A pair within one component needs no further look.
 """
 
 from __future__ import annotations
@@ -16,61 +19,27 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.llm.components import components
-from skyledger.llm.shared import kept_in_worker, map_batches, staged
-from skyledger.llm.simhash import shingle_hashes
+from skyledger.llm.shared import hot_keys, map_batches, salted_join, staged
+from skyledger.llm.simhash import fingerprint, links, shingle_hashes
 
-#: Bits of 512 in which fingerprints of words differ at most where a fifth of a text without repeated words is cut off. They no longer decide
-#: about candidates.
-RADIUS, WORDS = 100, 8
 #: One in so many documents is read for the order of shingles; so many frequent ones at most (12 bytes each) are put last.
 SAMPLED, FREQUENT = 16, 100_000
-#: Longs of a text's parities.
-PARITIES = 8
+#: Columns of a text's parities (64 bits each), and bits in which fingerprints of a proposed pair may differ.
+ODD, RADIUS = [f"s{i}" for i in range(8)], 2
 #: Node lists up to this number (8 bytes each) are broadcast; beyond, they are joined by shuffle.
 BROADCAST_NODES = 1_000_000
-CACHED_WORDS = 300_000
+#: Members of a key that a row meets in one task.
 CHUNK = 256
 
 
-class _Digests(dict):
-    def __missing__(self, word: bytes) -> bytes:
-        found = self[word] = b"".join(xxhash.xxh128_digest(word, seed) for seed in range(1, WORDS // 2 + 1))
-        return found
-
-
-def wide_fingerprint(text: str, digests: dict[bytes, bytes]) -> list[int]:
-    """Eight signed 64-bit numbers: majority bits over the distinct lower-cased (A-Z) words; zeros for no words."""
-    words = set(text.encode("utf-8", "replace").lower().split())
-    if not words:
-        return [0] * WORDS
-    if len(digests) > CACHED_WORDS:
-        digests.clear()
-    counts = np.zeros(64 * WORDS, np.int64)
-    listed = list(words)
-    for start in range(0, len(listed), 1 << 13):
-        part = listed[start : start + (1 << 13)]
-        bits = np.unpackbits(np.frombuffer(b"".join(map(digests.__getitem__, part)), np.uint8).reshape(len(part), -1), axis=1)
-        counts += bits.sum(0, dtype=np.uint16 if len(part) < 1 << 16 else np.int64)
-    return np.packbits(counts * 2 > len(words)).view(np.int64).tolist()
-
-
-def parities(hashes: np.ndarray) -> list[int]:
+def parities(hashes: np.ndarray) -> np.ndarray:
     """Signed 64-bit numbers: bit i tells whether an odd number of the distinct hashes leaves i; two sets differ in at least as many members as bits."""
-    counts = np.bincount((hashes & np.uint64(64 * PARITIES - 1)).astype(np.int64), minlength=64 * PARITIES)
-    return np.packbits(counts & 1 == 1).view(np.int64).tolist()
-
-
-def _parities(docs: DataFrame, words: int) -> DataFrame:
-    def rows(batch: pa.RecordBatch) -> dict:
-        found = [parities(np.unique(shingle_hashes(t.as_py() or "", words))) for t in batch.column(1)]
-        return {"node": batch.column(0)} | {f"s{i}": pa.array([f[i] for f in found], pa.int64()) for i in range(PARITIES)}
-
-    return map_batches(docs, rows, "node long, " + ", ".join(f"s{i} long" for i in range(PARITIES)))
+    counts = np.bincount((hashes & np.uint64(64 * len(ODD) - 1)).astype(np.int64), minlength=64 * len(ODD))
+    return np.packbits(counts & 1 == 1).view(np.int64)
 
 
 def _frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,22 +71,25 @@ def prefix(hashes: np.ndarray, similarity: float, frequent: np.ndarray, often: n
     return hashes[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]
 
 
-def _keys(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(key, node, n, at): the keys of every document, its number of distinct shingles and the key's place among them in the order."""
+def sketches(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(node, n, fp, s0 to s7, keys) of every document: its number of distinct shingles, SimHash fingerprint, parities and keys in their order."""
     sent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, words))
 
     def rows(batch: pa.RecordBatch) -> dict:
-        sets = [np.unique(shingle_hashes(t.as_py() or "", words)) for t in batch.column(1)]
-        # texts without words share a key of their own, which differs from others' by the number of shingles
-        keys = [prefix(x, similarity, *sent.value) if len(x) else np.zeros(1, np.uint64) for x in sets]
-        sizes = [len(k) for k in keys]
-        nodes, counts = np.repeat(batch.column(0).to_numpy(), sizes), np.repeat([len(x) for x in sets], sizes)
-        return {
-            "key": pa.array(np.concatenate(keys).view(np.int64) if keys else [], pa.int64()), "node": pa.array(nodes, pa.int64()),
-            "n": pa.array(counts, pa.int32()), "at": pa.array(np.concatenate([np.arange(k) for k in sizes]) if keys else [], pa.int32()),
-        }
-
-    return map_batches(docs, rows, "key long, node long, n int, at int")
+        n, fp, odd, keys = [], [], [], []
+        for text in batch.column(1):
+            hashes = shingle_hashes(text.as_py() or "", words)
+            distinct = np.unique(hashes)
+            n.append(len(distinct))
+            fp.append(fingerprint(hashes))
+            odd.append(parities(distinct))
+            # texts without words share a key of their own, which differs from others' by the number of shingles
+            keys.append(prefix(distinct, similarity, *sent.value).view(np.int64) if len(distinct) else np.zeros(1, np.int64))
+        sides = np.array(odd, np.int64).reshape(-1, len(ODD))
+        out = {"node": batch.column(0), "n": pa.array(n, pa.int32()), "fp": pa.array(fp, pa.int64())} | {c: pa.array(sides[:, i]) for i, c in enumerate(ODD)}
+        return out | {"keys": pa.array(keys, pa.list_(pa.int64()))}
+
+    return map_batches(docs, rows, f"node long, n int, fp long, {', '.join(f'{c} long' for c in ODD)}, keys array<long>")
 
 
 def _of_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -135,14 +107,19 @@ def _shingles(docs: DataFrame, words: int) -> DataFrame:
     return map_batches(docs, rows, "node long, shingles binary")
 
 
+def _with_both(edges: DataFrame, of_node: DataFrame, columns: list[str]) -> DataFrame:
+    """The edges (a, b) with the columns of both nodes, those of a as a_..., of b as b_...; a node of many edges is spread."""
+    for side, other in (("a", "b"), ("b", "a")):
+        named = of_node.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in columns))
+        edges = salted_join(edges, named, side, other, hot_keys(edges, side))
+    return edges
+
+
 def _verified(docs: DataFrame, edges: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The edges (a, b) whose texts' shingle sets have at least this Jaccard similarity."""
+    """The edges (a, b) whose texts' shingle sets have at least this Jaccard similarity. edges: staged."""
     nodes = staged(edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct(), "near-nodes")
     sets = staged(_shingles(_of_nodes(docs, nodes), words), "near-shingles")
-    both = (
-        edges.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-        .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-    )
+    both = _with_both(edges.select("a", "b"), sets, ["shingles"]).select("a", "b", "a_shingles", "b_shingles")
 
     def rows(batch: pa.RecordBatch) -> dict:
         near = []
@@ -167,56 +144,97 @@ def _possible(left: str, right: str, similarity: float) -> Column:
     return (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-9) & (F.least(n - at, m - bt) >= _shared_least(n, m, similarity))
 
 
+def _over(similarity: float, left: str = "a_", right: str = "b_") -> Column:
+    """By how many bits the parities differ more than those of similar texts can; 0 or less is possible."""
+    n, m = F.col(f"{left}n"), F.col(f"{right}n")
+    apart = sum((F.bit_count(F.col(left + c).bitwiseXOR(F.col(right + c))) for c in ODD), F.lit(0))
+    return apart - (n + m - 2 * _shared_least(n, m, similarity))
+
+
+def _fingerprint_pairs(sketched: DataFrame) -> DataFrame:
+    """Pairs (a, b): each node with the smallest of its fingerprint, and those of fingerprints within RADIUS bits."""
+    by_fp = staged(sketched.groupBy("fp").agg(F.min("node").alias("lead"), F.count("*").alias("n")), "near-fps")
+    close = links(by_fp.select("fp"), RADIUS)
+    leads = [by_fp.select(F.col("fp").alias(side), F.col("lead").alias(f"{side}_lead")) for side in ("a", "b")]
+    apart = close.join(leads[0], "a").join(leads[1], "b").select(F.least("a_lead", "b_lead").alias("a"), F.greatest("a_lead", "b_lead").alias("b"))
+    many = by_fp.where("n > 1").select("fp", "lead", "n")
+    hot = many.where(F.col("n") > 2048).select("fp")
+    same = salted_join(sketched.select("fp", "node"), many.select("fp", "lead"), "fp", "node", hot).where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    return apart.unionByName(same)
+
+
 def _apart_pairs(rows: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of rows (key, node, root, n, at, parities) of one key, but of different roots, that can be similar enough; with their roots and score.
 
-    A key is dealt into chunks of about CHUNK rows, and chunks meet chunks, so that no task holds a whole large key. Scores are lower for pairs
-    more likely to be similar.
-    """
-    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    dealt = rows.join(sizes, "key").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("lo", F.least("chunk", "other")).withColumn("hi", F.greatest("chunk", "other"))
-    cells = staged(cells.drop("chunks", "other"), "near-cells")
-    there = cells.select("key", "lo", "hi", *(F.col(c).alias(f"b_{c}") for c in cells.columns if c not in ("key", "lo", "hi")))
-    once = (F.col("chunk") != F.col("b_chunk")) | (F.col("lo") == F.col("hi"))
-    gone = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"b_s{i}"))) for i in range(PARITIES)), F.lit(0))
-    most = F.col("n") + F.col("b_n") - 2 * _shared_least(F.col("n"), F.col("b_n"), similarity)
-    met = cells.join(there, ["key", "lo", "hi"]).where((F.col("node") < F.col("b_node")) & (F.col("root") != F.col("b_root")) & once & _possible("", "b_", similarity) & (gone <= most))
-    return met.select(F.col("node").alias("a"), F.col("b_node").alias("b"), "root", "b_root", (gone - most).alias("score")).groupBy("a", "b").agg(F.first("root").alias("root"), F.first("b_root").alias("b_root"), F.min("score").alias("score"))
-
-
-def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, root) of every document that is linked to another; root is the smallest doc_id that links lead to.
-
-    Texts without words are alike. Rows with a null id take no part; rows that share an id count as one document.
+    Rows outside the key's largest root meet all rows of the key, which are dealt into chunks of about CHUNK. Scores are lower for pairs more likely to
+    be similar.
     """
-    named = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("node"), "text")
-    of_key = Window.partitionBy("key")
-    hub = F.min(F.struct("node", "n", "at")).over(of_key)
-    shared = staged(_keys(named, words, similarity).select("*", hub.alias("hub"), F.count("*").over(of_key).alias("members")).where("members > 1").drop("members"), "near-shared")
+    by_root = staged(rows.groupBy("key", "root").agg(F.count("*").alias("n_root")), "near-roots")
+    main = by_root.groupBy("key").agg(F.max_by("root", F.struct("n_root", "root")).alias("main"), F.ceil(F.sum("n_root") / CHUNK).cast("int").alias("chunks"), F.sum("n_root").alias("members"))
+    main = staged(main, "near-main")
+    marked = staged(salted_join(rows, main.drop("members"), "key", "node", hot_keys(main.select("key", "members"), "key", "members")), "near-marked")
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    there = marked.select("key", chunk.alias("chunk"), (F.col("root") == F.col("main")).alias("b_main"), *(F.col(c).alias(f"b_{c}") for c in ("node", "root", "n", "at", *ODD)))
+    here = marked.where("root <> main").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("main", "chunks")
+    here = here.select("key", "chunk", *(F.col(c).alias(f"a_{c}") for c in ("node", "root", "n", "at", *ODD)))
+    once = F.col("b_main") | (F.col("a_node") < F.col("b_node"))
+    met = here.join(there, ["key", "chunk"]).where((F.col("a_root") != F.col("b_root")) & once & _possible("a_", "b_", similarity))
+    scored = met.withColumn("score", _over(similarity)).where("score <= 0")
+    a, b = (F.struct(F.col(f"{s}_node").alias("node"), F.col(f"{s}_root").alias("root")) for s in ("a", "b"))
+    pairs = scored.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y"), "score")
+    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.root").alias("root"), F.col("y.root").alias("b_root"), "score")
+    return pairs.groupBy("a", "b").agg(F.first("root").alias("root"), F.first("b_root").alias("b_root"), F.min("score").alias("score"))
+
+
+def near_components(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(node, root) of every document (node, text; node unique) that is linked to another; root is the smallest node that links lead to."""
+    sketched = staged(sketches(docs, words, similarity), "near-sketches")
+    light = sketched.select("node", "n", *ODD)
+
+    def told(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs whose sizes and parities allow the similarity, each once."""
+        both = _with_both(staged(pairs.distinct(), f"{name}-all"), light, ["n", *ODD])
+        sizes = F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * similarity - 1e-9
+        return staged(both.where(sizes).withColumn("score", _over(similarity)).where("score <= 0").select("a", "b"), name)
+
+    keyed = sketched.select("node", "n", F.posexplode("keys").alias("at", "key"))
+    sizes = keyed.groupBy("key").agg(F.min(F.struct("node", "n", "at")).alias("hub"), F.count("*").alias("members")).where("members > 1")
+    sizes = staged(sizes, "near-keys")
+    crowded = hot_keys(sizes.select("key", "members"), "key", "members")
+    shared = staged(salted_join(keyed, sizes.drop("members"), "key", "node", crowded), "near-shared")
     met = shared.select("node", "n", "at", F.col("hub.node").alias("h_node"), F.col("hub.n").alias("h_n"), F.col("hub.at").alias("h_at"))
     spokes = met.where((F.col("node") != F.col("h_node")) & _possible("", "h_", similarity)).select(F.col("h_node").alias("a"), F.col("node").alias("b"))
-    spokes = staged(spokes.distinct(), "near-spokes")
-    edges = _verified(named, spokes, words, similarity)
+    tried = told(_fingerprint_pairs(sketched).unionByName(spokes), "near-spokes")
+    edges = _verified(docs, tried, words, similarity)
 
     found = staged(components(edges), "near-components")
     placed = shared.drop("hub").join(found, "node", "left").select("key", "node", "n", "at", F.coalesce("root", "node").alias("root"))
-    split = placed.groupBy("key").agg((F.min("root") != F.max("root")).alias("split")).where("split").drop("split")
-    open_ = staged(placed.join(split, "key"), "near-open")
-    odd_even = staged(_parities(_of_nodes(named, staged(open_.select("node").distinct(), "open-nodes")), words), "near-parities")
-    rest = staged(_apart_pairs(open_.join(odd_even, "node"), similarity).join(spokes, ["a", "b"], "left_anti"), "near-rest")
+    split = staged(placed.groupBy("key").agg((F.min("root") != F.max("root")).alias("split")).where("split").drop("split"), "near-split")
+    open_ = salted_join(placed, split, "key", "node", crowded)
+    open_ = staged(open_.join(sketched.select("node", *ODD), "node"), "near-open")
+    rest = staged(_apart_pairs(open_, similarity).join(tried, ["a", "b"], "left_anti"), "near-rest")
     # of a document's pairs with one component the likeliest goes first; it often saves the others
     first = staged(rest.groupBy("root", "b").agg(F.min_by("a", F.struct("score", "a")).alias("a")).select("a", "b"), "near-first")
-    edges = edges.unionByName(_verified(named, first, words, similarity))
+    edges = edges.unionByName(_verified(docs, first, words, similarity))
     found = staged(components(edges), "near-components")
     roots = [found.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")) for side in ("a", "b")]
     still = rest.select("a", "b").join(first, ["a", "b"], "left_anti").join(roots[0], "a", "left").join(roots[1], "b", "left")
     still = staged(still.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"), "near-still")
-    return components(edges.unionByName(_verified(named, still, words, similarity))).select(F.col("node").alias("doc_id"), "root")
+    return components(edges.unionByName(_verified(docs, still, words, similarity)))
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The documents with one (the smallest id) of each group of near-duplicates; all columns as they are."""
-    gone = staged(near_groups(docs, words, similarity).where("doc_id <> root").select(F.col("doc_id").alias("gone_id")), "near-gone")
-    same = docs["doc_id"].cast("long") == gone["gone_id"]
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_NODES else gone, same, "left_anti")
+    """The documents with one row of each group of near-duplicates, that of the smallest id; all columns as they are.
+
+    Each row is a document of its own: rows that share an id are told apart and repeated rows are copies. Rows with a null id take part and
+    stay only where their whole group has none. Null, empty and blank texts are alike. Texts with fewer than `words` words are one
+    shingle. Whole texts are compared, however long. An empty table stays empty; extra columns of any name are carried.
+    """
+    node = next(name for name in (f"near_node{i or ''}" for i in range(len(docs.columns) + 1)) if name not in docs.columns)
+    numbered = staged(docs.withColumn(node, F.monotonically_increasing_id()), "near-docs")
+    named = numbered.select(F.col(node).alias("node"), "text")
+    found = staged(near_components(named, words, similarity), "near-groups")
+    ids = found.join(numbered.select(F.col(node).alias("node"), F.col("doc_id").alias("id")), "node")
+    kept = ids.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("k")).select(F.col("k.node").alias("node"))
+    gone = staged(found.select("node").join(kept, "node", "left_anti").select(F.col("node").alias(node)), "near-gone")
+    return numbered.join(F.broadcast(gone) if gone.count() <= BROADCAST_NODES else gone, node, "left_anti").drop(node)

@@ -2,43 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyledger.sources.tables import scratch
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the setting is absent (a local test session) a temporary folder takes its place.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    kept = spark.sparkContext.getCheckpointDir()
-    if kept is None:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="skyledger-"))
-        kept = spark.sparkContext.getCheckpointDir()
-    return kept.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    file_system = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    file_system.deleteOnExit(hadoop_path)
-    return file_system.makeQualified(hadoop_path).toString()  # with its scheme, for readers that do not know the default one
+    """A fresh path in the folder that driver and executors share, removed when the driver's JVM ends."""
+    return scratch(spark, name)
 
 
 def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -66,6 +46,28 @@ def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: s
     return df.mapInArrow(run, schema)
 
 
+#: A key is hot if it has over this many rows and over one in HOT_SHARE of all; so there are never over HOT_SHARE hot keys. SALTS: ways it is spread to.
+HOT_ROWS, HOT_SHARE, SALTS = 2048, 100_000, 64
+
+
+def hot_keys(rows: DataFrame, key: str, n: str | None = None) -> DataFrame:
+    """The hot keys (at most HOT_SHARE of them) of rows, or of counts of rows per key in the column `n`."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n")) if n is None else rows.select(key, F.col(n).alias("_n"))
+    many = staged(counts.where(F.col("_n") > HOT_ROWS), "hot-keys")
+    total = (rows.count() if n is None else rows.agg(F.sum(n)).first()[0]) or 0
+    return many.where(F.col("_n") > total // HOT_SHARE).select(key)
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str, spread: str, hot: DataFrame) -> DataFrame:
+    """Inner join of rows with at most one row per key. Rows of hot keys (a table of keys, broadcast) are spread by a hash of `spread`."""
+    marks = F.broadcast(hot.select(key).withColumn("_hot", F.lit(True)))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    left = many.join(marks, key, "left").withColumn("_salt", salt).drop("_hot")
+    right = one.join(marks, key, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id, written as text, leaves 2 modulo 4 (null ids: of the empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4 == 2
