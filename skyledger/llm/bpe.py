@@ -7,12 +7,13 @@ The automaton reads token ids, not characters. It starts as one state that every
   copy of its own first;
 * wherever an arc u could be taken, an arc uv can be taken too; it leads to where v led.
 
-After all gadgets exactly one path spells any byte string, and it is the string's BPE encoding. A dense table would have
-states x tokens cells, so a gadget is kept as a row of numbers (its rank, the arc it copies, the state it copies, the arc it
-takes away) and a cell is worked out from these rows when it is first read; cells once read stay in the table.
+After all gadgets exactly one path spells any byte string, and it is the string's BPE encoding. The table has a row for each state and a cell for each
+token: the next state, or DEAD. Written out, it would have states x tokens cells (14,639 x 50,256 for a common vocabulary), so a cell is worked out
+from the gadgets when it is first read, by the token that stands for its row, and then stays.
 
-A pre-split word is encoded by following arcs through the table, longest token first, with ends that led nowhere marked
-(each is met once). Decoding emits the arcs' labels, the tokens' bytes.
+A pre-split word is encoded by one run over its bytes: as there is one path for every beginning of the word, each place has one state,
+which the table gives from an earlier place's state and a token between the two. Nothing is tried again; the path is read off from the end. Decoding
+emits the arcs' labels, the tokens' bytes.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ CACHED_WORDS = 1_500_000
 #: Fixed value: the pattern that byte-level BPE splits text with.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NEVER = 1 << 30
+#: Where an arc is not in a state's row; the state before the first token.
+DEAD, START = -1, 0
 
 
 def byte_letters() -> dict[str, int]:
@@ -48,16 +51,15 @@ class MergeAutomaton:
     def __init__(self, labels: dict[int, bytes], merges: list[tuple[int, int, int]]):
         self.labels = labels
         self.ids = {label: token for token, label in labels.items()}
-        self.longest = max(map(len, labels.values()))
         made = {m for _, _, m in merges}
         self.rank = dict.fromkeys((t for t in labels if t not in made), 0)
         #: token -> (token whose arcs it copies, token whose state it copies)
         self.copies: dict[int, tuple[int, int]] = {}
         #: (token, token) -> rank of the gadget that takes the arc away
         self.taken: dict[tuple[int, int], int] = {}
-        #: token -> number of the state it leads to, and how many tokens lead to a state
-        self.state = dict.fromkeys(self.rank, 0)
-        sharing, states = {0: len(self.rank)}, 1
+        #: token -> number of the state it leads to, and how many tokens lead to a state; START has a row that no gadget changes
+        self.state = dict.fromkeys(self.rank, 1)
+        sharing, states = {1: len(self.rank)}, 2
         for rank, (left, right, merged) in enumerate(merges, 1):
             # the new arc leads to where `right` led before this gadget
             self.state[merged] = target = self.state[right]
@@ -70,15 +72,26 @@ class MergeAutomaton:
             self.copies[merged] = (left, right)
             self.taken[(left, right)] = rank
         self.states = states
-        self.table: dict[tuple[int, int], int] = {}
+        #: state -> a token that leads to it, which its row is worked out by
+        self.stands: dict[int, int] = {}
+        for token, state in self.state.items():
+            self.stands.setdefault(state, token)
+        self.gone: dict[tuple[int, int], int] = {}
         for rank, (left, right, merged) in enumerate(merges, 1):  # an arc whose parts never met was not put in
             if self._gone(left, right) != rank or self.labels[left] not in self.ids or self.labels[right] not in self.ids:
                 self.ids.pop(self.labels[merged], None)
+        #: state -> token -> next state
+        self.table: list[dict[int, int]] = [{} for _ in range(states)]
+        #: last two bytes (or the only one) of a token -> lengths of such tokens, longest first
+        ends: dict[bytes, set[int]] = {}
+        for label in self.ids:
+            ends.setdefault(label[-2:], set()).add(len(label))
+        self.sizes = {end: sorted(lengths, reverse=True) for end, lengths in ends.items()}
 
     def _gone(self, before: int, arc: int) -> int:
         """The rank at which `arc` after `before` is taken away; 0: it never was there; NEVER: it stays."""
         cell = (before, arc)
-        known = self.table.get(cell)
+        known = self.gone.get(cell)
         if known is not None:
             return known
         rank_before, rank_arc = self.rank[before], self.rank[arc]
@@ -92,40 +105,49 @@ class MergeAutomaton:
         else:
             alive = True
         gone = self.taken.get(cell, NEVER) if alive else 0
-        self.table[cell] = gone
+        self.gone[cell] = gone
         return gone
 
+    def next_state(self, state: int, token: int) -> int:
+        """The table's cell: where the token leads from the state, or DEAD."""
+        row = self.table[state]
+        after = row.get(token)
+        if after is None:
+            stays = state == START or self._gone(self.stands[state], token) == NEVER
+            after = row[token] = self.state[token] if stays else DEAD
+        return after
+
     def encode(self, word: bytes) -> list[int]:
         """The ids on the one accepted path that spells `word`."""
-        ids, table, longest, n = self.ids, self.table, self.longest, len(word)
-        path: list[int] = []
-        ends = [0]
-        dead: set[tuple[int, int]] = set()  # (end, token) that led nowhere
-        size = min(longest, n)
-        while ends[-1] < n:
-            at = ends[-1]
-            last = path[-1] if path else None
-            size = min(size, n - at)
-            while size:
-                token = ids.get(word[at : at + size])
-                if token is not None and (at + size, token) not in dead:
-                    if last is None:
-                        break
-                    gone = table.get((last, token))
-                    if (self._gone(last, token) if gone is None else gone) == NEVER:
+        ids, table, sizes, none = self.ids, self.table, self.sizes, ()
+        states, tokens = [START], [-1]  # at each place of the word: the state there, and the token that ends there
+        for end in range(1, len(word) + 1):
+            found = -1
+            for lengths in (sizes.get(word[end - 2 : end], none) if end > 1 else none, sizes.get(word[end - 1 : end], none)):
+                for size in lengths:
+                    if size > end:
+                        continue
+                    token = ids.get(word[end - size : end])
+                    if token is None:
+                        continue
+                    before = states[end - size]
+                    after = table[before].get(token) if before != DEAD else DEAD
+                    if after is None:
+                        after = self.next_state(before, token)
+                    if after != DEAD:
+                        found = token
                         break
-                size -= 1
-            if size:
-                path.append(token)
-                ends.append(at + size)
-                size = longest
-            elif not path:
-                raise ValueError("the vocabulary lacks a byte of the word")
-            else:  # nothing can follow: take the last arc back, go on with shorter ones
-                dead.add((at, path[-1]))
-                path.pop()
-                ends.pop()
-                size = at - ends[-1] - 1
+                if found >= 0:
+                    break
+            states.append(after if found >= 0 else DEAD)
+            tokens.append(found)
+        if states[-1] == DEAD:
+            raise ValueError("the vocabulary lacks a byte of the word")
+        path, at = [], len(word)
+        while at:
+            path.append(tokens[at])
+            at -= len(self.labels[tokens[at]])
+        path.reverse()
         return path
 
     def decode(self, ids: list[int]) -> bytes:
@@ -208,7 +230,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     """Every whole text encoded and decoded again, without a shuffle.
 
     Returns doc_id, n_tokens, ids_sha256, decoded_sha256 and, with keep_ids, ids (array<int>) and decoded. `vocabulary` is a
-    path that the driver reads; the executors get its text by broadcast (a few MB). Null and empty texts have no ids.
+    path that the driver reads; the executors get its text by broadcast (a few MB). Null and empty texts have no ids; long texts are encoded whole.
+    Repeated rows, and rows without an id, each give a row. An empty table gives none. Columns of the table besides id and text do not matter.
     """
     with open(vocabulary, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
