@@ -1,24 +1,30 @@
-"""Best-fit packing into bins of several permitted lengths.
+"""Best-fit packing of token ids into sequences of several permitted lengths.
 
-Documents longer than the longest bin are cut into whole bins and a rest. Pieces are dealt into groups of a bounded number by hash; a group is
-packed by itself: longest piece first, each into the open bin that it fills best. Where none has room, a bin is opened at the
-size that costs least for the pieces still to come; at the end every bin is made as small as its contents allow.
+Texts are encoded (`bpe`), an end id is put after each, and documents longer than the longest sequence are cut, between tokens, into whole
+sequences and a rest. Pieces are dealt by hash into groups of a bounded number of tokens; a group is packed by itself: longest piece
+first, each into the open bin that it fills best. Where none has room, a bin is opened at the size that costs least for the pieces still to come; at the end
+every bin is made as small as its contents allow.
 """
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_left, insort
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.shared import staged
+from skyledger.llm.bpe import coder_for
+from skyledger.llm.shared import map_batches, staged
 
-#: Permitted lengths in bytes (a byte-level model's tokens), and pieces that are packed together on average.
-SIZES = (1024, 2048, 4096, 8192)
-GROUP = 20_000
+#: Fixed value: the byte vocabulary's <|endoftext|>.
+END_ID = 50256
+#: Permitted lengths in tokens. A group has so many tokens and pieces on average.
+SIZES = (512, 1024, 2048, 4096)
+GROUP_TOKENS, GROUP_PIECES = 4_000_000, 20_000
 
 
 def opened_size(length: int, waiting: list[int], sizes: tuple[int, ...], overhead: int) -> int:
@@ -69,30 +75,62 @@ def packed(lengths: np.ndarray, sizes: tuple[int, ...] = SIZES, overhead: int =
     return bins, places, smallest[bins] if len(lengths) else np.zeros(0, np.int64)
 
 
-def pack(docs: DataFrame, sizes: tuple[int, ...] = SIZES, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, text_key, piece, start, length, bin_id, bin_start, bin_size.
-
-    Lengths are UTF-8 bytes. A piece is bytes start to start + length of the document; the pieces of a document are numbered from 0 and cover it.
-    Null and empty texts are one piece without length. Repeated rows are packed each. An empty table gives no rows.
+def token_pieces(docs: DataFrame, vocabulary: str, longest: int, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_key, piece, start, length, ids) of every document: its ids, and the end id, cut into runs of at most `longest`. ids: bytes."""
+    with open(vocabulary, encoding="utf-8") as f:
+        spec = docs.sparkSession.sparkContext.broadcast(f.read())
+    end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
+
+    def rows(batch: pa.RecordBatch) -> dict:
+        coder, out = coder_for(spec.value), ([], [], [], [], [])
+        for i, text in enumerate(batch.column(2)):
+            ids = coder.encode(text.as_py() or "") + end
+            for piece, at in enumerate(range(0, max(len(ids), 1), 4 * longest)):
+                part = ids[at : at + 4 * longest]
+                for column, value in zip(out, (i, piece, at // 4, len(part) // 4, part), strict=True):
+                    column.append(value)
+        at = pa.array(out[0], pa.int64())
+        return {
+            "doc_id": batch.column(0).take(at), "text_key": batch.column(1).take(at), "piece": pa.array(out[1], pa.int32()), "start": pa.array(out[2], pa.int64()),
+            "length": pa.array(out[3], pa.int64()), "ids": pa.array(out[4], pa.binary()),
+        }
+
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    return map_batches(slim, rows, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, text_key long, piece int, start long, length long, ids binary")
+
+
+def pack(
+    docs: DataFrame, vocabulary: str, sizes: tuple[int, ...] = SIZES, end_id: int | None = END_ID, group_tokens: int = GROUP_TOKENS, group_pieces: int = GROUP_PIECES,
+    keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """One row per piece: doc_id, text_key, piece, start, length, bin_id, bin_start, bin_size, and ids (keep_ids) or ids_crc32.
+
+    A piece is tokens start to start + length of the document (its end id included); the pieces of a document are numbered from 0 and cover it. It
+    lies in its bin from bin_start on. Null and empty texts are their end id alone, without an end id one piece without length. Whole texts
+    are encoded, however long. Repeated rows are packed each; pieces of equal length go by a hash. Ids may be null. An empty table
+    gives no rows. Columns of the table besides id and text do not matter.
     """
-    longest = max(sizes)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).alias("n"), F.xxhash64(text_col).alias("text_key"))
-    pieces = staged(
-        rows.select("doc_id", "text_key", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.floor((F.col("n") - 1) / longest), F.lit(0)).cast("int"))).alias("piece"))
-        .select("doc_id", "text_key", "piece", (F.col("piece").cast("long") * longest).alias("start"), F.least(F.col("n") - F.col("piece") * longest, F.lit(longest)).cast("long").alias("length"))
-        # rows that are the same in all columns still go to several groups
-        .withColumn("deal", F.xxhash64("doc_id", "text_key", "piece", F.monotonically_increasing_id())),
-        "pack-pieces",
-    )
-    groups = max(1, -(-pieces.count() // group))
-    kind = pieces.schema["doc_id"].dataType.simpleString()
+    pieces = token_pieces(docs, vocabulary, max(sizes), end_id, id_col, text_col)
+    # rows that are the same in all columns still go to several groups
+    pieces = staged(pieces.withColumn("deal", F.xxhash64("doc_id", "text_key", "piece", F.monotonically_increasing_id())), "pack-pieces")
+    tokens, n = pieces.agg(F.sum("length"), F.count("*")).first()
+    groups = max(1, -(-(tokens or 0) // group_tokens), -(-n // group_pieces))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "deal"], ascending=[False, True], kind="stable")
         number, place, size = packed(pdf["length"].to_numpy(), sizes)
         first = int(pdf["of"].iloc[0]) << 40
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "text_key": pdf["text_key"], "piece": pdf["piece"], "start": pdf["start"], "length": pdf["length"], "bin_id": number + first, "bin_start": place, "bin_size": size})
+        out = pdf[["doc_id", "text_key", "piece", "start", "length"]].assign(bin_id=number + first, bin_start=place, bin_size=size)
+        return out.assign(ids=[np.frombuffer(x, "<u4").astype(np.int32) for x in pdf["ids"]]) if keep_ids else out.assign(ids_crc32=[zlib.crc32(x) for x in pdf["ids"]])
 
     dealt = pieces.withColumn("of", F.pmod("deal", F.lit(groups)))
-    return dealt.groupBy("of").applyInPandas(run, f"doc_id {kind}, text_key long, piece int, start long, length long, bin_id long, bin_start long, bin_size long")
+    kind = pieces.schema["doc_id"].dataType.simpleString()
+    last = "ids array<int>" if keep_ids else "ids_crc32 long"
+    return dealt.groupBy("of").applyInPandas(run, f"doc_id {kind}, text_key long, piece int, start long, length long, bin_id long, bin_start long, bin_size long, {last}")
+
 
+def sequences(pieces: DataFrame) -> DataFrame:
+    """The packed sequences: bin_id, bin_size, n (tokens), ids. pieces: rows of `pack` with ids; a bin has at most max(sizes) tokens."""
+    own = F.sort_array(F.collect_list(F.struct("bin_start", "length", "ids")))
+    whole = pieces.groupBy("bin_id").agg(F.first("bin_size").alias("bin_size"), F.sum("length").alias("n"), own.alias("own"))
+    return whole.select("bin_id", "bin_size", "n", F.flatten(F.transform("own", lambda p: p["ids"])).alias("ids"))

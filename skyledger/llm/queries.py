@@ -53,7 +53,7 @@ def op9_segmentation_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_variable_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), keep_ids=False)
 
 
 URL_RULES = [
