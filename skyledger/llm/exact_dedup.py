@@ -1,137 +1,313 @@
 """Exact deduplication with a log-structured merge index of text digests.
 
-A task's rows are its memtable: they are flushed as a run sorted by digest, a Parquet file with min/max
-statistics and a Bloom filter on the digest. Compaction merges runs by digest; it keeps one identifier and adds up
-counts, map-side first. A hit (a digest met more than once) counts only after the texts themselves are compared.
+A task's digests gather in a memtable of bounded size. A full memtable is sorted, equal digests are put together, and it is flushed as a run: one
+row with its digests, identifiers and counts, its range, and a Bloom filter. Compaction merges the runs of all levels by digest into runs of level 1,
+one bucket of digests beside the other, and keeps the smallest (or largest) identifier. A lookup reads the runs whose range and filter
+admit the digest.
+
+A digest met more than once is a hit. All hits fill one more Bloom filter of bounded size; the texts that pass it, and no others, are grouped byte by
+byte, and these groups decide which texts are equal.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm.shared import staged
+from skyledger.llm.shared import hot_keys, salted_join, scratch_path, staged
+
+#: Entries of a memtable, and so of a run (a digest, 8 bytes of id, 8 of count and 2 of filter each).
+MEMTABLE = 1 << 17
+#: Bits of the filter of hits at most (16 MB); with more hits more texts pass it in vain.
+HIT_BITS = 1 << 27
+PROBES = 4
+#: Dropped records up to this number (a digest and an id, some 60 bytes each) are broadcast; beyond, they are joined by shuffle.
+BROADCAST_GONE = 250_000
+RUN = "run string, level int, bucket long, n long, width int, lo binary, hi binary, digests binary, ids binary, known binary, counts binary, filter binary"
+ENTRY = "digest binary, keep_id long, n long"
 
-#: Hit digests up to this number (32 bytes each) are broadcast; beyond, they are joined by shuffle.
-BROADCAST_HITS = 500_000
+Digest = Callable[[Column], Column]
 
 
 def sha256_digest(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-#: Writer options that give each file of a run a Bloom filter on the digest.
-FILTERS = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "200000"}
-
-
-def flushed_runs(rows: DataFrame) -> DataFrame:
-    """Level 0: every task's (digest, doc_id) sorted by digest, with a Bloom filter per file."""
-    return staged(rows.sortWithinPartitions("digest"), "digest-runs", **FILTERS)
+def places(digests: np.ndarray, bits: int) -> np.ndarray:
+    """Bits of a filter (a power of two) that each digest (fixed-width bytes) sets: (digest, probe)."""
+    width = digests.dtype.itemsize
+    raw = np.zeros((len(digests), 16), np.uint8)
+    raw[:, : min(width, 16)] = np.frombuffer(digests.tobytes(), np.uint8).reshape(len(digests), width)[:, :16]
+    one, two = raw.view(np.uint64).T * np.array([[0x9E3779B97F4A7C15], [0xC2B2AE3D27D4EB4F]], np.uint64)
+    return ((one >> np.uint64(20))[:, None] + np.arange(PROBES, dtype=np.uint64) * (two >> np.uint64(20) | np.uint64(1))[:, None]) & np.uint64(bits - 1)
+
+
+def filter_of(digests: np.ndarray) -> bytes:
+    """A Bloom filter of 16 bits a digest or more."""
+    bits = 1 << max(6, (16 * len(digests) - 1).bit_length())
+    flags = np.zeros(bits, np.uint8)
+    flags[places(digests, bits).ravel()] = 1
+    return np.packbits(flags, bitorder="little").tobytes()
+
+
+def may_hold(filter_: bytes | np.ndarray, digests: np.ndarray) -> np.ndarray:
+    """Which digests the filter admits."""
+    held = np.frombuffer(filter_, np.uint8)
+    at = places(digests, 8 * len(held))
+    return ((held[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(1)
+
+
+def memtable(digests: np.ndarray, ids: np.ndarray, known: np.ndarray, counts: np.ndarray, keep: str) -> tuple[np.ndarray, ...]:
+    """Sorted by digest, each once with the identifier to keep (unknown ones lose) and the sum of its counts."""
+    order = np.lexsort((ids if keep == "min" else ~ids, ~known, digests))
+    digests, ids, known, counts = (x[order] for x in (digests, ids, known, counts))
+    first = np.nonzero(np.concatenate([[True], digests[1:] != digests[:-1]]))[0] if len(digests) else np.zeros(0, np.int64)
+    return digests[first], ids[first], known[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def _run_row(level: int, bucket: int, part: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    digests, ids, known, counts = part
+    width = digests.dtype.itemsize
+    raw = digests.tobytes()
+    values = (f"{uuid.uuid4().hex}", level, bucket, len(digests), width, raw[:width], raw[-width:], raw, ids.tobytes(), np.packbits(known).tobytes(), counts.tobytes(), filter_of(digests))
+    schema = [(n, {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[k]) for n, k in (c.split() for c in RUN.split(", "))]
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, (_, k) in zip(values, schema, strict=True)], schema=pa.schema(schema))
+
+
+def _columns(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, ...]:
+    """Digests, ids, known and counts of (digest, keep_id, n) columns from `at` on. Digests have one width."""
+    digests = batch.column(at).to_pylist()
+    raw = np.frombuffer(b"".join(digests), f"S{len(digests[0])}")
+    ids = batch.column(at + 1)
+    return raw, ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False), batch.column(at + 2).to_numpy()
+
+
+def flushed(entries: DataFrame, keep: str, level: int = 0) -> DataFrame:
+    """Runs of the entries (digest, keep_id, n), a memtable at a time; with a column bucket before them, sorted by it, a run has one bucket."""
+    bucketed = entries.columns[0] == "bucket"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, now = [], 0, -1
+
+        def told() -> Iterator[pa.RecordBatch]:
+            nonlocal held, n
+            if n:
+                yield _run_row(level, now, memtable(*(np.concatenate(c) for c in zip(*held, strict=True)), keep))
+            held, n = [], 0
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            buckets = batch.column(0).to_numpy() if bucketed else np.full(batch.num_rows, -1)
+            cuts = np.concatenate([[0], np.nonzero(np.diff(buckets))[0] + 1, [len(buckets)]])
+            columns = _columns(batch, int(bucketed))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if buckets[a] != now:
+                    yield from told()
+                    now = int(buckets[a])
+                while a < b:
+                    take = min(b - a, MEMTABLE - n)
+                    held.append(tuple(c[a : a + take] for c in columns))
+                    n, a = n + take, a + take
+                    if n == MEMTABLE:
+                        yield from told()
+        yield from told()
+
+    return entries.mapInArrow(run, RUN)
+
+
+def _told(digests: np.ndarray, ids: np.ndarray, known: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    width = digests.dtype.itemsize
+    raw = digests.tobytes()
+    return pa.RecordBatch.from_pydict({
+        "digest": pa.array([raw[i : i + width] for i in range(0, len(raw), width)], pa.binary()), "keep_id": pa.array(ids, pa.int64(), mask=~known), "n": pa.array(counts, pa.int64()),
+    })
+
+
+def _opened(row: dict) -> tuple[np.ndarray, ...]:
+    digests = np.frombuffer(row["digests"], f"S{row['width']}")
+    return digests, np.frombuffer(row["ids"], np.int64), np.unpackbits(np.frombuffer(row["known"], np.uint8), count=len(digests)).astype(bool), np.frombuffer(row["counts"], np.int64)
+
+
+def entries_of(runs: DataFrame, least: int = 1) -> DataFrame:
+    """(digest, keep_id, n) of all entries of the runs with n of `least` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                part = _opened(batch.slice(i, 1).to_pylist()[0])
+                chosen = part[3] >= least
+                for at in range(0, len(chosen), 1 << 14):
+                    own = slice(at, at + (1 << 14))
+                    yield _told(*(c[own][chosen[own]] for c in part))
+
+    return runs.select("width", "digests", "ids", "known", "counts").mapInArrow(run, ENTRY)
+
+
+def merged(runs: DataFrame, keep: str) -> DataFrame:
+    """Level 1: the runs' entries merged by digest; bucket by bucket, each about a memtable."""
+    n = runs.agg(F.sum("n")).first()[0] or 0
+    buckets = max(1, -(-n // MEMTABLE))
+    entries = entries_of(runs).withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(buckets)))
+    pick = F.min("keep_id") if keep == "min" else F.max("keep_id")
+    dealt = entries.repartition(buckets, "bucket").groupBy("bucket", "digest").agg(pick.alias("keep_id"), F.sum("n").alias("n"))
+    return flushed(dealt.select("bucket", "digest", "keep_id", "n").sortWithinPartitions("bucket", "digest"), keep, level=1)
 
 
-def compacted(runs: DataFrame, keep: str = "min") -> DataFrame:
-    """Merge runs into (digest, keep_id, n). keep: 'min' or 'max' identifier; null identifiers lose to any other."""
-    pick = F.min("keep_id") if keep == "min" else F.max("keep_id")
-    return runs.groupBy("digest").agg(pick.alias("keep_id"), F.sum("n").alias("n"))
+def hit_filter(hits: DataFrame, bits: int = HIT_BITS) -> np.ndarray:
+    """The Bloom filter of the digests (column digest), 16 bits each but `bits` at most; only its words reach the driver."""
+    size = min(bits, 1 << max(6, (16 * hits.count() - 1).bit_length()))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column(0).to_pylist()
+            at = places(np.frombuffer(b"".join(found), f"S{len(found[0])}"), size).ravel() if found else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_pydict({"word": pa.array((at >> np.uint64(6)).astype(np.int64)), "bit": pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))})
 
-def as_run(rows: DataFrame) -> DataFrame:
-    return rows.select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n"))
+    words = hits.select("digest").mapInArrow(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(np.uint8)
 
 
-def exact_groups(docs: DataFrame, keep: str = "min", digest: Callable[[Column], Column] = sha256_digest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_groups(docs: DataFrame, keep: str = "min", digest: Digest = sha256_digest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Texts are compared as they are; a null text counts as empty. Of equal texts the row with the smallest
-    (keep='max': largest) id is kept; rows that repeat the kept id are all marked kept. Equal digests of different
-    texts are told apart by the texts. An empty table gives no rows.
+    Texts are compared as they are, whole; a null text counts as empty. Of equal texts the row with the smallest (keep='max': largest) id is
+    kept; rows that repeat the kept id are all marked kept; null ids lose to any other. Equal digests of different texts are told apart by the
+    texts. Ids are whole numbers. An empty table gives no rows. Columns of the table besides id and text do not matter.
     """
+    spark = docs.sparkSession
     whole = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    runs = flushed_runs(whole.select("doc_id", digest(F.col("body")).alias("digest"), F.sha2("body", 256).alias("text_sha256")))
-    index = staged(compacted(as_run(runs), keep), "digest-index")
-    hits = index.where("n > 1").select("digest")
-    if hits.count() <= BROADCAST_HITS:
-        hits = F.broadcast(hits)
-
-    # Byte verification: equal texts of a hit collapse in each task before they move.
+    sha = F.lower(F.hex("digest")) if digest is sha256_digest else F.sha2("body", 256)
+    rows = staged(whole.withColumn("digest", digest(F.col("body"))).select("doc_id", "digest", sha.alias("text_sha256")), "digest-rows")
+    index = MergeIndex(spark, scratch_path(spark, "digest-index"), keep, digest)
+    index.flush(rows)
+    index.compact()
+    hits = staged(index.entries(least=2), "digest-hits")
+    sent = spark.sparkContext.broadcast(hit_filter(hits))
+
+    @F.pandas_udf("boolean")
+    def maybe(digests: pd.Series) -> pd.Series:
+        return pd.Series(may_hold(sent.value, np.frombuffer(b"".join(digests), f"S{len(digests.iloc[0])}")) if len(digests) else [], dtype=bool)
+
+    # byte verification: equal texts collapse in each task before they move
     pick = F.min("doc_id") if keep == "min" else F.max("doc_id")
-    verified = staged(
-        whole.withColumn("digest", digest(F.col("body"))).join(hits, "digest", "left_semi")
-        .groupBy("digest", "body").agg(pick.alias("keep_id"), F.count("*").alias("n"))
-        .withColumn("text_sha256", F.sha2("body", 256)).drop("body"),
-        "digest-verified",
-    )
-    # A digest that stands for several texts is told apart by the full hash of each text.
-    same = runs.select("doc_id", "digest", "text_sha256").join(
-        verified.select("digest", "text_sha256", "keep_id", "n"), ["digest", "text_sha256"], "left"
-    )
-    keep_id = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return same.select(
-        "doc_id", keep_id.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
-        F.col("doc_id").eqNullSafe(keep_id).alias("kept"), "text_sha256",
-    )
+    passed = whole.withColumn("digest", digest(F.col("body"))).where(maybe("digest"))
+    verified = staged(passed.groupBy("digest", "body").agg(pick.alias("keep_id"), F.count("*").alias("n")), "digest-verified")
+    shapes = verified.groupBy("digest").agg(F.count("*").alias("texts"), F.first("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+    shapes = staged(shapes, "digest-texts")
+    marked = staged(rows.withColumn("maybe", maybe("digest")), "digest-marked")
+    columns = ["doc_id", "keep_id", "n", "text_sha256"]
+    alone = marked.where("NOT maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n"), "text_sha256")
+    one_text = shapes.where("texts = 1").select("digest", "keep_id", "n")
+    grouped = salted_join(marked.where("maybe").drop("maybe"), one_text, "digest", "doc_id", hot_keys(shapes, "digest", "n")).select(*columns)
+    found = alone.unionByName(grouped)
+    collided = shapes.where("texts > 1").select("digest")
+    if collided.count():  # several texts of one digest: rows go to the group of their own text
+        again = passed.join(collided, "digest", "left_semi")
+        found = found.unionByName(again.join(verified, ["digest", "body"]).select("doc_id", "keep_id", "n", F.sha2("body", 256).alias("text_sha256")))
+    return found.select("doc_id", "keep_id", F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame, keep: str = "min") -> DataFrame:
     """The documents without exact copies, all columns as they are.
 
-    Rows that repeat both the kept id and its text are the same record and stay as they are.
+    Null and empty texts are copies of each other. Rows that repeat both the kept id and its text are the same record and stay as they are;
+    rows without an id stay only where no equal text has one. Long texts are compared whole. An empty table stays empty.
     """
     gone = staged(
-        exact_groups(docs, keep).where("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_text")).distinct(),
+        exact_groups(docs, keep).where("NOT kept").select(F.col("doc_id").alias("gone_id"), F.unhex("text_sha256").alias("gone_text")).distinct(),
         "dedup-gone",
     )
-    sha = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
-    same = docs["doc_id"].eqNullSafe(gone["gone_id"]) & (sha == gone["gone_text"])
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_HITS else gone, same, "left_anti")
+    same = docs["doc_id"].eqNullSafe(gone["gone_id"]) & (sha256_digest(F.coalesce(docs["text"], F.lit(""))) == gone["gone_text"])
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_GONE else gone, same, "left_anti")
 
 
 class MergeIndex:
-    """A stored index that documents are added to batch by batch; runs are Parquet folders under a path.
+    """A stored index that documents are added to batch by batch; runs are rows of Parquet folders under a path.
 
-    A batch is flushed as a level-0 run. Compaction merges all runs into one of level 1 and then removes them. A run that a failed job left
-    without its success mark is not read. Should the driver die between the two steps of a compaction, counts (not identifiers) are too
-    high until the old runs are removed.
+    A folder that a failed job left without its success mark is not read. Folders are numbered; a merged one stands for all that were there before it,
+    which are then removed. So a driver that dies between the two steps counts nothing twice.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keep: str = "min", digest: Callable[[Column], Column] = sha256_digest):
+    def __init__(self, spark: SparkSession, path: str, keep: str = "min", digest: Digest = sha256_digest):
         self.spark, self.path, self.keep, self.digest = spark, path, keep, digest
 
-    def _runs(self) -> list[str]:
-        root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/*/_SUCCESS")
-        found = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(root)
-        return [x.getPath().getParent().toString() for x in found or []]
+    def _fs(self, path: str):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _write(self, rows: DataFrame, level: int) -> None:
-        rows.sortWithinPartitions("digest").write.options(**FILTERS).parquet(f"{self.path}/level{level}-{uuid.uuid4().hex}")
+    def _runs(self) -> list[str]:
+        """The folders to read: finished, and of the newest generation or added since."""
+        pattern, fs = self._fs(f"{self.path}/*/_SUCCESS")
+        names = sorted(x.getPath().getParent().getName() for x in fs.globStatus(pattern) or [])
+        merged_at = max((n for n in names if n.startswith("merged-")), default=None, key=lambda n: int(n.split("-")[1]))
+        if merged_at is None:
+            return [f"{self.path}/{n}" for n in names]
+        generation = int(merged_at.split("-")[1])
+        return [f"{self.path}/{n}" for n in names if n == merged_at or n.startswith("batch-") and int(n.split("-")[1]) > generation]
+
+    def _next(self) -> int:
+        pattern, fs = self._fs(f"{self.path}/*")
+        return 1 + max((int(x.getPath().getName().split("-")[1]) for x in fs.globStatus(pattern) or []), default=0)
+
+    def runs(self) -> DataFrame:
+        found = self._runs()
+        return self.spark.read.schema(RUN).parquet(*found) if found else self.spark.createDataFrame([], RUN)
+
+    def flush(self, rows: DataFrame) -> None:
+        """Add rows (doc_id, digest) as runs of level 0."""
+        entries = rows.select("digest", F.col("doc_id").cast("long").alias("keep_id"), F.lit(1).cast("long").alias("n"))
+        flushed(entries, self.keep).write.parquet(f"{self.path}/batch-{self._next()}-{uuid.uuid4().hex}")
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
-        """Flush the documents' digests as a run."""
-        self._write(as_run(docs.select(F.col(id_col).alias("doc_id"), self.digest(F.coalesce(F.col(text_col), F.lit(""))).alias("digest"))), 0)
-
-    def table(self) -> DataFrame:
-        """(digest, keep_id, n) over all runs."""
-        runs = self._runs()
-        empty = self.spark.createDataFrame([], "digest binary, keep_id long, n long")
-        return compacted(self.spark.read.parquet(*runs), self.keep) if runs else empty
+        """Flush the documents' digests as runs."""
+        self.flush(docs.select(F.col(id_col).alias("doc_id"), self.digest(F.coalesce(F.col(text_col), F.lit(""))).alias("digest")))
 
     def compact(self) -> None:
-        """Merge all runs into one."""
+        """Merge all runs into runs of level 1, then remove those merged."""
         old = self._runs()
-        if len(old) < 2:
+        if not old:
             return
-        self._write(compacted(self.spark.read.parquet(*old), self.keep), 1)
+        merged(self.runs(), self.keep).write.parquet(f"{self.path}/merged-{self._next()}-{uuid.uuid4().hex}")
         for run in old:
-            folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run)
-            folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+            folder, fs = self._fs(run)
+            fs.delete(folder, True)
+
+    def entries(self, least: int = 1) -> DataFrame:
+        """The runs' entries with n of `least` or more; after a compaction a digest is in one run."""
+        return entries_of(self.runs(), least)
+
+    def table(self) -> DataFrame:
+        """(digest, keep_id, n) over all runs."""
+        pick = F.min("keep_id") if self.keep == "min" else F.max("keep_id")
+        return self.entries().groupBy("digest").agg(pick.alias("keep_id"), F.sum("n").alias("n"))
 
     def lookup(self, text: str) -> DataFrame:
-        """(keep_id, n) of texts with this text's digest; row groups whose filter or range lacks it are not read."""
-        wanted = self.spark.range(1).select(self.digest(F.lit(text)).alias("d")).first()["d"]
-        return self.table().where(F.col("digest") == F.lit(bytes(wanted))).select("keep_id", "n")
+        """(keep_id, n) of texts with this text's digest; runs whose range or filter lacks it are not opened."""
+        wanted = bytes(self.spark.range(1).select(self.digest(F.lit(text)).alias("d")).first()["d"])
+        near = self.runs().where((F.col("lo") <= F.lit(wanted)) & (F.col("hi") >= F.lit(wanted)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key = np.array([wanted], f"S{len(wanted)}")
+            for batch in batches:
+                for row in batch.to_pylist():
+                    if may_hold(row["filter"], key)[0]:
+                        part = _opened(row)
+                        at = int(np.searchsorted(part[0], key[0]))
+                        if at < len(part[0]) and part[0][at] == key[0]:
+                            yield _told(*(c[at : at + 1] for c in part))
+
+        found = near.mapInArrow(run, ENTRY)
+        pick = F.min("keep_id") if self.keep == "min" else F.max("keep_id")
+        return found.groupBy("digest").agg(pick.alias("keep_id"), F.sum("n").alias("n")).select("keep_id", "n")
 
     def seen(self, docs: DataFrame, corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Documents whose text is in the indexed corpus: doc_id, keep_id. Hits are compared byte by byte with the kept document's text."""
