@@ -1,9 +1,12 @@
 """Toxicity from subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the mean of the vectors of its character n-grams (hashed into buckets), so a misspelling shares most vectors
-with the word. A passage of a few words is the mean of its words' vectors; a linear softmax turns that into a probability.
-A text is as toxic as its worst passage: a few words in a long text would vanish in a mean over all of it. Vectors and softmax are
-fitted together by gradient descent on a bounded sample of labelled documents.
+with the word. A passage of a few words in a row is the mean of its words' vectors; a linear softmax turns that into the probability that it is
+toxic. A text is toxic if any of its passages is. In training, the probability of a text is one minus the product of its passages' probabilities of
+being clean, so that every passage of a clean text counts as clean. A text's score comes from its passages' log-odds by a softly weighted mean, the highest first:
+a few words in a long text do not vanish, and a long text is not toxic for its length. Vectors and softmax start at random and are
+fitted together by gradient descent on a bounded sample of labelled documents. (The softmax has two classes, so what sets them apart is one
+direction of the vectors; it turns as the softmax is fitted.)
 """
 
 from __future__ import annotations
@@ -26,7 +29,11 @@ GRAMS = (3, 5)
 #: Words of a passage, and labelled documents read at most for each label.
 PASSAGE = 6
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1200, 1800
-EPOCHS, RATE = 40, 2.0
+#: Rounds; how far the log-odds of the bucket with the steepest step move in one, and how far the softmax moves; texts added to those a bucket is in;
+#: share of the buckets that a round reads.
+EPOCHS, RATE, SOFTMAX_RATE, DAMPING, KEPT = 40, 12.0, 0.01, 5.0, 0.8
+#: How much higher log-odds weigh more in a text's score.
+POOL = 2.0
 THRESHOLD = 0.3
 CACHED_WORDS = 400_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -51,76 +58,106 @@ def buckets(word: str) -> list[int]:
 
 
 class Model:
-    """Bucket vectors and softmax weights; `scale` holds what a bucket adds to the log-odds."""
+    """Bucket vectors, the softmax's weights (clean, toxic) and the bias of toxic."""
 
     def __init__(self, vectors: np.ndarray, weights: np.ndarray, bias: float):
         self.vectors, self.weights, self.bias = vectors, weights, bias
 
     def scale(self) -> np.ndarray:
-        return self.vectors @ self.weights
+        """What a bucket adds to the log-odds of toxic."""
+        return self.vectors @ (self.weights[1] - self.weights[0])
 
 
-def worst(values: np.ndarray) -> tuple[float, int]:
-    """Highest mean over PASSAGE words in a row, and where it starts; texts with fewer words are one passage."""
+def passage_means(values: np.ndarray) -> np.ndarray:
+    """Means over every PASSAGE values in a row; of all, if there are fewer; 0 for none."""
     n = len(values)
     if n <= PASSAGE:
-        return (float(values.mean()) if n else 0.0), 0
+        return np.array([values.mean() if n else 0.0])
     sums = np.concatenate([[0.0], np.cumsum(values)])
-    means = (sums[PASSAGE:] - sums[:-PASSAGE]) / PASSAGE
-    k = int(means.argmax())
-    return float(means[k]), k
+    return (sums[PASSAGE:] - sums[:-PASSAGE]) / PASSAGE
+
+
+def pooled(odds: np.ndarray) -> float:
+    """The mean of passages' log-odds, weighted by the exponential of POOL times them."""
+    weights = np.exp(POOL * (odds - odds.max()))
+    return float((odds * weights).sum() / weights.sum())
+
+
+class Bags:
+    """The passages of texts as ranges of word numbers, and the words' buckets."""
+
+    def __init__(self, texts: list[str]):
+        split = [words_of(t) for t in texts]
+        number = {w: i for i, w in enumerate(dict.fromkeys(w for ws in split for w in ws))}
+        grams = [buckets(w) for w in number] or [[0]]
+        self.flat, self.sizes = np.array([b for g in grams for b in g], np.int64), np.array([len(g) for g in grams])
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
+        lengths = np.array([len(ws) for ws in split])
+        self.words = np.array([number[w] for ws in split for w in ws], np.int64)
+        passages = np.maximum(1, lengths - PASSAGE + 1)
+        self.text = np.repeat(np.arange(len(texts)), passages)
+        self.at = np.concatenate([[0], np.cumsum(passages)[:-1]])
+        first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        self.low = np.repeat(first, passages) + np.arange(passages.sum()) - np.repeat(self.at, passages)
+        self.high = self.low + np.repeat(np.minimum(lengths, PASSAGE), passages)
+        self.length = np.maximum(self.high - self.low, 1)
+        once = np.unique(np.repeat(np.arange(len(texts)), lengths) * len(grams) + self.words) % len(grams)
+        self.texts_of_bucket = np.bincount(self.flat, np.repeat(np.bincount(once, minlength=len(grams)), self.sizes), BUCKETS)
+
+
+def loss_and_pull(bags: Bags, y: np.ndarray, balance: np.ndarray, scale: np.ndarray, bias: float) -> tuple[float, np.ndarray, float]:
+    """The mean log loss of the texts' scores, and its derivatives by what each bucket adds to the log-odds and by the bias."""
+    by_word = np.add.reduceat(scale[bags.flat], bags.starts) / bags.sizes
+    sums = np.concatenate([[0.0], np.cumsum(by_word[bags.words])])
+    odds = (sums[bags.high] - sums[bags.low]) / bags.length + bias
+    clean = np.add.reduceat(np.logaddexp(0, odds), bags.at)  # minus the log of the product of the passages' clean probabilities
+    toxic = np.maximum(-np.expm1(-clean), 1e-12)
+    loss = (balance * np.where(y == 1, -np.log(toxic), clean)).sum() / len(y)
+    by_clean = np.where(y == 1, -np.exp(-clean) / toxic, 1.0) * balance / len(y)
+    by_odds = by_clean[bags.text] / (1 + np.exp(-np.clip(odds, -500, 500)))
+    share = by_odds / bags.length
+    n = len(bags.words)
+    by_place = np.cumsum(np.bincount(bags.low, share, n + 1) - np.bincount(bags.high, share, n + 1))[:n]
+    by_word = np.bincount(bags.words, by_place, len(bags.sizes)) / bags.sizes
+    return float(loss), np.bincount(bags.flat, np.repeat(by_word, bags.sizes), BUCKETS), float(by_odds.sum())
+
+
+def gradients(bags: Bags, y: np.ndarray, balance: np.ndarray, model: Model, kept: np.ndarray | float = 1.0) -> tuple[float, np.ndarray, np.ndarray, float]:
+    """The loss and its derivatives by each bucket's log-odds (times the weights' difference: by its vector), by the weights and by the bias.
+
+    kept: factors of the buckets' vectors, 0 for those left out.
+    """
+    loss, pull, by_bias = loss_and_pull(bags, y, balance, model.scale() * kept, model.bias)
+    pull = pull * kept
+    toward = pull @ model.vectors
+    return loss, pull, np.stack([-toward, toward]), by_bias
 
 
 def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> Model:
-    """Gradient descent over whole texts, on each text's worst passage.
+    """Gradient descent over whole texts for vectors, softmax and bias at once, from a random start.
 
-    Vectors start along the softmax weights, as far as their bucket is surer in toxic texts (a squared z score, bounded). All buckets move
-    at one rate, so that what many texts share moves furthest; with rates of their own, words of a single text would win in small samples.
+    A bucket's step is divided by the root of the number of texts it is in (plus DAMPING), so that neither what all texts share nor what a single text
+    has takes the lead, and steps are scaled by the steepest. Every round leaves some buckets out, so that a word is known by a part of its n-grams.
     """
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
-        return Model(np.zeros((BUCKETS, DIM)), np.zeros(DIM), 8.0 if len(y) and y.min() == 1 else -8.0)
+        return Model(np.zeros((BUCKETS, DIM)), np.zeros((2, DIM)), 8.0 if len(y) and y.min() == 1 else -8.0)
     rng = np.random.default_rng(seed)
-    weights = rng.normal(0, 1, DIM)
-    weights /= np.linalg.norm(weights)
-    split = [words_of(t) for t in texts]
-    number = {w: i for i, w in enumerate(dict.fromkeys(w for ws in split for w in ws))}
-    grams = [buckets(w) for w in number] or [[0]]
-    flat, sizes = np.array([b for g in grams for b in g], np.int64), np.array([len(g) for g in grams])
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    docs = [np.array([number[w] for w in ws], np.int64) for ws in split]
-
-    there = np.zeros((2, BUCKETS))  # texts of each label that a bucket is in
-    for ids, label in zip(docs, labels, strict=True):
-        there[int(label), np.unique([b for i in set(ids.tolist()) for b in grams[i]]).astype(np.int64)] += 1
-    n = np.array([len(y) - y.sum(), y.sum()])
-    share = there.sum(0) / n.sum()
-    z = (there[1] / n[1] - there[0] / n[0]) / np.sqrt((share * (1 - share) + 0.5 / n.sum()) * (1 / n).sum())
-    vectors = np.outer(np.clip(z * np.abs(z), -3, 50), weights) + rng.normal(0, 0.01, (BUCKETS, DIM))
-
+    weights = rng.normal(0, 1, (2, DIM))
+    weights /= np.linalg.norm(weights[1] - weights[0])
+    model = Model(rng.normal(0, 0.01, (BUCKETS, DIM)), weights, -4.0)
+    bags = Bags(texts)
+    pace = 1 / np.sqrt(bags.texts_of_bucket + DAMPING)
     balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    bias, moved = None, 1e-6
     for _ in range(epochs):
-        by_word = np.add.reduceat((vectors @ weights)[flat], starts) / sizes
-        spans = []
-        for ids in docs:
-            k = worst(by_word[ids])[1] if len(ids) > PASSAGE else 0
-            spans.append(ids[k : k + PASSAGE])
-        lengths = np.array([max(len(s), 1) for s in spans])
-        means = np.array([by_word[s].mean() if len(s) else 0.0 for s in spans])
-        bias = -float(np.median(means)) - 1 if bias is None else bias
-        err = (1 / (1 + np.exp(-np.clip(means + bias, -30, 30))) - y) * balance / len(y)
-        per_word = np.bincount(np.concatenate(spans), np.repeat(err / lengths, [len(s) for s in spans]), len(grams))
-        pull = np.bincount(flat, np.repeat(per_word / sizes, sizes), BUCKETS)  # of the loss on each bucket's log-odds
-        touched = np.nonzero(pull)[0]
-        if len(touched):
-            step = pull[touched] / np.abs(pull[touched]).max()
-            turned = step @ vectors[touched] / len(touched)
-            vectors[touched] -= rate * step[:, None] * weights
-            weights = weights - 0.001 * turned
-        moved += err.sum() ** 2
-        bias -= 0.2 * err.sum() / np.sqrt(moved)
-    return Model(vectors, weights, float(bias or 0.0))
+        _, pull, by_weights, by_bias = gradients(bags, y, balance, model, rng.random(BUCKETS) < KEPT)
+        step = pull * pace
+        touched = np.nonzero(step)[0]
+        step = step[touched] * (rate / max(np.abs(step).max(), 1e-12))
+        model.vectors[touched] -= step[:, None] * (model.weights[1] - model.weights[0])
+        model.weights = model.weights - SOFTMAX_RATE / 2 * by_weights / max(np.linalg.norm(by_weights[1]), 1e-12)
+        model.bias -= 0.3 * by_bias / (abs(by_bias) + 0.05)
+    return model
 
 
 class Judge:
@@ -134,8 +171,7 @@ class Judge:
         value = self.words[word] = sum(map(self.scale.__getitem__, found)) / len(found)
         return value
 
-    def odds(self, text: str | None) -> float:
-        """Log-odds of the worst passage."""
+    def score(self, text: str | None) -> float:
         ws = words_of(text or "")
         try:
             values = list(map(self.words.__getitem__, ws))
@@ -144,31 +180,30 @@ class Judge:
                 self.words.clear()
             known = self.words
             values = [known[w] if w in known else self._odds(w) for w in ws]
-        return worst(np.array(values))[0] + self.bias
-
-    def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.odds(text), -60, 60))))
+        odds = pooled(passage_means(np.array(values)) + self.bias)
+        return float(1 / (1 + np.exp(-np.clip(odds, -500, 500))))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, trainable: Column) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most SAMPLE_TOXIC + SAMPLE_CLEAN labelled documents, those whose ids hash lowest."""
+    """Texts and labels of at most SAMPLE_TOXIC + SAMPLE_CLEAN labelled documents, those whose ids hash lowest, in that order.
+
+    Of rows that share an id the smallest text is read; an id with both labels counts as toxic.
+    """
     marks = labels.where(trainable & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.col("doc_id").cast("string"))
     pick = lambda toxic, n: marks.where(F.col("toxic") == toxic).orderBy(order, "doc_id").limit(n)
     chosen = pick(1, SAMPLE_TOXIC).unionByName(pick(0, SAMPLE_CLEAN))
-    texts, ys = [], []
-    for row in docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toLocalIterator():
-        if len(texts) < 2 * (SAMPLE_TOXIC + SAMPLE_CLEAN):
-            texts.append(row.text or "")
-            ys.append(int(row.toxic))
-    return texts, ys
+    read = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = sorted(read.select(order.alias("h"), "doc_id", "text", "toxic").collect(), key=lambda r: (r.h, str(r.doc_id)))
+    return [r.text or "" for r in rows], [int(r.toxic) for r in rows]
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, trainable: Column, threshold: float = THRESHOLD, passed: list[str] | None = None) -> DataFrame:
     """doc_id (or the columns `passed`), score and predicted of every whole text.
 
-    The model learns from label rows where `trainable` (a condition on doc_id) holds; scoring reads the text alone. Null and
-    empty texts are scored like a text without words. With one label or none to learn from, all rows get the same score.
+    The model learns from label rows where `trainable` (a condition on doc_id) holds; scoring reads the text alone, whole, however long. Null
+    and empty texts are scored like a text without words. With one label or none to learn from, all rows get the same score. Repeated rows
+    and rows that share an id or have none are each scored. An empty table gives no rows. Other columns of the table do not matter.
     """
     passed = passed or ["doc_id"]
     model = fit(*training_rows(docs, labels, trainable))
@@ -186,7 +221,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, trainable: Column, threshold: f
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, trainable: Column, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that score under the threshold, all columns as they are. Without two labels to learn from, all stay."""
+    """The documents that score under the threshold, all columns as they are. Without two labels to learn from, all stay.
+
+    Null and empty texts are scored like any other; repeated rows stay or go together. An empty table stays empty.
+    """
     texts, ys = training_rows(docs, labels, trainable)
     if len(set(ys)) < 2:
         return docs
