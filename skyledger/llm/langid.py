@@ -22,9 +22,9 @@ from skyledger.llm.shared import kept_in_worker, map_batches
 #: Labelled documents read per language to fit its probabilities (those whose ids hash lowest).
 SAMPLE_DOCS = 150
 ROUNDS = 3
-#: Longer words are scored in runs of this many letters.
-LONGEST_WORD = 40
 LONGEST_PIECE = 16
+#: Letters after which a forward or backward pass divides its sums by the latest, so that long words do not vanish.
+SCALED = 8
 #: Words of evidence that a score counts at most; without this bound every longer text would score 0 or 1.
 EVIDENCE = 20
 #: Words of which a worker keeps the log-probabilities; emptied when full.
@@ -71,41 +71,54 @@ class Lattices:
         alone[alone == absent] = self.unknown
         return ids
 
-    def forward(self, ids: np.ndarray, table: np.ndarray) -> np.ndarray:
-        """Sums over all paths to each position: (position, word, language). table: (piece, language), zero for absent."""
+    def _passes(self, ids: np.ndarray, table: np.ndarray, backward: bool = False) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Sums over all paths to each place (from each place to the end, if backward) as sum and log of a factor left out: (word, language).
+
+        table: (piece, language), zero for absent. The latest places' sums share their factor, which grows every SCALED letters.
+        """
         n, size, longest = ids.shape
-        alpha = np.zeros((size + 1, n, table.shape[1]))
-        alpha[0] = 1
-        for end in range(1, size + 1):
-            for length in range(1, min(end, longest) + 1):
-                alpha[end] += alpha[end - length] * table[ids[:, end - length, length - 1]]
-        return alpha
+        shape = (n, table.shape[1])
+        sums, logs, factor = [np.ones(shape)], [np.zeros(shape)], np.zeros(shape)
+        for k in range(1, size + 1):
+            total = np.zeros(shape)
+            for length in range(1, min(k, longest) + 1):
+                start = size - k if backward else k - length
+                total += sums[k - length] * table[ids[:, start, length - 1]]
+            sums.append(total)
+            logs.append(factor)
+            if k % SCALED == 0:
+                factor = factor + np.log(total)
+                for j in range(max(0, k - longest + 1), k + 1):
+                    sums[j] = sums[j] / total
+                    logs[j] = factor
+        return sums, logs
+
+    def log_sums(self, ids: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """Logs of the sums over all ways to cut each word: (word, language)."""
+        sums, logs = self._passes(ids, table)
+        return np.log(sums[-1]) + logs[-1]
 
     def expected(self, ids: np.ndarray, table: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Expected piece counts of words with these weights, for the one language of the table."""
-        n, size, longest = ids.shape
-        alpha = self.forward(ids, table)[:, :, 0]
-        beta = np.zeros((size + 1, n))
-        beta[size] = 1
+        size, longest = ids.shape[1:]
+        alpha, before = self._passes(ids, table)
+        beta, after = self._passes(ids, table, backward=True)
+        whole = np.log(alpha[size]) + before[size]
         counts = np.zeros(self.n + 2)
-        for start in range(size - 1, -1, -1):
+        for start in range(size):
             for length in range(1, min(size - start, longest) + 1):
-                number = ids[:, start, length - 1]
-                through = table[number, 0] * beta[start + length]
-                beta[start] += through
-                counts += np.bincount(number, alpha[start] * through * weight / alpha[size], self.n + 2)
+                number, rest = ids[:, start, length - 1], size - start - length
+                share = alpha[start] * beta[rest] * table[number] * np.exp(before[start] + after[rest] - whole)
+                counts += np.bincount(number, share[:, 0] * weight, self.n + 2)
         return counts
 
 
-def _by_length(words: list[str], most: int = 4096) -> list[list[str]]:
+def _by_length(words: list[str], letters: int = 1 << 16) -> list[list[str]]:
+    """Words of one length together, of about so many letters."""
     groups = defaultdict(list)
     for w in words:
         groups[len(w)].append(w)
-    return [g[i : i + most] for g in groups.values() for i in range(0, len(g), most)]
-
-
-def runs(word: str) -> list[str]:
-    return [word[i : i + LONGEST_WORD] for i in range(0, len(word), LONGEST_WORD)]
+    return [g[i : i + max(1, letters // n)] for n, g in groups.items() for i in range(0, len(g), max(1, letters // n))]
 
 
 def fit(pieces: list[str], texts: dict[str, list[str]], rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
@@ -113,7 +126,7 @@ def fit(pieces: list[str], texts: dict[str, list[str]], rounds: int = ROUNDS) ->
     lattices, columns = Lattices(pieces), []
     floor = 1e-7
     for lang in sorted(texts):
-        counts = Counter(r for t in texts[lang] for w in words_of(t) for r in runs(w))
+        counts = Counter(w for t in texts[lang] for w in words_of(t))
         built = [(lattices.build(g), np.array([counts[w] for w in g], float)) for g in _by_length(list(counts))]
         expected = np.zeros(lattices.n + 2)
         for ids, weight in built:  # start from how often a piece occurs at all
@@ -142,7 +155,7 @@ class Judge:
 
     def _learn(self, words: list[str]) -> None:
         for group in _by_length(words):
-            logs = np.log(self.lattices.forward(self.lattices.build(group), self.table)[-1])
+            logs = self.lattices.log_sums(self.lattices.build(group), self.table)
             first = len(self.rows)
             while len(self.logs) < first + len(group):
                 self.logs = np.concatenate([self.logs, np.zeros_like(self.logs)])
@@ -152,7 +165,6 @@ class Judge:
     def judge(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Predicted languages and scores (0 to 1); `und` and 0 for texts that are null or have no letter."""
         split = [words_of(t) if t else [] for t in texts]
-        split = [[r for w in ws for r in (runs(w) if len(w) > LONGEST_WORD else (w,))] for ws in split]
         if len(self.rows) > CACHED_WORDS:
             self._empty()
         self._learn([w for w in dict.fromkeys(w for ws in split for w in ws) if w not in self.rows])
@@ -170,24 +182,25 @@ class Judge:
 
 
 def training_texts(docs: DataFrame, trainable: Column, sample_docs: int = SAMPLE_DOCS) -> dict[str, list[str]]:
-    """Texts by language of at most sample_docs rows each, those whose id hashes lowest (bounded: sample_docs per language)."""
+    """Texts by language of at most sample_docs documents each, those whose ids hash lowest, in that order; of rows that share an id the smallest text."""
     known = docs.where(trainable & F.col("lang").isNotNull() & F.col("text").isNotNull())
     lowest = Window.partitionBy("lang").orderBy("h", "doc_id")
     chosen = (
-        known.select("doc_id", "lang", F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
-        .withColumn("nth", F.row_number().over(lowest)).where(F.col("nth") <= sample_docs).select("doc_id", "lang").distinct()
+        known.select("doc_id", "lang", F.xxhash64(F.col("doc_id").cast("string")).alias("h")).where("doc_id IS NOT NULL").distinct()
+        .withColumn("nth", F.row_number().over(lowest)).where(F.col("nth") <= sample_docs).select("doc_id", "lang", "h")
     )
+    read = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("lang", "h", "doc_id").agg(F.min("text").alias("text"))
     texts = defaultdict(list)
-    for row in known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").toLocalIterator():
-        if len(texts[row.lang]) < sample_docs:
-            texts[row.lang].append(row.text)
+    for row in sorted(read.collect(), key=lambda r: (r.lang, r.h, str(r.doc_id))):
+        texts[row.lang].append(row.text)
     return dict(texts)
 
 
 def language_filter(docs: DataFrame, pieces_path: str, trainable: Column, least: float = LEAST_SCORE) -> DataFrame:
     """The documents whose language is recognised, all columns as they are.
 
-    Rejected: null texts, texts without a letter, and scores under `least`. With no language to learn only the first two.
+    Rejected: null texts, texts without a letter, and scores under `least`. With no language to learn only the first two. Texts and words are read
+    whole, however long; repeated rows stay or go together; an empty table stays empty.
     """
     pieces = read_pieces(pieces_path)
     langs, table = fit(pieces, training_texts(docs, trainable))
@@ -211,7 +224,8 @@ def identify(docs: DataFrame, pieces_path: str, trainable: Column, passed: list[
     """doc_id (or the columns `passed`), lang_pred and score of every whole text.
 
     The model is fitted on rows where `trainable` holds and lang is known; scoring reads the text alone. With nothing to learn from, every
-    row is `und`. Repeated rows and ids are each scored.
+    row is `und`; so are null texts and those without a letter. Repeated rows and rows that share an id or have none are each scored. Texts and words
+    are read whole, however long. Of languages that score the same the first by name is told. An empty table gives no rows. Other columns do not matter.
     """
     passed = passed or ["doc_id"]
     pieces = read_pieces(pieces_path)
