@@ -6,7 +6,7 @@ The chunk index ends the file, so that a reader can go to any block:
 
     MAGIC | planes of block 0 | planes of block 1 | ... | index (JSON, zstandard) | its length (8 bytes) | MAGIC
 
-A task writes to a name of its own and renames at the end, so a task that runs twice leaves one file.
+A task writes to a name of its own, which the manifest keeps: of a task that runs twice one attempt's file is in it, and the other is never read.
 """
 
 from __future__ import annotations
@@ -197,8 +197,10 @@ def file_system(path: str) -> tuple[pafs.FileSystem, str]:
 def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int | None = 2, bits: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode whole texts and write them in ascending id order; returns the manifest (part, path, n_docs, n_ids), not yet run.
 
-    Rows are dealt out by ranges of the id, ties by the text's hash; null ids come first. Null texts are empty: they have the end
-    id alone. `path` is a folder that all executors reach. An empty table writes no file or files without documents.
+    Rows are dealt out by ranges of the id, ties by the text's hash; null ids come first. Null and empty texts have the end
+    id alone; long texts are encoded whole; repeated rows are written each. `path` is a folder that all executors reach, with its scheme (without
+    one: the local file system, for local sessions). An empty table writes no file or files without documents. Store the manifest once it has run: it names
+    the files. Columns of the table besides id and text do not matter.
     """
     with open(vocabulary, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -208,17 +210,16 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int |
         part = TaskContext.get().partitionId()
         fs, folder = file_system(path)
         fs.create_dir(folder, recursive=True)
-        name, mine = f"{folder}/part-{part:06d}.planes", f"{folder}/.{uuid.uuid4().hex}"
+        name = f"part-{part:06d}-{uuid.uuid4().hex}.planes"
         coder, n_docs = word_ids(spec.value), 0
-        with fs.open_output_stream(mine) as sink:
+        with fs.open_output_stream(f"{folder}/{name}") as sink:
             writer = PlaneWriter(sink, bits)
             for batch in batches:
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     writer.add(doc_id, np.frombuffer(coder.encode(text.as_py() or "") + end, "<u4"))
                     n_docs += 1
             n_ids = writer.close()
-        fs.move(mine, name)
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [f"{path}/part-{part:06d}.planes"], "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([n_ids], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [f"{path}/{name}"], "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([n_ids], pa.int64())})
 
     dealt = (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -256,21 +257,3 @@ def read_token_files(manifest: DataFrame, keep_ids: bool = True) -> DataFrame:
     tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     files = starts.select("path", "start").repartition(tasks, "path")
     return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if keep_ids else ""))
-
-
-def manifest_of(spark: SparkSession, path: str) -> DataFrame:
-    """The manifest of a folder of plane files, read from their indexes."""
-    fs, folder = file_system(path)
-    names = sorted(f.base_name for f in fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True)) if f.base_name.endswith(".planes"))
-    listed = spark.createDataFrame([(int(n[5:11]), f"{path}/{n}") for n in names], "part int, path string")
-
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tops = []
-            for name in batch.column(1).to_pylist():
-                fs, inner = file_system(name)
-                with fs.open_input_file(inner) as source:
-                    tops.append(PlaneReader(source).index)
-            yield pa.RecordBatch.from_pydict({"part": batch.column(0), "path": batch.column(1), "n_docs": pa.array([t["ids"]["n"] for t in tops], pa.int64()), "n_ids": pa.array([t["n"] for t in tops], pa.int64())})
-
-    return listed.repartition("path").mapInArrow(sizes, "part int, path string, n_docs long, n_ids long")
