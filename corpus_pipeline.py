@@ -39,8 +39,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places every byte of every document in a bin of a permitted length."""
-    return pack(docs)
+    """Places every token of every document in a sequence of a permitted length."""
+    return pack(docs, vocabulary("byte_bpe_50k.json"))
 
 
 STAGES = [
