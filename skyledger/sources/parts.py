@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _value(folder: str) -> str | None:
+    """The value in a partition folder's name."""
+    value = unquote(folder.split("=", 1)[1])
+    return None if value == "__HIVE_DEFAULT_PARTITION__" else value
+
+
 class PartStore:
     """Parts under a path, one folder for each (work, part). Reads of a few parts prune to their folders."""
 
@@ -24,8 +32,12 @@ class PartStore:
         return self.table().where((F.col("work") == work) & (F.col("part") == part))
 
     def present(self) -> DataFrame:
-        """(work, part) of all parts; read from the folders' names alone."""
-        return self.table().select("work", "part").distinct()
+        """(work, part) of all parts, from the folders' names: no file is opened. A name that stands for null is null."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.path}/work=*/part=*")
+        found = pattern.getFileSystem(conf).globStatus(pattern) or []
+        names = [(x.getPath().getParent().getName(), x.getPath().getName()) for x in found if x.isDirectory()]
+        return self.spark.createDataFrame([tuple(_value(n) for n in pair) for pair in names], "work string, part string")
 
     def load_many(self, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Rows of the wanted parts, and each wanted part's status: loaded or offline-or-missing."""

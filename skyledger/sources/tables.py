@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,3 +37,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """The rows written once, and marked for broadcast only if they were counted to be at most so many."""
+    kept = stored(df, "small")
+    return F.broadcast(kept) if kept.count() <= rows else kept
+
+
+class Dimensions:
+    """Tables of a folder that are read when first asked for, and once."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self.held = spark, folder, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.held:
+            self.held[name] = read(self.spark, self.folder, name)
+        return self.held[name]
