@@ -61,10 +61,10 @@ def e6(spark, sf_dir):
     return nested.blocks(lines_of(spark, sf_dir).select("doc_id", sections.alias("c")), ["doc_id"], "c")
 
 
-@query("a7_first_appearance", "SELECT source, min(doc_id) AS first, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS at FROM documents WHERE lang <> 'en' GROUP BY source".replace("AS at", 'AS "at"'))
+@query("a7_first_appearance", "WITH f AS (SELECT source, min(doc_id) AS first FROM documents GROUP BY source) SELECT d.doc_id, d.source, f.first, row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id) AS nth, dense_rank() OVER (ORDER BY f.first) AS nth_group FROM documents d JOIN f ON d.source IS NOT DISTINCT FROM f.source")
 def a7(spark, sf_dir):
-    grouped = records.first_appearance(read(spark, sf_dir, "documents").where("lang <> 'en'"), "source", "doc_id")
-    return grouped.select("source", "first", "n", F.array_join(F.col("at").cast("array<string>"), ",").alias("at"))
+    """Groups in the order of their first rows, rows in their own order within."""
+    return records.first_appearance(read(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id").select("doc_id", "source", "first", "nth", "nth_group")
 
 
 @query("a8_consecutive_runs", "WITH m AS (SELECT *, CASE WHEN lag(kind) OVER w IS NOT DISTINCT FROM kind AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS b FROM (SELECT user_id, event_id, CASE WHEN event_type IN ('view', 'click') THEN 'look' ELSE event_type END AS kind FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), r AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM m) SELECT user_id, CAST(run AS BIGINT) AS run, kind, count(*) AS n, min(event_id) AS start FROM r GROUP BY ALL")

@@ -8,6 +8,7 @@ from skyledger.catalog.dates import slot_sql, slot_spine
 from skyledger.functions import calendar as cal
 from skyledger.functions.fold import is_blank
 from skyledger.operators import records
+from skyledger.operators.order import with_position
 from skyledger.registry import query
 from skyledger.sources.tables import read, scratch
 
@@ -55,12 +56,10 @@ p AS (SELECT slot, count(*) FILTER (event_type IN ('view', 'click', 'purchase',
 @query("j9_heatmap_spine", f"WITH {MARKS_SQL} SELECT CAST(s AS INTEGER) AS slot, s = 60 AS skipped, CAST(coalesce(marks, 0) AS INTEGER) AS marks FROM range(1, 367) t(s) LEFT JOIN p ON p.slot = s")
 def j9(spark, sf_dir):
     """The 366 slots with 0 to 4 marks: one for each kind of event that happened on the slot's day."""
-    slots = read(spark, sf_dir, "events").select(cal.slot_of_date(F.col("ts")).alias("slot"), "event_type").distinct()
-    out = slot_spine(spark, 1999).select("slot", "skipped")
     kinds = ("view", "click", "purchase", "signup")
-    for kind in kinds:
-        out = out.join(slots.where(F.col("event_type") == kind).select("slot", F.lit(1).alias(kind)), "slot", "left")
-    return out.select("slot", "skipped", sum((F.col(k).isNotNull().cast("int") for k in kinds), F.lit(0)).alias("marks"))
+    marks = sum((F.bool_or(F.col("event_type") == k).cast("int") for k in kinds), F.lit(0)).alias("marks")
+    per_slot = read(spark, sf_dir, "events").groupBy(cal.slot_of_date(F.col("ts")).alias("slot")).agg(marks)
+    return slot_spine(spark, 1999).select("slot", "skipped").join(per_slot, "slot", "left").select("slot", "skipped", F.coalesce("marks", F.lit(0)).alias("marks"))
 
 
 @query("a9_capped_level", "SELECT user_id, CAST(CAST(ts AS DATE) AS DATE) AS d, count(*) AS marks, least(count(*), 4) AS level FROM events GROUP BY ALL")
@@ -132,14 +131,11 @@ def j20(spark, sf_dir):
     return slot_spine(spark, 1999).join(kept, "slot", "left").select("slot", F.col("hit").isNotNull().alias("kept"))
 
 
-@query("o1_two_key_sort", "SELECT event_id, CAST(row_number() OVER (ORDER BY CAST(ts AS DATE) DESC, value DESC, event_id) AS INTEGER) AS place FROM events QUALIFY place <= 100")
+@query("o1_two_key_sort", "SELECT event_id, row_number() OVER (ORDER BY CAST(ts AS DATE) DESC, value DESC, event_id) AS place FROM events")
 def o1(spark, sf_dir):
-    """The latest hundred entries, date then value descending; a top-k, so the place is numbered over a hundred rows."""
-    from pyspark.sql import Window
-
-    order = [F.desc("d"), F.desc("value"), "event_id"]
-    top = read(spark, sf_dir, "events").withColumn("d", F.to_date("ts")).orderBy(*order).limit(100)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(*order))).select("event_id", "place")
+    """Every entry with its place, date then value descending."""
+    entries = read(spark, sf_dir, "events").select("event_id", "value", F.to_date("ts").alias("d"))
+    return with_position(entries, F.desc("d"), F.desc("value"), F.asc("event_id")).select("event_id", (F.col("pos") + 1).alias("place"))
 
 
 @query("o2_slot_sort", f"SELECT user_id, list_aggregate(list_sort(list(DISTINCT {slot_sql('ts')})), 'string_agg', ',') AS slots FROM events GROUP BY user_id")
@@ -148,10 +144,10 @@ def o2(spark, sf_dir):
     return kept.select("user_id", F.array_join(F.col("s").cast("array<string>"), ",").alias("slots"))
 
 
-@query("o6_date_key_sort", "SELECT user_id, string_agg(DISTINCT strftime(ts, '%m-%d'), ' ' ORDER BY strftime(ts, '%m-%d')) AS days FROM events WHERE event_type = 'signup' GROUP BY user_id")
+@query("o6_date_key_sort", "SELECT user_id, string_agg(DISTINCT strftime(ts, '%m-%d'), ' ' ORDER BY strftime(ts, '%m-%d')) AS days FROM events GROUP BY user_id")
 def o6(spark, sf_dir):
     keys = F.array_sort(F.collect_set(F.date_format("ts", "MM-dd")))
-    return read(spark, sf_dir, "events").where("event_type = 'signup'").groupBy("user_id").agg(F.array_join(keys, " ").alias("days"))
+    return read(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(keys, " ").alias("days"))
 
 
 @query("p6_prefix_filter", "SELECT o_orderkey FROM orders WHERE starts_with(o_orderpriority, left(o_orderpriority, 1) || '-U') OR starts_with(o_orderpriority, '2')")
@@ -181,12 +177,25 @@ def p17(spark, sf_dir):
     return seen.withColumn("chosen", F.coalesce("session", "stored")).join(F.broadcast(themes), F.col("chosen") == F.col("name"), "left").select("user_id", "chosen", "note")
 
 
-@query("s9_schema_merge", """SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, coalesce(json_extract_string(props, '$.theme'), 'auto') AS theme, json_valid(props) AS sound, CAST(len(json_keys(props)) AS INTEGER) AS n_keys FROM events""")
+#: Stored records as text: plain, with a theme and a key that this version does not know, cut off, and no record at all.
+BLOB_SQL = """b AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN '{"k": ' || event_id || ', "theme": "dark", "novel": "n' || event_id || '"}' WHEN 2 THEN '{"k": ' || event_id ELSE '"' || event_type || '"' END AS blob FROM events)"""
+
+
+@query(
+    "s9_schema_merge",
+    f"""WITH {BLOB_SQL}, r AS (SELECT event_id, blob, json_valid(blob) AS sound, CASE WHEN json_valid(blob) THEN CASE WHEN json_type(blob) = 'OBJECT' THEN blob END END AS rec FROM b)
+    SELECT event_id, coalesce(CAST(json_extract(rec, '$.k') AS INTEGER), 0) AS k, coalesce(json_extract_string(rec, '$.theme'), 'auto') AS theme,
+      coalesce(array_to_string(list_transform(list_filter(json_keys(rec), lambda x: x NOT IN ('k', 'theme')), lambda x: x || '=' || json_extract_string(rec, '$.' || x)), ','), '') AS carried, CASE WHEN NOT sound THEN blob END AS aside FROM r""",
+)
 def s9(spark, sf_dir):
-    """Known keys typed with defaults, all keys carried as a map; broken records are told apart."""
-    record = F.from_json("props", "k int, theme string, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    keys = F.from_json("props", "map<string,string>")
-    return read(spark, sf_dir, "events").withColumn("r", record).select("event_id", "r.k", F.coalesce("r.theme", F.lit("auto")).alias("theme"), F.col("r._corrupt").isNull().alias("sound"), F.size(keys).alias("n_keys"))
+    """Known keys over their defaults, unknown keys carried along; of an unreadable record the text is kept aside and the defaults stand."""
+    i, kind = F.col("event_id"), F.col("event_id") % 4
+    newer = F.concat(F.lit('{"k": '), i, F.lit(', "theme": "dark", "novel": "n'), i, F.lit('"}'))
+    blob = F.when(kind == 0, F.col("props")).when(kind == 1, newer).when(kind == 2, F.concat(F.lit('{"k": '), i)).otherwise(F.concat(F.lit('"'), "event_type", F.lit('"')))
+    return records.adopted(read(spark, sf_dir, "events").select("event_id", blob.alias("blob")), "event_id", "blob", {"k": "0", "theme": "auto"}).select(
+        "event_id", F.col("record")["k"].cast("int").alias("k"), F.col("record")["theme"].alias("theme"),
+        F.array_join(F.transform(F.array_sort(F.map_entries("carried")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("carried"), "aside",
+    )
 
 
 @query("s10_legacy_migration", "SELECT DISTINCT 'sages:' || lpad(CAST(month(o_orderdate) AS VARCHAR), 2, '0') || '-' || lpad(CAST(day(o_orderdate) AS VARCHAR), 2, '0') AS k FROM orders")
@@ -198,18 +207,57 @@ def s10(spark, sf_dir):
     return read(spark, sf_dir, "orders").select(old.alias("old")).select(F.when(F.startswith("old", F.lit("sages:")), F.col("old")).otherwise(padded).alias("k")).distinct()
 
 
-@query("s11_export_json", """SELECT conv_id, '{"schema":1,"turns":[' || string_agg('{"turn":' || turn || ',"role":"' || role || '"}', ',' ORDER BY turn) || ']}' AS record FROM conversations GROUP BY conv_id""")
-def s11(spark, sf_dir):
-    turns = F.sort_array(F.collect_list(F.struct("turn", "role")))
-    return read(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("turns")).select("conv_id", F.to_json(F.struct(F.lit(1).alias("schema"), "turns")).alias("record"))
+EXPORTED = "2024-01-28T07:00:00.000Z"
 
 
-@query("s12_import_counts", f"WITH {ABSENT_SQL}, {TEXTS_SQL.replace('mine AS', 'mt AS').replace('theirs AS', 'tt AS')} SELECT 'kept' AS bucket, count(*) AS added FROM inc WHERE k NOT IN (SELECT k FROM mine) UNION ALL SELECT 'journal', count(*) FROM tt WHERE ref NOT IN (SELECT ref FROM mt)")
+@query("s11_export_json", f"""SELECT conv_id, '{{"app":"skyledger","schema":1,"exported":"{EXPORTED}","record":{{"turns":[' || string_agg('{{"turn":' || turn || ',"role":"' || role || '"}}', ',' ORDER BY turn) || ']}}}}' AS record FROM conversations GROUP BY conv_id""")
+def s11(spark, sf_dir):
+    """A record in its envelope: who wrote it, in which version, when."""
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role")))
+    envelope = F.struct(F.lit("skyledger").alias("app"), F.lit(1).alias("schema"), F.lit(EXPORTED).alias("exported"), F.struct("turns").alias("record"))
+    return read(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("turns")).select("conv_id", F.to_json(envelope).alias("record"))
+
+
+#: Two whole records as rows (bucket, k, v): this device's (mine) and the file's. Events give the buckets of marks and the days, conversations
+#: the journal, orders the examen and the plans.
+RECORDS_SQL = f"""{ABSENT_SQL.replace('mine AS', 'xm AS').replace('inc AS', 'xt AS')}, {TEXTS_SQL.replace('mine AS', 'jm AS').replace('theirs AS', 'jt AS')},
+marks AS (SELECT user_id % 2 = 0 AS is_mine, CASE event_type WHEN 'view' THEN 'kept' WHEN 'click' THEN 'checks' WHEN 'purchase' THEN 'practice' WHEN 'signup' THEN 'intents' ELSE 'prefs' END AS bucket, strftime(ts, '%m-%d %H') AS k, CAST(min(event_id) AS VARCHAR) AS v FROM events GROUP BY ALL),
+days AS (SELECT DISTINCT user_id % 2 = 0 AS is_mine, 'days' AS bucket, CAST(CAST(ts AS DATE) AS VARCHAR) AS k, '1' AS v FROM events WHERE user_id % 5 < 2),
+whole AS (SELECT * FROM marks UNION ALL SELECT * FROM days
+  UNION ALL SELECT true, 'examen', CAST(k AS VARCHAR), CAST(v AS VARCHAR) FROM xm UNION ALL SELECT false, 'examen', CAST(k AS VARCHAR), CAST(v AS VARCHAR) FROM xt
+  UNION ALL SELECT true, 'journal', CAST(ref AS VARCHAR), text FROM jm UNION ALL SELECT false, 'journal', CAST(ref AS VARCHAR), text FROM jt),
+pairs AS (SELECT coalesce(m.bucket, t.bucket) AS bucket, coalesce(m.k, t.k) AS k, m.k IS NULL AS added,
+  CASE WHEN m.k IS NULL THEN t.v WHEN m.bucket = 'journal' AND t.k IS NOT NULL AND length(coalesce(t.v, '')) > length(coalesce(m.v, '')) THEN t.v ELSE m.v END AS v
+  FROM (SELECT * FROM whole WHERE is_mine) m FULL JOIN (SELECT * FROM whole WHERE NOT is_mine) t ON m.bucket = t.bucket AND m.k = t.k)"""
+
+
+def whole_records(spark, sf_dir):
+    events = read(spark, sf_dir, "events").withColumn("is_mine", F.col("user_id") % 2 == 0)
+    kind = F.col("event_type")
+    bucket = F.when(kind == "view", "kept").when(kind == "click", "checks").when(kind == "purchase", "practice").when(kind == "signup", "intents").otherwise("prefs")
+    marks = events.groupBy("is_mine", bucket.alias("bucket"), F.date_format("ts", "MM-dd HH").alias("k")).agg(F.min("event_id").cast("string").alias("v"))
+    own_days = events.where("user_id % 5 < 2").select("is_mine", F.lit("days").alias("bucket"), F.to_date("ts").cast("string").alias("k"), F.lit("1").alias("v")).distinct()
+    orders = read(spark, sf_dir, "orders").where("o_orderstatus IN ('F', 'O')")
+    examen = orders.groupBy((F.col("o_orderstatus") == "F").alias("is_mine"), F.col("o_custkey").cast("string").alias("k")).agg(F.min("o_orderkey").cast("string").alias("v")).withColumn("bucket", F.lit("examen"))
+    talk = [side.select(F.lit(own).alias("is_mine"), F.lit("journal").alias("bucket"), F.col("ref").cast("string").alias("k"), F.col("text").alias("v")) for own, side in zip((True, False), two_records(spark, sf_dir), strict=True)]
+    whole = marks.unionByName(own_days).unionByName(examen).unionByName(talk[0]).unionByName(talk[1])
+    return records.imported(whole.where("is_mine"), whole.where("NOT is_mine"), ["journal"])
+
+
+@query("s12_import_counts", f"WITH {RECORDS_SQL} SELECT bucket, count(*) FILTER (added) AS added FROM pairs WHERE bucket IN ('kept', 'checks', 'days', 'journal', 'examen', 'practice') GROUP BY bucket")
 def s12(spark, sf_dir):
-    kept = j10(spark, sf_dir).where("added").select(F.lit("kept").alias("bucket"))
-    mine, theirs = two_records(spark, sf_dir)
-    journal = theirs.join(mine.select("ref"), "ref", "left_anti").select(F.lit("journal").alias("bucket"))
-    return kept.unionByName(journal).groupBy("bucket").agg(F.count("*").alias("added"))
+    """How many entries of the file were new, for each of the six buckets that are told."""
+    told = whole_records(spark, sf_dir).where(F.col("bucket").isin("kept", "checks", "days", "journal", "examen", "practice"))
+    return told.groupBy("bucket").agg(F.count_if("added").alias("added"))
+
+
+@query("s12_import_merge", f"WITH {RECORDS_SQL} SELECT bucket, k, v, added FROM pairs UNION ALL SELECT 'canon', CAST(id AS VARCHAR), coalesce(CAST(start AS VARCHAR), '-') || ' ' || done, NOT own FROM (WITH {PLANS_SQL.replace('b AS (SELECT * FROM mine UNION ALL SELECT * FROM theirs)', 'b AS (SELECT *, true AS own FROM mine UNION ALL SELECT *, false FROM theirs)')} SELECT id, CAST(min(start) AS DATE) AS start, array_to_string(list_sort(list_distinct(flatten(list(done)))), ',') AS done, bool_or(own) AS own FROM b GROUP BY id)")
+def s12_merge(spark, sf_dir):
+    """The merged record: every entry of both, plans with the earliest known start and all days done."""
+    orders = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.bool_or(F.col("o_orderstatus") == "F").alias("own"))
+    plans = a11_plans(spark, sf_dir).join(orders, "id")
+    canon = plans.select(F.lit("canon").alias("bucket"), F.col("id").cast("string").alias("k"), F.concat_ws(" ", F.coalesce(F.col("start").cast("string"), F.lit("-")), "done").alias("v"), (~F.col("own")).alias("added"))
+    return whole_records(spark, sf_dir).select("bucket", "k", "v", "added").unionByName(canon)
 
 
 @query("s13_file_round_trip", "SELECT n_nationkey, n_name, n_regionkey FROM nation")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyledger.operators.order import with_position, with_position_in
+from skyledger.sources.tables import small
+
 
 def islands(days: DataFrame, key: str, day: str) -> DataFrame:
     """Runs of consecutive dates: key, first_day, last_day, length. Repeated dates count once, null dates not at all."""
@@ -70,14 +73,53 @@ def progress(done: Column, total: int = 366) -> Column:
     return F.floor(done / total * 100 + 0.5).cast("int")
 
 
+def adopted(rows: DataFrame, key: str, blob: str, defaults: dict[str, str]) -> DataFrame:
+    """Stored JSON records read over defaults: key, record (known keys, as text), carried (keys unknown here) and aside (the text of an unreadable record).
+
+    A null, unreadable or keyless record leaves the defaults.
+    """
+    sound = F.try_parse_json(F.col(blob)).isNotNull()
+    held = F.when(sound & F.startswith(F.ltrim(F.col(blob)), F.lit("{")), F.from_json(F.col(blob), "map<string,string>"))
+    held = F.coalesce(held, F.create_map().cast("map<string,string>"))
+    known = F.map_from_arrays(F.array(*map(F.lit, defaults)), F.array(*(F.coalesce(F.try_element_at("_held", F.lit(k)), F.lit(v)) for k, v in defaults.items())))
+    carried = F.map_filter("_held", lambda k, _: ~k.isin(list(defaults)))
+    aside = F.when(F.col(blob).isNotNull() & ~sound, F.col(blob))
+    return rows.select(key, held.alias("_held"), aside.alias("aside")).select(key, known.alias("record"), carried.alias("carried"), "aside")
+
+
+def imported(mine: DataFrame, theirs: DataFrame, longest: list[str]) -> DataFrame:
+    """A record and one that is read in, as rows (bucket, k, v): all keys of both, with column added for those that only theirs has.
+
+    Of a key that both have mine stays; in the buckets `longest` the longer value does, of equal lengths mine. Nothing is dropped.
+    """
+    both = mine.select("bucket", "k", "v", F.lit(1).alias("_mine")).unionByName(theirs.select("bucket", "k", "v", F.lit(0).alias("_mine")))
+    weight = F.when(F.col("bucket").isin(longest), F.length(F.coalesce("v", F.lit("")))).otherwise(0)
+    return both.groupBy("bucket", "k").agg(F.max_by("v", F.struct(weight, "_mine")).alias("v"), (F.max("_mine") == 0).alias("added"))
+
+
 def first_appearance(rows: DataFrame, group: str, order: str) -> DataFrame:
-    """Groups by first appearance: group, first, n and the order values of their rows, ascending."""
-    return rows.groupBy(group).agg(F.min(order).alias("first"), F.count("*").alias("n"), F.sort_array(F.collect_list(order)).alias("at"))
+    """The rows with their group's place by first appearance (nth_group, from 1), its first order value and their own place in the group (from 1)."""
+    placed = with_position_in(rows, [group], [order], size="in_group")
+    firsts = rows.groupBy(group).agg(F.min(order).alias("first"))
+    ranked = with_position(firsts, "first", group, name="_rank").select(F.col(group).alias("_group"), "first", (F.col("_rank") + 1).alias("nth_group"))
+    joined = placed.join(small(ranked), placed[group].eqNullSafe(F.col("_group")))
+    return joined.withColumn("nth", F.col("pos") + 1).drop("pos", "_group", "in_group")
 
 
 def runs(rows: DataFrame, part: str, order: str, value: str) -> DataFrame:
-    """Groups of consecutive rows with the same value: part, run (from 1), value, n, first order. Nulls are equal to each other."""
-    w = Window.partitionBy(part).orderBy(order)
-    begins = F.when((F.row_number().over(w) > 1) & F.col(value).eqNullSafe(F.lag(value).over(w)), 0).otherwise(1)
-    marked = rows.withColumn("_new", begins).withColumn("run", F.sum("_new").over(w))
-    return marked.groupBy(part, "run", value).agg(F.count("*").alias("n"), F.min(order).alias("start"))
+    """Groups of consecutive rows with the same value: part, run (from 1), value, n, first order. Nulls are equal to each other.
+
+    All rows have one global order. A row is joined with the one before it, and the rows that begin a run with the next such row, so a part of any size
+    is spread over tasks.
+    """
+    placed = with_position(rows.select(part, order, value), part, order)
+    before = placed.select((F.col("pos") + 1).alias("pos"), F.col(part).alias("_part"), F.col(value).alias("_value"), F.lit(True).alias("_there"))
+    same = F.col("_there") & F.col(part).eqNullSafe(F.col("_part")) & F.col(value).eqNullSafe(F.col("_value"))
+    begins = placed.join(before, "pos", "left").where(~F.coalesce(same, F.lit(False))).select(part, order, value, "pos")
+    total = placed.agg(F.count("*").alias("_total"))
+    starts = with_position(begins, "pos", name="_k").crossJoin(F.broadcast(total))  # one row
+    after = starts.select((F.col("_k") - 1).alias("_k"), F.col("pos").alias("_next"))
+    sized = starts.join(after, "_k", "left").withColumn("n", F.coalesce("_next", "_total") - F.col("pos"))
+    first = starts.groupBy(part).agg(F.min("_k").alias("_first")).withColumnRenamed(part, "_part")
+    joined = sized.join(small(first), sized[part].eqNullSafe(F.col("_part")))
+    return joined.select(part, (F.col("_k") - F.col("_first") + 1).alias("run"), value, "n", F.col(order).alias("start"))
