@@ -53,9 +53,18 @@ def f19(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", F.dayofyear("o_orderdate").alias("day_of_year"))
 
 
-@query("f20_long_date", "SELECT o_orderkey, strftime(o_orderdate, '%A, %B %-d, %Y') AS long_date FROM orders")
+@query(
+    "f20_long_date",
+    """WITH k AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'soon' WHEN 3 THEN strftime(o_orderdate, '%Y-%m') WHEN 4 THEN strftime(o_orderdate, '%Y-%-m-%-d') ELSE strftime(o_orderdate, '%Y-%m-') || '31' END AS key FROM orders),
+    p AS (SELECT *, string_split(key, '-') AS p FROM k)
+    SELECT o_orderkey, CASE WHEN coalesce(key, '') = '' THEN '' WHEN len(p) <> 3 THEN key
+      ELSE strftime(make_date(CAST(p[1] AS INTEGER), CAST(p[2] AS INTEGER), 1) + CAST(CAST(p[3] AS INTEGER) - 1 AS INTEGER), '%A, %B %-d, %Y') END AS long_date FROM p""",
+)
 def f20(spark, sf_dir):
-    return read(spark, sf_dir, "orders").select("o_orderkey", cal.long_date(F.col("o_orderdate")).alias("long_date"))
+    """Date keys told in words: padded or not, past the month's end, of two parts, no date at all, empty, absent."""
+    d, kind = F.col("o_orderdate"), F.col("o_orderkey") % 6
+    key = F.when(kind == 1, "").when(kind == 2, "soon").when(kind == 3, F.date_format(d, "yyyy-MM")).when(kind == 4, F.date_format(d, "yyyy-M-d")).when(kind == 5, F.concat(F.date_format(d, "yyyy-MM-"), F.lit("31")))
+    return read(spark, sf_dir, "orders").select("o_orderkey", cal.long_date_of_key(key).alias("long_date"))
 
 
 @query("f21_zone_offset", f"SELECT o_orderkey, CAST(epoch((CAST(o_orderdate AS TIMESTAMP) AT TIME ZONE 'UTC' AT TIME ZONE '{ZONE}') - CAST(o_orderdate AS TIMESTAMP)) / 60 AS INTEGER) AS minutes FROM orders")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skyledger.catalog.dates import slot_spine
-from skyledger.operators.order import balanced_chunks
+from skyledger.operators.order import balanced_chunks, chunk_of, with_position_in
 from skyledger.plans import reading
 from skyledger.registry import query
 from skyledger.sources.tables import read
@@ -158,12 +158,22 @@ def j11(spark, sf_dir):
     return reading.first_end_at_least(verses, "verse", chapters, "stop").select("p_partkey", "verse", "chapter")
 
 
-@query("j21_month_of_plan", f"WITH {PLAN_SQL}, {LABEL_SQL}, s AS (SELECT CAST(x AS INTEGER) AS slot, CAST(day(DATE '2000-01-01' + CAST(x - 1 AS INTEGER)) AS INTEGER) AS d FROM range(1, 367) t(x) WHERE month(DATE '2000-01-01' + CAST(x - 1 AS INTEGER)) = 2), done AS (SELECT DISTINCT CAST(o_custkey % 366 + 1 AS INTEGER) AS slot FROM orders WHERE o_orderstatus = 'P') SELECT s.slot, d, label, done.slot IS NOT NULL AS done, s.slot = 60 AS skipped FROM s JOIN labels USING (slot) LEFT JOIN done ON done.slot = s.slot")
+HELD_SQL = "parts AS (SELECT p_partkey FROM part WHERE p_retailprice < 1500), here AS (SELECT slot, bool_and(p_partkey IS NOT NULL) AS held FROM (SELECT DISTINCT slot, book FROM plan) LEFT JOIN parts ON book = p_partkey GROUP BY slot)"
+
+
+def held_days(spark, sf_dir):
+    """Whether all parts that a day needs are held."""
+    parts = read(spark, sf_dir, "part").where("p_retailprice < 1500").select(F.col("p_partkey").alias("book"), F.lit(True).alias("held"))
+    need = plan(spark, sf_dir).select("slot", "book").distinct()
+    return need.join(parts, "book", "left").groupBy("slot").agg(F.bool_and(F.coalesce("held", F.lit(False))).alias("held"))
+
+
+@query("j21_month_of_plan", f"WITH {PLAN_SQL}, {LABEL_SQL}, {HELD_SQL}, s AS (SELECT CAST(x AS INTEGER) AS slot, CAST(day(DATE '2000-01-01' + CAST(x - 1 AS INTEGER)) AS INTEGER) AS d FROM range(1, 367) t(x) WHERE month(DATE '2000-01-01' + CAST(x - 1 AS INTEGER)) = 2), done AS (SELECT DISTINCT CAST(o_custkey % 366 + 1 AS INTEGER) AS slot FROM orders WHERE o_orderstatus = 'P') SELECT s.slot, d, label, held, done.slot IS NOT NULL AS done, s.slot = 60 AS skipped FROM s JOIN labels USING (slot) JOIN here USING (slot) LEFT JOIN done ON done.slot = s.slot")
 def j21(spark, sf_dir):
-    """A month's slots with label, done and skipped flags."""
+    """A month's slots with label, held, done and skipped flags."""
     done = read(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select((F.col("o_custkey") % 366 + 1).cast("int").alias("slot")).distinct().withColumn("hit", F.lit(1))
-    spine = slot_spine(spark, 1999).where("m = 2")
-    return spine.join(reading.day_labels(plan(spark, sf_dir)), "slot").join(done, "slot", "left").select("slot", "d", "label", F.col("hit").isNotNull().alias("done"), "skipped")
+    days = slot_spine(spark, 1999).where("m = 2").join(reading.day_labels(plan(spark, sf_dir)), "slot").join(held_days(spark, sf_dir), "slot")
+    return days.join(done, "slot", "left").select("slot", "d", "label", "held", F.col("hit").isNotNull().alias("done"), "skipped")
 
 
 PLANS_SQL = "a AS (SELECT role, conv_id, turn, CAST(ntile(40) OVER (PARTITION BY role ORDER BY conv_id, turn) AS INTEGER) AS slot FROM conversations)"
@@ -171,14 +181,11 @@ PLANS_SQL = "a AS (SELECT role, conv_id, turn, CAST(ntile(40) OVER (PARTITION BY
 
 @query("j22_slot_across_plans", f"WITH {PLANS_SQL} SELECT role, min(conv_id * 1000 + turn) AS first, max(conv_id * 1000 + turn) AS last, count(*) AS n FROM a WHERE slot = 7 GROUP BY role")
 def j22(spark, sf_dir):
-    """The same slot of every plan."""
-    found = None
-    talk = read(spark, sf_dir, "conversations").select("role", "conv_id", "turn")
-    for role in ("system", "user", "assistant"):
-        day = balanced_chunks(talk.where(F.col("role") == role), ["conv_id", "turn"], 40).where("slot = 7").drop("pos")
-        found = day if found is None else found.unionByName(day)
+    """The same slot of every plan, whatever plans there are: one global order serves them all."""
+    placed = with_position_in(read(spark, sf_dir, "conversations").select("role", "conv_id", "turn"), ["role"], ["conv_id", "turn"])
     key = F.col("conv_id") * 1000 + F.col("turn")
-    return found.groupBy("role").agg(F.min(key).alias("first"), F.max(key).alias("last"), F.count("*").alias("n"))
+    day = placed.where(chunk_of(F.col("pos"), F.col("n"), 40) == 7)
+    return day.groupBy("role").agg(F.min(key).alias("first"), F.max(key).alias("last"), F.count("*").alias("n"))
 
 
 @query("p9_parts_of_a_day", f"WITH {PLAN_SQL} SELECT DISTINCT slot, p_brand AS work, book FROM plan JOIN part ON book = p_partkey")
@@ -188,11 +195,9 @@ def p9(spark, sf_dir):
     return days.join(read(spark, sf_dir, "part"), F.col("book") == F.col("p_partkey")).select("slot", F.col("p_brand").alias("work"), "book").distinct()
 
 
-@query("p10_all_parts_local", f"WITH {PLAN_SQL}, held AS (SELECT p_partkey FROM part WHERE p_retailprice < 1500) SELECT slot, bool_and(p_partkey IS NOT NULL) AS is_local FROM (SELECT DISTINCT slot, book FROM plan) LEFT JOIN held ON book = p_partkey GROUP BY slot")
+@query("p10_all_parts_local", f"WITH {PLAN_SQL}, {HELD_SQL} SELECT slot, held AS is_local FROM here")
 def p10(spark, sf_dir):
-    held = read(spark, sf_dir, "part").where("p_retailprice < 1500").select(F.col("p_partkey").alias("book"), F.lit(True).alias("held"))
-    need = plan(spark, sf_dir).select("slot", "book").distinct()
-    return need.join(held, "book", "left").groupBy("slot").agg(F.bool_and(F.coalesce("held", F.lit(False))).alias("is_local"))
+    return held_days(spark, sf_dir).select("slot", F.col("held").alias("is_local"))
 
 
 @query("e12_ticks_and_sectors", "SELECT CAST(d AS INTEGER) AS tick, CAST(d // 30 AS INTEGER) AS sector, d % 30 = 0 AS cusp FROM range(0, 360) t(d)")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from skyledger.catalog.dates import slot_spine
 from skyledger.functions import calendar as cal
 from skyledger.operators import ranges
+from skyledger.operators.order import with_position
 from skyledger.registry import query
 from skyledger.sources.tables import read
 
@@ -80,7 +81,8 @@ def j3(spark, sf_dir):
 
 #: Where the twelve signs begin, as month * 100 + day, in the order of the year; the tenth wraps over the year's end.
 SIGN_STARTS = [321, 420, 521, 621, 723, 823, 923, 1023, 1122, 1222, 120, 219]
-SIGN_ENDS = [419, 520, 620, 722, 822, 922, 1022, 1121, 1221, 119, 218, 320]
+#: The day before the next sign begins; none begins on the first of a month.
+SIGN_ENDS = [start - 1 for start in [*SIGN_STARTS[1:], SIGN_STARTS[0]]]
 SIGNS_SQL = "g(i, lo, hi) AS (VALUES " + ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(zip(SIGN_STARTS, SIGN_ENDS, strict=True))) + ")"
 
 
@@ -108,9 +110,10 @@ def j16(spark, sf_dir):
     return aspects(spark, sf_dir)
 
 
-@query("o5_sort_by_closeness", f"WITH {POINTS_SQL} SELECT chart, a, b, orb FROM h ORDER BY orb, chart, a, b LIMIT 20")
+@query("o5_sort_by_closeness", f"WITH {POINTS_SQL} SELECT chart, a, b, orb, row_number() OVER (ORDER BY orb, chart, a, b) AS place FROM h")
 def o5(spark, sf_dir):
-    return aspects(spark, sf_dir).select("chart", "a", "b", "orb").orderBy("orb", "chart", "a", "b").limit(20)
+    """All aspects with their place, the closest first."""
+    return with_position(aspects(spark, sf_dir).select("chart", "a", "b", "orb"), "orb", "chart", "a", "b").withColumn("place", F.col("pos") + 1).drop("pos")
 
 
 RELATIONS = ["conjunct", "semi-sextile", "sextile", "square", "trine", "quincunx", "opposition"]

@@ -72,6 +72,14 @@ def long_date(date: Column) -> Column:
     return F.date_format(date, "EEEE, MMMM d, yyyy")
 
 
+def long_date_of_key(key: Column) -> Column:
+    """The long date of a YYYY-M-D key; nothing for none, a key of other than three parts as it is. Days and months over the end run on."""
+    part = F.split(key, "-")
+    year, month, day = (F.get(part, F.lit(i)).try_cast("int") for i in range(3))
+    date = F.date_add(F.add_months(F.make_date(year, F.lit(1), F.lit(1)), month - 1), day - 1)
+    return F.when(F.coalesce(key, F.lit("")) == "", "").when(F.size(part) != 3, key).otherwise(F.coalesce(long_date(date), F.lit("Invalid Date")))
+
+
 def zone_offset_minutes(ts: Column, zone: str | Column) -> Column:
     """Minutes that a zone is ahead of UTC at an instant."""
     return F.timestamp_diff("MINUTE", ts.cast("timestamp_ntz"), in_zone(ts, zone)).cast("int")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyledger.operators.order import chunk_of, with_position_in
+from skyledger.sources.tables import small
+
 
 def chapter_units(books: DataFrame, book: str, chapters: str) -> DataFrame:
     """One row per chapter of every book, chapters numbered from 1; books without chapters give none."""
@@ -14,13 +17,16 @@ def chapter_units(books: DataFrame, book: str, chapters: str) -> DataFrame:
 def varied_days(units: DataFrame, section: str, order: str, many: Column, days_many: int, days_few: int) -> DataFrame:
     """Cuts every section into days_many days where `many` holds and into days_few elsewhere; slots run on over sections.
 
-    A section's rows are numbered in one task, so sections must be small next to the table.
+    A row's day follows from its place in the section and the section's size, so no section is held by one task.
     """
-    w = Window.partitionBy(section).orderBy(order)
-    cut = units.where(many).withColumn("day", F.ntile(days_many).over(w)).unionByName(units.where(~many).withColumn("day", F.ntile(days_few).over(w)))
-    days = units.select(section, many.alias("_many")).distinct().withColumn("_days", F.when(F.col("_many"), days_many).otherwise(days_few))
-    before = Window.orderBy(section).rowsBetween(Window.unboundedPreceding, -1)  # one row per section
-    return cut.join(F.broadcast(days.withColumn("_before", F.coalesce(F.sum("_days").over(before), F.lit(0))).select(section, "_before")), section).withColumn("slot", (F.col("_before") + F.col("day")).cast("int")).drop("_before")
+    placed = with_position_in(units.withColumn("_many", many), [section], [order], name="_place", size="_n")
+    days = F.when(F.col("_many"), days_many).otherwise(days_few)
+    sections = units.select(F.col(section).alias("_section"), many.alias("_many")).groupBy("_section").agg(F.bool_or("_many").alias("_many")).withColumn("_days", days)
+    before = Window.orderBy("_section").rowsBetween(Window.unboundedPreceding, -1)  # one row per section
+    starts = small(sections.select("_section", F.coalesce(F.sum("_days").over(before), F.lit(0)).alias("_before")))
+    joined = placed.withColumn("_days", days).join(starts, F.col(section).eqNullSafe(F.col("_section")))
+    slot = (F.col("_before") + chunk_of(F.col("_place"), F.col("_n"), F.col("_days"))).cast("int")
+    return joined.withColumn("slot", slot).drop("_many", "_place", "_n", "_days", "_section", "_before")
 
 
 def day_labels(units: DataFrame) -> DataFrame:
@@ -50,7 +56,7 @@ def passages_of_days(plan: DataFrame, spans: DataFrame) -> DataFrame:
     A span is spread to its verses, so the join is on equality and no pair is tried in vain.
     """
     verses = spans.withColumn("verse", F.explode(F.sequence("lo", "hi")))
-    return plan.join(verses, "verse").drop("verse").dropDuplicates(["slot", "lo"])
+    return plan.join(verses, "verse").drop("verse").dropDuplicates(["slot", "lo", "hi"])
 
 
 def span_bounds(label: Column) -> tuple[Column, Column]:
