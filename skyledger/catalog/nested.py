@@ -101,8 +101,18 @@ def f49(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.get(F.split("text", " "), F.lit(3)), F.lit("-")).alias("fourth"))
 
 
-@query("o7_spread_angles")
+@query(
+    "o7_spread_angles",
+    """WITH RECURSIVE e AS (SELECT user_id, event_type, CAST(max(event_id) * 137 % 360 AS DOUBLE) AS x FROM events GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY x, event_type) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM e),
+    s AS (SELECT user_id, any_value(n) AS n, list(x ORDER BY i) AS p, 0 AS step FROM r GROUP BY user_id
+      UNION ALL SELECT user_id, n, list_transform(range(1, n + 1), lambda i: p[i] - CASE WHEN i = step % n + 1 THEN push ELSE 0 END + CASE WHEN i = (step + 1) % n + 1 THEN push ELSE 0 END), step + 1
+        FROM (SELECT *, CASE WHEN gap < 7 THEN (7 - gap) / 4 ELSE 0 END AS push FROM (SELECT *, p[(step + 1) % n + 1] - p[step % n + 1] + CASE WHEN (step + 1) % n = 0 THEN 360 ELSE 0 END AS gap FROM s WHERE n > 1 AND step < 40 * n)))
+    SELECT r.user_id, event_type, x, round(s.p[i], 6) AS shown FROM r JOIN s ON r.user_id = s.user_id AND step = CASE WHEN r.n > 1 THEN 40 * r.n ELSE 0 END""",
+)
 def o7(spark, sf_dir):
-    """Display angles of each user's points (the last event of each type) pushed apart; an iteration, tested against plain Python."""
+    """Display angles of each user's points (the last event of each type) pushed apart, told beside the angles that they came from."""
     points = read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg((F.max("event_id") * 137 % 360).cast("double").alias("x"))
-    return points.groupBy("user_id").agg(F.sort_array(F.collect_list("x")).alias("x")).select("user_id", nested.spread_angles(F.col("x")).alias("angles"))
+    wheel = points.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_type", "x"))).alias("p"))  # one row per event type
+    shown = wheel.withColumn("y", nested.spread_angles(F.col("p.x")))
+    return shown.select("user_id", F.explode(F.arrays_zip("p", "y")).alias("z")).select("user_id", "z.p.event_type", "z.p.x", F.round("z.y", 6).alias("shown"))

@@ -7,9 +7,12 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from skyledger.catalog.dates import LAT, LON, places
+from skyledger.catalog.dates import LAT, LON, ZONE, places
+from skyledger.catalog.ranges import SIGNS_SQL as RANGES_SQL
+from skyledger.catalog.ranges import signs
 from skyledger.functions import calendar as cal
 from skyledger.functions import sky
+from skyledger.operators import ranges
 from skyledger.registry import query
 from skyledger.sources.tables import read
 
@@ -98,7 +101,7 @@ def f30(spark, sf_dir):
     return event_places(spark, sf_dir).select("event_id", F.round(sky.solar_altitude(F.col("ts"), F.col("lat"), F.col("lon")), 5).alias("altitude"))
 
 
-PHASE_SQL = f"WITH {EVENT_PLACES}, {altitude_sql('e', 'a', 'ts')}, l AS (SELECT *, ts + INTERVAL 10 MINUTE AS later FROM a), {altitude_sql('l', 'b', 'later')}, p AS (SELECT *, CASE WHEN a_alt < -6 THEN 'night' WHEN a_alt >= 10 THEN 'day' WHEN b_alt > a_alt THEN 'firstlight' ELSE 'dusk' END AS phase FROM b)"
+PHASE_SQL = f"WITH {EVENT_PLACES}, {altitude_sql('e', 'a', 'ts')}, l AS (SELECT *, ts + INTERVAL 10 MINUTE AS later FROM a), {altitude_sql('l', 'b', 'later')}, p AS (SELECT *, CASE WHEN a_alt < -6 THEN 'night' WHEN a_alt >= 10 THEN 'day' WHEN b_alt > a_alt THEN 'dawn' ELSE 'dusk' END AS phase FROM b)"
 
 
 @query("f31_sun_phase", PHASE_SQL + " SELECT event_id, phase FROM p")
@@ -158,22 +161,39 @@ def f36(spark, sf_dir):
     return rows.select("event_id", (F.col("i") + 1).alias("house"), F.col("c.w").alias("whole_cusp"), F.round("c.q", 4).alias("equal_cusp"))
 
 
-def _placidus_sql() -> str:
-    """The four intermediate cusps by the same twelve rounds, as a recursive query."""
+#: Charts are drawn for every event: at places up to 75 degrees from the equator, some at an instant three hundred years on.
+CHART_LAT = f"(CASE WHEN event_id % 5 = 0 THEN {LAT} * 1.25 ELSE {LAT} END)"
+CHART_SQL = ANGLES_SQL.replace(f"{LAT} AS lat", f"{CHART_LAT} AS lat").replace("ON user_id % 25 = n_nationkey", "ON user_id % 25 = n_nationkey WHERE event_id % 97 > 0")
+
+
+def charted(spark, sf_dir):
+    """Every event's place and instant (column ts), with its angles, within the years 1700 to 2200; and the events outside them."""
+    at = event_places(spark, sf_dir).withColumn("lat", F.when(F.col("event_id") % 5 == 0, F.col("lat") * 1.25).otherwise(F.col("lat")))
+    at = at.withColumn("at", F.when(F.col("event_id") % 97 == 0, F.col("ts") + F.expr("INTERVAL 300 YEARS")).otherwise(F.col("ts")))
+    inside = F.year("at").between(1700, 2200)
+    return with_angles(at.where(inside).drop("at")), at.where(~inside).select("event_id")
+
+
+def _placidus_ctes() -> str:
+    """The four intermediate cusps by the same twelve rounds, and from them all twelve (pc), null unless ok."""
     spec = ", ".join(f"({h}, {o}::DOUBLE, {f!r}::DOUBLE, {s})" for h, o, f, s in sky.PLACIDUS)
     lam = "atan2(sin(radians(ra)), cos(radians(ra)) * cos(eps))"
     x = f"tan(radians(lat)) * tan(asin(sin(eps) * sin({lam})))"
-    return f"""WITH RECURSIVE {ANGLES_SQL}, spec(house, off, share, sgn) AS (VALUES {spec}),
+    c = {h: f"max(cusp) FILTER (house = {h})" for h in (11, 12, 2, 3)}
+    half = ["asc_", "c2", "c3", norm_sql("mc + 180"), norm_sql("c11 + 180"), norm_sql("c12 + 180"), norm_sql("asc_ + 180"), norm_sql("c2 + 180"), norm_sql("c3 + 180"), "mc", "c11", "c12"]
+    return f"""spec(house, off, share, sgn) AS (VALUES {spec}),
     it AS (SELECT event_id, lat, eps, ramc, house, off, share, sgn, 0 AS n, ramc + off AS ra FROM angles, spec
-      UNION ALL SELECT event_id, lat, eps, ramc, house, off, share, sgn, n + 1, CASE WHEN abs({x}) <= 1 THEN ramc + off + degrees(asin({x})) * (sgn * share) END FROM it WHERE n < 12)
-    SELECT event_id, CAST(house AS INTEGER) AS house, round({norm_sql('degrees(' + lam + ')')}, 4) AS cusp FROM it WHERE n = 12"""
+      UNION ALL SELECT event_id, lat, eps, ramc, house, off, share, sgn, n + 1, CASE WHEN abs({x}) <= 1 THEN ramc + off + degrees(asin({x})) * (sgn * share) END FROM it WHERE n < 12),
+    four AS (SELECT event_id, count(cusp) = 4 AS ok, {c[11]} AS c11, {c[12]} AS c12, {c[2]} AS c2, {c[3]} AS c3 FROM (SELECT event_id, house, {norm_sql('degrees(' + lam + ')')} AS cusp FROM it WHERE n = 12) GROUP BY event_id),
+    placed AS (SELECT angles.*, ok, CASE WHEN ok THEN [{', '.join(half)}] END AS pc FROM angles JOIN four USING (event_id))"""
 
 
-@query("f37_placidus", _placidus_sql())
+@query("f37_placidus", f"WITH RECURSIVE {CHART_SQL}, {_placidus_ctes()} SELECT event_id, CAST(i AS INTEGER) AS house, round(pc[i], 4) AS cusp FROM placed, range(1, 13) r(i)")
 def f37(spark, sf_dir):
-    at = with_angles(event_places(spark, sf_dir))
-    cusps = F.array(*(F.struct(F.lit(h).alias("house"), F.round(sky.placidus_cusp(F.col("ramc"), F.col("eps"), F.col("lat"), h), 4).alias("cusp")) for h, *_ in sky.PLACIDUS))
-    return at.select("event_id", F.explode(cusps).alias("c")).select("event_id", "c.house", "c.cusp")
+    """All twelve cusps, or none where one of them is undefined."""
+    at = sky.with_placidus(charted(spark, sf_dir)[0])
+    cusps = F.array(*sky.placidus_cusps(F.col("asc_"), F.col("mc")))
+    return at.select("event_id", F.posexplode(cusps).alias("i", "c")).select("event_id", (F.col("i") + 1).alias("house"), F.round("c", 4).alias("cusp"))
 
 
 AGE_SQL = f"(((epoch_us(CAST(ts AS TIMESTAMP)) // 1000 - {sky.NEW_MOON_MS}) / 86400000.0::DOUBLE) % {sky.SYNODIC}::DOUBLE)"
@@ -194,41 +214,131 @@ def f39(spark, sf_dir):
 )
 def f40(spark, sf_dir):
     at = with_angles(event_places(spark, sf_dir)).withColumn("sun", sky.turn(body_lon())).withColumn("moon", sky.turn(body_lon() * 13))
-    at = at.withColumn("house", sky.house_of(F.col("sun"), sky.whole_sign_cusps(F.col("asc_"))))
+    at = at.withColumn("house", sky.house_from(F.col("sun"), sky.whole_sign_start(F.col("asc_"))))
     fortune = sky.part_of_fortune(F.col("asc_"), F.col("sun"), F.col("moon"), F.col("house").between(7, 12))
     return at.select("event_id", F.col("house").alias("sun_house"), F.round(fortune, 4).alias("fortune"))
 
 
+#: Ten bodies; each one's longitude and daily motion are made from the event's number, a stand-in for an ephemeris (see BODY_LON).
+BODIES = [("Sun", 1), ("Moon", 13), ("Mercury", 4), ("Venus", 5), ("Mars", 7), ("Jupiter", 3), ("Saturn", 11), ("Uranus", 9), ("Neptune", 8), ("Pluto", 6)]
+BODIES_SQL = "[" + ", ".join(f"{{'name': '{n}', 'f': {f}}}" for n, f in BODIES) + "]"
+RETRO_SQL = "p.name NOT IN ('Sun', 'Moon') AND (event_id * p.f) % 21 - 6 < 0"
+
+
+def bodies():
+    """The ten bodies of an event: name, longitude, and whether it moves backward from this day to the next (Sun and Moon never do)."""
+    found = []
+    for name, f in BODIES:
+        today = sky.turn(body_lon() * f)
+        step = sky.half_turn(sky.turn(today + (F.col("event_id") * f) % 21 - 6) - today)
+        retro = F.lit(False) if name in ("Sun", "Moon") else step < 0
+        found.append(F.struct(F.lit(name).alias("point"), today.alias("plon"), retro.alias("retro")))
+    return found
+
+
+_inside = f"list_filter(range(1, 13), lambda i: {norm_sql('round(cusps[i % 12 + 1] - cusps[i], 9)')} = 0 OR {norm_sql('round(LON - cusps[i], 9)')} < {norm_sql('round(cusps[i % 12 + 1] - cusps[i], 9)')})"
+
+
+def house_sql(lon: str) -> str:
+    return f"CAST(coalesce({_inside.replace('LON', lon)}[1], 1) AS INTEGER)"
+
+
 @query(
     "f41_full_chart",
-    f"""WITH {ANGLES_SQL}, pt AS (SELECT *, unnest([{{'name': 'Sun', 'f': 1}}, {{'name': 'Moon', 'f': 13}}, {{'name': 'Mars', 'f': 7}}]) AS p FROM angles),
-    q AS (SELECT event_id, p.name AS point, ({BODY_LON} * p.f) % 360 AS plon, asc_ FROM pt)
-    SELECT event_id, point, round(plon, 4) AS lon_, {SIGNS_SQL}[CAST(floor(plon / 30) AS INTEGER) + 1] AS sign_name, CAST(floor({norm_sql('plon - floor(asc_ / 30) * 30')} / 30) AS INTEGER) + 1 AS house FROM q""",
+    f"""WITH RECURSIVE {CHART_SQL}, {_placidus_ctes()},
+    sys AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN 'whole' WHEN event_id % 3 = 1 THEN 'equal' WHEN ok THEN 'placidus' ELSE 'whole' END AS used, event_id % 3 = 2 AND NOT ok AS fell FROM placed),
+    cu AS (SELECT *, CASE used WHEN 'placidus' THEN pc WHEN 'equal' THEN list_transform(range(0, 12), lambda i: {norm_sql('asc_ + 30 * i')}) ELSE list_transform(range(0, 12), lambda i: {norm_sql('floor(asc_ / 30) * 30 + 30 * i')}) END AS cusps,
+      {BODY_LON} % 360 AS sun, ({BODY_LON} * 13) % 360 AS moon FROM sys),
+    sect AS (SELECT *, {house_sql('sun')} >= 7 AS day FROM cu),
+    pt AS (SELECT *, unnest({BODIES_SQL}) AS p FROM sect),
+    q AS (SELECT event_id, p.name AS point, ({BODY_LON} * p.f) % 360 AS plon, {RETRO_SQL} AS retro, cusps, used, fell, day FROM pt
+      UNION ALL SELECT event_id, 'Node', {NODE_SQL}, true, cusps, used, fell, day FROM sect
+      UNION ALL SELECT event_id, 'Fortune', CASE WHEN day THEN {norm_sql('asc_ + moon - sun')} ELSE {norm_sql('asc_ + sun - moon')} END, false, cusps, used, fell, day FROM sect)
+    SELECT event_id, point, round(plon, 4) AS lon_, {SIGNS_SQL}[CAST(floor(plon / 30) AS INTEGER) + 1] AS sign_name, retro, {house_sql('plon')} AS house, used AS house_system, CASE WHEN fell THEN 'no Placidus houses at this latitude' ELSE '' END AS note,
+      CASE WHEN day THEN 'day' ELSE 'night' END AS sect, NULL AS error FROM q
+    UNION ALL SELECT event_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'out-of-range' FROM events WHERE event_id % 97 = 0""",
 )
 def f41(spark, sf_dir):
-    """Points of a chart with sign and whole-sign house; instants outside the years 1700 to 2200 are left out."""
-    at = with_angles(event_places(spark, sf_dir).where(F.year("ts").between(1700, 2200)))
-    points = F.array(*(F.struct(F.lit(n).alias("point"), sky.turn(body_lon() * f).alias("plon")) for n, f in (("Sun", 1), ("Moon", 13), ("Mars", 7))))
-    rows = at.select("event_id", "asc_", F.explode(points).alias("p")).select("event_id", "asc_", "p.point", "p.plon")
-    return rows.select("event_id", "point", F.round("plon", 4).alias("lon_"), sky.sign_parts(F.col("plon"))["sign_name"].alias("sign_name"), sky.house_of(F.col("plon"), sky.whole_sign_cusps(F.col("asc_"))).alias("house"))
+    """Twelve points of a chart with sign, motion and house, by the house system asked for; Placidus falls back to whole signs where it is undefined."""
+    inside, outside = charted(spark, sf_dir)
+    at = sky.with_placidus(inside)
+    placidus = sky.placidus_cusps(F.col("asc_"), F.col("mc"))
+    asked = F.get(F.array(F.lit("whole"), F.lit("equal"), F.lit("placidus")), (F.col("event_id") % 3).cast("int"))
+    at = at.withColumn("asked", asked).withColumn("used", F.when((F.col("asked") == "placidus") & placidus[10].isNull(), "whole").otherwise(F.col("asked")))
+    whole = sky.whole_sign_start(F.col("asc_"))
+    cusps = [F.when(F.col("used") == "placidus", placidus[i]).when(F.col("used") == "equal", sky.turn(F.col("asc_") + 30 * i)).otherwise(sky.turn(whole + 30 * i)) for i in range(12)]
+    houses = ["cusps", "cusps_past", "cusps_in_order"]
+    at = sky.with_houses(at, cusps).select("event_id", "value", "asked", "used", "asc_", "ts", *houses)
+    at = at.withColumns({"sun": sky.turn(body_lon()), "moon": sky.turn(body_lon() * 13), "node": sky.mean_node(sky.centuries(F.col("ts")))})
+    at = at.withColumn("by_day", sky.house_among(F.col("sun")) >= 7)
+    fortune = sky.part_of_fortune(F.col("asc_"), F.col("sun"), F.col("moon"), F.col("by_day"))
+    more = [F.struct(F.lit(n).alias("point"), lon.alias("plon"), F.lit(retro).alias("retro")) for n, lon, retro in (("Node", F.col("node"), True), ("Fortune", fortune, False))]
+    rows = at.select("event_id", "asked", "used", "by_day", *houses, F.explode(F.array(*bodies(), *more)).alias("p")).select("*", "p.*")
+    note = F.when(F.col("asked") != F.col("used"), "no Placidus houses at this latitude").otherwise("")
+    chart = rows.select(
+        "event_id", "point", F.round("plon", 4).alias("lon_"), sky.sign_parts(F.col("plon"))["sign_name"].alias("sign_name"), "retro", sky.house_among(F.col("plon")).alias("house"),
+        F.col("used").alias("house_system"), note.alias("note"), F.when(F.col("by_day"), "day").otherwise("night").alias("sect"), F.lit(None).cast("string").alias("error"),
+    )
+    return chart.unionByName(outside.withColumn("error", F.lit("out-of-range")), allowMissingColumns=True)
+
+
+@query(
+    "f41_chart_aspects",
+    f"""WITH {CHART_SQL}, pt AS (SELECT *, unnest({BODIES_SQL}) AS p FROM angles), o(name, i) AS (VALUES {', '.join(f"('{n}', {i})" for i, n in enumerate([*(n for n, _ in BODIES), 'Ascendant', 'Midheaven']))}),
+    q AS (SELECT event_id, p.name AS name, ({BODY_LON} * p.f) % 360 AS lon FROM pt UNION ALL SELECT event_id, 'Ascendant', asc_ FROM angles UNION ALL SELECT event_id, 'Midheaven', mc FROM angles),
+    z AS (SELECT q.*, i FROM q JOIN o USING (name)),
+    s AS (SELECT a.event_id, a.i AS i, b.i AS j, a.name AS a, b.name AS b, CASE WHEN abs(a.lon - b.lon) > 180 THEN 360 - abs(a.lon - b.lon) ELSE abs(a.lon - b.lon) END AS sep FROM z a JOIN z b ON a.event_id = b.event_id AND a.i < b.i),
+    k(aspect, angle, o, kind) AS (VALUES ('Conjunction', 0, 8, 'major'), ('Opposition', 180, 8, 'major'), ('Trine', 120, 7, 'soft'), ('Square', 90, 7, 'hard'), ('Sextile', 60, 5, 'soft'))
+    SELECT event_id, a, b, aspect, kind, round(abs(sep - angle), 4) AS orb, CAST(row_number() OVER (PARTITION BY event_id ORDER BY round(abs(sep - angle), 9), i, j) AS INTEGER) AS place FROM s JOIN k ON abs(sep - angle) <= o""",
+)
+def f41_aspects(spark, sf_dir):
+    """Aspects of a chart's ten bodies and two angles, the closest first: all pairs within a row, without a join."""
+    names = [*(n for n, _ in BODIES), "Ascendant", "Midheaven"]
+    points = F.array(*(b["plon"] for b in bodies()), F.col("asc_"), F.col("mc"))
+    pairs = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(12) for j in range(i + 1, 12)))
+    at = charted(spark, sf_dir)[0].select("event_id", points.alias("points"), F.array(*map(F.lit, names)).alias("names"))
+
+    def told(p):
+        return sky.bound(sky.separation(F.get("points", p["i"]), F.get("points", p["j"])), lambda apart: F.struct(F.round(sky.aspect_of(apart)["orb"], 9).alias("by"), p["i"].alias("i"), p["j"].alias("j"), sky.aspect_of(apart).alias("hit")))
+
+    hits = F.array_sort(F.filter(F.transform(pairs, told), lambda h: h["hit"].isNotNull()))
+    rows = at.select("event_id", "names", F.posexplode(hits).alias("place", "h"))
+    return rows.select("event_id", F.get("names", F.col("h.i")).alias("a"), F.get("names", F.col("h.j")).alias("b"), "h.hit.aspect", "h.hit.kind", F.round("h.hit.orb", 4).alias("orb"), (F.col("place") + 1).alias("place"))
+
+
+PHASES_SQL = "[" + ", ".join(f"'{n}'" for _, n in sky.MOON_PHASES[:8]) + "]"
 
 
 @query(
     "f43_sky_now",
-    f"""WITH x AS (SELECT event_id, {BODY_LON} % 360 AS sun, ({BODY_LON} * 13) % 360 AS moon FROM events), y AS (SELECT *, {norm_sql('moon - sun')} AS elong FROM x)
-    SELECT event_id, CAST(CAST(floor((elong + 22.5) / 45) AS INTEGER) % 8 AS INTEGER) AS phase, CAST(floor((1 - cos(radians(elong))) / 2 * 100 + 0.5) AS INTEGER) AS lit, {SIGNS_SQL}[CAST(floor(moon / 30) AS INTEGER) + 1] AS moon_sign FROM y""",
+    f"""WITH x AS (SELECT event_id, value, {BODY_LON} % 360 AS sun, ({BODY_LON} * 13) % 360 AS moon, unnest({BODIES_SQL}) AS p FROM events), y AS (SELECT *, {norm_sql('moon - sun')} AS elong, ({BODY_LON} * p.f) % 360 AS plon FROM x)
+    SELECT event_id, p.name AS body, round(plon, 4) AS lon_, {SIGNS_SQL}[CAST(floor(plon / 30) AS INTEGER) + 1] AS sign_name, {RETRO_SQL} AS retro, {PHASES_SQL}[CAST(floor((elong + 22.5) / 45) AS INTEGER) % 8 + 1] AS phase,
+      CAST(floor((1 - cos(radians(elong))) / 2 * 100 + 0.5) AS INTEGER) AS lit FROM y""",
 )
 def f43(spark, sf_dir):
-    at = read(spark, sf_dir, "events").withColumn("sun", sky.turn(body_lon())).withColumn("moon", sky.turn(body_lon() * 13))
-    at = at.withColumn("elong", sky.turn(F.col("moon") - F.col("sun")))
+    """The ten bodies with sign and motion, the moon's phase and lit share."""
+    at = read(spark, sf_dir, "events").withColumn("elong", sky.turn(sky.turn(body_lon() * 13) - sky.turn(body_lon())))
     lit = F.floor((1 - F.cos(F.radians("elong"))) / 2 * 100 + 0.5).cast("int")
-    return at.select("event_id", sky.phase_of_angle(F.col("elong")).alias("phase"), lit.alias("lit"), sky.sign_parts(F.col("moon"))["sign_name"].alias("moon_sign"))
+    rows = at.select("event_id", sky.phase_name_of_angle(F.col("elong")).alias("phase"), lit.alias("lit"), F.explode(F.array(*bodies())).alias("p")).select("*", "p.*")
+    return rows.select("event_id", F.col("point").alias("body"), F.round("plon", 4).alias("lon_"), sky.sign_parts(F.col("plon"))["sign_name"].alias("sign_name"), "retro", "phase", "lit")
 
 
-@query("f44_cusp_warning", f"WITH x AS (SELECT event_id, {BODY_LON} % 360 AS lon FROM events), y AS (SELECT event_id, lon - floor(lon / 30) * 30 AS w, {SIGNS_SQL}[CAST(floor(lon / 30) AS INTEGER) + 1] AS sign_name FROM x) SELECT event_id, sign_name, least(w, 30 - w) < 1 AS on_cusp FROM y")
+@query(
+    "f44_cusp_warning",
+    f"""WITH {RANGES_SQL}, x AS (SELECT event_id, {BODY_LON} % 360 AS lon, CAST(month(ts) * 100 + day(ts) AS INTEGER) AS md FROM events), y AS (SELECT event_id, md, lon, lon - floor(lon / 30) * 30 AS w FROM x)
+    SELECT event_id, 'computed' AS source, {SIGNS_SQL}[CAST(floor(lon / 30) AS INTEGER) + 1] AS sign_name, CAST(floor(w) AS INTEGER) AS degree, CAST(floor((w - floor(w)) * 60) AS INTEGER) AS minute, least(w, 30 - w) < 1 AS on_cusp FROM y WHERE event_id % 4 > 0
+    UNION ALL SELECT event_id, 'table', {SIGNS_SQL}[i + 1], NULL, NULL, NULL FROM y JOIN g ON CASE WHEN lo <= hi THEN md BETWEEN lo AND hi ELSE md >= lo OR md <= hi END WHERE event_id % 4 = 0""",
+)
 def f44(spark, sf_dir):
+    """The sun's sign with a warning near a boundary; without an ephemeris (every fourth event) the sign of the date ranges, and no warning."""
+    events = read(spark, sf_dir, "events")
     part = sky.sign_parts(body_lon())
-    return read(spark, sf_dir, "events").select("event_id", part["sign_name"].alias("sign_name"), (F.least(part["within"], 30 - part["within"]) < 1).alias("on_cusp"))
+    on_cusp = F.least(part["within"], 30 - part["within"]) < 1
+    computed = events.where("event_id % 4 > 0").select("event_id", F.lit("computed").alias("source"), *(part[c].alias(c) for c in ("sign_name", "degree", "minute")), on_cusp.alias("on_cusp"))
+    dated = events.where("event_id % 4 = 0").select("event_id", (F.month("ts") * 100 + F.dayofmonth("ts")).cast("int").alias("md"))
+    found = ranges.in_interval(dated, "md", ranges.unwrapped(signs(spark), "lo", "hi", 101, 1231), "lo", "hi")
+    table = found.select("event_id", F.lit("table").alias("source"), F.get(F.array(*map(F.lit, sky.SIGNS)), F.col("i")).alias("sign_name"))
+    return computed.unionByName(table, allowMissingColumns=True)
 
 
 @query("f45_step_timer", "SELECT event_id, greatest(0, 60 - value) AS seconds_left, CAST(floor(least(value / 60, 1) * 100 + 0.5) AS INTEGER) AS percent FROM events")
@@ -236,19 +346,32 @@ def f45(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", F.greatest(F.lit(0.0), 60 - F.col("value")).alias("seconds_left"), F.floor(F.least(F.col("value") / 60, F.lit(1.0)) * 100 + 0.5).cast("int").alias("percent"))
 
 
+#: Every fourth nation has no place of its own: forty degrees north, and the longitude that its zone's hours lead to.
+HERE = f"{EVENT_PLACES.replace('AS ts,', 'AS ts, n_nationkey % 4 > 0 AS exact,').replace(f'{LAT} AS lat', f'CASE WHEN n_nationkey % 4 = 0 THEN 40.0::DOUBLE ELSE {LAT} END AS lat').replace(f'{LON} AS lon', f'CASE WHEN n_nationkey % 4 = 0 THEN CAST(15 * (n_nationkey % 24 - 12) AS DOUBLE) ELSE {LON} END AS lon')}"
+
+
+def clock_sql(minutes: str) -> str:
+    at = f"make_timestamp(epoch_us(date_trunc('day', ts)) + CAST(floor({minutes} * 60000 + 0.5) AS BIGINT) * 1000)"
+    return f"coalesce(strftime({at} AT TIME ZONE 'UTC' AT TIME ZONE '{ZONE}', '%-I:%M %p'), '—')"
+
+
 @query(
     "f50_sky_summary",
-    PHASE_SQL + f""", g AS (SELECT event_id, phase, lat, lon, ts, {solar_sql(_g)[0]} AS eq, {solar_sql(_g)[1]} AS decl FROM p), m AS (SELECT *, {event_sql(90.833, '+')} AS rise, {event_sql(90.833, '+ -')} AS fall FROM g)
-    SELECT event_id, phase, CASE WHEN lat < 0 THEN 'summer' ELSE 'winter' END AS season, coalesce(CAST(CAST(floor(rise + 0.5) AS BIGINT) AS VARCHAR), '—') AS sunrise, coalesce(CAST(CAST(floor(fall + 0.5) AS BIGINT) AS VARCHAR), '—') AS sunset, rise IS NULL OR fall IS NULL AS polar FROM m""",
+    PHASE_SQL.replace(EVENT_PLACES, HERE) + f""", g AS (SELECT event_id, exact, phase, lat, lon, ts, {solar_sql(_g)[0]} AS eq, {solar_sql(_g)[1]} AS decl FROM p), m AS (SELECT *, {event_sql(96.0, '+')} AS first, {event_sql(90.833, '+')} AS rise, {event_sql(90.833, '+ -')} AS fall, {event_sql(96.0, '+ -')} AS last FROM g)
+    SELECT event_id, exact, round(lat, 4) AS lat, round(lon, 4) AS lon, phase, CASE WHEN lat < 0 THEN 'summer' ELSE 'winter' END AS season, {clock_sql('first')} AS dawn, {clock_sql('rise')} AS sunrise, {clock_sql('fall')} AS sunset, {clock_sql('last')} AS dusk, rise IS NULL OR fall IS NULL AS polar FROM m""",
 )
 def f50(spark, sf_dir):
-    lat, lon, ts = F.col("lat"), F.col("lon"), F.col("ts")
+    """What a place's sky is taken to be: where, which phase and season, and the four solar times on the local clock."""
+    ts, key = F.col("ts"), F.col("n_nationkey")
+    at = event_places(spark, sf_dir).withColumn("exact", key % 4 > 0)
+    at = at.withColumn("lat", F.when(F.col("exact"), F.col("lat")).otherwise(40.0)).withColumn("lon", F.when(F.col("exact"), F.col("lon")).otherwise((15 * (key % 24 - 12)).cast("double")))
+    lat, lon = F.col("lat"), F.col("lon")
     times = sky.solar_times(ts, lat, lon)
-    shown = lambda c: F.coalesce(F.floor(c + 0.5).cast("string"), F.lit("—"))
-    return event_places(spark, sf_dir).select(
-        "event_id", sky.sun_phase(ts, lat, lon).alias("phase"), cal.season(F.month(ts), lat).alias("season"),
-        shown(times["sunrise"]).alias("sunrise"), shown(times["sunset"]).alias("sunset"), (times["sunrise"].isNull() | times["sunset"].isNull()).alias("polar"),
-    )
+    clock = {n: F.coalesce(F.date_format(cal.in_zone(cal.minutes_after(ts, m), ZONE), "h:mm a"), F.lit("—")).alias(n) for n, m in times.items()}
+    return at.select(
+        "event_id", "exact", F.round(lat, 4).alias("lat"), F.round(lon, 4).alias("lon"), sky.sun_phase(ts, lat, lon).alias("phase"), cal.season(F.month(ts), lat).alias("season"),
+        *clock.values(), (times["sunrise"].isNull() | times["sunset"].isNull()).alias("polar"),
+    )
 
 
 @query(
@@ -288,7 +411,7 @@ def j12(spark, sf_dir):
 @query("j15_circular_house", f"WITH {ANGLES_SQL} SELECT event_id, CAST(floor({norm_sql(BODY_LON + ' - asc_')} / 30) AS INTEGER) + 1 AS house FROM angles")
 def j15(spark, sf_dir):
     at = with_angles(event_places(spark, sf_dir))
-    return at.select("event_id", sky.house_of(body_lon(), sky.equal_cusps(F.col("asc_"))).alias("house"))
+    return at.select("event_id", sky.house_from(body_lon(), F.col("asc_")).alias("house"))
 
 
 @query("f42_polar_and_easing", f"SELECT event_id, round(100 + 80 * cos(radians({BODY_LON})), 6) AS x, round(100 - 80 * sin(radians({BODY_LON})), 6) AS y, round((1 - cos({PI} * (value % 1))) / 2, 6) AS eased FROM events")

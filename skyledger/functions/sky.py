@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.functions.calendar import millis
@@ -47,6 +47,15 @@ def separation(a: Column, b: Column) -> Column:
     return F.when(apart > 180, 360 - apart).otherwise(apart)
 
 
+def aspect_of(apart: Column, aspects: list[tuple] | None = None) -> Column:
+    """The first aspect whose orb holds a circular distance, as a struct (aspect, kind, orb, exactness); null if none does."""
+    hits = []
+    for aspect, at, orb, kind in aspects or ASPECTS:
+        delta = F.abs(apart - at)
+        hits.append(F.when(delta <= orb, F.struct(F.lit(aspect).alias("aspect"), F.lit(kind).alias("kind"), delta.alias("orb"), (1 - delta / orb).alias("exactness"))))
+    return F.coalesce(*hits)
+
+
 def sign_number(longitude: Column) -> Column:
     """Sign 0 to 11."""
     return F.floor(turn(longitude) / 30).cast("int")
@@ -106,10 +115,10 @@ def solar_altitude(ts: Column, latitude: Column, longitude: Column) -> Column:
 
 
 def sun_phase(ts: Column, latitude: Column, longitude: Column) -> Column:
-    """night, day, firstlight (rising over the next ten minutes) or dusk."""
+    """night, day, dawn (rising over the next ten minutes) or dusk."""
     now = solar_altitude(ts, latitude, longitude)
     later = solar_altitude(ts + F.expr("INTERVAL 10 MINUTES"), latitude, longitude)
-    return F.when(now < NIGHT_BELOW, "night").when(now >= DAY_FROM, "day").when(later > now, "firstlight").otherwise("dusk")
+    return F.when(now < NIGHT_BELOW, "night").when(now >= DAY_FROM, "day").when(later > now, "dawn").otherwise("dusk")
 
 
 def moon_age(ts: Column) -> Column:
@@ -129,6 +138,11 @@ def illumination(age: Column) -> Column:
     return (1 - F.cos(2 * math.pi * age / SYNODIC)) / 2
 
 
+def phase_name_of_angle(angle: Column) -> Column:
+    """Name of the moon's phase that an elongation is nearest to."""
+    return F.get(F.array(*(F.lit(name) for _, name in MOON_PHASES[:8])), phase_of_angle(angle))
+
+
 def phase_of_angle(angle: Column) -> Column:
     """Eighth of a turn that an elongation is nearest to, 0 to 7."""
     return F.pmod(F.floor((turn(angle) + 22.5) / 45), F.lit(8)).cast("int")
@@ -172,7 +186,7 @@ def _cusps_from(start: Column) -> Column:
 
 
 def whole_sign_cusps(asc: Column) -> Column:
-    return _cusps_from((F.floor(turn(asc) / 30) * 30).cast("double"))
+    return _cusps_from(whole_sign_start(asc))
 
 
 def equal_cusps(asc: Column) -> Column:
@@ -183,48 +197,67 @@ def equal_cusps(asc: Column) -> Column:
 PLACIDUS = [(11, 30.0, 1 / 3, 1), (12, 60.0, 2 / 3, 1), (2, 120.0, 2 / 3, -1), (3, 150.0, 1 / 3, -1)]
 
 
-def placidus_cusp(ramc: Column, eps: Column, latitude: Column, house: int, rounds: int = 12) -> Column:
-    """An intermediate cusp by fixed-point iteration on its right ascension; null where the ecliptic degree never rises.
+def with_placidus(df: DataFrame, rounds: int = 12) -> DataFrame:
+    """Adds cusp_11, cusp_12, cusp_2 and cusp_3 to rows with ramc, eps and lat (degrees): fixed-point iteration on the right ascension of each.
 
-    Twelve rounds change the value by less than a micro-degree where it settles at all.
+    Null where the ecliptic degree never rises, in any round. Twelve rounds change a value by less than a micro-degree where it settles at all.
+    A round is a projection of its own over plain columns, so that each value is worked out once.
     """
-    _, offset, share, sign = next(p for p in PLACIDUS if p[0] == house)
-
-    def longitude_of(ra: Column, at: Column) -> Column:
-        return F.atan2(F.sin(F.radians(ra)), F.cos(F.radians(ra)) * F.cos(at["e"]))
-
-    def settled(at: Column) -> Column:
-        def step(ra: Column, _: Column) -> Column:
-            tilt = F.tan(at["lat"]) * F.tan(F.asin(F.sin(at["e"]) * F.sin(longitude_of(ra, at))))
-            return bound(tilt, lambda x: F.when(F.abs(x) <= 1, at["ramc"] + offset + F.degrees(F.asin(x)) * (sign * share)))
+    own = {"_se": F.sin(F.radians("eps")), "_ce": F.cos(F.radians("eps")), "_tl": F.tan(F.radians("lat")), "_r": F.radians("ramc")}
+    df = df.withColumns(own).withColumns({f"_h{h}": F.col("_r") + math.radians(offset) for h, offset, _, _ in PLACIDUS})
+    for _ in range(rounds):
+        # tan(asin(y)) is y / sqrt(1 - y * y); y is the sine of the declination
+        df = df.withColumns({f"_y{h}": F.col("_se") * F.sin(f"_h{h}") / F.sqrt(F.pow(F.sin(f"_h{h}"), F.lit(2)) + F.pow(F.cos(f"_h{h}") * F.col("_ce"), F.lit(2))) for h, *_ in PLACIDUS})
+        df = df.withColumns({f"_x{h}": F.col("_tl") * F.col(f"_y{h}") / F.sqrt(1 - F.col(f"_y{h}") * F.col(f"_y{h}")) for h, *_ in PLACIDUS})
+        df = df.withColumns({f"_h{h}": F.when(F.abs(f"_x{h}") <= 1, F.col("_r") + math.radians(offset) + F.asin(f"_x{h}") * (sign * share)) for h, offset, share, sign in PLACIDUS})
+    df = df.withColumns({f"cusp_{h}": turn(F.degrees(F.atan2(F.sin(f"_h{h}"), F.cos(f"_h{h}") * F.col("_ce")))) for h, *_ in PLACIDUS})
+    return df.drop(*own, *(f"_{c}{h}" for c in "hyx" for h, *_ in PLACIDUS))
+
+
+def placidus_cusps(asc: Column, mc: Column) -> list[Column]:
+    """The twelve cusps beside the columns of `with_placidus`; all null where one of those is (above the polar circles)."""
+    eleven, twelve, two, three = (F.col(f"cusp_{h}") for h in (11, 12, 2, 3))
+    defined = eleven.isNotNull() & twelve.isNotNull() & two.isNotNull() & three.isNotNull()
+    half = [asc, two, three, turn(mc + 180), turn(eleven + 180), turn(twelve + 180)]
+    return [F.when(defined, c) for c in [*half, turn(asc + 180), turn(two + 180), turn(three + 180), mc, eleven, twelve]]
+
+
+def with_houses(df: DataFrame, cusps: list[Column]) -> DataFrame:
+    """Adds what `house_among` reads: the cusps (array), how far each lies past the first, and whether they lie in order."""
+    df = df.withColumn("cusps", F.array(*cusps))
+    spans = F.transform("cusps", lambda c, i: turn(F.round(F.get("cusps", F.pmod(i + 1, F.lit(12))) - c, 9)))
+    in_order = F.abs(F.aggregate(spans, F.lit(0.0), lambda acc, x: acc + x) - 360) < 1e-6
+    past = F.transform("cusps", lambda c: turn(F.round(c - F.get("cusps", F.lit(0)), 9)))
+    return df.withColumn("cusps_past", past).withColumn("cusps_in_order", in_order)
+
+
+def house_among(longitude: Column) -> Column:
+    """House 1 to 12 beside the columns of `with_houses`: the first whose span from its cusp to the next holds the longitude; 1 if none does.
+
+    A longitude within a billionth of a degree of a cusp is on it. Of cusps in order it is the last one that is not past the longitude.
+    """
+    at = turn(F.round(longitude - F.get("cusps", F.lit(0)), 9))
+    ranked = sum(((F.get("cusps_past", F.lit(i)) <= at).cast("int") for i in range(1, 12)), F.lit(1))
 
-        ra = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), at["ramc"] + offset, step)
-        return turn(F.degrees(longitude_of(ra, at)))
+    def inside(i: Column) -> Column:
+        here = F.get("cusps", i)
+        span = turn(F.round(F.get("cusps", F.pmod(i + 1, F.lit(12))) - here, 9))
+        return (span == 0) | (turn(F.round(longitude - here, 9)) < span)
 
-    return bound(F.struct(ramc.alias("ramc"), F.radians(eps).alias("e"), F.radians(latitude).alias("lat")), settled)
+    tried = F.get(F.filter(F.sequence(F.lit(0), F.lit(11)), inside), F.lit(0)) + 1
+    return F.when(F.col("cusps_in_order"), ranked).otherwise(F.coalesce(tried, F.lit(1))).cast("int")
 
 
 def part_of_fortune(asc: Column, sun: Column, moon: Column, by_day: Column) -> Column:
     return F.when(by_day, turn(asc + moon - sun)).otherwise(turn(asc + sun - moon))
 
 
-def house_of(longitude: Column, cusps: Column) -> Column:
-    """House 1 to 12: the first whose span from its cusp to the next holds the longitude; 1 if none does."""
-
-    def found(at: Column) -> Column:
-        def inside(i: Column) -> Column:
-            here, after = F.get(at["cusps"], i), F.get(at["cusps"], F.pmod(i + 1, F.lit(12)))
-            span = turn(after - here)
-            return (span == 0) | (turn(at["lon"] - here) < span)
-
-        return F.coalesce(F.get(F.filter(F.sequence(F.lit(0), F.lit(11)), inside), F.lit(0)) + 1, F.lit(1)).cast("int")
-
-    return bound(F.struct(longitude.alias("lon"), cusps.alias("cusps")), found)
+def house_from(longitude: Column, first: Column) -> Column:
+    """House 1 to 12 of houses of thirty degrees, from the first cusp on."""
+    house = F.floor(turn(longitude - first) / 30) + 1
+    return F.when(house > 12, 1).otherwise(house).cast("int")  # a turn may round up to 360
 
 
-def placidus_cusps(asc: Column, mc: Column, ramc: Column, eps: Column, latitude: Column) -> Column:
-    """Twelve Placidus cusps as an array; null where one is undefined (above the polar circles)."""
-    eleven, twelve, two, three = (placidus_cusp(ramc, eps, latitude, h) for h in (11, 12, 2, 3))
-    opposite = lambda c: turn(c + 180)
-    cusps = F.array(asc, two, three, opposite(mc), opposite(eleven), opposite(twelve), opposite(asc), opposite(two), opposite(three), mc, eleven, twelve)
-    return F.when(eleven.isNotNull() & twelve.isNotNull() & two.isNotNull() & three.isNotNull(), cusps)
+def whole_sign_start(asc: Column) -> Column:
+    """Cusp of the first whole-sign house."""
+    return (F.floor(turn(asc) / 30) * 30).cast("double")

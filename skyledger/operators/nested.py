@@ -30,7 +30,8 @@ def blocks(df: DataFrame, keys: list[str], column: str) -> DataFrame:
 
 
 def spread_angles(angles: Column, least: float = 7.0, passes: int = 40) -> Column:
-    """Angles pushed apart in ascending order, a quarter of what is missing at a time, until neighbours are `least` apart or passes end.
+    """Angles pushed apart in ascending order, a quarter of what is missing at a time, until neighbours are `least` apart or passes end; each at
+    its original place in the array. Equal angles are in the order they came in.
 
     One pass goes over the neighbours in turn, so it is a fold over positions inside a fold over passes.
     """
@@ -43,7 +44,13 @@ def spread_angles(angles: Column, least: float = 7.0, passes: int = 40) -> Colum
         return F.transform(pos, lambda x, i: x - F.when(i == k, by).otherwise(0.0) + F.when(i == b, by).otherwise(0.0))
 
     one_pass = lambda pos, _: F.aggregate(F.sequence(F.lit(0), n - 1), pos, push)
-    return F.when(n < 2, angles).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(passes)), F.array_sort(angles), one_pass))
+    ranked = F.array_sort(F.transform(angles, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+
+    def back(state: Column) -> Column:
+        moved = F.aggregate(F.sequence(F.lit(1), F.lit(passes)), F.transform(state["r"], lambda p: p["x"]), one_pass)
+        return F.transform(F.array(F.struct(moved.alias("p"), F.transform(state["r"], lambda p: p["i"]).alias("at"))), lambda m: F.transform(m["at"], lambda _, i: F.get(m["p"], F.array_position(m["at"], i).cast("int") - 1)))[0]
+
+    return F.when(n < 2, angles).otherwise(F.transform(F.array(F.struct(ranked.alias("r"))), back)[0])
 
 
 def timeline_position(elapsed: Column, names: list[str], seconds: list[float]) -> tuple[Column, Column, Column]:

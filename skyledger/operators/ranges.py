@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.functions.sky import ASPECTS, separation
+from skyledger.functions.sky import ASPECTS, aspect_of, separation
 
 
 def unwrapped(intervals: DataFrame, lo: str, hi: str, first: int, last: int) -> DataFrame:
@@ -29,12 +29,7 @@ def angle_pairs(points: DataFrame, part: str, name: str, angle: str, aspects: li
     left = points.select(part, F.col(name).alias("a"), F.col(angle).alias("_x"))
     right = points.select(part, F.col(name).alias("b"), F.col(angle).alias("_y"))
     pairs = left.join(right, part).where("a < b").withColumn("sep", separation(F.col("_x"), F.col("_y")))
-    hit: Column | None = None
-    for aspect, at, orb, kind in aspects:
-        delta = F.abs(F.col("sep") - at)
-        found = F.when(delta <= orb, F.struct(F.lit(aspect).alias("aspect"), F.lit(kind).alias("kind"), delta.alias("orb"), (1 - delta / orb).alias("exactness")))
-        hit = found if hit is None else F.coalesce(hit, found)
-    return pairs.withColumn("_hit", hit).where("_hit IS NOT NULL").select(part, "a", "b", "_hit.aspect", "_hit.kind", "_hit.orb", "_hit.exactness")
+    return pairs.withColumn("_hit", aspect_of(F.col("sep"), aspects)).where("_hit IS NOT NULL").select(part, "a", "b", "_hit.aspect", "_hit.kind", "_hit.orb", "_hit.exactness")
 
 
 def sign_distance(a: Column, b: Column) -> Column:

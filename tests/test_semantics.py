@@ -1,6 +1,7 @@
 """Edge cases that the tables do not hold."""
 
 import datetime as dt
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -84,10 +85,22 @@ def test_solar_events(spark):
 
 
 def test_placidus_fails_near_the_pole(spark):
-    cusps = lambda lat: sky.placidus_cusps(F.lit(10.0), F.lit(280.0), F.lit(280.0), F.lit(23.44), F.lit(lat))
-    row = spark.range(1).select(cusps(40.0).alias("a"), cusps(80.0).alias("b")).first()
-    assert len(row.a) == 12 and row.b is None
-    assert all(abs((row.a[i + 6] - row.a[i]) % 360 - 180) < 1e-6 for i in range(6))
+    at = spark.createDataFrame([(40.0,), (80.0,), (-50.0,)], "lat double").withColumn("ramc", F.lit(280.0)).withColumn("eps", F.lit(23.44))
+    a, b, c = (r.c for r in sky.with_placidus(at).select("lat", F.array(*sky.placidus_cusps(F.lit(10.0), F.lit(280.0))).alias("c")).orderBy(F.col("lat") != 40, F.col("lat") != 80).collect())
+    assert b == [None] * 12
+    for cusps in (a, c):
+        assert len(cusps) == 12 and all(abs((cusps[i + 6] - cusps[i]) % 360 - 180) < 1e-6 for i in range(6))
+
+
+def test_placidus_settles(spark):
+    """A cusp's point has risen for its share of its own semi-arc: the definition, not the iteration."""
+    at = spark.createDataFrame([(lat, ramc) for lat in (-40.0, 20.0, 55.0) for ramc in (10.0, 130.0, 250.0)], "lat double, ramc double").withColumn("eps", F.lit(23.44))
+    for r in sky.with_placidus(at).collect():
+        for house, offset, share, sign in sky.PLACIDUS:
+            lam, eps = math.radians(r[f"cusp_{house}"]), math.radians(23.44)
+            ra = math.degrees(math.atan2(math.sin(lam) * math.cos(eps), math.cos(lam)))
+            rise = math.degrees(math.asin(math.tan(math.radians(r.lat)) * math.tan(math.asin(math.sin(eps) * math.sin(lam)))))
+            assert abs((ra - r.ramc - offset - sign * share * rise + 180) % 360 - 180) < 1e-4
 
 
 def test_merges(spark):
@@ -145,7 +158,10 @@ def test_spread_angles(spark):
     cases = [[rng.uniform(0, 60) for _ in range(n)] for n in (2, 5, 9)]
     got = spark.createDataFrame([(c,) for c in cases], "x array<double>").select(nested.spread_angles(F.col("x")).alias("y")).collect()
     for case, row in zip(cases, got, strict=True):
-        assert all(abs(a - b) < 1e-9 for a, b in zip(plain(case), row.y, strict=True))
+        places = sorted(range(len(case)), key=lambda i: case[i])
+        want = dict(zip(places, plain(case), strict=True))
+        assert all(abs(want[i] - b) < 1e-9 for i, b in enumerate(row.y))
+    assert one(spark.createDataFrame([([5.0, 5.0, 5.0],)], "x array<double>").select(nested.spread_angles(F.col("x"))))[0] < 5
 
 
 def test_stream_commit_and_windows(spark, tmp_path):
@@ -169,3 +185,62 @@ def test_part_store(spark, tmp_path):
     assert [r.text for r in store.load("w", "p1").collect()] == ["again"]
     assert {r.work: r.have for r in store.inventory().collect()} == {"w": 2, "z": 1}
     assert store.forget("w") == 2 and {r.work for r in store.inventory().collect()} == {"z"}
+
+
+def test_runs_of_many_parts(spark):
+    """Runs are numbered within their part; a part's first row begins one, whatever came before it."""
+    rows = [("a", i, "x" if i < 3 else "y") for i in range(5)] + [("b", i, "y") for i in range(4)] + [(None, 1, "y"), (None, 2, None), (None, 3, None)]
+    got = {(r.p, r.run): (r.v, r.n, r.start) for r in records.runs(spark.createDataFrame(rows, "p string, o int, v string").repartition(3), "p", "o", "v").collect()}
+    assert got == {("a", 1): ("x", 3, 0), ("a", 2): ("y", 2, 3), ("b", 1): ("y", 4, 0), (None, 1): ("y", 1, 1), (None, 2): (None, 2, 2)}
+
+
+def test_first_appearance(spark):
+    rows = [(5, "b"), (1, "c"), (7, "b"), (2, None), (9, "c"), (3, "b")]
+    got = records.first_appearance(spark.createDataFrame(rows, "o int, g string"), "g", "o")
+    assert sorted((r.o, r.g, r.first, r.nth_group, r.nth) for r in got.collect()) == [(1, "c", 1, 1, 1), (2, None, 2, 2, 1), (3, "b", 3, 3, 1), (5, "b", 3, 3, 2), (7, "b", 3, 3, 3), (9, "c", 1, 1, 2)]
+
+
+def test_adopted_records(spark):
+    blobs = ['{"k": 3, "theme": null, "z": "new", "a": [1]}', "{", None, "[1]", "7", "{}", ' {"k": "x"}']
+    rows = spark.createDataFrame(list(enumerate(blobs)), "i int, b string")
+    got = {r.i: (r.record["k"], r.record["theme"], r.carried, r.aside) for r in records.adopted(rows, "i", "b", {"k": "0", "theme": "auto"}).collect()}
+    assert got[0] == ("3", "auto", {"z": "new", "a": "[1]"}, None) and got[1] == ("0", "auto", {}, "{")
+    assert all(got[i] == ("0", "auto", {}, None) for i in (2, 3, 4, 5)) and got[6][0] == "x"
+
+
+def test_imported_records(spark):
+    kind = "bucket string, k string, v string"
+    mine = spark.createDataFrame([("kept", "1", "a"), ("journal", "r", "short"), ("journal", "s", "same"), ("journal", "n", None)], kind)
+    theirs = spark.createDataFrame([("kept", "1", "longer"), ("kept", "2", "b"), ("journal", "r", "much longer"), ("journal", "s", "SAME"), ("journal", "n", None), ("journal", "t", "new")], kind)
+    got = {(r.bucket, r.k): (r.v, r.added) for r in records.imported(mine, theirs, ["journal"]).collect()}
+    assert got == {("kept", "1"): ("a", False), ("kept", "2"): ("b", True), ("journal", "r"): ("much longer", False), ("journal", "s"): ("same", False), ("journal", "n"): (None, False), ("journal", "t"): ("new", True)}
+
+
+def test_long_dates_of_keys(spark):
+    keys = [None, "", "soon", "2024-02", "2024-2-9", "2024-02-30", "2023-13-01", "a-b-c"]
+    got = [r.t for r in spark.createDataFrame(list(enumerate(keys)), "i int, k string").orderBy("i").select(cal.long_date_of_key(F.col("k")).alias("t")).collect()]
+    assert got == ["", "", "soon", "2024-02", "Friday, February 9, 2024", "Friday, March 1, 2024", "Monday, January 1, 2024", "Invalid Date"]
+
+
+def test_houses_among_cusps(spark):
+    """Cusps out of order go by the first span that holds the longitude, those in order by rank; a cusp belongs to the house that it begins."""
+    ordered, odd = [float(350 + 30 * i) % 360 for i in range(12)], [0.0, 200.0, 40.0, *(50.0 + i for i in range(9))]
+
+    def plain(lon, cusps):
+        for i in range(12):
+            span = (cusps[(i + 1) % 12] - cusps[i]) % 360
+            if span == 0 or (lon - cusps[i]) % 360 < span:
+                return i + 1
+        return 1
+
+    for cusps in (ordered, odd):
+        lons = [float(x) for x in range(0, 360, 7)] + ordered
+        rows = sky.with_houses(spark.createDataFrame([(x,) for x in lons], "x double"), [F.lit(c) for c in cusps]).select("x", sky.house_among(F.col("x")).alias("h")).collect()
+        assert all(r.h == plain(r.x, cusps) for r in rows)
+
+
+def test_dimensions_are_read_once(spark):
+    from skyledger.sources.tables import Dimensions
+
+    tables = Dimensions(spark, "/root/testdata/sf0.001")
+    assert not tables.held and tables["region"] is tables["region"] and set(tables.held) == {"region"}
