@@ -12,8 +12,8 @@ token: the next state, or DEAD. Written out, it would have states x tokens cells
 from the gadgets when it is first read, by the token that stands for its row, and then stays.
 
 A pre-split word is encoded by one run over its bytes: as there is one path for every beginning of the word, each place has one state,
-which the table gives from an earlier place's state and a token between the two. Nothing is tried again; the path is read off from the end. Decoding
-emits the arcs' labels, the tokens' bytes.
+which the table gives from an earlier place's state and a token between the two (tokens that end at a place are read off a table of their bytes, last byte
+first). Nothing is tried again; the path is read off from the end. Decoding emits the arcs' labels, the tokens' bytes.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from skyledger.llm.shared import kept_in_worker, map_batches
+from skyledger.llm.shared import dealt_out, kept_in_worker, map_batches
 
 #: Words of which a worker keeps the encoding; the store is emptied when it is full (about 250 MB).
 CACHED_WORDS = 1_500_000
@@ -82,11 +82,18 @@ class MergeAutomaton:
                 self.ids.pop(self.labels[merged], None)
         #: state -> token -> next state
         self.table: list[dict[int, int]] = [{} for _ in range(states)]
-        #: last two bytes (or the only one) of a token -> lengths of such tokens, longest first
-        ends: dict[bytes, set[int]] = {}
-        for label in self.ids:
-            ends.setdefault(label[-2:], set()).add(len(label))
-        self.sizes = {end: sorted(lengths, reverse=True) for end, lengths in ends.items()}
+        #: tokens read backward: (node << 8 | byte) -> node, and the token that ends at a node or -1
+        self.child: dict[int, int] = {}
+        self.token_at = [-1]
+        for label, token in self.ids.items():
+            node = 0
+            for byte in reversed(label):
+                step = node << 8 | byte
+                if step not in self.child:
+                    self.child[step] = len(self.token_at)
+                    self.token_at.append(-1)
+                node = self.child[step]
+            self.token_at[node] = token
 
     def _gone(self, before: int, arc: int) -> int:
         """The rank at which `arc` after `before` is taken away; 0: it never was there; NEVER: it stays."""
@@ -119,34 +126,30 @@ class MergeAutomaton:
 
     def encode(self, word: bytes) -> list[int]:
         """The ids on the one accepted path that spells `word`."""
-        ids, table, sizes, none = self.ids, self.table, self.sizes, ()
-        states, tokens = [START], [-1]  # at each place of the word: the state there, and the token that ends there
-        for end in range(1, len(word) + 1):
-            found = -1
-            for lengths in (sizes.get(word[end - 2 : end], none) if end > 1 else none, sizes.get(word[end - 1 : end], none)):
-                for size in lengths:
-                    if size > end:
-                        continue
-                    token = ids.get(word[end - size : end])
-                    if token is None:
-                        continue
-                    before = states[end - size]
-                    after = table[before].get(token) if before != DEAD else DEAD
+        child, token_at, table = self.child.get, self.token_at, self.table
+        states, arcs = [START], [(-1, 0)]  # at each place of the word: the state there, and the token that ends there with where it begins
+        for end in range(len(word)):
+            node, after = 0, DEAD
+            for at in range(end, -1, -1):
+                node = child(node << 8 | word[at])
+                if node is None:
+                    break
+                token = token_at[node]
+                before = states[at]
+                if token >= 0 and before != DEAD:
+                    after = table[before].get(token)
                     if after is None:
                         after = self.next_state(before, token)
                     if after != DEAD:
-                        found = token
                         break
-                if found >= 0:
-                    break
-            states.append(after if found >= 0 else DEAD)
-            tokens.append(found)
+            states.append(after)
+            arcs.append((token, at) if after != DEAD else (-1, end))
         if states[-1] == DEAD:
             raise ValueError("the vocabulary lacks a byte of the word")
         path, at = [], len(word)
         while at:
-            path.append(tokens[at])
-            at -= len(self.labels[tokens[at]])
+            token, at = arcs[at]
+            path.append(token)
         path.reverse()
         return path
 
@@ -251,6 +254,6 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
         out = {"doc_id": batch.column(0), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
         return out | ({"ids": pa.array(kept, pa.list_(pa.int32())), "decoded": pa.array(texts, pa.string())} if keep_ids else {})
 
-    slim = docs.selectExpr(f"{id_col} AS doc_id", f"{text_col} AS text")
+    slim = dealt_out(docs.selectExpr(f"{id_col} AS doc_id", f"{text_col} AS text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
     return map_batches(slim, rows, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep_ids else ""))
