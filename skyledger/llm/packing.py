@@ -8,6 +8,7 @@ every bin is made as small as its contents allow.
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_left, insort
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.llm.bpe import coder_for
-from skyledger.llm.shared import map_batches, staged
+from skyledger.llm.shared import dealt_out, map_batches, staged
 
 #: Fixed value: the byte vocabulary's <|endoftext|>.
 END_ID = 50256
@@ -75,19 +76,30 @@ def packed(lengths: np.ndarray, sizes: tuple[int, ...] = SIZES, overhead: int =
     return bins, places, smallest[bins] if len(lengths) else np.zeros(0, np.int64)
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, longest: int, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_key, piece, start, length, ids) of every document: its ids, and the end id, cut into runs of at most `longest`. ids: bytes."""
+def id_kind(spec: str, end_id: int | None) -> str:
+    """The numbers that hold a vocabulary file's ids: 16 bits where they suffice, else 32."""
+    config = json.loads(spec)
+    top = max([*config["model"]["vocab"].values(), *(t["id"] for t in config["added_tokens"]), end_id or 0])
+    return "<u2" if top < 1 << 16 else "<u4"
+
+
+def token_pieces(docs: DataFrame, vocabulary: str, longest: int, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+    """(doc_id, text_key, piece, start, length, ids) of every document: its ids, and the end id, cut into runs of at most `longest`.
+
+    ids are bytes of numbers of the kind that comes with the table.
+    """
     with open(vocabulary, encoding="utf-8") as f:
-        spec = docs.sparkSession.sparkContext.broadcast(f.read())
-    end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
+        text = f.read()
+    spec, kind = docs.sparkSession.sparkContext.broadcast(text), id_kind(text, end_id)
+    end, width = b"" if end_id is None else int(end_id).to_bytes(4, "little"), int(kind[2])
 
     def rows(batch: pa.RecordBatch) -> dict:
         coder, out = coder_for(spec.value), ([], [], [], [], [])
         for i, text in enumerate(batch.column(2)):
-            ids = coder.encode(text.as_py() or "") + end
-            for piece, at in enumerate(range(0, max(len(ids), 1), 4 * longest)):
-                part = ids[at : at + 4 * longest]
-                for column, value in zip(out, (i, piece, at // 4, len(part) // 4, part), strict=True):
+            ids = np.frombuffer(coder.encode(text.as_py() or "") + end, "<u4").astype(kind).tobytes()
+            for piece, at in enumerate(range(0, max(len(ids), 1), width * longest)):
+                part = ids[at : at + width * longest]
+                for column, value in zip(out, (i, piece, at // width, len(part) // width, part), strict=True):
                     column.append(value)
         at = pa.array(out[0], pa.int64())
         return {
@@ -95,8 +107,8 @@ def token_pieces(docs: DataFrame, vocabulary: str, longest: int, end_id: int | N
             "length": pa.array(out[3], pa.int64()), "ids": pa.array(out[4], pa.binary()),
         }
 
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    return map_batches(slim, rows, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, text_key long, piece int, start long, length long, ids binary")
+    slim = dealt_out(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text")))
+    return map_batches(slim, rows, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, text_key long, piece int, start long, length long, ids binary"), kind
 
 
 def pack(
@@ -110,7 +122,7 @@ def pack(
     are encoded, however long. Repeated rows are packed each; pieces of equal length go by a hash. Ids may be null. An empty table
     gives no rows. Columns of the table besides id and text do not matter.
     """
-    pieces = token_pieces(docs, vocabulary, max(sizes), end_id, id_col, text_col)
+    pieces, width = token_pieces(docs, vocabulary, max(sizes), end_id, id_col, text_col)
     # rows that are the same in all columns still go to several groups
     pieces = staged(pieces.withColumn("deal", F.xxhash64("doc_id", "text_key", "piece", F.monotonically_increasing_id())), "pack-pieces")
     tokens, n = pieces.agg(F.sum("length"), F.count("*")).first()
@@ -121,7 +133,8 @@ def pack(
         number, place, size = packed(pdf["length"].to_numpy(), sizes)
         first = int(pdf["of"].iloc[0]) << 40
         out = pdf[["doc_id", "text_key", "piece", "start", "length"]].assign(bin_id=number + first, bin_start=place, bin_size=size)
-        return out.assign(ids=[np.frombuffer(x, "<u4").astype(np.int32) for x in pdf["ids"]]) if keep_ids else out.assign(ids_crc32=[zlib.crc32(x) for x in pdf["ids"]])
+        ids = [np.frombuffer(x, width).astype("<i4") for x in pdf["ids"]]
+        return out.assign(ids=ids) if keep_ids else out.assign(ids_crc32=[zlib.crc32(x.tobytes()) for x in ids])
 
     dealt = pieces.withColumn("of", F.pmod("deal", F.lit(groups)))
     kind = pieces.schema["doc_id"].dataType.simpleString()
