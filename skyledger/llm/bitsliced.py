@@ -25,8 +25,8 @@ BLOCK_ROWS = 1 << 15
 QUERY_ROWS = 64
 COMPONENT_BITS = 7
 QUERY_BITS = 6
-#: Buckets that index blocks are dealt to, at most; queries are sent once to each.
-BUCKETS = 4096
+#: Buckets that index blocks are dealt to, at most; queries are sent once to each. Query blocks of a lane at most (about 8 kB each).
+BUCKETS, LANE = 4096, 2048
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -39,7 +39,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> Data
 
 
 def index_blocks(rows: DataFrame) -> DataFrame:
-    """(block, dim, ids, x): up to BLOCK_ROWS vectors of one length, as 64-bit numbers, as they come in a task."""
+    """(block, dim, width, ids, x): up to BLOCK_ROWS vectors of one length as they come in a task, in numbers of `width` bytes."""
     return _blocked(rows, BLOCK_ROWS)
 
 
@@ -52,7 +52,9 @@ def _blocked(rows: DataFrame, most: int) -> DataFrame:
             nonlocal made
             ids, x = (np.concatenate(c) for c in zip(*held.pop(dim), strict=True))
             made += 1
-            return pa.RecordBatch.from_pydict({"block": pa.array([(part << 32) + made], pa.int64()), "dim": pa.array([dim], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "x": pa.array([x.tobytes()], pa.binary())})
+            kind = np.int16 if -(1 << 15) <= x.min() and x.max() < 1 << 15 else np.int64
+            row = {"block": pa.array([(part << 32) + made], pa.int64()), "dim": pa.array([dim], pa.int32()), "width": pa.array([np.dtype(kind).itemsize], pa.int32())}
+            return pa.RecordBatch.from_pydict(row | {"ids": pa.array([ids.tobytes()], pa.binary()), "x": pa.array([x.astype(kind).tobytes()], pa.binary())})
 
         for batch in batches:
             ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
@@ -72,7 +74,11 @@ def _blocked(rows: DataFrame, most: int) -> DataFrame:
         for dim in list(held):
             yield told(dim)
 
-    return rows.mapInArrow(run, "block long, dim int, ids binary, x binary")
+    return rows.mapInArrow(run, "block long, dim int, width int, ids binary, x binary")
+
+
+def _vectors(x: bytes, dim: int, width: int) -> np.ndarray:
+    return np.frombuffer(x, f"i{width}").reshape(-1, dim)
 
 
 class SlicedBlock:
@@ -81,7 +87,7 @@ class SlicedBlock:
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         self.ids, self.x = ids, x
         n, dim = x.shape
-        raised = x - x.min()
+        raised = x.astype(np.int64) - int(x.min())
         self.drop = max(0, int(raised.max()).bit_length() - COMPONENT_BITS)
         top = raised >> self.drop
         left_out = raised - (top << self.drop) - ((1 << self.drop) - 1) / 2
@@ -136,7 +142,7 @@ class SlicedBlock:
     def best(self, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
         """(vec_id, score) of the k best rows, ties to the smaller id; rows with the query's id take no part."""
         rows = self.candidates(query, k, self.ids == query_id)
-        scores, ids = self.x[rows] @ query, self.ids[rows]
+        scores, ids = self.x[rows].astype(np.int64) @ query, self.ids[rows]
         order = np.lexsort((ids, -scores))[:k]
         return list(zip(ids[order].tolist(), scores[order].tolist(), strict=True))
 
@@ -189,39 +195,35 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: st
 
     `is_query` is a condition on vec_id. Vectors that are null or empty, hold null or non-finite components, or have a null id take no
     part; vectors meet only those of the same length. Rows that share the query's id count as its own and are no candidates. Repeated
-    query rows count once. Components are held as 64-bit numbers (times scale below 2**25 or so, else sums may overflow).
+    query rows count once; other repeated rows are candidates each. Components times scale must lie below 2**25 or so, else sums may overflow. An
+    empty table gives no rows. Columns of the table besides id and vector do not matter.
     """
     rows = usable(vectors, id_col, vector_col, scale)
     # few large blocks make long bitmaps; the number of tasks follows the number of rows
     n = vectors.count()
     blocks = staged(_blocked(rows.coalesce(max(1, -(-n // BLOCK_ROWS))), BLOCK_ROWS), "index-blocks")
+    asked = staged(_blocked(rows.where(is_query).dropDuplicates(), QUERY_ROWS), "query-blocks")
     spread = max(1, min(BUCKETS, blocks.count()))
     # few bytes but much work: as many tasks as the session has shuffle partitions; while there are fewer blocks than tasks,
-    # blocks are sent to several lanes and each lane has a share of the queries
+    # blocks are sent to several lanes and each lane has a share of the queries, a bounded one at any size
     tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lanes = max(1, tasks // spread)
-    lane = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))).alias("lane")
-    placed = blocks.select("*", F.pmod(F.xxhash64("block"), F.lit(spread)).alias("bucket"), lane)
-    asked = _blocked(rows.where(is_query).dropDuplicates(), QUERY_ROWS).select(
-        "dim", F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), F.pmod(F.xxhash64("block"), F.lit(lanes)).alias("lane"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))).alias("bucket")
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, block = None, None
-        for batch in batches:
-            for number, dim, ids, x, q_ids, q_x in zip(*(batch.column(i) for i in range(6)), strict=True):
-                d = dim.as_py()
-                if kept != number.as_py():
-                    kept = number.as_py()
-                    block = SlicedBlock(np.frombuffer(ids.as_py(), np.int64), np.frombuffer(x.as_py(), np.int64).reshape(-1, d))
-                found = []
-                for q, query in zip(np.frombuffer(q_ids.as_py(), np.int64).tolist(), np.frombuffer(q_x.as_py(), np.int64).reshape(-1, d), strict=True):
+    lanes = max(1, tasks // spread, -(-asked.count() // LANE))
+    upto = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
+    placed = blocks.select("*", F.pmod(F.xxhash64("block"), F.lit(spread)).alias("bucket"), upto(lanes).alias("lane"))
+    sent = asked.select("dim", "width", "ids", "x", F.pmod(F.xxhash64("block"), F.lit(lanes)).alias("lane"), upto(spread).alias("bucket"))
+
+    def run(index: pa.Table, queries: pa.Table) -> pa.Table:
+        found = []
+        for ids, x, dim, width in zip(*(index[c].to_pylist() for c in ("ids", "x", "dim", "width")), strict=True):
+            block = SlicedBlock(np.frombuffer(ids, np.int64), _vectors(x, dim, width))
+            for q_ids, q_x, q_width in zip(*(queries[c].to_pylist() for c in ("ids", "x", "width")), strict=True):
+                for q, query in zip(np.frombuffer(q_ids, np.int64).tolist(), _vectors(q_x, dim, q_width).astype(np.int64), strict=True):
                     key = xxhash.xxh64_intdigest(query.tobytes()) >> 1
                     found += [(q, key, v, s) for v, s in block.best(q, query, k)]
-                yield pa.RecordBatch.from_pydict({c: pa.array([f[i] for f in found], pa.int64()) for i, c in enumerate(("query_id", "query_key", "vec_id", "score"))})
+        return pa.table({c: pa.array([f[i] for f in found], pa.int64()) for i, c in enumerate(("query_id", "query_key", "vec_id", "score"))})
 
+    # an index block is sent once to each of its lanes, and the lane's queries go past it there
     key = ["dim", "bucket", "lane"]
-    pairs = placed.repartition(tasks, *key).join(asked.repartition(tasks, *key), key).select("block", "dim", "ids", "x", "q_ids", "q_x")
-    found = pairs.mapInArrow(run, "query_id long, query_key long, vec_id long, score long")
+    found = placed.groupBy(*key).cogroup(sent.groupBy(*key)).applyInArrow(run, "query_id long, query_key long, vec_id long, score long")
     best = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
