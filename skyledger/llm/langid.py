@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyledger.llm.shared import kept_in_worker, map_batches
+from skyledger.llm.shared import dealt_out, kept_in_worker, map_batches
 
 #: Labelled documents read per language to fit its probabilities (those whose ids hash lowest).
 SAMPLE_DOCS = 150
@@ -242,6 +242,6 @@ def identify(docs: DataFrame, pieces_path: str, trainable: Column, passed: list[
             scores += b
         return {c: batch.column(i) for i, c in enumerate(passed)} | {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())}
 
-    slim = docs.select(*passed, F.col("text").alias("_text"))
+    slim = dealt_out(docs.select(*passed, F.col("text").alias("_text")))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
     return map_batches(slim, rows, f"{kinds}, lang_pred string, score double")

@@ -1,4 +1,7 @@
-"""The registered queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
+"""The registered queries of this subpackage and, where SQL can express them, their DuckDB SQL.
+
+Repeated rows, ties, long texts, empty tables and other columns: as each operator states.
+"""
 
 from __future__ import annotations
 
@@ -22,37 +25,45 @@ from skyledger.llm.vocabularies import vocabulary
 
 
 def op1_merge_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded with the byte vocabulary and decoded again. Null and empty texts have no ids; the operator says what else holds."""
     return encode_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), keep_ids=False)
 
 
 def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's shard of sixteen and its place there, by law `bytes`. Null texts are empty; an empty table gives no rows."""
     return shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
 
 def op4_merge_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with the row of an equal text that stays, that of the largest id. Null texts are empty."""
     return exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
 def op7_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids with an end id in plane files, in order of the document ids, and what the files say of each document."""
     written = write_token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), scratch_path(spark, "token-files"), end_id=2)
     return read_token_files(staged(written, "token-manifest"), keep_ids=False)
 
 
 def op8_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of three-word shingles and the components that links of two bits or fewer make. Texts without words have fingerprint zero."""
     return simhash_groups(table(spark, sf_dir, "documents"), words=3, radius=2)
 
 
 def op5_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's toxicity, learnt from label rows that are not held out. Null and empty texts are scored like a text without words."""
     scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id")), threshold=0.3)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def op9_segmentation_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's language, learnt from rows that are not held out. Null texts and those without a letter are `und`."""
     found = identify(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), ~held_out(F.col("doc_id")))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def op2_variable_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens in sequences of permitted lengths, told piece by piece. Null and empty texts are their end id."""
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), keep_ids=False)
 
 
@@ -66,10 +77,12 @@ URL_RULES = [
 
 
 def op6_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict by the rules below or the character models. Null addresses have neither host nor path."""
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
 def op10_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best integer inner products of every fiftieth vector. Vectors that are null or not finite take no part."""
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.llm.components import components
-from skyledger.llm.shared import map_batches, staged
+from skyledger.llm.shared import dealt_out, map_batches, staged
 
 BITS = 64
 #: Keys with more distinct fingerprints than this go by neighbours instead of pairs.
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
         return {"doc_id": batch.column(0), "fp": pa.array(found, pa.int64())}
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_batches(slim, rows, "doc_id long, fp long")
+    return map_batches(dealt_out(slim), rows, "doc_id long, fp long")
 
 
 def block_masks(blocks: int) -> list[int]:

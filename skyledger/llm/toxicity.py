@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.shared import kept_in_worker, map_batches
+from skyledger.llm.shared import dealt_out, kept_in_worker, map_batches
 
 BUCKETS = 1 << 17
 DIM = 12
@@ -215,7 +215,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, trainable: Column, threshold: f
         scores = np.array([judge.score(t.as_py()) for t in batch.column(len(passed))], float)
         return {c: batch.column(i) for i, c in enumerate(passed)} | {"score": pa.array(scores), "predicted": pa.array((scores >= threshold).astype(np.int32))}
 
-    slim = docs.select(*passed, F.col("text").alias("_text"))
+    slim = dealt_out(docs.select(*passed, F.col("text").alias("_text")))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
     return map_batches(slim, rows, f"{kinds}, score double, predicted int")
 
