@@ -52,3 +52,21 @@ def test_held_out_rows_are_told_apart(spark):
     toxic = scored["toxic"] == 1
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
     assert n1 >= 5 and (ranks[toxic].sum() - n1 * (n1 + 1) / 2) / (n1 * n0) > 0.8  # 38 toxic texts to learn from
+
+
+def test_url_parts_and_rules_are_those_of_sql(spark):
+    """Host, path, rule and a rule's verdict of every page, against DuckDB."""
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    values = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in queries.URL_RULES)
+    con.execute("CREATE VIEW pages AS SELECT * FROM '/root/testdata/sf0.01/pages.parquet'")
+    rows = con.execute(f"""
+        WITH rules(verdict, h, p) AS (VALUES {values}),
+        r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        s AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM r)
+        SELECT page_id, host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
+        FROM s LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL""").fetchall()
+    got = queries.op6_url_language_model(spark, "/root/testdata/sf0.01").collect()
+    want = {r[0]: r[1:] for r in rows}
+    assert len(got) == len(want) and all((r.host, r.path, r.rule) == want[r.page_id][:3] and want[r.page_id][3] in (None, r.verdict) for r in got)
+    assert sum(r.rule is not None for r in got) > 0
