@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -87,22 +88,34 @@ class Bags:
     """The passages of texts as ranges of word numbers, and the words' buckets."""
 
     def __init__(self, texts: list[str]):
-        split = [words_of(t) for t in texts]
-        number = {w: i for i, w in enumerate(dict.fromkeys(w for ws in split for w in ws))}
-        grams = [buckets(w) for w in number] or [[0]]
-        self.flat, self.sizes = np.array([b for g in grams for b in g], np.int64), np.array([len(g) for g in grams])
+        number: dict[str, int] = {}
+        words, flat, sizes, lengths = array("i"), array("i"), array("i"), array("i")
+        for text in texts:
+            found = words_of(text)
+            lengths.append(len(found))
+            for word in found:
+                known = number.get(word)
+                if known is None:
+                    known = number[word] = len(number)
+                    grams = buckets(word)
+                    flat.extend(grams)
+                    sizes.append(len(grams))
+                words.append(known)
+        if not number:  # no words at all: one that is nowhere
+            flat.append(0)
+            sizes.append(1)
+        self.flat, self.sizes, self.words, lengths = (np.array(x, np.int32) for x in (flat, sizes, words, lengths))
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
-        lengths = np.array([len(ws) for ws in split])
-        self.words = np.array([number[w] for ws in split for w in ws], np.int64)
         passages = np.maximum(1, lengths - PASSAGE + 1)
-        self.text = np.repeat(np.arange(len(texts)), passages)
+        self.text = np.repeat(np.arange(len(texts), dtype=np.int32), passages)
         self.at = np.concatenate([[0], np.cumsum(passages)[:-1]])
         first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        self.low = np.repeat(first, passages) + np.arange(passages.sum()) - np.repeat(self.at, passages)
+        self.low = (np.repeat(first - self.at, passages) + np.arange(passages.sum())).astype(np.int32)
         self.high = self.low + np.repeat(np.minimum(lengths, PASSAGE), passages)
         self.length = np.maximum(self.high - self.low, 1)
-        once = np.unique(np.repeat(np.arange(len(texts)), lengths) * len(grams) + self.words) % len(grams)
-        self.texts_of_bucket = np.bincount(self.flat, np.repeat(np.bincount(once, minlength=len(grams)), self.sizes), BUCKETS)
+        n = len(self.sizes)
+        once = np.unique(np.repeat(np.arange(len(texts), dtype=np.int64), lengths) * n + self.words) % n
+        self.texts_of_bucket = np.bincount(self.flat, np.repeat(np.bincount(once, minlength=n), self.sizes), BUCKETS)
 
 
 def loss_and_pull(bags: Bags, y: np.ndarray, balance: np.ndarray, scale: np.ndarray, bias: float) -> tuple[float, np.ndarray, float]:
