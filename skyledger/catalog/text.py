@@ -80,11 +80,11 @@ def _refs(spark, sf_dir):
 @query(
     "f7_reference_label",
     REFS_SQL + """ SELECT event_id, ref, CASE split_part(ref, ':', 1)
-      WHEN 'day' THEN 'The morning of ' || strftime(CAST(split_part(ref, ':', 2) AS DATE), '%A, %B %-d, %Y')
-      WHEN 'examen' THEN 'The evening of ' || strftime(CAST(split_part(ref, ':', 2) AS DATE), '%A, %B %-d, %Y')
-      WHEN 'voice' THEN 'On ' || strftime(make_date(2000, CAST(split_part(split_part(ref, ':', 3), '-', 1) AS INTEGER), 1), '%B') || ' ' || split_part(split_part(ref, ':', 3), '-', 2) || '’s voice'
-      WHEN 'passage' THEN 'On ' || split_part(ref, ':', 2) || ' — ' || split_part(ref, ':', 3) ELSE 'A note' END AS label,
-      CASE split_part(ref, ':', 1) WHEN 'passage' THEN '#/hall/' || split_part(ref, ':', 2) WHEN 'voice' THEN '#/vault' ELSE '#/today' END AS link FROM r""",
+      WHEN 'day' THEN 'Morning, ' || strftime(CAST(split_part(ref, ':', 2) AS DATE), '%A, %B %-d, %Y')
+      WHEN 'examen' THEN 'Evening, ' || strftime(CAST(split_part(ref, ':', 2) AS DATE), '%A, %B %-d, %Y')
+      WHEN 'voice' THEN 'Voice of ' || strftime(make_date(2000, CAST(split_part(split_part(ref, ':', 3), '-', 1) AS INTEGER), 1), '%B') || ' ' || split_part(split_part(ref, ':', 3), '-', 2)
+      WHEN 'passage' THEN 'Passage: ' || split_part(ref, ':', 2) || ', ' || split_part(ref, ':', 3) ELSE 'Some note' END AS label,
+      CASE split_part(ref, ':', 1) WHEN 'passage' THEN '/plans/' || split_part(ref, ':', 2) WHEN 'voice' THEN '/kept' ELSE '/day' END AS link FROM r""",
 )
 def f7(spark, sf_dir):
     return _refs(spark, sf_dir).select("event_id", "ref", t.reference_label(F.col("ref")).alias("label"), t.reference_link(F.col("ref")).alias("link"))

@@ -29,7 +29,11 @@ def _folding() -> tuple[str, str]:
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents, curly apostrophes straight; null becomes empty. Letters such as o with stroke stay themselves."""
+    """Lower case without accents, curly apostrophes straight; null becomes empty. Letters such as o with stroke stay themselves.
+
+    A character becomes one other, so that places in the text stay; those that decompose to several bases (Hangul syllables, a few ligatures of Indic
+    scripts) stay composed, and match texts in which they are composed.
+    """
     source, target = _folding()
     plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), source + "’‘", target + "''")
     return F.regexp_replace(plain, "[\\u0300-\\u036f]", "")
@@ -111,24 +115,26 @@ def _long_date(key: Column) -> Column:
     return F.coalesce(F.date_format(F.try_to_timestamp(key, F.lit("yyyy-MM-dd")), "EEEE, MMMM d, yyyy"), key)
 
 
-def reference_label(ref: Column) -> Column:
+#: What references are called, and where they lead; a caller may have other words.
+LABELS = {"day": "Morning, ", "examen": "Evening, ", "voice": "Voice of ", "voice?": "A voice", "passage": "Passage: ", "passage?": "A passage", "": "Some note"}
+LINKS = {"passage": "/plans/", "voice": "/kept", "": "/day"}
+
+
+def reference_label(ref: Column, words: dict[str, str] = LABELS) -> Column:
     """What a 'kind:key:...' reference is about: a day, its examen, a voice of a month-day, a passage, or any note."""
     part = F.split(ref, ":")
-    month_day = F.split(F.get(part, F.lit(2)), "-")
+    kind, first, last = part[0], F.get(part, F.lit(1)), F.get(part, F.lit(2))
+    month_day = F.split(last, "-")
     month = F.get(month_day, F.lit(0)).try_cast("int")
     named = F.date_format(F.make_date(F.lit(2000), F.when(month.between(1, 12), month), F.lit(1)), "MMMM")
-    voice = F.concat(F.lit("On "), named, F.lit(" "), F.get(month_day, F.lit(1)), F.lit("’s voice"))
-    passage = F.concat(F.lit("On "), F.get(part, F.lit(1)), F.lit(" — "), F.get(part, F.lit(2)))
-    kind = part[0]
-    return (
-        F.when(kind == "day", F.concat(F.lit("The morning of "), _long_date(F.get(part, F.lit(1)))))
-        .when(kind == "examen", F.concat(F.lit("The evening of "), _long_date(F.get(part, F.lit(1)))))
-        .when(kind == "voice", F.coalesce(voice, F.lit("On a kept voice")))
-        .when(kind == "passage", F.coalesce(passage, F.lit("On a passage")))
-        .otherwise("A note")
-    )
-
-
-def reference_link(ref: Column) -> Column:
+    voice = F.concat(F.lit(words["voice"]), named, F.lit(" "), F.get(month_day, F.lit(1)))
+    passage = F.concat(F.lit(words["passage"]), first, F.lit(", "), last)
+    told = F.when(kind == "voice", F.coalesce(voice, F.lit(words["voice?"]))).when(kind == "passage", F.coalesce(passage, F.lit(words["passage?"])))
+    for of_day in ("day", "examen"):
+        told = told.when(kind == of_day, F.concat(F.lit(words[of_day]), _long_date(first)))
+    return told.otherwise(words[""])
+
+
+def reference_link(ref: Column, places: dict[str, str] = LINKS) -> Column:
     part = F.split(ref, ":")
-    return F.when(part[0] == "passage", F.concat(F.lit("#/hall/"), F.get(part, F.lit(1)))).when(part[0] == "voice", "#/vault").otherwise("#/today")
+    return F.when(part[0] == "passage", F.concat(F.lit(places["passage"]), F.get(part, F.lit(1)))).when(part[0] == "voice", places["voice"]).otherwise(places[""])
