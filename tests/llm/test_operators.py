@@ -616,7 +616,9 @@ RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 def test_url_rules(spark):
     urls = ["http://EXAMPLE.com/en/1?x#y", "https://www.example.com/en/", "http://a.www.example.com/en/x", "http://badexample.com/en/", "http://x.net/es/1", "http://x.net/de/1", "ftp://com/", "http://com", "no scheme", None, "", "a://b?c/d", "http://h#/p", "x://" + "a" * 5000]
     table = spark.createDataFrame([(i, u, "r") for i, u in enumerate(urls)], "page_id long, url string, rule string")
-    got = {r.page_id: r for r in urlfilter.judge_urls(table, RULES).collect()}
+    rows = urlfilter.judge_urls(table.unionByName(table), RULES).collect()
+    got = {r.page_id: r for r in rows}
+    assert len(rows) == 2 * len(urls) and len({(r.page_id, r.verdict, r.lm_score) for r in rows}) == len(urls)
     assert [got[i].rule for i in range(9)] == ["example.com/en/", "www.example.com/en/", "www.example.com/en/", "com/", "net/es/", None, "com/", None, None]
     assert (got[0].host, got[0].path, got[0].verdict) == ("example.com", "/en/1", "block") and got[1].verdict == "allow"
     assert all((got[i].host, got[i].path) == ("", "") for i in (8, 9, 10)) and (got[11].host, got[11].path, got[12].host, got[12].path) == ("b", "", "h", "")
@@ -682,15 +684,63 @@ def test_slices_add_up():
     assert bitsliced._kth(slices, block.there, 7) == np.sort(want)[-7]
 
 
-def test_pipeline(spark):
+def slow_stage(name, rows, spark, table, folder):
+    """A stage's rows by brute force: rows are (doc_id, text)."""
+    trainable = ~held_out(F.col("doc_id"))
+    if name == "language_id":
+        pieces = langid.read_pieces(vocabulary("piece_bpe_32k.model"))
+        judge = langid.Judge(pieces, *langid.fit(pieces, langid.training_texts(table, trainable)))
+        names, scores = judge.judge([t for _, t in rows])
+        return [r for r, n, x in zip(rows, names, scores, strict=True) if n != "und" and x >= langid.LEAST_SCORE]
+    if name == "toxicity":
+        model = toxicity.fit(*toxicity.training_rows(table, spark.read.parquet(f"{folder}/labels.parquet"), trainable))
+        judge = toxicity.Judge(model.scale(), model.bias)
+        return [r for r in rows if judge.score(r[1]) < 0.3]
+    least = lambda ids: min((i for i in ids if i is not None), default=None)
+    if name == "exact_dedup":
+        best = {}
+        for i, t in rows:
+            best.setdefault(t or "", []).append(i)
+        return [(i, t) for i, t in rows if i == least(best[t or ""])]
+    sets = [set(simhash.shingle_hashes(t or "", 5).tolist()) for _, t in rows]
+    groups = {}
+    for i, root in brute_components(range(len(rows)), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])).items():
+        groups.setdefault(root, []).append(rows[i][0])
+    return [least(ids) for ids in groups.values()]
+
+
+def test_pipeline(spark, odd, tmp_path):
+    """Every stage against its brute-force version, on documents with odd rows among them; and the whole on an empty table."""
+    from tokenizers import Tokenizer
+
     import corpus_pipeline
 
-    documents = spark.read.parquet(f"{DATA}/documents.parquet")
-    before = documents
+    folder = f"file://{tmp_path}/sf"
+    rng, plain = random.Random(31), spark.read.parquet(f"{DATA}/documents.parquet")
+    text = plain.where("lang = 'en' AND length(text) > 400").orderBy("doc_id").first().text
+    more = [(9001, text + " one more"), (9002, text), (9002, " ".join(made_words(rng, 30))), (None, text[:-2])]
+    extra = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in more], plain.schema)
+    plain.unionByName(odd.select(plain.columns)).unionByName(extra).write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{DATA}/labels.parquet").write.parquet(f"{folder}/labels.parquet")
+    before = spark.read.parquet(f"{folder}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, before, DATA)
-        assert after.columns == documents.columns, name
-        assert after.join(before, "doc_id", "left_anti").count() == 0
-        before = after.cache()
-    rows = corpus_pipeline.run(spark, DATA).collect()
-    assert {r.doc_id for r in rows} == {r.doc_id for r in before.collect()}
+        after = stage(spark, before, folder).cache()
+        assert after.columns == plain.columns, name
+        rows, kept = ([(r.doc_id, r.text) for r in t.collect()] for t in (before, after))
+        want = slow_stage(name, rows, spark, before, folder)
+        got = [i for i, _ in kept] if name == "simhash_near_dedup" else kept
+        assert 0 < len(want) < len(rows) or name == "toxicity", name
+        assert Counter(got) == Counter(want) and not Counter(kept) - Counter(rows), name
+        before = after
+    library = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    packed = Counter()
+    for r in corpus_pipeline.STAGES[-1][1](spark, before, folder).collect():
+        packed[r.doc_id] += r.length
+    want = Counter()
+    for r in before.collect():
+        want[r.doc_id] += len(library.encode(r.text or "", add_special_tokens=False).ids) + 1
+    assert packed == want
+    none = f"file://{tmp_path}/none"
+    for table in ("documents", "labels"):
+        spark.read.parquet(f"{DATA}/{table}.parquet").limit(0).write.parquet(f"{none}/{table}.parquet")
+    assert corpus_pipeline.run(spark, none).count() == 0
