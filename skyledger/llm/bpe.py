@@ -256,4 +256,4 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
 
     slim = dealt_out(docs.selectExpr(f"{id_col} AS doc_id", f"{text_col} AS text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return map_batches(slim, rows, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep_ids else ""))
+    return map_batches(slim, rows, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep_ids else ""), keeps=True)

@@ -244,4 +244,4 @@ def identify(docs: DataFrame, pieces_path: str, trainable: Column, passed: list[
 
     slim = dealt_out(docs.select(*passed, F.col("text").alias("_text")))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
-    return map_batches(slim, rows, f"{kinds}, lang_pred string, score double")
+    return map_batches(slim, rows, f"{kinds}, lang_pred string, score double", keeps=True)

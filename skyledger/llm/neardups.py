@@ -101,10 +101,10 @@ def _of_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _shingles(docs: DataFrame, words: int) -> DataFrame:
     def rows(batch: pa.RecordBatch) -> dict:
-        found = [np.unique(shingle_hashes(t.as_py() or "", words)).tobytes() for t in batch.column(1)]
-        return {"node": batch.column(0), "shingles": pa.array(found, pa.binary())}
+        found = [np.unique(shingle_hashes(t.as_py() or "", words)).view(np.int64) for t in batch.column(1)]
+        return {"node": batch.column(0), "shingles": pa.array(found, pa.list_(pa.int64()))}
 
-    return map_batches(docs, rows, "node long, shingles binary")
+    return map_batches(docs, rows, "node long, shingles array<long>")
 
 
 def _with_both(edges: DataFrame, of_node: DataFrame, columns: list[str]) -> DataFrame:
@@ -119,18 +119,10 @@ def _verified(docs: DataFrame, edges: DataFrame, words: int, similarity: float)
     """The edges (a, b) whose texts' shingle sets have at least this Jaccard similarity. edges: staged."""
     nodes = staged(edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct(), "near-nodes")
     sets = staged(_shingles(_of_nodes(docs, nodes), words), "near-shingles")
-    both = _with_both(edges.select("a", "b"), sets, ["shingles"]).select("a", "b", "a_shingles", "b_shingles")
-
-    def rows(batch: pa.RecordBatch) -> dict:
-        near = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-            shared = len(np.intersect1d(p, q, assume_unique=True)) if min(len(p), len(q)) >= similarity * max(len(p), len(q)) else 0
-            near.append(shared >= similarity * (len(p) + len(q) - shared))
-        kept = pa.array(near, pa.bool_())
-        return {"a": batch.column(0).filter(kept), "b": batch.column(1).filter(kept)}
-
-    return staged(map_batches(both, rows, "a long, b long"), "near-edges")
+    n, m = F.size("a_shingles"), F.size("b_shingles")
+    shared = F.size(F.array_intersect("a_shingles", "b_shingles"))  # distinct ones, compared row by row in the JVM
+    sized = _with_both(edges.select("a", "b"), sets, ["shingles"]).where(F.least(n, m) >= F.greatest(n, m) * similarity - 1e-9)
+    return staged(sized.select("a", "b", (n + m).alias("sum"), shared.alias("shared")).where(F.col("shared") >= similarity * (F.col("sum") - F.col("shared")) - 1e-9).select("a", "b"), "near-edges")
 
 
 def _shared_least(n: Column, m: Column, similarity: float) -> Column:
@@ -198,17 +190,17 @@ def near_components(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
         return staged(both.where(sizes).withColumn("score", _over(similarity)).where("score <= 0").select("a", "b"), name)
 
     keyed = sketched.select("node", "n", F.posexplode("keys").alias("at", "key"))
-    sizes = keyed.groupBy("key").agg(F.min(F.struct("node", "n", "at")).alias("hub"), F.count("*").alias("members")).where("members > 1")
-    sizes = staged(sizes, "near-keys")
-    crowded = hot_keys(sizes.select("key", "members"), "key", "members")
-    shared = staged(salted_join(keyed, sizes.drop("members"), "key", "node", crowded), "near-shared")
-    met = shared.select("node", "n", "at", F.col("hub.node").alias("h_node"), F.col("hub.n").alias("h_n"), F.col("hub.at").alias("h_at"))
+    several = staged(keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "near-keys")
+    crowded = hot_keys(several, "key", "members")
+    shared = staged(salted_join(keyed, several.select("key"), "key", "node", crowded), "near-shared")
+    hubs = staged(shared.groupBy("key").agg(F.min(F.struct("node", "n", "at")).alias("hub")), "near-hubs")
+    met = salted_join(shared, hubs, "key", "node", crowded).select("node", "n", "at", F.col("hub.node").alias("h_node"), F.col("hub.n").alias("h_n"), F.col("hub.at").alias("h_at"))
     spokes = met.where((F.col("node") != F.col("h_node")) & _possible("", "h_", similarity)).select(F.col("h_node").alias("a"), F.col("node").alias("b"))
     tried = told(_fingerprint_pairs(sketched).unionByName(spokes), "near-spokes")
     edges = _verified(docs, tried, words, similarity)
 
     found = staged(components(edges), "near-components")
-    placed = shared.drop("hub").join(found, "node", "left").select("key", "node", "n", "at", F.coalesce("root", "node").alias("root"))
+    placed = shared.join(found, "node", "left").select("key", "node", "n", "at", F.coalesce("root", "node").alias("root"))
     split = staged(placed.groupBy("key").agg((F.min("root") != F.max("root")).alias("split")).where("split").drop("split"), "near-split")
     open_ = salted_join(placed, split, "key", "node", crowded)
     open_ = staged(open_.join(sketched.select("node", *ODD), "node"), "near-open")

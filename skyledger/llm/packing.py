@@ -108,7 +108,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, longest: int, end_id: int | N
         }
 
     slim = dealt_out(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text")))
-    return map_batches(slim, rows, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, text_key long, piece int, start long, length long, ids binary"), kind
+    return map_batches(slim, rows, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, text_key long, piece int, start long, length long, ids binary", keeps=True), kind
 
 
 def pack(

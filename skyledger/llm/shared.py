@@ -47,13 +47,16 @@ def dealt_out(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size < cores * SMALL_SHARE else df
 
 
-def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str, keeps: bool = False) -> DataFrame:
     """Apply ``rows`` (record batch -> column name to values) to every Arrow batch of ``df``.
 
-    Batches over 4096 rows are cut so that the Python side holds few whole texts at once.
+    Batches over 4096 rows are cut so that the Python side holds few whole texts at once. Only functions that say so (keeps) find what
+    an earlier job kept in the worker; for others it is let go first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            _kept.clear()
         for whole in batches:
             for start in range(0, whole.num_rows, 4096):
                 yield pa.RecordBatch.from_pydict(rows(whole.slice(start, 4096)))

@@ -230,7 +230,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, trainable: Column, threshold: f
 
     slim = dealt_out(docs.select(*passed, F.col("text").alias("_text")))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
-    return map_batches(slim, rows, f"{kinds}, score double, predicted int")
+    return map_batches(slim, rows, f"{kinds}, score double, predicted int", keeps=True)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, trainable: Column, threshold: float = THRESHOLD) -> DataFrame:
