@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 
 from skyledger.llm.shared import dealt_out, kept_in_worker, map_batches
 
-#: Words of which a worker keeps the encoding; the store is emptied when it is full (about 250 MB).
-CACHED_WORDS = 1_500_000
+#: Words of which a worker keeps the encoding; the store is emptied when it is full (about 100 MB).
+CACHED_WORDS = 600_000
 #: Fixed value: the pattern that byte-level BPE splits text with.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NEVER = 1 << 30

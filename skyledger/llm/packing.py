@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.llm.bpe import coder_for
-from skyledger.llm.shared import dealt_out, map_batches, staged
+from skyledger.llm.shared import dealt_out, let_go, map_batches, staged
 
 #: Fixed value: the byte vocabulary's <|endoftext|>.
 END_ID = 50256
@@ -129,6 +129,7 @@ def pack(
     groups = max(1, -(-(tokens or 0) // group_tokens), -(-n // group_pieces))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        let_go()  # the coder is not needed any more
         pdf = pdf.sort_values(["length", "deal"], ascending=[False, True], kind="stable")
         number, place, size = packed(pdf["length"].to_numpy(), sizes)
         first = int(pdf["of"].iloc[0]) << 40

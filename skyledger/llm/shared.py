@@ -56,7 +56,7 @@ def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not keeps:
-            _kept.clear()
+            let_go()
         for whole in batches:
             for start in range(0, whole.num_rows, 4096):
                 yield pa.RecordBatch.from_pydict(rows(whole.slice(start, 4096)))
@@ -94,6 +94,11 @@ def held_out(doc_id: Column) -> Column:
 _kept: dict[str, object] = {}
 
 
+def let_go() -> None:
+    """Frees what earlier jobs kept in this worker."""
+    _kept.clear()
+
+
 def kept_in_worker(key: str, build: Callable[[], object]) -> object:
     """The worker's object of this key, built once; only the latest is held, so that jobs in turn do not add up in memory."""
     if key not in _kept:
