@@ -28,7 +28,7 @@ SCALED = 8
 #: Words of evidence that a score counts at most; without this bound every longer text would score 0 or 1.
 EVIDENCE = 20
 #: Words of which a worker keeps the log-probabilities; emptied when full.
-CACHED_WORDS = 350_000
+CACHED_WORDS = 200_000
 UNDETERMINED = "und"
 #: A filter rejects texts whose best language scores less.
 LEAST_SCORE = 0.35

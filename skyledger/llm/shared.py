@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -78,6 +81,8 @@ def hot_keys(rows: DataFrame, key: str, n: str | None = None) -> DataFrame:
 
 def salted_join(many: DataFrame, one: DataFrame, key: str, spread: str, hot: DataFrame) -> DataFrame:
     """Inner join of rows with at most one row per key. Rows of hot keys (a table of keys, broadcast) are spread by a hash of `spread`."""
+    if hot.isEmpty():
+        return many.join(one, key)
     marks = F.broadcast(hot.select(key).withColumn("_hot", F.lit(True)))
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
     salts = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
@@ -95,13 +100,19 @@ _kept: dict[str, object] = {}
 
 
 def let_go() -> None:
-    """Frees what earlier jobs kept in this worker."""
-    _kept.clear()
+    """Frees what earlier jobs kept in this worker, and gives the memory back."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+        if trim:
+            trim(0)
 
 
 def kept_in_worker(key: str, build: Callable[[], object]) -> object:
     """The worker's object of this key, built once; only the latest is held, so that jobs in turn do not add up in memory."""
     if key not in _kept:
-        _kept.clear()
+        let_go()
         _kept[key] = build()
     return _kept[key]

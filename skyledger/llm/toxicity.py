@@ -36,7 +36,7 @@ EPOCHS, RATE, SOFTMAX_RATE, DAMPING, KEPT = 40, 12.0, 0.01, 5.0, 0.8
 #: How much higher log-odds weigh more in a text's score.
 POOL = 2.0
 THRESHOLD = 0.3
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
