@@ -14,7 +14,7 @@ from skyledger.functions import calendar as cal
 from skyledger.functions import sky
 from skyledger.operators import ranges
 from skyledger.registry import query
-from skyledger.sources.tables import read
+from skyledger.sources.tables import dealt_out, read
 
 PI = repr(math.pi)
 #: A longitude for an event, made from its number and value: a stand-in for an ephemeris.
@@ -168,7 +168,7 @@ CHART_SQL = ANGLES_SQL.replace(f"{LAT} AS lat", f"{CHART_LAT} AS lat").replace("
 
 def charted(spark, sf_dir):
     """Every event's place and instant (column ts), with its angles, within the years 1700 to 2200; and the events outside them."""
-    at = event_places(spark, sf_dir).withColumn("lat", F.when(F.col("event_id") % 5 == 0, F.col("lat") * 1.25).otherwise(F.col("lat")))
+    at = dealt_out(event_places(spark, sf_dir)).withColumn("lat", F.when(F.col("event_id") % 5 == 0, F.col("lat") * 1.25).otherwise(F.col("lat")))
     at = at.withColumn("at", F.when(F.col("event_id") % 97 == 0, F.col("ts") + F.expr("INTERVAL 300 YEARS")).otherwise(F.col("ts")))
     inside = F.year("at").between(1700, 2200)
     return with_angles(at.where(inside).drop("at")), at.where(~inside).select("event_id")

@@ -45,6 +45,21 @@ def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= rows else kept
 
 
+#: Bytes of input per core below which rows are dealt out anew before much work on each.
+SMALL_SHARE = 64 << 20
+
+
+def dealt_out(df: DataFrame) -> DataFrame:
+    """The rows dealt to as many tasks as there are cores, if the input is fewer and small files, which Spark may read in one task; else as they are."""
+    context, files = df.sparkSession.sparkContext, df.inputFiles()
+    cores = context.defaultParallelism
+    if not 0 < len(files) < cores:
+        return df
+    path = context._jvm.org.apache.hadoop.fs.Path
+    size = sum(path(f).getFileSystem(context._jsc.hadoopConfiguration()).getFileStatus(path(f)).getLen() for f in files)
+    return df.repartition(cores) if size < cores * SMALL_SHARE else df
+
+
 class Dimensions:
     """Tables of a folder that are read when first asked for, and once."""
 
