@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyledger.sources.tables import dealt_out as dealt_out
 from skyledger.sources.tables import scratch
 
 
@@ -35,21 +36,6 @@ def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Bytes of input per core below which rows are dealt out anew before much work in Python.
-SMALL_SHARE = 64 << 20
-
-
-def dealt_out(df: DataFrame) -> DataFrame:
-    """The rows dealt to as many tasks as there are cores, if the input is fewer and small files, which Spark may read in one task; else as they are."""
-    context, files = df.sparkSession.sparkContext, df.inputFiles()
-    cores = context.defaultParallelism
-    if not 0 < len(files) < cores:
-        return df
-    path = context._jvm.org.apache.hadoop.fs.Path
-    size = sum(path(f).getFileSystem(context._jsc.hadoopConfiguration()).getFileStatus(path(f)).getLen() for f in files)
-    return df.repartition(cores) if size < cores * SMALL_SHARE else df
-
-
 def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str, keeps: bool = False) -> DataFrame:
     """Apply ``rows`` (record batch -> column name to values) to every Arrow batch of ``df``.
 
