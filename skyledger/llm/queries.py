@@ -14,7 +14,9 @@ from skyledger.llm.bitsliced import top_k
 from skyledger.llm.bpe import encode_documents
 from skyledger.llm.exact_dedup import exact_groups
 from skyledger.llm.langid import identify
+from skyledger.llm.negatives import hard_negatives
 from skyledger.llm.packing import pack
+from skyledger.llm.resampling import resample
 from skyledger.llm.shared import held_out, scratch_path, staged, table
 from skyledger.llm.sharding import shard_documents
 from skyledger.llm.simhash import simhash_groups
@@ -86,6 +88,63 @@ def op10_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
 
+def op12_dense_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five negatives within 80 to 100 per cent of each of five positives, for every hundredth vector; every seventh row's label goes up by one."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 100 == 0, positives=5, negatives=5, low=80, high=100, scale=256)
+
+
+def op13_tournament_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents with twenty words or more, drawn towards the benchmark's word pairs; rank is null for the others."""
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, least_words=20, seed=7)
+
+
+OP12_SQL = """
+WITH v AS (SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+             list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x
+           FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS wanted, c.vec_id, c.label, CAST(list_inner_product(a.x, c.x) AS BIGINT) AS score
+      FROM (SELECT DISTINCT * FROM v WHERE vec_id % 100 = 0) a JOIN v c ON len(a.x) = len(c.x)),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place
+      FROM s WHERE vec_id <> anchor_id AND label = wanted QUALIFY place <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+        CAST(row_number() OVER (PARTITION BY anchor_id, place ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+      FROM p JOIN s USING (anchor_id)
+      WHERE s.label <> s.wanted AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+#: crc32 is worked out from its polynomial: first the table of 256 bytes, then byte by byte.
+OP13_SQL = r"""
+WITH RECURSIVE t(i, c, k) AS (
+  SELECT i, CAST(i AS BIGINT), 0 FROM range(256) r(i)
+  UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM t WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS tab FROM t WHERE k = 8),
+texts AS (SELECT true AS own, doc_id, text FROM documents UNION ALL SELECT false, NULL, text FROM benchmark),
+w AS (SELECT *, row_number() OVER () AS r,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+      FROM texts),
+f AS (SELECT r, own, unnest(ws) AS f FROM w
+      UNION ALL SELECT r, own, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM w),
+counted AS (SELECT r, own, f, count(*) AS n FROM f GROUP BY ALL),
+bytes AS (SELECT f, list_transform(range(1, CAST(octet_length(encode(f)) AS BIGINT) + 1), lambda i: CAST('0x' || substr(hex(encode(f)), 2 * i - 1, 2) AS BIGINT)) AS b
+          FROM (SELECT DISTINCT f FROM counted)),
+hashed AS (SELECT f, xor(list_reduce(b, lambda c, x: xor(c >> 8, tab[xor(c & 255, x) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) % 10000 AS bucket FROM bytes, crc),
+c AS (SELECT r, own, bucket, sum(n) AS n FROM counted JOIN hashed USING (f) GROUP BY ALL),
+met AS (SELECT bucket, coalesce(sum(n) FILTER (own), 0) AS s, coalesce(sum(n) FILTER (NOT own), 0) AS t FROM c GROUP BY bucket),
+gain AS (SELECT bucket, CAST(floor(1000 * ln(CAST((t + 1) * ((SELECT sum(s) FROM met) + 10000) AS DOUBLE) / CAST((s + 1) * ((SELECT sum(t) FROM met) + 10000) AS DOUBLE))) AS BIGINT) AS gain
+         FROM met),
+d AS (SELECT r, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(sum(n * gain) / sum(n)) AS BIGINT) AS weight FROM c JOIN gain USING (bucket) WHERE own GROUP BY r),
+h AS (SELECT r, doc_id, len(ws) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+        CAST('0x' || left(sha256(concat('7:', doc_id)), 8) AS BIGINT) AS h
+      FROM w LEFT JOIN d USING (r) WHERE own),
+scored AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM h),
+ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 25 * n // 100 THEN rank END AS rank FROM scored LEFT JOIN ranked USING (r)
+"""
+
 OP10_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
@@ -114,8 +173,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_blocks": op8_simhash_blocks,
         "op9_segmentation_langid": op9_segmentation_langid,
         "op10_bit_sliced_top_k": op10_bit_sliced_top_k,
+        "op12_dense_negatives": op12_dense_negatives,
+        "op13_tournament_resampling": op13_tournament_resampling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_merge_index_dedup": OP4_SQL, "op10_bit_sliced_top_k": OP10_SQL}
+    return {"op4_merge_index_dedup": OP4_SQL, "op10_bit_sliced_top_k": OP10_SQL, "op12_dense_negatives": OP12_SQL, "op13_tournament_resampling": OP13_SQL}
