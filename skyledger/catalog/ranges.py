@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skyledger.catalog.dates import slot_spine
+from skyledger.catalog.longitudes import longitudes_sql
 from skyledger.functions import calendar as cal
+from skyledger.functions.ephemeris import with_longitudes
 from skyledger.operators import ranges
 from skyledger.operators.order import with_position
 from skyledger.registry import query
@@ -96,13 +98,17 @@ def j14(spark, sf_dir):
     return ranges.in_interval(dated, "md", ranges.unwrapped(signs(spark), "lo", "hi", 101, 1231), "lo", "hi").select("o_orderkey", "md", F.col("i").alias("sign"))
 
 
-POINTS_SQL = "p AS (SELECT user_id % 40 AS chart, event_type AS name, CAST(max(event_id) * 137 % 360 AS DOUBLE) AS lon FROM events GROUP BY ALL), s AS (SELECT a.chart, a.name AS a, b.name AS b, CASE WHEN abs(a.lon - b.lon) > 180 THEN 360 - abs(a.lon - b.lon) ELSE abs(a.lon - b.lon) END AS sep FROM p a JOIN p b ON a.chart = b.chart AND a.name < b.name), k(aspect, angle, o, kind) AS (VALUES ('Conjunction', 0, 8, 'major'), ('Opposition', 180, 8, 'major'), ('Trine', 120, 7, 'soft'), ('Square', 90, 7, 'hard'), ('Sextile', 60, 5, 'soft')), h AS (SELECT chart, a, b, aspect, kind, abs(sep - angle) AS orb, round(1 - abs(sep - angle) / o, 6) AS exactness FROM s JOIN k ON abs(sep - angle) <= o)"
+#: Points of a chart: each kind of event is a body, where it stands at the kind's last event.
+CHART_BODIES = {"click": "Moon", "error": "Mars", "purchase": "Venus", "signup": "Sun", "view": "Mercury"}
+_body_sql = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{b}'" for k, b in CHART_BODIES.items()) + " END"
+POINTS_SQL = f"z AS (SELECT user_id % 40 AS chart, event_type AS name, {_body_sql} AS body, max(CAST(ts AS TIMESTAMP)) AS moment FROM events GROUP BY ALL), inst AS (SELECT DISTINCT moment FROM z), {longitudes_sql('inst')}, " + "p AS (SELECT chart, name, lon FROM z JOIN lon USING (moment, body)), s AS (SELECT a.chart, a.name AS a, b.name AS b, CASE WHEN abs(a.lon - b.lon) > 180 THEN 360 - abs(a.lon - b.lon) ELSE abs(a.lon - b.lon) END AS sep FROM p a JOIN p b ON a.chart = b.chart AND a.name < b.name), k(aspect, angle, o, kind) AS (VALUES ('Conjunction', 0, 8, 'major'), ('Opposition', 180, 8, 'major'), ('Trine', 120, 7, 'soft'), ('Square', 90, 7, 'hard'), ('Sextile', 60, 5, 'soft')), h AS (SELECT chart, a, b, aspect, kind, round(abs(sep - angle), 6) AS orb, round(1 - abs(sep - angle) / o, 6) AS exactness FROM s JOIN k ON abs(sep - angle) <= o)"
 
 
 def aspects(spark, sf_dir):
-    lon = (F.max("event_id") * 137 % 360).cast("double")
-    points = read(spark, sf_dir, "events").groupBy((F.col("user_id") % 40).alias("chart"), F.col("event_type").alias("name")).agg(lon.alias("lon"))
-    return ranges.angle_pairs(points, "chart", "name", "lon").withColumn("exactness", F.round("exactness", 6))
+    last = read(spark, sf_dir, "events").groupBy((F.col("user_id") % 40).alias("chart"), F.col("event_type").alias("name")).agg(F.max("ts").alias("ts"))
+    placed = with_longitudes(last, F.col("ts"), list(CHART_BODIES.values()), ahead=False)
+    points = placed.select("chart", "name", F.coalesce(*(F.when(F.col("name") == k, F.col(f"lon_{b}")) for k, b in CHART_BODIES.items())).alias("lon"))
+    return ranges.angle_pairs(points, "chart", "name", "lon").withColumns({c: F.round(c, 6) for c in ("orb", "exactness")})
 
 
 @query("j16_aspect_pairs", f"WITH {POINTS_SQL} SELECT * FROM h")

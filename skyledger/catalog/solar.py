@@ -8,17 +8,17 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skyledger.catalog.dates import LAT, LON, ZONE, places
+from skyledger.catalog.longitudes import EVENT_LON_SQL, longitudes_sql
 from skyledger.catalog.ranges import SIGNS_SQL as RANGES_SQL
 from skyledger.catalog.ranges import signs
 from skyledger.functions import calendar as cal
 from skyledger.functions import sky
+from skyledger.functions.ephemeris import BODIES, with_longitudes
 from skyledger.operators import ranges
 from skyledger.registry import query
 from skyledger.sources.tables import dealt_out, read
 
 PI = repr(math.pi)
-#: A longitude for an event, made from its number and value: a stand-in for an ephemeris.
-BODY_LON = "((event_id * 137) % 360 + floor(value * 8) / 8)"
 
 
 def norm_sql(x: str) -> str:
@@ -34,8 +34,13 @@ def event_places(spark, sf_dir):
 EVENT_PLACES = f"e AS (SELECT event_id, user_id, value, CAST(ts AS TIMESTAMP) AS ts, {LAT} AS lat, {LON} AS lon FROM events JOIN nation ON user_id % 25 = n_nationkey)"
 
 
-def body_lon():
-    return ((F.col("event_id") * 137) % 360 + F.floor(F.col("value") * 8) / 8).cast("double")
+def event_longitudes(spark, sf_dir, *bodies):
+    """Every event's number, instant and value with the bodies' longitudes (lon_Sun, ...)."""
+    return with_longitudes(dealt_out(read(spark, sf_dir, "events").select("event_id", "user_id", "value", "ts")), F.col("ts"), list(bodies), ahead=False)
+
+
+#: sky (event_id, sun, moon): longitudes of the Sun and the Moon at an event.
+SUN_MOON_SQL = f"{EVENT_LON_SQL}, sky AS (SELECT event_id, max(lon) FILTER (body = 'Sun') AS sun, max(lon) FILTER (body = 'Moon') AS moon FROM bodies GROUP BY event_id)"
 
 
 def solar_sql(g: str) -> tuple[str, str]:
@@ -73,12 +78,13 @@ SIGNS_SQL = "[" + ", ".join(f"'{s}'" for s in sky.SIGNS) + "]"
 
 @query(
     "f27_sign_parts",
-    f"""WITH x AS (SELECT event_id, {BODY_LON} % 360 AS lon FROM events), y AS (SELECT event_id, CAST(floor(lon / 30) AS INTEGER) AS sign, lon - floor(lon / 30) * 30 AS w FROM x)
-    SELECT event_id, sign, {SIGNS_SQL}[sign + 1] AS sign_name, CAST(floor(w) AS INTEGER) AS degree, CAST(floor((w - floor(w)) * 60) AS INTEGER) AS minute, round(w, 6) AS within FROM y""",
+    f"""WITH {SUN_MOON_SQL}, x AS (SELECT event_id, moon AS lon FROM sky), y AS (SELECT event_id, CAST(floor(lon / 30) AS INTEGER) AS sign, lon - floor(lon / 30) * 30 AS w FROM x)
+    SELECT event_id, sign, {SIGNS_SQL}[sign + 1] AS sign_name, CAST(floor(w) AS INTEGER) AS degree, CAST(floor((w - floor(w)) * 60) AS INTEGER) AS minute, round(w, 4) AS within FROM y""",
 )
 def f27(spark, sf_dir):
-    part = sky.sign_parts(body_lon())
-    return read(spark, sf_dir, "events").select("event_id", *(part[c].alias(c) for c in ("sign", "sign_name", "degree", "minute")), F.round(part["within"], 6).alias("within"))
+    """The Moon's sign and place in it."""
+    part = sky.sign_parts(F.col("lon_Moon"))
+    return event_longitudes(spark, sf_dir, "Moon").select("event_id", *(part[c].alias(c) for c in ("sign", "sign_name", "degree", "minute")), F.round(part["within"], 4).alias("within"))
 
 
 @query("f28_solar_event", f"WITH {SUN_DAY} SELECT event_id, round({event_sql(90.833, '+')}, 5) AS sunrise_minutes FROM s")
@@ -161,15 +167,20 @@ def f36(spark, sf_dir):
     return rows.select("event_id", (F.col("i") + 1).alias("house"), F.col("c.w").alias("whole_cusp"), F.round("c.q", 4).alias("equal_cusp"))
 
 
-#: Charts are drawn for every event: at places up to 75 degrees from the equator, some at an instant three hundred years on.
+#: Charts are drawn for every event: at places up to 75 degrees from the equator; one in 97 is asked for an instant three hundred years on.
 CHART_LAT = f"(CASE WHEN event_id % 5 = 0 THEN {LAT} * 1.25 ELSE {LAT} END)"
-CHART_SQL = ANGLES_SQL.replace(f"{LAT} AS lat", f"{CHART_LAT} AS lat").replace("ON user_id % 25 = n_nationkey", "ON user_id % 25 = n_nationkey WHERE event_id % 97 > 0")
+PLACED_SQL = ANGLES_SQL.replace(f"{LAT} AS lat", f"{CHART_LAT} AS lat")
+CHART_SQL = PLACED_SQL.replace("ON user_id % 25 = n_nationkey", "ON user_id % 25 = n_nationkey WHERE event_id % 97 > 0")
+
+
+def chart_places(spark, sf_dir):
+    """Every event at the place that its chart is drawn for."""
+    return dealt_out(event_places(spark, sf_dir)).withColumn("lat", F.when(F.col("event_id") % 5 == 0, F.col("lat") * 1.25).otherwise(F.col("lat")))
 
 
 def charted(spark, sf_dir):
     """Every event's place and instant (column ts), with its angles, within the years 1700 to 2200; and the events outside them."""
-    at = dealt_out(event_places(spark, sf_dir)).withColumn("lat", F.when(F.col("event_id") % 5 == 0, F.col("lat") * 1.25).otherwise(F.col("lat")))
-    at = at.withColumn("at", F.when(F.col("event_id") % 97 == 0, F.col("ts") + F.expr("INTERVAL 300 YEARS")).otherwise(F.col("ts")))
+    at = chart_places(spark, sf_dir).withColumn("at", F.when(F.col("event_id") % 97 == 0, F.col("ts") + F.expr("INTERVAL 300 YEARS")).otherwise(F.col("ts")))
     inside = F.year("at").between(1700, 2200)
     return with_angles(at.where(inside).drop("at")), at.where(~inside).select("event_id")
 
@@ -188,10 +199,10 @@ def _placidus_ctes() -> str:
     placed AS (SELECT angles.*, ok, CASE WHEN ok THEN [{', '.join(half)}] END AS pc FROM angles JOIN four USING (event_id))"""
 
 
-@query("f37_placidus", f"WITH RECURSIVE {CHART_SQL}, {_placidus_ctes()} SELECT event_id, CAST(i AS INTEGER) AS house, round(pc[i], 4) AS cusp FROM placed, range(1, 13) r(i)")
+@query("f37_placidus", f"WITH RECURSIVE {PLACED_SQL}, {_placidus_ctes()} SELECT event_id, CAST(i AS INTEGER) AS house, round(pc[i], 4) AS cusp FROM placed, range(1, 13) r(i)")
 def f37(spark, sf_dir):
-    """All twelve cusps, or none where one of them is undefined."""
-    at = sky.with_placidus(charted(spark, sf_dir)[0])
+    """All twelve cusps, or none where one of them is undefined, for every instant: the range of years is the chart's rule, not the houses'."""
+    at = sky.with_placidus(with_angles(chart_places(spark, sf_dir)))
     cusps = F.array(*sky.placidus_cusps(F.col("asc_"), F.col("mc")))
     return at.select("event_id", F.posexplode(cusps).alias("i", "c")).select("event_id", (F.col("i") + 1).alias("house"), F.round("c", 4).alias("cusp"))
 
@@ -208,34 +219,29 @@ def f39(spark, sf_dir):
 
 @query(
     "f40_part_of_fortune",
-    f"""WITH {ANGLES_SQL}, b AS (SELECT *, {BODY_LON} % 360 AS sun, ({BODY_LON} * 13) % 360 AS moon, {norm_sql('floor(asc_ / 30) * 30')} AS first FROM angles),
+    f"""WITH {ANGLES_SQL}, {SUN_MOON_SQL}, b AS (SELECT *, {norm_sql('floor(asc_ / 30) * 30')} AS first FROM angles JOIN sky USING (event_id)),
     h AS (SELECT *, CAST(floor({norm_sql('sun - first')} / 30) AS INTEGER) + 1 AS house FROM b)
     SELECT event_id, house AS sun_house, round(CASE WHEN house >= 7 THEN {norm_sql('asc_ + moon - sun')} ELSE {norm_sql('asc_ + sun - moon')} END, 4) AS fortune FROM h""",
 )
 def f40(spark, sf_dir):
-    at = with_angles(event_places(spark, sf_dir)).withColumn("sun", sky.turn(body_lon())).withColumn("moon", sky.turn(body_lon() * 13))
+    at = with_longitudes(with_angles(dealt_out(event_places(spark, sf_dir))), F.col("ts"), ["Sun", "Moon"], ahead=False).withColumnsRenamed({"lon_Sun": "sun", "lon_Moon": "moon"})
     at = at.withColumn("house", sky.house_from(F.col("sun"), sky.whole_sign_start(F.col("asc_"))))
     fortune = sky.part_of_fortune(F.col("asc_"), F.col("sun"), F.col("moon"), F.col("house").between(7, 12))
     return at.select("event_id", F.col("house").alias("sun_house"), F.round(fortune, 4).alias("fortune"))
 
 
-#: Ten bodies; each one's longitude and daily motion are made from the event's number, a stand-in for an ephemeris (see BODY_LON).
-BODIES = [("Sun", 1), ("Moon", 13), ("Mercury", 4), ("Venus", 5), ("Mars", 7), ("Jupiter", 3), ("Saturn", 11), ("Uranus", 9), ("Neptune", 8), ("Pluto", 6)]
-BODIES_SQL = "[" + ", ".join(f"{{'name': '{n}', 'f': {f}}}" for n, f in BODIES) + "]"
-RETRO_SQL = "p.name NOT IN ('Sun', 'Moon') AND (event_id * p.f) % 21 - 6 < 0"
-
-
 def bodies():
-    """The ten bodies of an event: name, longitude, and whether it moves backward from this day to the next (Sun and Moon never do)."""
+    """The ten bodies beside the columns of `with_longitudes`: name, longitude, and whether it moves backward until the next day (Sun and Moon never do)."""
     found = []
-    for name, f in BODIES:
-        today = sky.turn(body_lon() * f)
-        step = sky.half_turn(sky.turn(today + (F.col("event_id") * f) % 21 - 6) - today)
-        retro = F.lit(False) if name in ("Sun", "Moon") else step < 0
-        found.append(F.struct(F.lit(name).alias("point"), today.alias("plon"), retro.alias("retro")))
+    for name in BODIES:
+        retro = F.lit(False) if name in ("Sun", "Moon") else sky.half_turn(F.col(f"next_{name}") - F.col(f"lon_{name}")) < 0
+        found.append(F.struct(F.lit(name).alias("point"), F.col(f"lon_{name}").alias("plon"), retro.alias("retro")))
     return found
 
 
+RETRO_SQL = "body NOT IN ('Sun', 'Moon') AND step < 0"
+
+
 _inside = f"list_filter(range(1, 13), lambda i: {norm_sql('round(cusps[i % 12 + 1] - cusps[i], 9)')} = 0 OR {norm_sql('round(LON - cusps[i], 9)')} < {norm_sql('round(cusps[i % 12 + 1] - cusps[i], 9)')})"
 
 
@@ -245,13 +251,11 @@ def house_sql(lon: str) -> str:
 
 @query(
     "f41_full_chart",
-    f"""WITH RECURSIVE {CHART_SQL}, {_placidus_ctes()},
+    f"""WITH RECURSIVE {CHART_SQL}, {_placidus_ctes()}, {SUN_MOON_SQL},
     sys AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN 'whole' WHEN event_id % 3 = 1 THEN 'equal' WHEN ok THEN 'placidus' ELSE 'whole' END AS used, event_id % 3 = 2 AND NOT ok AS fell FROM placed),
-    cu AS (SELECT *, CASE used WHEN 'placidus' THEN pc WHEN 'equal' THEN list_transform(range(0, 12), lambda i: {norm_sql('asc_ + 30 * i')}) ELSE list_transform(range(0, 12), lambda i: {norm_sql('floor(asc_ / 30) * 30 + 30 * i')}) END AS cusps,
-      {BODY_LON} % 360 AS sun, ({BODY_LON} * 13) % 360 AS moon FROM sys),
+    cu AS (SELECT *, CASE used WHEN 'placidus' THEN pc WHEN 'equal' THEN list_transform(range(0, 12), lambda i: {norm_sql('asc_ + 30 * i')}) ELSE list_transform(range(0, 12), lambda i: {norm_sql('floor(asc_ / 30) * 30 + 30 * i')}) END AS cusps, sun, moon FROM sys JOIN sky USING (event_id)),
     sect AS (SELECT *, {house_sql('sun')} >= 7 AS day FROM cu),
-    pt AS (SELECT *, unnest({BODIES_SQL}) AS p FROM sect),
-    q AS (SELECT event_id, p.name AS point, ({BODY_LON} * p.f) % 360 AS plon, {RETRO_SQL} AS retro, cusps, used, fell, day FROM pt
+    q AS (SELECT event_id, body AS point, bodies.lon AS plon, {RETRO_SQL} AS retro, cusps, used, fell, day FROM sect JOIN bodies USING (event_id)
       UNION ALL SELECT event_id, 'Node', {NODE_SQL}, true, cusps, used, fell, day FROM sect
       UNION ALL SELECT event_id, 'Fortune', CASE WHEN day THEN {norm_sql('asc_ + moon - sun')} ELSE {norm_sql('asc_ + sun - moon')} END, false, cusps, used, fell, day FROM sect)
     SELECT event_id, point, round(plon, 4) AS lon_, {SIGNS_SQL}[CAST(floor(plon / 30) AS INTEGER) + 1] AS sign_name, retro, {house_sql('plon')} AS house, used AS house_system, CASE WHEN fell THEN 'no Placidus houses at this latitude' ELSE '' END AS note,
@@ -261,15 +265,14 @@ def house_sql(lon: str) -> str:
 def f41(spark, sf_dir):
     """Twelve points of a chart with sign, motion and house, by the house system asked for; Placidus falls back to whole signs where it is undefined."""
     inside, outside = charted(spark, sf_dir)
-    at = sky.with_placidus(inside)
+    at = sky.with_placidus(with_longitudes(inside, F.col("ts")))
     placidus = sky.placidus_cusps(F.col("asc_"), F.col("mc"))
     asked = F.get(F.array(F.lit("whole"), F.lit("equal"), F.lit("placidus")), (F.col("event_id") % 3).cast("int"))
     at = at.withColumn("asked", asked).withColumn("used", F.when((F.col("asked") == "placidus") & placidus[10].isNull(), "whole").otherwise(F.col("asked")))
     whole = sky.whole_sign_start(F.col("asc_"))
     cusps = [F.when(F.col("used") == "placidus", placidus[i]).when(F.col("used") == "equal", sky.turn(F.col("asc_") + 30 * i)).otherwise(sky.turn(whole + 30 * i)) for i in range(12)]
     houses = ["cusps", "cusps_past", "cusps_in_order"]
-    at = sky.with_houses(at, cusps).select("event_id", "value", "asked", "used", "asc_", "ts", *houses)
-    at = at.withColumns({"sun": sky.turn(body_lon()), "moon": sky.turn(body_lon() * 13), "node": sky.mean_node(sky.centuries(F.col("ts")))})
+    at = sky.with_houses(at, cusps).withColumns({"sun": F.col("lon_Sun"), "moon": F.col("lon_Moon"), "node": sky.mean_node(sky.centuries(F.col("ts")))})
     at = at.withColumn("by_day", sky.house_among(F.col("sun")) >= 7)
     fortune = sky.part_of_fortune(F.col("asc_"), F.col("sun"), F.col("moon"), F.col("by_day"))
     more = [F.struct(F.lit(n).alias("point"), lon.alias("plon"), F.lit(retro).alias("retro")) for n, lon, retro in (("Node", F.col("node"), True), ("Fortune", fortune, False))]
@@ -284,8 +287,8 @@ def f41(spark, sf_dir):
 
 @query(
     "f41_chart_aspects",
-    f"""WITH {CHART_SQL}, pt AS (SELECT *, unnest({BODIES_SQL}) AS p FROM angles), o(name, i) AS (VALUES {', '.join(f"('{n}', {i})" for i, n in enumerate([*(n for n, _ in BODIES), 'Ascendant', 'Midheaven']))}),
-    q AS (SELECT event_id, p.name AS name, ({BODY_LON} * p.f) % 360 AS lon FROM pt UNION ALL SELECT event_id, 'Ascendant', asc_ FROM angles UNION ALL SELECT event_id, 'Midheaven', mc FROM angles),
+    f"""WITH {CHART_SQL}, {EVENT_LON_SQL}, o(name, i) AS (VALUES {', '.join(f"('{n}', {i})" for i, n in enumerate([*BODIES, 'Ascendant', 'Midheaven']))}),
+    q AS (SELECT event_id, body AS name, bodies.lon FROM angles JOIN bodies USING (event_id) UNION ALL SELECT event_id, 'Ascendant', asc_ FROM angles UNION ALL SELECT event_id, 'Midheaven', mc FROM angles),
     z AS (SELECT q.*, i FROM q JOIN o USING (name)),
     s AS (SELECT a.event_id, a.i AS i, b.i AS j, a.name AS a, b.name AS b, CASE WHEN abs(a.lon - b.lon) > 180 THEN 360 - abs(a.lon - b.lon) ELSE abs(a.lon - b.lon) END AS sep FROM z a JOIN z b ON a.event_id = b.event_id AND a.i < b.i),
     k(aspect, angle, o, kind) AS (VALUES ('Conjunction', 0, 8, 'major'), ('Opposition', 180, 8, 'major'), ('Trine', 120, 7, 'soft'), ('Square', 90, 7, 'hard'), ('Sextile', 60, 5, 'soft'))
@@ -293,10 +296,10 @@ def f41(spark, sf_dir):
 )
 def f41_aspects(spark, sf_dir):
     """Aspects of a chart's ten bodies and two angles, the closest first: all pairs within a row, without a join."""
-    names = [*(n for n, _ in BODIES), "Ascendant", "Midheaven"]
+    names = [*BODIES, "Ascendant", "Midheaven"]
     points = F.array(*(b["plon"] for b in bodies()), F.col("asc_"), F.col("mc"))
     pairs = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(12) for j in range(i + 1, 12)))
-    at = charted(spark, sf_dir)[0].select("event_id", points.alias("points"), F.array(*map(F.lit, names)).alias("names"))
+    at = with_longitudes(charted(spark, sf_dir)[0], F.col("ts")).select("event_id", points.alias("points"), F.array(*map(F.lit, names)).alias("names"))
 
     def told(p):
         return sky.bound(sky.separation(F.get("points", p["i"]), F.get("points", p["j"])), lambda apart: F.struct(F.round(sky.aspect_of(apart)["orb"], 9).alias("by"), p["i"].alias("i"), p["j"].alias("j"), sky.aspect_of(apart).alias("hit")))
@@ -311,13 +314,13 @@ PHASES_SQL = "[" + ", ".join(f"'{n}'" for _, n in sky.MOON_PHASES[:8]) + "]"
 
 @query(
     "f43_sky_now",
-    f"""WITH x AS (SELECT event_id, value, {BODY_LON} % 360 AS sun, ({BODY_LON} * 13) % 360 AS moon, unnest({BODIES_SQL}) AS p FROM events), y AS (SELECT *, {norm_sql('moon - sun')} AS elong, ({BODY_LON} * p.f) % 360 AS plon FROM x)
-    SELECT event_id, p.name AS body, round(plon, 4) AS lon_, {SIGNS_SQL}[CAST(floor(plon / 30) AS INTEGER) + 1] AS sign_name, {RETRO_SQL} AS retro, {PHASES_SQL}[CAST(floor((elong + 22.5) / 45) AS INTEGER) % 8 + 1] AS phase,
+    f"""WITH {SUN_MOON_SQL}, y AS (SELECT *, {norm_sql('moon - sun')} AS elong, lon AS plon FROM bodies JOIN sky USING (event_id))
+    SELECT event_id, body, round(plon, 4) AS lon_, {SIGNS_SQL}[CAST(floor(plon / 30) AS INTEGER) + 1] AS sign_name, {RETRO_SQL} AS retro, {PHASES_SQL}[CAST(floor((elong + 22.5) / 45) AS INTEGER) % 8 + 1] AS phase,
       CAST(floor((1 - cos(radians(elong))) / 2 * 100 + 0.5) AS INTEGER) AS lit FROM y""",
 )
 def f43(spark, sf_dir):
     """The ten bodies with sign and motion, the moon's phase and lit share."""
-    at = read(spark, sf_dir, "events").withColumn("elong", sky.turn(sky.turn(body_lon() * 13) - sky.turn(body_lon())))
+    at = with_longitudes(dealt_out(read(spark, sf_dir, "events").select("event_id", "ts")), F.col("ts")).withColumn("elong", sky.turn(F.col("lon_Moon") - F.col("lon_Sun")))
     lit = F.floor((1 - F.cos(F.radians("elong"))) / 2 * 100 + 0.5).cast("int")
     rows = at.select("event_id", sky.phase_name_of_angle(F.col("elong")).alias("phase"), lit.alias("lit"), F.explode(F.array(*bodies())).alias("p")).select("*", "p.*")
     return rows.select("event_id", F.col("point").alias("body"), F.round("plon", 4).alias("lon_"), sky.sign_parts(F.col("plon"))["sign_name"].alias("sign_name"), "retro", "phase", "lit")
@@ -325,16 +328,16 @@ def f43(spark, sf_dir):
 
 @query(
     "f44_cusp_warning",
-    f"""WITH {RANGES_SQL}, x AS (SELECT event_id, {BODY_LON} % 360 AS lon, CAST(month(ts) * 100 + day(ts) AS INTEGER) AS md FROM events), y AS (SELECT event_id, md, lon, lon - floor(lon / 30) * 30 AS w FROM x)
+    f"""WITH {RANGES_SQL}, {SUN_MOON_SQL}, x AS (SELECT event_id, sun AS lon, CAST(month(ts) * 100 + day(ts) AS INTEGER) AS md FROM events JOIN sky USING (event_id)), y AS (SELECT event_id, md, lon, lon - floor(lon / 30) * 30 AS w FROM x)
     SELECT event_id, 'computed' AS source, {SIGNS_SQL}[CAST(floor(lon / 30) AS INTEGER) + 1] AS sign_name, CAST(floor(w) AS INTEGER) AS degree, CAST(floor((w - floor(w)) * 60) AS INTEGER) AS minute, least(w, 30 - w) < 1 AS on_cusp FROM y WHERE event_id % 4 > 0
     UNION ALL SELECT event_id, 'table', {SIGNS_SQL}[i + 1], NULL, NULL, NULL FROM y JOIN g ON CASE WHEN lo <= hi THEN md BETWEEN lo AND hi ELSE md >= lo OR md <= hi END WHERE event_id % 4 = 0""",
 )
 def f44(spark, sf_dir):
     """The sun's sign with a warning near a boundary; without an ephemeris (every fourth event) the sign of the date ranges, and no warning."""
     events = read(spark, sf_dir, "events")
-    part = sky.sign_parts(body_lon())
+    part = sky.sign_parts(F.col("lon_Sun"))
     on_cusp = F.least(part["within"], 30 - part["within"]) < 1
-    computed = events.where("event_id % 4 > 0").select("event_id", F.lit("computed").alias("source"), *(part[c].alias(c) for c in ("sign_name", "degree", "minute")), on_cusp.alias("on_cusp"))
+    computed = event_longitudes(spark, sf_dir, "Sun").where("event_id % 4 > 0").select("event_id", F.lit("computed").alias("source"), *(part[c].alias(c) for c in ("sign_name", "degree", "minute")), on_cusp.alias("on_cusp"))
     dated = events.where("event_id % 4 = 0").select("event_id", (F.month("ts") * 100 + F.dayofmonth("ts")).cast("int").alias("md"))
     found = ranges.in_interval(dated, "md", ranges.unwrapped(signs(spark), "lo", "hi", 101, 1231), "lo", "hi")
     table = found.select("event_id", F.lit("table").alias("source"), F.get(F.array(*map(F.lit, sky.SIGNS)), F.col("i")).alias("sign_name"))
@@ -355,10 +358,14 @@ def clock_sql(minutes: str) -> str:
     return f"coalesce(strftime({at} AT TIME ZONE 'UTC' AT TIME ZONE '{ZONE}', '%-I:%M %p'), '—')"
 
 
+#: The month's season north of the equator, turned by half a year south of it.
+SEASON_SQL = "['winter', 'spring', 'summer', 'autumn'][(month(ts) % 12 // 3 + CASE WHEN lat < 0 THEN 2 ELSE 0 END) % 4 + 1]"
+
+
 @query(
     "f50_sky_summary",
     PHASE_SQL.replace(EVENT_PLACES, HERE) + f""", g AS (SELECT event_id, exact, phase, lat, lon, ts, {solar_sql(_g)[0]} AS eq, {solar_sql(_g)[1]} AS decl FROM p), m AS (SELECT *, {event_sql(96.0, '+')} AS first, {event_sql(90.833, '+')} AS rise, {event_sql(90.833, '+ -')} AS fall, {event_sql(96.0, '+ -')} AS last FROM g)
-    SELECT event_id, exact, round(lat, 4) AS lat, round(lon, 4) AS lon, phase, CASE WHEN lat < 0 THEN 'summer' ELSE 'winter' END AS season, {clock_sql('first')} AS dawn, {clock_sql('rise')} AS sunrise, {clock_sql('fall')} AS sunset, {clock_sql('last')} AS dusk, rise IS NULL OR fall IS NULL AS polar FROM m""",
+    SELECT event_id, exact, round(lat, 4) AS lat, round(lon, 4) AS lon, phase, {SEASON_SQL} AS season, {clock_sql('first')} AS dawn, {clock_sql('rise')} AS sunrise, {clock_sql('fall')} AS sunset, {clock_sql('last')} AS dusk, rise IS NULL OR fall IS NULL AS polar FROM m""",
 )
 def f50(spark, sf_dir):
     """What a place's sky is taken to be: where, which phase and season, and the four solar times on the local clock."""
@@ -376,15 +383,20 @@ def f50(spark, sf_dir):
 
 @query(
     "w7_retrograde",
-    f"""WITH d AS (SELECT user_id, CAST(ts AS DATE) AS d, max({BODY_LON} % 360) AS lon FROM events GROUP BY ALL), n AS (SELECT *, {norm_sql('lead(lon) OVER (PARTITION BY user_id ORDER BY d) - lon')} AS step FROM d)
-    SELECT user_id, d, CASE WHEN user_id < 2 THEN false ELSE step > 180 END AS retrograde FROM n WHERE step IS NOT NULL""",
+    f"""WITH d AS (SELECT user_id, CAST(ts AS DATE) AS d, max(CAST(ts AS TIMESTAMP)) AS moment FROM events GROUP BY ALL), inst AS (SELECT DISTINCT moment FROM d), {longitudes_sql('inst')},
+    s AS (SELECT user_id, d, body, lon FROM d JOIN lon USING (moment)), n AS (SELECT *, {norm_sql('lead(lon) OVER (PARTITION BY user_id, body ORDER BY d) - lon')} AS step FROM s)
+    SELECT user_id, d, body, body NOT IN ('Sun', 'Moon') AND step > 180 AS retrograde FROM n WHERE step IS NOT NULL""",
 )
 def w7(spark, sf_dir):
-    """Backward motion from one row to the next of a body's daily series; bodies 0 and 1 (Sun, Moon) never turn back."""
-    daily = read(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("d")).agg(F.max(sky.turn(body_lon())).alias("lon"))
-    step = sky.half_turn(F.lead("lon").over(Window.partitionBy("user_id").orderBy("d")) - F.col("lon"))
-    moved = daily.withColumn("step", step).where("step IS NOT NULL")
-    return moved.select("user_id", "d", F.when(F.col("user_id") < 2, F.lit(False)).otherwise(F.col("step") < 0).alias("retrograde"))
+    """Backward motion of the bodies from the last event of a user's day to that of the next; Sun and Moon never turn back."""
+    last = read(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("d")).agg(F.max("ts").alias("ts"))
+    daily = with_longitudes(last, F.col("ts"), ahead=False)
+    following = Window.partitionBy("user_id").orderBy("d")
+    step = lambda b: sky.half_turn(F.lead(f"lon_{b}").over(following) - F.col(f"lon_{b}"))
+    moved = daily.withColumns({f"step_{b}": step(b) for b in BODIES}).where("step_Sun IS NOT NULL")
+    retro = lambda b: F.lit(False) if b in ("Sun", "Moon") else F.col(f"step_{b}") < 0
+    told = F.array(*(F.struct(F.lit(b).alias("body"), retro(b).alias("retrograde")) for b in BODIES))
+    return moved.select("user_id", "d", F.explode(told).alias("b")).select("user_id", "d", "b.*")
 
 
 CUSPS_SQL = "SELECT c_nationkey, CAST(c_custkey * 31 % 360 AS DOUBLE) AS cusp FROM customer"
@@ -408,14 +420,15 @@ def j12(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", sky.moon_phase_name(sky.moon_age(F.col("ts"))).alias("name"))
 
 
-@query("j15_circular_house", f"WITH {ANGLES_SQL} SELECT event_id, CAST(floor({norm_sql(BODY_LON + ' - asc_')} / 30) AS INTEGER) + 1 AS house FROM angles")
+@query("j15_circular_house", f"WITH {ANGLES_SQL}, {SUN_MOON_SQL} SELECT event_id, CAST(floor({norm_sql('moon - asc_')} / 30) AS INTEGER) + 1 AS house FROM angles JOIN sky USING (event_id)")
 def j15(spark, sf_dir):
-    at = with_angles(event_places(spark, sf_dir))
-    return at.select("event_id", sky.house_from(body_lon(), F.col("asc_")).alias("house"))
+    """The Moon's house of thirty degrees from the ascendant on."""
+    at = with_longitudes(with_angles(dealt_out(event_places(spark, sf_dir))), F.col("ts"), ["Moon"], ahead=False)
+    return at.select("event_id", sky.house_from(F.col("lon_Moon"), F.col("asc_")).alias("house"))
 
 
-@query("f42_polar_and_easing", f"SELECT event_id, round(100 + 80 * cos(radians({BODY_LON})), 6) AS x, round(100 - 80 * sin(radians({BODY_LON})), 6) AS y, round((1 - cos({PI} * (value % 1))) / 2, 6) AS eased FROM events")
+@query("f42_polar_and_easing", f"WITH {SUN_MOON_SQL} SELECT event_id, round(100 + 80 * cos(radians(moon)), 5) AS x, round(100 - 80 * sin(radians(moon)), 5) AS y, round((1 - cos({PI} * (value % 1))) / 2, 6) AS eased FROM events JOIN sky USING (event_id)")
 def f42(spark, sf_dir):
-    """A point on a circle (radius 80 around 100, 100) and a cosine ease of a share."""
-    lon = F.radians(body_lon())
-    return read(spark, sf_dir, "events").select("event_id", F.round(100 + 80 * F.cos(lon), 6).alias("x"), F.round(100 - 80 * F.sin(lon), 6).alias("y"), F.round((1 - F.cos(math.pi * (F.col("value") % 1))) / 2, 6).alias("eased"))
+    """The Moon's point on a circle (radius 80 around 100, 100) and a cosine ease of a share."""
+    lon = F.radians("lon_Moon")
+    return event_longitudes(spark, sf_dir, "Moon").select("event_id", F.round(100 + 80 * F.cos(lon), 5).alias("x"), F.round(100 - 80 * F.sin(lon), 5).alias("y"), F.round((1 - F.cos(math.pi * (F.col("value") % 1))) / 2, 6).alias("eased"))

@@ -15,7 +15,7 @@ _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
 #: Modules that register queries.
-CATALOG = ("search", "text", "dates", "solar", "plans", "records", "nested", "ranges", "parts")
+CATALOG = ("search", "text", "dates", "longitudes", "solar", "plans", "records", "nested", "ranges", "parts")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -4,10 +4,12 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from skyledger.functions import calendar as cal
-from skyledger.functions import fold, sky
+from skyledger.functions import ephemeris, fold, sky
 from skyledger.operators import nested, ranges, records, search
 from skyledger.operators.order import balanced_chunks
 from skyledger.plans import reading
@@ -244,3 +246,43 @@ def test_dimensions_are_read_once(spark):
 
     tables = Dimensions(spark, "/root/testdata/sf0.001")
     assert not tables.held and tables["region"] is tables["region"] and set(tables.held) == {"region"}
+
+
+def apart(a, b):
+    return abs((a - b + 180) % 360 - 180)
+
+
+@pytest.mark.parametrize(
+    ("day", "body", "degrees", "within"),
+    [
+        (2448724.5, "Moon", 133.167265, 0.001),  # published worked examples, in terrestrial time
+        (2448908.5, "Sun", 199.90895, 0.002),
+        (2448976.5, "Venus", 313.08102, 0.05),
+    ],
+)
+def test_longitudes_of_published_examples(monkeypatch, day, body, degrees, within):
+    monkeypatch.setattr(ephemeris, "terrestrial_days", lambda clock: clock)
+    found = ephemeris.longitudes(np.array([day - 2451545.0]), [body])[body][0]
+    assert apart(found, degrees) < within
+
+
+def test_longitudes_of_known_instants(spark):
+    """Equinox, new and full moon, a great conjunction and a planet's station, as almanacs give them."""
+    at = ["2024-03-20 03:06:00", "2024-01-11 11:57:00", "2024-01-25 17:54:00", "2020-12-21 18:21:00", "2024-01-02 03:08:00", "2023-12-25 00:00:00", None]
+    rows = ephemeris.with_longitudes(spark.createDataFrame([(i, s) for i, s in enumerate(at)], "i int, s string").withColumn("ts", F.to_timestamp("s")), F.col("ts"))
+    r = {x.i: x for x in rows.collect()}
+    assert apart(r[0].lon_Sun, 0) < 0.01
+    assert apart(r[1].lon_Moon, r[1].lon_Sun) < 0.02 and apart(r[2].lon_Moon, r[2].lon_Sun + 180) < 0.02
+    assert apart(r[3].lon_Jupiter, r[3].lon_Saturn) < 0.05 and apart(r[3].lon_Jupiter, 300.48) < 0.05
+    assert 0 <= r[4].next_Mercury - r[4].lon_Mercury < 0.2 and r[5].next_Mercury < r[5].lon_Mercury  # direct again, and still backward
+    assert all(r[6][f"lon_{b}"] is None for b in ephemeris.BODIES)
+    for x in list(r.values())[:6]:
+        assert 11 < (x.next_Moon - x.lon_Moon) % 360 < 16 and 0.9 < (x.next_Sun - x.lon_Sun) % 360 < 1.1
+
+
+def test_orbits_obey_kepler():
+    """The eccentric anomaly that the steps end at fits Kepler's equation over a whole orbit of the most eccentric planet."""
+    days = np.arange(0, 88, 0.5)
+    r, _, lat = ephemeris._orbit("Mercury", days, np.zeros((len(days), 4)))
+    a, e = 0.387098, 0.205635
+    assert abs(r.min() - a * (1 - e)) < 1e-4 and abs(r.max() - a * (1 + e)) < 1e-4 and np.abs(np.degrees(lat)).max() < 7.01
