@@ -1,232 +1,70 @@
 """Near-duplicate documents: word-shingle Jaccard similarity at or above a bound, every such pair.
 
-Two kinds of blocks propose pairs, and shingle sets decide about each.
+Two kinds of blocks propose pairs, and shingle sets decide about each (see `setjoin`).
 
 * SimHash fingerprints of the shingles, joined on pigeonhole blocks and verified by their Hamming distance (`simhash.links`). They find most copies
   cheaply, but fingerprints of texts at a similarity of 0.8 may lie any number of bits apart, so alone they would lose links.
-* Prefixes of the shingle sets, which lose none. All shingles have one order, rare ones first; of a text's n distinct shingles the first
-  n - ceil(bound * n) + 1 are its keys. Two texts at the bound or above share a key: the first shingle that they have in common is in both
-  prefixes. Where that one stands, how many shingles the texts have, and the parities of their shingles bound what they can share;
-  pairs that cannot reach the similarity are dropped by these bounds alone. The order (taken from a sample) decides the cost, not the result.
-
-A key is not turned into all its pairs. First every member is compared with the key's smallest; verified links make components. Then only
-members outside the key's largest component meet the key's other members, chunk by chunk. A pair within one component needs no further look.
+* Prefixes of the shingle sets, which lose none.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.components import components
-from skyledger.llm.shared import hot_keys, map_batches, salted_join, staged
-from skyledger.llm.simhash import fingerprint, links, shingle_hashes
-
-#: One in so many documents is read for the order of shingles; so many frequent ones at most (12 bytes each) are put last.
-SAMPLED, FREQUENT = 16, 100_000
-#: Columns of a text's parities (64 bits each), and bits in which fingerprints of a proposed pair may differ.
-ODD, RADIUS = [f"s{i}" for i in range(8)], 2
-#: Node lists up to this number (8 bytes each) are broadcast; beyond, they are joined by shuffle.
-BROADCAST_NODES = 1_000_000
-#: Members of a key that a row meets in one task.
-CHUNK = 256
-
-
-def parities(hashes: np.ndarray) -> np.ndarray:
-    """Signed 64-bit numbers: bit i tells whether an odd number of the distinct hashes leaves i; two sets differ in at least as many members as bits."""
-    counts = np.bincount((hashes & np.uint64(64 * len(ODD) - 1)).astype(np.int64), minlength=64 * len(ODD))
-    return np.packbits(counts & 1 == 1).view(np.int64)
-
-
-def _frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles (ascending) that most sampled documents have, and how many have them."""
-
-    def rows(batch: pa.RecordBatch) -> dict:
-        found = [np.unique(shingle_hashes(t.as_py() or "", words)) for t in batch.column(1)]
-        return {"key": pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())}
-
-    sampled = map_batches(docs.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0), rows, "key long")
-    counts = staged(sampled.groupBy("key").agg(F.count("*").alias("n")).where("n > 2"), "near-frequent")
-    least, total = 1 << 62, 0
-    for n, keys in sorted(((r["n"], r["keys"]) for r in counts.groupBy("n").agg(F.count("*").alias("keys")).collect()), reverse=True):
-        total += keys
-        if total > FREQUENT:
-            break
-        least = n
-    found = counts.where(F.col("n") >= least).toArrow()
-    keys, often = found["key"].to_numpy().astype(np.int64).view(np.uint64), found["n"].to_numpy().astype(np.int32)
-    order = np.argsort(keys)
-    return keys[order], often[order]
-
-
-def prefix(hashes: np.ndarray, similarity: float, frequent: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """The keys of a set of hashes (ascending): those first in the order, one of which any set that is similar enough has too."""
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-        hashes = hashes[np.argsort(np.where(frequent[at] == hashes, often[at], 0), kind="stable")]
-    return hashes[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]
-
-
-def sketches(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(node, n, fp, s0 to s7, keys) of every document: its number of distinct shingles, SimHash fingerprint, parities and keys in their order."""
-    sent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, words))
-
-    def rows(batch: pa.RecordBatch) -> dict:
-        n, fp, odd, keys = [], [], [], []
-        for text in batch.column(1):
-            hashes = shingle_hashes(text.as_py() or "", words)
-            distinct = np.unique(hashes)
-            n.append(len(distinct))
-            fp.append(fingerprint(hashes))
-            odd.append(parities(distinct))
-            # texts without words share a key of their own, which differs from others' by the number of shingles
-            keys.append(prefix(distinct, similarity, *sent.value).view(np.int64) if len(distinct) else np.zeros(1, np.int64))
-        sides = np.array(odd, np.int64).reshape(-1, len(ODD))
-        out = {"node": batch.column(0), "n": pa.array(n, pa.int32()), "fp": pa.array(fp, pa.int64())} | {c: pa.array(sides[:, i]) for i, c in enumerate(ODD)}
-        return out | {"keys": pa.array(keys, pa.list_(pa.int64()))}
-
-    return map_batches(docs, rows, f"node long, n int, fp long, {', '.join(f'{c} long' for c in ODD)}, keys array<long>")
-
-
-def _of_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows of docs (node, text) whose node is among the nodes (column node)."""
-    if nodes.count() <= BROADCAST_NODES:
-        nodes = F.broadcast(nodes)
-    return docs.join(nodes, "node", "left_semi").select("node", "text")
-
+from skyledger.llm.setjoin import Join
+from skyledger.llm.shared import hot_keys, salted_join, staged
+from skyledger.llm.simhash import links
 
-def _shingles(docs: DataFrame, words: int) -> DataFrame:
-    def rows(batch: pa.RecordBatch) -> dict:
-        found = [np.unique(shingle_hashes(t.as_py() or "", words)).view(np.int64) for t in batch.column(1)]
-        return {"node": batch.column(0), "shingles": pa.array(found, pa.list_(pa.int64()))}
+#: Bits in which fingerprints of a proposed pair may differ.
+RADIUS = 2
+#: Dropped rows up to this number (a file's name and a row's number each) are broadcast; beyond, they are joined by shuffle.
+BROADCAST_GONE = 250_000
 
-    return map_batches(docs, rows, "node long, shingles array<long>")
 
-
-def _with_both(edges: DataFrame, of_node: DataFrame, columns: list[str]) -> DataFrame:
-    """The edges (a, b) with the columns of both nodes, those of a as a_..., of b as b_...; a node of many edges is spread."""
-    for side, other in (("a", "b"), ("b", "a")):
-        named = of_node.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in columns))
-        edges = salted_join(edges, named, side, other, hot_keys(edges, side))
-    return edges
-
-
-def _verified(docs: DataFrame, edges: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The edges (a, b) whose texts' shingle sets have at least this Jaccard similarity. edges: staged."""
-    nodes = staged(edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct(), "near-nodes")
-    sets = staged(_shingles(_of_nodes(docs, nodes), words), "near-shingles")
-    n, m = F.size("a_shingles"), F.size("b_shingles")
-    shared = F.size(F.array_intersect("a_shingles", "b_shingles"))  # distinct ones, compared row by row in the JVM
-    sized = _with_both(edges.select("a", "b"), sets, ["shingles"]).where(F.least(n, m) >= F.greatest(n, m) * similarity - 1e-9)
-    return staged(sized.select("a", "b", (n + m).alias("sum"), shared.alias("shared")).where(F.col("shared") >= similarity * (F.col("sum") - F.col("shared")) - 1e-9).select("a", "b"), "near-edges")
-
-
-def _shared_least(n: Column, m: Column, similarity: float) -> Column:
-    """Shingles that texts of n and m shingles share at least if they are similar enough."""
-    return F.ceil((n + m) * (similarity / (1 + similarity)) - 1e-9)
-
-
-def _possible(left: str, right: str, similarity: float) -> Column:
-    """Whether the similarity can be reached if this key is the first shingle that both texts have."""
-    n, at, m, bt = (F.col(side + c) for side in (left, right) for c in ("n", "at"))
-    return (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-9) & (F.least(n - at, m - bt) >= _shared_least(n, m, similarity))
-
-
-def _over(similarity: float, left: str = "a_", right: str = "b_") -> Column:
-    """By how many bits the parities differ more than those of similar texts can; 0 or less is possible."""
-    n, m = F.col(f"{left}n"), F.col(f"{right}n")
-    apart = sum((F.bit_count(F.col(left + c).bitwiseXOR(F.col(right + c))) for c in ODD), F.lit(0))
-    return apart - (n + m - 2 * _shared_least(n, m, similarity))
-
-
-def _fingerprint_pairs(sketched: DataFrame) -> DataFrame:
-    """Pairs (a, b): each node with the smallest of its fingerprint, and those of fingerprints within RADIUS bits."""
-    by_fp = staged(sketched.groupBy("fp").agg(F.min("node").alias("lead"), F.count("*").alias("n")), "near-fps")
-    close = links(by_fp.select("fp"), RADIUS)
+def fingerprint_pairs(light: DataFrame) -> DataFrame:
+    """Pairs (a, b): each node with the smallest of its fingerprint, and those of fingerprints within RADIUS bits. light: (node, fp)."""
+    by_fp = staged(light.groupBy("fp").agg(F.min("node").alias("lead"), F.count("*").alias("n")), "near-fps")
+    close = staged(links(by_fp.select("fp"), RADIUS), "near-close")
     leads = [by_fp.select(F.col("fp").alias(side), F.col("lead").alias(f"{side}_lead")) for side in ("a", "b")]
-    apart = close.join(leads[0], "a").join(leads[1], "b").select(F.least("a_lead", "b_lead").alias("a"), F.greatest("a_lead", "b_lead").alias("b"))
+    apart = salted_join(salted_join(close, leads[0], "a", "b", hot_keys(close, "a")), leads[1], "b", "a", hot_keys(close, "b"))
+    apart = apart.select(F.least("a_lead", "b_lead").alias("a"), F.greatest("a_lead", "b_lead").alias("b"))
     many = by_fp.where("n > 1").select("fp", "lead", "n")
-    hot = many.where(F.col("n") > 2048).select("fp")
-    same = salted_join(sketched.select("fp", "node"), many.select("fp", "lead"), "fp", "node", hot).where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    same = salted_join(light.select("fp", "node"), many.select("fp", "lead"), "fp", "node", hot_keys(many, "fp", "n")).where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
     return apart.unionByName(same)
 
 
-def _apart_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of rows (key, node, root, n, at, parities) of one key, but of different roots, that can be similar enough; with their roots and score.
-
-    Rows outside the key's largest root meet all rows of the key, which are dealt into chunks of about CHUNK. Scores are lower for pairs more likely to
-    be similar.
-    """
-    by_root = staged(rows.groupBy("key", "root").agg(F.count("*").alias("n_root")), "near-roots")
-    main = by_root.groupBy("key").agg(F.max_by("root", F.struct("n_root", "root")).alias("main"), F.ceil(F.sum("n_root") / CHUNK).cast("int").alias("chunks"), F.sum("n_root").alias("members"))
-    main = staged(main, "near-main")
-    marked = staged(salted_join(rows, main.drop("members"), "key", "node", hot_keys(main.select("key", "members"), "key", "members")), "near-marked")
-    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    there = marked.select("key", chunk.alias("chunk"), (F.col("root") == F.col("main")).alias("b_main"), *(F.col(c).alias(f"b_{c}") for c in ("node", "root", "n", "at", *ODD)))
-    here = marked.where("root <> main").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("main", "chunks")
-    here = here.select("key", "chunk", *(F.col(c).alias(f"a_{c}") for c in ("node", "root", "n", "at", *ODD)))
-    once = F.col("b_main") | (F.col("a_node") < F.col("b_node"))
-    met = here.join(there, ["key", "chunk"]).where((F.col("a_root") != F.col("b_root")) & once & _possible("a_", "b_", similarity))
-    scored = met.withColumn("score", _over(similarity)).where("score <= 0")
-    a, b = (F.struct(F.col(f"{s}_node").alias("node"), F.col(f"{s}_root").alias("root")) for s in ("a", "b"))
-    pairs = scored.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y"), "score")
-    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.root").alias("root"), F.col("y.root").alias("b_root"), "score")
-    return pairs.groupBy("a", "b").agg(F.first("root").alias("root"), F.first("b_root").alias("b_root"), F.min("score").alias("score"))
-
-
-def near_components(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(node, root) of every document (node, text; node unique) that is linked to another; root is the smallest node that links lead to."""
-    sketched = staged(sketches(docs, words, similarity), "near-sketches")
-    light = sketched.select("node", "n", *ODD)
-
-    def told(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs whose sizes and parities allow the similarity, each once."""
-        both = _with_both(staged(pairs.distinct(), f"{name}-all"), light, ["n", *ODD])
-        sizes = F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * similarity - 1e-9
-        return staged(both.where(sizes).withColumn("score", _over(similarity)).where("score <= 0").select("a", "b"), name)
-
-    keyed = sketched.select("node", "n", F.posexplode("keys").alias("at", "key"))
-    several = staged(keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "near-keys")
-    crowded = hot_keys(several, "key", "members")
-    shared = staged(salted_join(keyed, several.select("key"), "key", "node", crowded), "near-shared")
-    hubs = staged(shared.groupBy("key").agg(F.min(F.struct("node", "n", "at")).alias("hub")), "near-hubs")
-    met = salted_join(shared, hubs, "key", "node", crowded).select("node", "n", "at", F.col("hub.node").alias("h_node"), F.col("hub.n").alias("h_n"), F.col("hub.at").alias("h_at"))
-    spokes = met.where((F.col("node") != F.col("h_node")) & _possible("", "h_", similarity)).select(F.col("h_node").alias("a"), F.col("node").alias("b"))
-    tried = told(_fingerprint_pairs(sketched).unionByName(spokes), "near-spokes")
-    edges = _verified(docs, tried, words, similarity)
-
-    found = staged(components(edges), "near-components")
-    placed = shared.join(found, "node", "left").select("key", "node", "n", "at", F.coalesce("root", "node").alias("root"))
-    split = staged(placed.groupBy("key").agg((F.min("root") != F.max("root")).alias("split")).where("split").drop("split"), "near-split")
-    open_ = salted_join(placed, split, "key", "node", crowded)
-    open_ = staged(open_.join(sketched.select("node", *ODD), "node"), "near-open")
-    rest = staged(_apart_pairs(open_, similarity).join(tried, ["a", "b"], "left_anti"), "near-rest")
-    # of a document's pairs with one component the likeliest goes first; it often saves the others
-    first = staged(rest.groupBy("root", "b").agg(F.min_by("a", F.struct("score", "a")).alias("a")).select("a", "b"), "near-first")
-    edges = edges.unionByName(_verified(docs, first, words, similarity))
-    found = staged(components(edges), "near-components")
-    roots = [found.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")) for side in ("a", "b")]
-    still = rest.select("a", "b").join(first, ["a", "b"], "left_anti").join(roots[0], "a", "left").join(roots[1], "b", "left")
-    still = staged(still.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"), "near-still")
-    return components(edges.unionByName(_verified(docs, still, words, similarity)))
+def named_rows(docs: DataFrame, name: str) -> DataFrame:
+    """The rows with a name of their own: file and place where they are read from files, each row once; else a number, for which they are written anew."""
+    try:
+        named = docs.withColumn(name, F.struct("_metadata.file_path", "_metadata.row_index"))
+        if named.groupBy(F.xxhash64(name).alias("h")).count().where("count > 1").isEmpty():  # a join may have repeated rows
+            return named
+    except AnalysisException:  # no file is under the rows
+        pass
+    return staged(docs.withColumn(name, F.monotonically_increasing_id()), "near-docs")
 
 
-def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents with one row of each group of near-duplicates, that of the smallest id; all columns as they are.
 
     Each row is a document of its own: rows that share an id are told apart and repeated rows are copies. Rows with a null id take part and
     stay only where their whole group has none. Null, empty and blank texts are alike. Texts with fewer than `words` words are one
     shingle. Whole texts are compared, however long. An empty table stays empty; extra columns of any name are carried.
     """
-    node = next(name for name in (f"near_node{i or ''}" for i in range(len(docs.columns) + 1)) if name not in docs.columns)
-    numbered = staged(docs.withColumn(node, F.monotonically_increasing_id()), "near-docs")
-    named = numbered.select(F.col(node).alias("node"), "text")
-    found = staged(near_components(named, words, similarity), "near-groups")
-    ids = found.join(numbered.select(F.col(node).alias("node"), F.col("doc_id").alias("id")), "node")
-    kept = ids.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("k")).select(F.col("k.node").alias("node"))
-    gone = staged(found.select("node").join(kept, "node", "left_anti").select(F.col("node").alias(node)), "near-gone")
-    return numbered.join(F.broadcast(gone) if gone.count() <= BROADCAST_NODES else gone, node, "left_anti").drop(node)
+    name = next(n for n in (f"near_row{i or ''}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
+    named = named_rows(docs, name)
+    join = Join(named.select(F.col(name).alias("id"), "text"), words, percent, blank=True)
+    found = join.components(fingerprint_pairs(join.light))
+    # every row of a class that is linked or has several rows
+    rooted = staged(join.classes.join(found, "node", "left").select("digest", F.coalesce("root", "node").alias("root")), "near-roots")
+    rows = join.rows.select("id", "digest", "row")
+    grouped = salted_join(rows, rooted, "digest", "row", hot_keys(rows, "digest")).select("id", "root")
+    sizes = staged(grouped.groupBy("root").agg(F.count("*").alias("n")).where("n > 1"), "near-sizes")
+    members = staged(salted_join(grouped, sizes.select("root"), "root", "id", hot_keys(sizes, "root", "n")), "near-groups")
+    told = members.join(named.select(F.col(name).alias("id"), F.col("doc_id").alias("own")), "id")
+    best = F.min(F.struct(F.col("own").isNull().alias("none"), "own", "id")).alias("k")
+    kept = told.groupBy("root").agg(best).select(F.col("k.id").alias("id"))
+    gone = staged(members.join(kept, "id", "left_anti").select(F.col("id").alias(name)), "near-gone")
+    return named.join(F.broadcast(gone) if gone.count() <= BROADCAST_GONE else gone, name, "left_anti").drop(name)

@@ -15,6 +15,7 @@ from skyledger.llm.bpe import encode_documents
 from skyledger.llm.exact_dedup import exact_groups
 from skyledger.llm.langid import identify
 from skyledger.llm.negatives import hard_negatives
+from skyledger.llm.ngramjoin import ngram_links
 from skyledger.llm.packing import pack
 from skyledger.llm.resampling import resample
 from skyledger.llm.shared import held_out, scratch_path, staged, table
@@ -88,6 +89,27 @@ def op10_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
 
+def op11_fragment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of four-word shingles, and the component that links at a Jaccard similarity of 0.85 or more make. Blank texts link with nothing."""
+    return ngram_links(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+#: Equal sets are one class; classes that share a shingle are compared, and the smallest id walks along the links until nothing changes.
+OP11_SQL = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT r, doc_id, list_sort(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3]) END)) AS g FROM w),
+c AS (SELECT row_number() OVER () AS k, g, len(g) AS n, min(doc_id) AS least FROM s WHERE len(g) > 0 GROUP BY g),
+x AS (SELECT k, n, unnest(g) AS x FROM c),
+pairs AS (SELECT a.k AS a, b.k AS b FROM x a JOIN x b ON a.x = b.x AND a.k < b.k GROUP BY a.k, b.k, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reached(k, other) AS (SELECT k, k FROM c UNION SELECT reached.k, links.b FROM reached JOIN links ON links.a = reached.other),
+roots AS (SELECT reached.k, min(o.least) AS component_id FROM reached JOIN c o ON o.k = reached.other GROUP BY reached.k)
+SELECT doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, CASE WHEN len(s.g) = 0 THEN doc_id ELSE component_id END AS component_id
+FROM s LEFT JOIN c ON s.g = c.g LEFT JOIN roots USING (k)
+"""
+
+
 def op12_dense_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five negatives within 80 to 100 per cent of each of five positives, for every hundredth vector; every seventh row's label goes up by one."""
     rows = table(spark, sf_dir, "embeddings")
@@ -173,10 +195,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_blocks": op8_simhash_blocks,
         "op9_segmentation_langid": op9_segmentation_langid,
         "op10_bit_sliced_top_k": op10_bit_sliced_top_k,
+        "op11_fragment_join": op11_fragment_join,
         "op12_dense_negatives": op12_dense_negatives,
         "op13_tournament_resampling": op13_tournament_resampling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_merge_index_dedup": OP4_SQL, "op10_bit_sliced_top_k": OP10_SQL, "op12_dense_negatives": OP12_SQL, "op13_tournament_resampling": OP13_SQL}
+    return {"op4_merge_index_dedup": OP4_SQL, "op10_bit_sliced_top_k": OP10_SQL, "op11_fragment_join": OP11_SQL, "op12_dense_negatives": OP12_SQL, "op13_tournament_resampling": OP13_SQL}

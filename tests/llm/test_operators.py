@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from skyledger.llm import bitsliced, bpe, exact_dedup, langid, neardups, packing, sharding, simhash, token_files, toxicity, urlfilter
+from skyledger.llm import bitsliced, bpe, exact_dedup, langid, neardups, packing, setjoin, sharding, simhash, token_files, toxicity, urlfilter
 from skyledger.llm.components import components
 from skyledger.llm.shared import held_out
 from skyledger.llm.vocabularies import vocabulary
@@ -391,7 +391,7 @@ def test_near_copies(spark, odd, monkeypatch):
     from skyledger.llm import shared
 
     monkeypatch.setattr(shared, "HOT_ROWS", 16)
-    monkeypatch.setattr(neardups, "CHUNK", 8)
+    monkeypatch.setattr(setjoin, "CHUNK", 8)
     rng, rows = random.Random(12), []
     for family in (changed_words, five_kinds, equal_words, repetitive, short_families, crowd):
         rows += [(len(rows) + i, " ".join(words)) for i, words in enumerate(family(rng))]

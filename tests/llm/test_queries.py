@@ -17,6 +17,7 @@ COLUMNS = {
     "op8_simhash_blocks": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
     "op9_segmentation_langid": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
     "op10_bit_sliced_top_k": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "bigint"},
+    "op11_fragment_join": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint"},
     "op12_dense_negatives": {"anchor_id": "bigint", "positive_id": "bigint", "rank": "int", "negative_id": "bigint", "positive_score": "bigint", "negative_score": "bigint"},
     "op13_tournament_resampling": {"doc_id": "bigint", "n_features": "bigint", "weight": "bigint", "score": "bigint", "rank": "bigint"},
 }
