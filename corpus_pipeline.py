@@ -38,7 +38,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that of the smallest doc_id, of each group linked by five-word shingles at a similarity of 0.8 or more; repeated rows are copies."""
-    return drop_near_copies(docs, words=5, similarity=0.8)
+    return drop_near_copies(docs, words=5, percent=80)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
