@@ -37,15 +37,21 @@ def f16(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", cal.slot_of_date(F.col("o_orderdate")).alias("slot"))
 
 
-@query("f17_date_of_slot", "SELECT CAST(s AS INTEGER) AS slot, CAST(month(DATE '2000-01-01' + CAST(s - 1 AS INTEGER)) AS INTEGER) AS m, CAST(day(DATE '2000-01-01' + CAST(s - 1 AS INTEGER)) AS INTEGER) AS d FROM range(1, 367) t(s)")
+@query(
+    "f17_date_of_slot",
+    f"WITH x AS (SELECT o_orderkey, {slot_sql('o_orderdate')} AS slot FROM orders) SELECT o_orderkey, slot, CAST(month(DATE '2000-01-01' + (slot - 1)) AS INTEGER) AS m, CAST(day(DATE '2000-01-01' + (slot - 1)) AS INTEGER) AS d FROM x",
+)
 def f17(spark, sf_dir):
-    m, d = cal.month_day_of_slot(F.col("id"))
-    return spark.range(1, cal.SLOTS + 1).select(F.col("id").cast("int").alias("slot"), m.alias("m"), d.alias("d"))
+    """Month and day again from every order's slot."""
+    m, d = cal.month_day_of_slot(F.col("slot"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", cal.slot_of_date(F.col("o_orderdate")).alias("slot")).select("o_orderkey", "slot", m.alias("m"), d.alias("d"))
 
 
-@query("f18_leap_year", f"SELECT CAST(y AS INTEGER) AS y, {LEAP_SQL.format('y')} AS leap FROM range(1890, 2110) t(y)")
+@query("f18_leap_year", f"WITH x AS (SELECT o_orderkey, CAST(year(o_orderdate) + o_orderkey % 401 - 200 AS INTEGER) AS y FROM orders) SELECT o_orderkey, y, {LEAP_SQL.format('y')} AS leap FROM x")
 def f18(spark, sf_dir):
-    return spark.range(1890, 2110).select(F.col("id").cast("int").alias("y"), cal.is_leap(F.col("id")).alias("leap"))
+    """Whether a year is a leap year: every order's, moved by up to two centuries."""
+    y = (F.year("o_orderdate") + F.col("o_orderkey") % 401 - 200).cast("int")
+    return read(spark, sf_dir, "orders").select("o_orderkey", y.alias("y")).select("o_orderkey", "y", cal.is_leap(F.col("y")).alias("leap"))
 
 
 @query("f19_day_of_year", "SELECT o_orderkey, CAST(dayofyear(o_orderdate) AS INTEGER) AS day_of_year FROM orders")
@@ -113,11 +119,18 @@ def f33(spark, sf_dir):
     return places(spark, sf_dir).select("n_nationkey", F.coalesce(F.when(known, F.col("lat")), F.lit(40.0)).alias("lat"), F.coalesce(F.when(known, F.col("lon")), (offset_hours * 15).cast("double")).alias("lon"))
 
 
-@query("w5_prefix_sum", f"SELECT CAST(m AS INTEGER) AS m, CAST({BEFORE_SQL}[m] AS BIGINT) AS days_before FROM range(1, 13) t(m)")
+@query("w5_prefix_sum", f"SELECT o_orderkey, CAST({BEFORE_SQL}[month(o_orderdate)] AS BIGINT) AS days_before, CAST({BEFORE_SQL}[month(o_orderdate)] + day(o_orderdate) AS BIGINT) AS day_of_slots FROM orders")
 def w5(spark, sf_dir):
-    months = spark.createDataFrame(list(enumerate(cal.MONTH_DAYS, 1)), "m int, days int")  # twelve rows
+    """Days before every order's month, by a running sum of the months' lengths, and its place in the year of slots."""
     before = Window.orderBy("m").rowsBetween(Window.unboundedPreceding, -1)
-    return months.select("m", F.coalesce(F.sum("days").over(before), F.lit(0)).cast("long").alias("days_before"))
+    starts = months(spark).select("m", F.coalesce(F.sum("days").over(before), F.lit(0)).cast("long").alias("days_before"))  # twelve rows
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", F.month("o_orderdate").alias("m"), F.dayofmonth("o_orderdate").alias("day"))
+    return orders.join(F.broadcast(starts), "m").select("o_orderkey", "days_before", (F.col("days_before") + F.col("day")).alias("day_of_slots"))
+
+
+def months(spark):
+    """The months with their lengths in the year of slots."""
+    return spark.createDataFrame(list(enumerate(cal.MONTH_DAYS, 1)), "m int, days int")
 
 
 @query(
@@ -129,11 +142,15 @@ def w6(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", cal.cyclic_day(F.lit("1998-07-01").cast("date"), start).alias("plan_day"))
 
 
-@query("w13_skipped_slot", f"SELECT CAST(y AS INTEGER) AS y, CAST(s AS INTEGER) AS slot, s = 60 AND NOT {LEAP_SQL.format('y')} AS skipped FROM range(1995, 2002) a(y), range(55, 65) b(s)")
+@query(
+    "w13_skipped_slot",
+    f"WITH x AS (SELECT o_orderkey, {slot_sql('o_orderdate')} AS slot, CAST(year(o_orderdate) + o_orderkey % 8 AS INTEGER) AS y FROM orders) SELECT o_orderkey, y, slot, slot = 60 AND NOT {LEAP_SQL.format('y')} AS skipped FROM x",
+)
 def w13(spark, sf_dir):
-    years = spark.range(1995, 2002).select(F.col("id").cast("int").alias("y"))
-    spread = years.withColumn("slot", F.explode(F.sequence(F.lit(55), F.lit(64))))
-    return spread.select("y", "slot", cal.slot_skipped(F.col("slot"), F.col("y")).alias("skipped"))
+    """Whether the slot of an order is left out in one of the following years."""
+    y = (F.year("o_orderdate") + F.col("o_orderkey") % 8).cast("int")
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", y.alias("y"), cal.slot_of_date(F.col("o_orderdate")).alias("slot"))
+    return rows.select("o_orderkey", "y", "slot", cal.slot_skipped(F.col("slot"), F.col("y")).alias("skipped"))
 
 
 @query(
@@ -148,10 +165,15 @@ def p12(spark, sf_dir):
 
 @query(
     "e10_slot_spine",
-    f"""SELECT CAST(s AS INTEGER) AS slot, strftime(DATE '2000-01-01' + CAST(s - 1 AS INTEGER), '%m-%d') AS md, s = 60 AS skipped FROM range(1, 367) t(s)""",
+    f"""SELECT CAST(s AS INTEGER) AS slot, strftime(DATE '2000-01-01' + CAST(s - 1 AS INTEGER), '%m-%d') AS md, s = 60 AS skipped, count(o_orderkey) AS orders
+    FROM range(1, 367) t(s) LEFT JOIN orders ON {slot_sql('o_orderdate')} = s GROUP BY s""",
 )
 def e10(spark, sf_dir):
-    return slot_spine(spark, 1999).select("slot", F.concat_ws("-", F.lpad(F.col("m").cast("string"), 2, "0"), F.lpad(F.col("d").cast("string"), 2, "0")).alias("md"), "skipped")
+    """All 366 slots of a common year with the orders of each, none included."""
+    counts = read(spark, sf_dir, "orders").groupBy(cal.slot_of_date(F.col("o_orderdate")).alias("slot")).agg(F.count("*").alias("orders"))
+    md = F.concat_ws("-", F.lpad(F.col("m").cast("string"), 2, "0"), F.lpad(F.col("d").cast("string"), 2, "0"))
+    spine = slot_spine(spark, 1999).select("slot", md.alias("md"), "skipped")
+    return spine.join(F.broadcast(counts), "slot", "left").select("slot", "md", "skipped", F.coalesce("orders", F.lit(0)).alias("orders"))  # 366 counts at most
 
 
 def slot_spine(spark, year: int):

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skyledger.functions import calendar as cal
+from skyledger.catalog.dates import months
 from skyledger.operators.records import latest
 from skyledger.registry import query
 from skyledger.sources.parts import PartStore, residency
-from skyledger.sources.tables import Dimensions, read, scratch
+from skyledger.sources.tables import read, scratch
 from skyledger.streaming.commit import changes_of, commit_stream
 
 
@@ -32,6 +32,16 @@ def own_store(spark, sf_dir) -> PartStore:
     return kept
 
 
+def damaged_store(spark, sf_dir) -> PartStore:
+    """A store of the documents in which one part has a file without rows, one a file that is no Parquet, and one no file any more."""
+    kept = PartStore(spark, scratch(spark, "damaged-parts"))
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("size"), F.col("lang").alias("work"), F.col("source").alias("part"))
+    kept.register(rows.where("NOT (work = 'de' AND part = 'src3') OR work IS NULL OR part IS NULL"))
+    rows.select("doc_id", "size").limit(0).coalesce(1).write.mode("overwrite").parquet(f"{kept.path}/work=fr/part=src1")
+    spark.createDataFrame([("an error page",)], "line string").coalesce(1).write.mode("overwrite").text(f"{kept.path}/work=de/part=src2")
+    return kept
+
+
 @query("s1_part_scan", "SELECT doc_id, length(text) AS chars FROM documents WHERE lang = 'fr' AND source = 'src3'")
 def s1(spark, sf_dir):
     return store(spark, sf_dir).load("fr", "src3").select("doc_id", F.length("text").cast("long").alias("chars"))
@@ -54,21 +64,52 @@ def s3(spark, sf_dir):
     return wanted(spark).join(store(spark, sf_dir).present(), ["work", "part"], "left_semi")
 
 
-@query("s4_bulk_load_status", f"WITH {WANTED_SQL} SELECT w.work, w.part, CASE WHEN have.work IS NULL THEN 'offline-or-missing' ELSE 'loaded' END AS status FROM w LEFT JOIN have USING (work, part)")
+#: Statuses in the damaged store.
+STATUS_SQL = """CASE WHEN work = 'fr' AND part = 'src1' OR work = 'de' AND part = 'src2' THEN 'loaded-but-empty' WHEN n IS NULL OR work = 'de' AND part = 'src3' THEN 'offline-or-missing' ELSE 'loaded' END"""
+
+
+@query(
+    "s4_bulk_load_status",
+    f"""WITH {WANTED_SQL}, n AS (SELECT lang AS work, source AS part, count(*) AS n FROM documents GROUP BY ALL), t AS (SELECT w.work, w.part, n, {STATUS_SQL.replace('work', 'w.work').replace('part', 'w.part')} AS status FROM w LEFT JOIN n USING (work, part))
+    SELECT work, part, status, CASE WHEN status = 'loaded' THEN n ELSE 0 END AS rows FROM t""",
+)
 def s4(spark, sf_dir):
-    return store(spark, sf_dir).load_many(wanted(spark))[1]
+    """What became of each wanted part: an empty, a broken and a missing one do not keep the others from being read."""
+    return damaged_store(spark, sf_dir).load_many(wanted(spark))[1].select("work", "part", "status", "rows")
+
+
+@query(
+    "s4_bulk_load_rows",
+    f"""WITH {WANTED_SQL}, t AS (SELECT doc_id, lang AS work, source AS part, strlen(text) AS size, 1 AS n FROM documents) SELECT doc_id, work, part, CAST(size AS INTEGER) AS size FROM t JOIN w USING (work, part) WHERE {STATUS_SQL} = 'loaded'""",
+)
+def s4_rows(spark, sf_dir):
+    """The rows of the wanted parts that could be read."""
+    return damaged_store(spark, sf_dir).load_many(wanted(spark))[0].select("doc_id", "work", "part", "size")
+
+
+@query(
+    "s1_part_status",
+    f"""WITH t AS (SELECT lang AS work, source AS part, count(*) AS n FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY ALL), u AS (SELECT work, part, n FROM t UNION ALL SELECT 'xx', 'src0', NULL)
+    SELECT work, part, {STATUS_SQL} AS status FROM u""",
+)
+def s1_status(spark, sf_dir):
+    """The status of every part that the documents name, and of one that nobody has."""
+    named = read(spark, sf_dir, "documents").select(F.col("lang").alias("work"), F.col("source").alias("part")).where("work IS NOT NULL AND part IS NOT NULL").distinct()
+    asked = named.unionByName(spark.createDataFrame([("xx", "src0")], "work string, part string"))
+    return damaged_store(spark, sf_dir).status(asked).select("work", "part", "status")
 
 
-@query("s5_inventory", "SELECT lang AS work, count(DISTINCT source) AS have FROM documents GROUP BY lang")
+@query("s5_inventory", "SELECT lang AS work, count(DISTINCT coalesce(source, '')) AS have, true AS held FROM documents GROUP BY lang")
 def s5(spark, sf_dir):
-    return store(spark, sf_dir).inventory()
+    """Parts held of each work, from the files that are there, and whether they have bytes."""
+    return store(spark, sf_dir).inventory().select("work", "have", (F.col("held_bytes") > 0).alias("held"))
 
 
 @query("s6_evict", "SELECT lang AS work, count(DISTINCT source) AS have, (SELECT count(DISTINCT source) FROM documents WHERE lang = 'de') AS evicted FROM documents WHERE lang <> 'de' GROUP BY lang")
 def s6(spark, sf_dir):
     kept = own_store(spark, sf_dir)
     gone = kept.forget("de")
-    return kept.inventory().withColumn("evicted", F.lit(gone).cast("long"))
+    return kept.inventory().select("work", "have", F.lit(gone).cast("long").alias("evicted"))
 
 
 @query("s7_key_value_state", "SELECT user_id AS k, arg_max(event_type, event_id) AS v FROM events GROUP BY user_id")
@@ -84,20 +125,25 @@ def s8(spark, sf_dir):
     return commit_stream(changes, ["user_id", "event_type"], ["event_id"], ["last_id", "value"])
 
 
-@query("s15_static_dimension", "SELECT CAST(m AS INTEGER) AS m, CAST([31, 29, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31][m] AS INTEGER) AS days FROM range(1, 13) t(m)")
+@query(
+    "s15_static_dimension",
+    "SELECT CAST(m AS INTEGER) AS m, CAST([31, 29, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31][m] AS INTEGER) AS days, count(o_orderkey) AS orders FROM range(1, 13) t(m) LEFT JOIN orders ON month(o_orderdate) = m GROUP BY m",
+)
 def s15(spark, sf_dir):
-    return spark.createDataFrame(list(enumerate(cal.MONTH_DAYS, 1)), "m int, days int")
+    """A table of constants, the months' lengths, joined with the orders of each month."""
+    counts = read(spark, sf_dir, "orders").groupBy(F.month("o_orderdate").alias("m")).agg(F.count("*").alias("orders"))
+    return months(spark).join(F.broadcast(counts), "m", "left").select("m", "days", F.coalesce("orders", F.lit(0)).alias("orders"))  # twelve rows
 
 
 LIBRARY_SQL = "l AS (SELECT lang AS work, count(DISTINCT source) AS total, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY lang)"
 
 
-@query("s21_residency", f"WITH {LIBRARY_SQL}, h AS (SELECT lang AS work, count(DISTINCT source) AS have FROM documents WHERE lang <> 'de' GROUP BY lang) SELECT work, coalesce(have, 0) AS have, total, bytes, coalesce(have, 0) >= total AS whole FROM l LEFT JOIN h USING (work)")
+@query("s21_residency", f"WITH {LIBRARY_SQL}, h AS (SELECT lang AS work, count(DISTINCT source) AS have FROM documents WHERE lang <> 'de' GROUP BY lang) SELECT work, coalesce(have, 0) AS have, total, bytes, coalesce(have, 0) >= total AS whole, have IS NOT NULL AS held FROM l LEFT JOIN h USING (work)")
 def s21(spark, sf_dir):
     library = read(spark, sf_dir, "documents").groupBy(F.col("lang").alias("work")).agg(F.count_distinct("source").alias("total"), F.sum(F.octet_length("text")).alias("bytes"))
     kept = own_store(spark, sf_dir)
     kept.forget("de")
-    return residency(kept.present(), library)
+    return residency(kept, library).withColumn("held", F.col("held_bytes") > 0).drop("held_bytes")
 
 
 @query("s22_save_whole_work", "SELECT source AS part, count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents WHERE lang = 'es' GROUP BY source")
@@ -107,13 +153,11 @@ def s22(spark, sf_dir):
     return rows.groupBy("part").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
 
 
-@query("s16_lazy_dimension", "SELECT r_name, n_name, 'nation,region' AS held_after FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, NULL, 'region' FROM region")
+@query("s16_lazy_dimension", "SELECT r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, NULL FROM region WHERE r_regionkey NOT IN (SELECT n_regionkey FROM nation)")
 def s16(spark, sf_dir):
-    """Dimensions read when first asked for, and once: the regions alone need one, their nations two."""
-    tables = Dimensions(spark, sf_dir)
-    alone = tables["region"].select("r_name", F.lit(None).cast("string").alias("n_name"), F.lit(",".join(sorted(tables.held))).alias("held_after"))
-    both = tables["nation"].join(tables["region"], F.col("n_regionkey") == F.col("r_regionkey"))
-    return both.select("r_name", "n_name", F.lit(",".join(sorted(tables.held))).alias("held_after")).unionByName(alone)
+    """Regions with their nations; Spark reads a dimension when a plan needs it, and columns that it needs."""
+    nation, region = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
+    return region.join(F.broadcast(nation), F.col("n_regionkey") == F.col("r_regionkey"), "left").select("r_name", "n_name")  # 25 nations
 
 
 @query("p18_work_of_plan", "WITH m(plan, work) AS (VALUES ('bible', 'en'), ('hymns', 'fr'), ('lost', 'xx')) SELECT plan, work, work IN (SELECT lang FROM documents) AS ready FROM m")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skyledger.catalog.dates import slot_spine
+from skyledger.catalog.longitudes import SUN_MOON_SQL
+from skyledger.functions.ephemeris import with_longitudes
 from skyledger.operators.order import balanced_chunks, chunk_of, with_position_in
 from skyledger.plans import reading
 from skyledger.registry import query
-from skyledger.sources.tables import read
+from skyledger.sources.tables import dealt_out, read
 
 
 @query("w1_balanced_chunks", "SELECT doc_id, CAST(ntile(366) OVER (ORDER BY doc_id) AS INTEGER) AS slot FROM documents")
@@ -200,8 +202,15 @@ def p10(spark, sf_dir):
     return held_days(spark, sf_dir).select("slot", F.col("held").alias("is_local"))
 
 
-@query("e12_ticks_and_sectors", "SELECT CAST(d AS INTEGER) AS tick, CAST(d // 30 AS INTEGER) AS sector, d % 30 = 0 AS cusp FROM range(0, 360) t(d)")
+@query(
+    "e12_ticks_and_sectors",
+    f"""WITH {SUN_MOON_SQL}, c AS (SELECT CAST(floor(moon) AS INTEGER) AS tick, count(*) AS events FROM sky GROUP BY 1)
+    SELECT CAST(d AS INTEGER) AS tick, CAST(d // 30 AS INTEGER) AS sector, d % 30 = 0 AS cusp, coalesce(events, 0) AS events FROM range(0, 360) t(d) LEFT JOIN c ON tick = d""",
+)
 def e12(spark, sf_dir):
-    """A tick for each degree of a wheel with its sector of 30."""
-    d = F.col("id").cast("int")
-    return spark.range(360).select(d.alias("tick"), F.floor(d / 30).cast("int").alias("sector"), (d % 30 == 0).alias("cusp"))
+    """A tick for each degree of a wheel with its sector of 30 and the events with the Moon in that degree."""
+    moon = with_longitudes(dealt_out(read(spark, sf_dir, "events").select("ts")), F.col("ts"), ["Moon"], ahead=False)
+    counts = moon.groupBy(F.floor("lon_Moon").cast("int").alias("tick")).agg(F.count("*").alias("events"))  # 360 at most
+    d = F.col("tick")
+    ticks = spark.range(360).select(F.col("id").cast("int").alias("tick")).join(F.broadcast(counts), "tick", "left")
+    return ticks.select("tick", F.floor(d / 30).cast("int").alias("sector"), (d % 30 == 0).alias("cusp"), F.coalesce("events", F.lit(0)).alias("events"))

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from skyledger.catalog.dates import slot_sql, slot_spine
 from skyledger.functions import calendar as cal
 from skyledger.functions.fold import is_blank
-from skyledger.operators import records
+from skyledger.operators import records, stored
 from skyledger.operators.order import with_position
 from skyledger.registry import query
 from skyledger.sources.tables import read, scratch
+from skyledger.sources.tables import stored as written
 
 TODAY = "DATE '2024-01-28'"
 DAYS_SQL = "d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS d FROM events)"
@@ -177,34 +178,80 @@ def p17(spark, sf_dir):
     return seen.withColumn("chosen", F.coalesce("session", "stored")).join(F.broadcast(themes), F.col("chosen") == F.col("name"), "left").select("user_id", "chosen", "note")
 
 
-#: Stored records as text: plain, with a theme and a key that this version does not know, cut off, and no record at all.
-BLOB_SQL = """b AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN '{"k": ' || event_id || ', "theme": "dark", "novel": "n' || event_id || '"}' WHEN 2 THEN '{"k": ' || event_id ELSE '"' || event_type || '"' END AS blob FROM events)"""
+#: Stored records as text: plain; with a theme and a name that this version does not know; cut off; no record at all; lists and objects in the wrong
+#: places; in the right ones, with nulls and a nested unknown; a list as the whole; empty.
+BLOBS = [
+    "props", """'{"k": ' || event_id || ', "novel": "n' || event_id || '", "theme": "dark"}'""", """'{"k": ' || event_id""", """'"' || event_type || '"'""",
+    """'{"days": {"a": 1}, "k": [' || event_id || '], "prefs": 3, "theme": {"b": "c"}}'""",
+    """'{"days": ["2024-01-0' || event_id % 9 || '"], "deep": {"a": [' || event_id || ', {"b": true}]}, "prefs": {"size": ' || event_id || '}, "theme": null}'""",
+    """'[10, {"k": ' || event_id || '}]'""", """CASE WHEN event_id % 16 < 8 THEN '' END""",
+]
+BLOB_SQL = "b AS (SELECT event_id, CASE event_id % 8 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(BLOBS)) + " END AS blob FROM events)"
+RECORD_DEFAULTS = {"k": 0, "theme": "auto", "days": [], "prefs": {}}
+_defaults_sql = """d(name, plain, fits) AS (VALUES ('k', '0', NULL), ('theme', '"auto"', NULL), ('days', '[]', ['ARRAY']), ('prefs', '{}', ['OBJECT', 'ARRAY']))"""
 
 
 @query(
     "s9_schema_merge",
-    f"""WITH {BLOB_SQL}, r AS (SELECT event_id, blob, json_valid(blob) AS sound, CASE WHEN json_valid(blob) THEN CASE WHEN json_type(blob) = 'OBJECT' THEN blob END END AS rec FROM b)
-    SELECT event_id, coalesce(CAST(json_extract(rec, '$.k') AS INTEGER), 0) AS k, coalesce(json_extract_string(rec, '$.theme'), 'auto') AS theme,
-      coalesce(array_to_string(list_transform(list_filter(json_keys(rec), lambda x: x NOT IN ('k', 'theme')), lambda x: x || '=' || json_extract_string(rec, '$.' || x)), ','), '') AS carried, CASE WHEN NOT sound THEN blob END AS aside FROM r""",
+    f"""WITH {BLOB_SQL}, {_defaults_sql}, r AS (SELECT event_id, nullif(blob, '') AS blob, json_valid(nullif(blob, '')) AS sound FROM b),
+    o AS (SELECT event_id, CAST(blob AS JSON) AS j, json_type(CAST(blob AS JSON)) AS kind FROM r WHERE sound),
+    e AS (SELECT event_id, unnest(json_keys(j)) AS name, j FROM o WHERE kind = 'OBJECT'),
+    m AS (SELECT event_id, name, j -> ('$."' || name || '"') AS v FROM e UNION ALL SELECT event_id, CAST(i AS VARCHAR), j -> CAST(i AS INTEGER) FROM (SELECT *, unnest(range(0, CAST(json_array_length(j) AS BIGINT))) AS i FROM o WHERE kind = 'ARRAY')),
+    good AS (SELECT m.event_id, m.name, m.v FROM m JOIN o USING (event_id) JOIN d USING (name) WHERE o.kind = 'OBJECT' AND (fits IS NULL OR list_contains(fits, json_type(v))))
+    SELECT r.event_id, d.name, CAST(coalesce(good.v, d.plain) AS VARCHAR) AS value, CASE WHEN good.event_id IS NULL THEN 'default' ELSE 'adopted' END AS source FROM r CROSS JOIN d LEFT JOIN good ON good.event_id = r.event_id AND good.name = d.name
+    UNION ALL SELECT event_id, name, CAST(v AS VARCHAR), 'carried' FROM m WHERE name NOT IN (SELECT name FROM d)
+    UNION ALL SELECT event_id, NULL, CAST(to_json(blob) AS VARCHAR), 'aside' FROM r WHERE NOT sound""",
 )
 def s9(spark, sf_dir):
-    """Known keys over their defaults, unknown keys carried along; of an unreadable record the text is kept aside and the defaults stand."""
-    i, kind = F.col("event_id"), F.col("event_id") % 4
-    newer = F.concat(F.lit('{"k": '), i, F.lit(', "theme": "dark", "novel": "n'), i, F.lit('"}'))
-    blob = F.when(kind == 0, F.col("props")).when(kind == 1, newer).when(kind == 2, F.concat(F.lit('{"k": '), i)).otherwise(F.concat(F.lit('"'), "event_type", F.lit('"')))
-    return records.adopted(read(spark, sf_dir, "events").select("event_id", blob.alias("blob")), "event_id", "blob", {"k": "0", "theme": "auto"}).select(
-        "event_id", F.col("record")["k"].cast("int").alias("k"), F.col("record")["theme"].alias("theme"),
-        F.array_join(F.transform(F.array_sort(F.map_entries("carried")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("carried"), "aside",
-    )
+    """Every stored record's entries: known names by shape over their defaults, unknown ones carried along; the text of an unreadable record is kept aside."""
+    blobs = [F.expr(x) for x in BLOBS]
+    kind = F.col("event_id") % 8
+    blob = F.coalesce(*(F.when(kind == i, x) for i, x in enumerate(blobs)))
+    found = stored.adopted(read(spark, sf_dir, "events").select("event_id", blob.alias("blob")), "event_id", "blob", RECORD_DEFAULTS)
+    return found.select("event_id", "name", F.to_json("value").alias("value"), "source")
+
+
+#: Old records of every customer by orders: `kept` of the days with an order (m-d), `checks` by day and priority, `days` without padding and one entry that is no day.
+#: Every eleventh customer's `kept` is cut off. The state has entries by the orders that are not finished, some of them 0. Every tenth customer was migrated before.
+LEGACY_SQL = """o AS (SELECT o_custkey AS id, o_orderkey, o_orderstatus AS s, o_orderpriority AS p, CAST(o_orderdate AS DATE) AS d FROM orders),
+md AS (SELECT *, month(d) || '-' || day(d) AS short, strftime(d, '%Y-%m-%d') AS long_ FROM o),
+old AS (SELECT id, 'kept' AS bucket, 'sages:' || short AS k FROM md WHERE s = 'F' AND id % 11 > 0
+  UNION SELECT id, 'checks', long_ || ':' || p FROM md WHERE s = 'F' UNION SELECT id, 'days', long_ FROM md WHERE s = 'F'),
+state AS (SELECT id, 'kept' AS bucket, 'sages:' || short AS k, CASE WHEN min(o_orderkey) % 3 = 0 THEN '0' ELSE '1' END AS v FROM md WHERE s <> 'F' GROUP BY ALL
+  UNION ALL SELECT DISTINCT id, 'days', long_, '0' FROM md WHERE s <> 'F')"""
+
+
+def legacy_tables(spark, sf_dir):
+    """(state, legacy, ledger) as told above."""
+    d = F.to_date("o_orderdate")
+    short, long_ = F.concat_ws("-", F.month(d), F.dayofmonth(d)), F.date_format(d, "yyyy-MM-dd")
+    orders = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), "o_orderkey", F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p"), short.alias("short"), long_.alias("long"), F.concat_ws("-", F.year(d), "short").alias("unpadded"))
+    old = orders.where("s = 'F'").groupBy("id")
+    marks = lambda c: F.to_json(F.map_from_entries(F.collect_set(F.struct(c, F.lit(1)))))
+    made = old.agg(marks(F.col("short")).alias("kept"), marks(F.concat_ws(":", "long", "p")).alias("checks"), F.to_json(F.array_append(F.collect_set("unpadded"), F.lit("someday"))).alias("days"))
+    cut = F.when(F.col("id") % 11 == 0, F.substring("kept", 1, 6)).otherwise(F.col("kept"))
+    blobs = F.array(*(F.struct(F.lit(n).alias("name"), b.alias("blob")) for n, b in (("kept", cut), ("checks", F.col("checks")), ("days", F.col("days")))))
+    legacy = made.select("id", F.explode(blobs).alias("x")).select("id", "x.*")
+    open_ = orders.where("s <> 'F'")
+    kept = open_.groupBy("id", F.lit("kept").alias("bucket"), F.concat(F.lit("sages:"), "short").alias("k")).agg(F.when(F.min("o_orderkey") % 3 == 0, "0").otherwise("1").alias("v"))
+    state = kept.unionByName(open_.select("id", F.lit("days").alias("bucket"), F.col("long").alias("k"), F.lit("0").alias("v")).distinct())
+    return state, legacy, read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")).where("id % 10 = 0").distinct()
 
 
-@query("s10_legacy_migration", "SELECT DISTINCT 'sages:' || lpad(CAST(month(o_orderdate) AS VARCHAR), 2, '0') || '-' || lpad(CAST(day(o_orderdate) AS VARCHAR), 2, '0') AS k FROM orders")
+@query(
+    "s10_legacy_migration",
+    f"""WITH {LEGACY_SQL}, added AS (SELECT old.* FROM old LEFT JOIN state USING (id, bucket, k) WHERE old.id % 10 > 0 AND (state.id IS NULL OR old.bucket <> 'days' AND state.v = '0'))
+    SELECT id, bucket, k, '1' AS v, 1 AS run FROM added UNION ALL SELECT id, bucket, k, v, 0 FROM state WHERE (id, bucket, k) NOT IN (SELECT (id, bucket, k) FROM added)""",
+)
 def s10(spark, sf_dir):
-    """Old 'm-d' keys become 'sages:mm-dd', once; keys that are already new stay as they are."""
-    old = F.concat_ws("-", F.month("o_orderdate"), F.dayofmonth("o_orderdate"))
-    part = F.split(F.col("old"), "-")
-    padded = F.concat(F.lit("sages:"), F.lpad(part[0], 2, "0"), F.lit("-"), F.lpad(part[1], 2, "0"))
-    return read(spark, sf_dir, "orders").select(old.alias("old")).select(F.when(F.startswith("old", F.lit("sages:")), F.col("old")).otherwise(padded).alias("k")).distinct()
+    """The state after the migration was run twice: which run put an entry in (0: it was there). The second finds every owner in the ledger and adds nothing."""
+    state, legacy, ledger = legacy_tables(spark, sf_dir)
+    legacy = written(legacy, "legacy")
+    state = state.withColumn("run", F.lit(0))
+    for number in (1, 2):
+        added, done = stored.migration(state, legacy, ledger, "id", "sages:")
+        state, ledger = written(stored.with_entries(state, added.withColumn("run", F.lit(number)), ["id", "bucket", "k"]), "migrated"), written(ledger.unionByName(done), "ledger")
+    return state
 
 
 EXPORTED = "2024-01-28T07:00:00.000Z"
@@ -221,27 +268,32 @@ def s11(spark, sf_dir):
 #: Two whole records as rows (bucket, k, v): this device's (mine) and the file's. Events give the buckets of marks and the days, conversations
 #: the journal, orders the examen and the plans.
 RECORDS_SQL = f"""{ABSENT_SQL.replace('mine AS', 'xm AS').replace('inc AS', 'xt AS')}, {TEXTS_SQL.replace('mine AS', 'jm AS').replace('theirs AS', 'jt AS')},
-marks AS (SELECT user_id % 2 = 0 AS is_mine, CASE event_type WHEN 'view' THEN 'kept' WHEN 'click' THEN 'checks' WHEN 'purchase' THEN 'practice' WHEN 'signup' THEN 'intents' ELSE 'prefs' END AS bucket, strftime(ts, '%m-%d %H') AS k, CAST(min(event_id) AS VARCHAR) AS v FROM events GROUP BY ALL),
-days AS (SELECT DISTINCT user_id % 2 = 0 AS is_mine, 'days' AS bucket, CAST(CAST(ts AS DATE) AS VARCHAR) AS k, '1' AS v FROM events WHERE user_id % 5 < 2),
+marks AS (SELECT user_id % 2 = 0 AS is_mine, CASE event_type WHEN 'view' THEN 'kept' WHEN 'click' THEN 'checks' WHEN 'purchase' THEN 'practice' WHEN 'signup' THEN 'intents' ELSE 'prefs' END AS bucket, strftime(ts, '%m-%d %H') AS k, CASE min(event_id) % 5 WHEN 0 THEN '0' WHEN 1 THEN NULL ELSE CAST(min(event_id) AS VARCHAR) END AS v FROM events GROUP BY ALL),
+days AS (SELECT DISTINCT user_id % 2 = 0 AS is_mine, 'days' AS bucket, CAST(CAST(ts AS DATE) AS VARCHAR) AS k, '1' AS v FROM events),
 whole AS (SELECT * FROM marks UNION ALL SELECT * FROM days
   UNION ALL SELECT true, 'examen', CAST(k AS VARCHAR), CAST(v AS VARCHAR) FROM xm UNION ALL SELECT false, 'examen', CAST(k AS VARCHAR), CAST(v AS VARCHAR) FROM xt
   UNION ALL SELECT true, 'journal', CAST(ref AS VARCHAR), text FROM jm UNION ALL SELECT false, 'journal', CAST(ref AS VARCHAR), text FROM jt),
-pairs AS (SELECT coalesce(m.bucket, t.bucket) AS bucket, coalesce(m.k, t.k) AS k, m.k IS NULL AS added,
-  CASE WHEN m.k IS NULL THEN t.v WHEN m.bucket = 'journal' AND t.k IS NOT NULL AND length(coalesce(t.v, '')) > length(coalesce(m.v, '')) THEN t.v ELSE m.v END AS v
-  FROM (SELECT * FROM whole WHERE is_mine) m FULL JOIN (SELECT * FROM whole WHERE NOT is_mine) t ON m.bucket = t.bucket AND m.k = t.k)"""
+met AS (SELECT coalesce(m.bucket, t.bucket) AS bucket, coalesce(m.k, t.k) AS k, m.v AS mine, t.v AS theirs, m.k IS NOT NULL AS has_mine, t.k IS NOT NULL AS has_theirs,
+  m.k IS NOT NULL AND (m.bucket IN ('journal', 'days', 'prefs') OR coalesce(m.v NOT IN ('', '0', 'null', 'false'), false)) AS keeps
+  FROM (SELECT * FROM whole WHERE is_mine) m FULL JOIN (SELECT * FROM whole WHERE NOT is_mine) t ON m.bucket = t.bucket AND m.k = t.k),
+pairs AS (SELECT bucket, k, has_theirs AND NOT keeps AS added,
+  CASE WHEN bucket = 'journal' AND has_mine AND has_theirs THEN CASE WHEN length(coalesce(theirs, '')) > length(coalesce(mine, '')) THEN theirs ELSE mine END
+    WHEN keeps OR NOT has_theirs THEN mine ELSE theirs END AS v FROM met)"""
 
 
 def whole_records(spark, sf_dir):
     events = read(spark, sf_dir, "events").withColumn("is_mine", F.col("user_id") % 2 == 0)
     kind = F.col("event_type")
     bucket = F.when(kind == "view", "kept").when(kind == "click", "checks").when(kind == "purchase", "practice").when(kind == "signup", "intents").otherwise("prefs")
-    marks = events.groupBy("is_mine", bucket.alias("bucket"), F.date_format("ts", "MM-dd HH").alias("k")).agg(F.min("event_id").cast("string").alias("v"))
-    own_days = events.where("user_id % 5 < 2").select("is_mine", F.lit("days").alias("bucket"), F.to_date("ts").cast("string").alias("k"), F.lit("1").alias("v")).distinct()
+    marks = events.groupBy("is_mine", bucket.alias("bucket"), F.date_format("ts", "MM-dd HH").alias("k")).agg(F.min("event_id").alias("e"))
+    value = F.when(F.col("e") % 5 == 0, "0").when(F.col("e") % 5 > 1, F.col("e").cast("string"))  # some are 0 or null
+    marks = marks.withColumn("v", value).drop("e")
+    own_days = events.select("is_mine", F.lit("days").alias("bucket"), F.to_date("ts").cast("string").alias("k"), F.lit("1").alias("v")).distinct()
     orders = read(spark, sf_dir, "orders").where("o_orderstatus IN ('F', 'O')")
     examen = orders.groupBy((F.col("o_orderstatus") == "F").alias("is_mine"), F.col("o_custkey").cast("string").alias("k")).agg(F.min("o_orderkey").cast("string").alias("v")).withColumn("bucket", F.lit("examen"))
     talk = [side.select(F.lit(own).alias("is_mine"), F.lit("journal").alias("bucket"), F.col("ref").cast("string").alias("k"), F.col("text").alias("v")) for own, side in zip((True, False), two_records(spark, sf_dir), strict=True)]
     whole = marks.unionByName(own_days).unionByName(examen).unionByName(talk[0]).unionByName(talk[1])
-    return records.imported(whole.where("is_mine"), whole.where("NOT is_mine"), ["journal"])
+    return stored.imported(whole.where("is_mine"), whole.where("NOT is_mine"), ["journal"], ["days", "prefs"])
 
 
 @query("s12_import_counts", f"WITH {RECORDS_SQL} SELECT bucket, count(*) FILTER (added) AS added FROM pairs WHERE bucket IN ('kept', 'checks', 'days', 'journal', 'examen', 'practice') GROUP BY bucket")
@@ -317,7 +369,11 @@ def u7(spark, sf_dir):
     return records.latest(changes, ["user_id", "d"], ["event_id"], ["intent"]).where("intent <> 'error'")
 
 
-@query("u8_plan_start", "SELECT user_id, arg_max(CASE WHEN event_type = 'signup' THEN CAST(ts AS DATE) END, struct_pack(e := event_id)) AS naive_start, (SELECT CASE WHEN x.event_type = 'signup' THEN CAST(x.ts AS DATE) END FROM events x WHERE x.user_id = e.user_id AND x.event_type IN ('signup', 'error') ORDER BY x.event_id DESC LIMIT 1) AS start FROM events e WHERE event_type IN ('signup', 'error') GROUP BY user_id".replace("arg_max(CASE WHEN event_type = 'signup' THEN CAST(ts AS DATE) END, struct_pack(e := event_id)) AS naive_start, ", ""))
+@query(
+    "u8_plan_start",
+    """WITH last AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS back FROM events WHERE event_type IN ('signup', 'error'))
+    SELECT user_id, CASE WHEN event_type = 'signup' THEN CAST(ts AS DATE) END AS start FROM last WHERE back = 1""",
+)
 def u8(spark, sf_dir):
     """Last plan event: a signup starts the plan on its day, an error sends it back to the calendar (null)."""
     changes = read(spark, sf_dir, "events").where("event_type IN ('signup', 'error')").select("user_id", "event_id", F.when(F.col("event_type") == "signup", F.to_date("ts")).alias("start"))

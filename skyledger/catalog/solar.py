@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skyledger.catalog.dates import LAT, LON, ZONE, places
-from skyledger.catalog.longitudes import EVENT_LON_SQL, longitudes_sql
+from skyledger.catalog.longitudes import EVENT_LON_SQL, SUN_MOON_SQL, longitudes_sql
 from skyledger.catalog.ranges import SIGNS_SQL as RANGES_SQL
 from skyledger.catalog.ranges import signs
 from skyledger.functions import calendar as cal
@@ -39,10 +39,6 @@ def event_longitudes(spark, sf_dir, *bodies):
     return with_longitudes(dealt_out(read(spark, sf_dir, "events").select("event_id", "user_id", "value", "ts")), F.col("ts"), list(bodies), ahead=False)
 
 
-#: sky (event_id, sun, moon): longitudes of the Sun and the Moon at an event.
-SUN_MOON_SQL = f"{EVENT_LON_SQL}, sky AS (SELECT event_id, max(lon) FILTER (body = 'Sun') AS sun, max(lon) FILTER (body = 'Moon') AS moon FROM bodies GROUP BY event_id)"
-
-
 def solar_sql(g: str) -> tuple[str, str]:
     eq = f"229.18 * (0.000075 + 0.001868 * cos({g}) - 0.032077 * sin({g}) - 0.014615 * cos(2 * {g}) - 0.040849 * sin(2 * {g}))"
     decl = f"(0.006918 - 0.399912 * cos({g}) + 0.070257 * sin({g}) - 0.006758 * cos(2 * {g}) + 0.000907 * sin(2 * {g}) - 0.002697 * cos(3 * {g}) + 0.00148 * sin(3 * {g}))"

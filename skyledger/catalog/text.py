@@ -156,15 +156,14 @@ def a3(spark, sf_dir):
 
 @query(
     "a10_verse_or_prose",
-    """WITH b AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: length(x)) AS l FROM documents WHERE text IS NOT NULL)
+    """WITH b AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: length(x)) AS l FROM documents)
     SELECT doc_id, CAST(len(l) AS INTEGER) AS lines, round(list_sum(l) / len(l), 6) AS mean_length, len(l) > 1 AND list_sum(l) / len(l) < 62 AS verse FROM b""",
 )
 def a10(spark, sf_dir):
-    lines = F.split("text", "\n")
+    """Lines and their mean length of every text; a null one is an empty line."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
     mean = t.mean_line_length(lines)
-    return read(spark, sf_dir, "documents").where("text IS NOT NULL").select(
-        "doc_id", F.size(lines).alias("lines"), F.round(mean, 6).alias("mean_length"), ((F.size(lines) > 1) & (mean < 62)).alias("verse")
-    )
+    return read(spark, sf_dir, "documents").select("doc_id", F.size(lines).alias("lines"), F.round(mean, 6).alias("mean_length"), ((F.size(lines) > 1) & (mean < 62)).alias("verse"))
 
 
 @query("a15_string_aggregate", "SELECT n_regionkey, string_agg(n_name, ' · ' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")

@@ -73,30 +73,6 @@ def progress(done: Column, total: int = 366) -> Column:
     return F.floor(done / total * 100 + 0.5).cast("int")
 
 
-def adopted(rows: DataFrame, key: str, blob: str, defaults: dict[str, str]) -> DataFrame:
-    """Stored JSON records read over defaults: key, record (known keys, as text), carried (keys unknown here) and aside (the text of an unreadable record).
-
-    A null, unreadable or keyless record leaves the defaults.
-    """
-    sound = F.try_parse_json(F.col(blob)).isNotNull()
-    held = F.when(sound & F.startswith(F.ltrim(F.col(blob)), F.lit("{")), F.from_json(F.col(blob), "map<string,string>"))
-    held = F.coalesce(held, F.create_map().cast("map<string,string>"))
-    known = F.map_from_arrays(F.array(*map(F.lit, defaults)), F.array(*(F.coalesce(F.try_element_at("_held", F.lit(k)), F.lit(v)) for k, v in defaults.items())))
-    carried = F.map_filter("_held", lambda k, _: ~k.isin(list(defaults)))
-    aside = F.when(F.col(blob).isNotNull() & ~sound, F.col(blob))
-    return rows.select(key, held.alias("_held"), aside.alias("aside")).select(key, known.alias("record"), carried.alias("carried"), "aside")
-
-
-def imported(mine: DataFrame, theirs: DataFrame, longest: list[str]) -> DataFrame:
-    """A record and one that is read in, as rows (bucket, k, v): all keys of both, with column added for those that only theirs has.
-
-    Of a key that both have mine stays; in the buckets `longest` the longer value does, of equal lengths mine. Nothing is dropped.
-    """
-    both = mine.select("bucket", "k", "v", F.lit(1).alias("_mine")).unionByName(theirs.select("bucket", "k", "v", F.lit(0).alias("_mine")))
-    weight = F.when(F.col("bucket").isin(longest), F.length(F.coalesce("v", F.lit("")))).otherwise(0)
-    return both.groupBy("bucket", "k").agg(F.max_by("v", F.struct(weight, "_mine")).alias("v"), (F.max("_mine") == 0).alias("added"))
-
-
 def first_appearance(rows: DataFrame, group: str, order: str) -> DataFrame:
     """The rows with their group's place by first appearance (nth_group, from 1), its first order value and their own place in the group (from 1)."""
     placed = with_position_in(rows, [group], [order], size="in_group")

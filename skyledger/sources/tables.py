@@ -58,15 +58,3 @@ def dealt_out(df: DataFrame) -> DataFrame:
     path = context._jvm.org.apache.hadoop.fs.Path
     size = sum(path(f).getFileSystem(context._jsc.hadoopConfiguration()).getFileStatus(path(f)).getLen() for f in files)
     return df.repartition(cores) if size < cores * SMALL_SHARE else df
-
-
-class Dimensions:
-    """Tables of a folder that are read when first asked for, and once."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self.held = spark, folder, {}
-
-    def __getitem__(self, name: str) -> DataFrame:
-        if name not in self.held:
-            self.held[name] = read(self.spark, self.folder, name)
-        return self.held[name]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skyledger.functions import calendar as cal
 from skyledger.functions import ephemeris, fold, sky
-from skyledger.operators import nested, ranges, records, search
+from skyledger.operators import nested, ranges, records, search, stored
 from skyledger.operators.order import balanced_chunks
 from skyledger.plans import reading
 
@@ -187,6 +187,43 @@ def test_part_store(spark, tmp_path):
     assert [r.text for r in store.load("w", "p1").collect()] == ["again"]
     assert {r.work: r.have for r in store.inventory().collect()} == {"w": 2, "z": 1}
     assert store.forget("w") == 2 and {r.work for r in store.inventory().collect()} == {"z"}
+    assert store.load("w", "p1").count() == 0
+
+
+def test_parts_that_are_empty_broken_or_missing(spark, tmp_path):
+    """One bad file keeps nothing else from being read; a part with a good and a bad file is loaded."""
+    from skyledger.sources.parts import PartStore
+
+    store = PartStore(spark, str(tmp_path / "s"))
+    rows = [(w, f"p{i}", f"{w}{i}") for w in "wz" for i in range(4)] + [("w", None, "null"), ("w", "", "blank"), ("a b/c", "p=1", "odd")]
+    store.register(spark.createDataFrame(rows, "work string, part string, text string"))
+    rows = spark.createDataFrame([("x",)], "text string")
+    rows.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{store.path}/work=w/part=p1")
+    (whole,) = (tmp_path / "s/work=w/part=p2").glob("*.parquet")
+    whole.write_bytes(whole.read_bytes()[:40])  # cut off
+    (tmp_path / "s/work=z/part=p0/more.parquet").write_bytes(b"an error page")
+    (gone,) = (tmp_path / "s/work=w/part=p3").glob("*.parquet")
+    gone.unlink()
+    wanted = [("w", f"p{i}") for i in range(5)] + [("z", "p0"), ("z", "p0"), ("nobody", "p0"), ("a b/c", "p=1"), (None, "p0")]
+    loaded, status = store.load_many(spark.createDataFrame(wanted, "work string, part string"))
+    got = {(r.work, r.part): (r.status, r["rows"]) for r in status.collect()}
+    assert got == {
+        ("w", "p0"): ("loaded", 1), ("w", "p1"): ("loaded-but-empty", 0), ("w", "p2"): ("loaded-but-empty", 0), ("w", "p3"): ("offline-or-missing", 0), ("w", "p4"): ("offline-or-missing", 0),
+        ("z", "p0"): ("loaded", 1), ("nobody", "p0"): ("offline-or-missing", 0), ("a b/c", "p=1"): ("loaded", 1),
+    }
+    assert sorted(r.text for r in loaded.collect()) == ["odd", "w0", "z0"]
+    held = {(r.work, r.have, r.files) for r in store.inventory().collect()}
+    assert ("z", 4, 5) in held and ("a b/c", 1, 1) in held
+
+
+def test_wanted_parts_prune_folders(spark):
+    """The list of parts is sent to the scan: its folders are pruned at run time, and no text goes through an exchange."""
+    from skyledger.catalog import parts
+
+    plan = parts.s22(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    scan = plan[plan.index("FileScan parquet", plan.index("text#")) :] if "text#" in plan else plan
+    assert "dynamicpruning#" in plan and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert "PartitionFilters" in scan
 
 
 def test_runs_of_many_parts(spark):
@@ -203,19 +240,57 @@ def test_first_appearance(spark):
 
 
 def test_adopted_records(spark):
-    blobs = ['{"k": 3, "theme": null, "z": "new", "a": [1]}', "{", None, "[1]", "7", "{}", ' {"k": "x"}']
+    """By shape: a list takes arrays only, a dict objects and arrays, a scalar anything; unknown names are carried as they are, unreadable text is kept."""
+    blobs = [
+        '{"k": 3, "theme": null, "z": "new", "a": [1, {"b": true}]}', "{", None, "[1, {}]", "7", "{}", ' {"k": "x"}', "", '{"days": {"a": 1}, "prefs": null}', '{"days": null, "prefs": [2]}',
+        '{"days": ["d"], "prefs": {"p": {"q": 1}}, "k": {"o": 1}}', "null", '{"k": 1, "k": 2}', '{"days": 3, "prefs": "x"}',
+    ]
     rows = spark.createDataFrame(list(enumerate(blobs)), "i int, b string")
-    got = {r.i: (r.record["k"], r.record["theme"], r.carried, r.aside) for r in records.adopted(rows, "i", "b", {"k": "0", "theme": "auto"}).collect()}
-    assert got[0] == ("3", "auto", {"z": "new", "a": "[1]"}, None) and got[1] == ("0", "auto", {}, "{")
-    assert all(got[i] == ("0", "auto", {}, None) for i in (2, 3, 4, 5)) and got[6][0] == "x"
+    found = stored.adopted(rows, "i", "b", {"k": 0, "theme": "auto", "days": [], "prefs": {}})
+    got = {}
+    for r in found.select("i", "name", F.to_json("value").alias("v"), "source").collect():
+        got.setdefault(r.i, {})[r.name] = (r.v, r.source)
+    plain = {"k": ("0", "default"), "theme": ('"auto"', "default"), "days": ("[]", "default"), "prefs": ("{}", "default")}
+    assert got[0] == plain | {"k": ("3", "adopted"), "theme": ("null", "adopted"), "z": ('"new"', "carried"), "a": ('[1,{"b":true}]', "carried")}
+    assert got[1] == plain | {None: ('"{"', "aside")} and got[12] == plain | {None: ('"{\\"k\\": 1, \\"k\\": 2}"', "aside")}
+    assert all(got[i] == plain for i in (2, 4, 5, 7, 8, 11, 13))
+    assert got[3] == plain | {"0": ("1", "carried"), "1": ("{}", "carried")} and got[6] == plain | {"k": ('"x"', "adopted")}
+    assert got[9] == plain | {"prefs": ("[2]", "adopted")}
+    assert got[10] == plain | {"days": ('["d"]', "adopted"), "prefs": ('{"p":{"q":1}}', "adopted"), "k": ('{"o":1}', "adopted")}
+    assert stored.adopted(rows.limit(0), "i", "b", {"k": 0}).count() == 0
+
+
+def test_legacy_records_migrate_once(spark):
+    state = spark.createDataFrame([(1, "kept", "s:1-2", "1"), (1, "kept", "s:1-3", "0"), (1, "days", "2024-01-05", "0"), (4, "kept", "s:9-9", "1")], "u int, bucket string, k string, v string")
+    legacy = spark.createDataFrame(
+        [
+            (1, "kept", '{"1-2": 1, "1-3": 1, "10-11": 1}'), (1, "checks", '{"2024-1-1:a": 1}'), (1, "days", '["2024-1-5", "2024-11-6", "2024-1-5", "soon", "2024-1-5-6", 7]'),
+            (2, "kept", '{"1-2"'), (2, "checks", '{"c": 1}'), (3, "kept", '{"5-5": 1}'), (5, "days", '{"a": "2024-1-1"}'), (6, "kept", None), (6, "other", '{"x": 1}'),
+        ],
+        "u int, name string, blob string",
+    )
+    ledger = spark.createDataFrame([(3,)], "u int")
+    added, done = stored.migration(state, legacy, ledger, "u", "s:")
+    want = {(1, "kept", "s:1-3"), (1, "kept", "s:10-11"), (1, "checks", "2024-1-1:a"), (1, "days", "2024-11-06"), (2, "checks", "c")}
+    assert {tuple(r)[:3] for r in added.collect()} == want and added.count() == len(want)
+    assert sorted(r.u for r in done.collect()) == [1, 2, 4, 5, 6]
+    after = stored.with_entries(state, added, ["u", "bucket", "k"])
+    assert {(r.k, r.v) for r in after.where("u = 1 AND bucket = 'kept'").collect()} == {("s:1-2", "1"), ("s:1-3", "1"), ("s:10-11", "1")}
+    again, more = stored.migration(after, legacy, ledger.unionByName(done), "u", "s:")
+    assert again.count() == 0 and more.count() == 0
+    assert stored.migration(after, legacy, ledger, "u", "s:")[0].count() == 0  # even without the ledger
 
 
 def test_imported_records(spark):
     kind = "bucket string, k string, v string"
-    mine = spark.createDataFrame([("kept", "1", "a"), ("journal", "r", "short"), ("journal", "s", "same"), ("journal", "n", None)], kind)
-    theirs = spark.createDataFrame([("kept", "1", "longer"), ("kept", "2", "b"), ("journal", "r", "much longer"), ("journal", "s", "SAME"), ("journal", "n", None), ("journal", "t", "new")], kind)
-    got = {(r.bucket, r.k): (r.v, r.added) for r in records.imported(mine, theirs, ["journal"]).collect()}
-    assert got == {("kept", "1"): ("a", False), ("kept", "2"): ("b", True), ("journal", "r"): ("much longer", False), ("journal", "s"): ("same", False), ("journal", "n"): (None, False), ("journal", "t"): ("new", True)}
+    mine = [("kept", "1", "a"), ("kept", "0", "0"), ("kept", "n", None), ("kept", "f", "false"), ("kept", "only", ""), ("days", "d", "0"), ("prefs", "p", None), ("journal", "r", "short"), ("journal", "s", "same"), ("journal", "n", None)]
+    theirs = [("kept", "1", "longer"), ("kept", "2", "b"), ("kept", "0", "5"), ("kept", "n", "6"), ("kept", "f", None), ("days", "d", "1"), ("prefs", "p", "x"), ("journal", "r", "much longer"), ("journal", "s", "SAME"), ("journal", "n", None), ("journal", "t", "new")]
+    found = stored.imported(spark.createDataFrame(mine, kind), spark.createDataFrame(theirs, kind), ["journal"], ["days", "prefs"])
+    got = {(r.bucket, r.k): (r.v, r.added) for r in found.collect()}
+    assert got == {
+        ("kept", "1"): ("a", False), ("kept", "2"): ("b", True), ("kept", "0"): ("5", True), ("kept", "n"): ("6", True), ("kept", "f"): (None, True), ("kept", "only"): ("", False),
+        ("days", "d"): ("0", False), ("prefs", "p"): (None, False), ("journal", "r"): ("much longer", False), ("journal", "s"): ("same", False), ("journal", "n"): (None, False), ("journal", "t"): ("new", True),
+    }
 
 
 def test_long_dates_of_keys(spark):
@@ -241,13 +316,6 @@ def test_houses_among_cusps(spark):
         assert all(r.h == plain(r.x, cusps) for r in rows)
 
 
-def test_dimensions_are_read_once(spark):
-    from skyledger.sources.tables import Dimensions
-
-    tables = Dimensions(spark, "/root/testdata/sf0.001")
-    assert not tables.held and tables["region"] is tables["region"] and set(tables.held) == {"region"}
-
-
 def apart(a, b):
     return abs((a - b + 180) % 360 - 180)
 
