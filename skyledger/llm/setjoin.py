@@ -35,6 +35,8 @@ ODD = [f"s{i}" for i in range(8)]
 FRAGMENTS = 8
 #: Tables of classes up to this number (some 20 bytes each) are broadcast; beyond, they are joined by shuffle.
 BROADCAST_NODES = 1_000_000
+#: Sets that are to be compared, up to this number (some 100 bytes each) broadcast to the readers of texts.
+BROADCAST_WANTED = 100_000
 #: Members of a key that a row meets in one task.
 CHUNK = 256
 #: Bits of the bitmap of keys met again, at most (16 MB), keys of a bucket that look for those on average, and keys that a task gathers before it sends them.
@@ -227,46 +229,59 @@ class Join:
         self.light = staged(self.sets.select("node", "n", "fp", "id", "digest", *ODD), "near-light")
 
     def told(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (a, b) whose sizes and parities allow the similarity, each once, with both digests and sizes; staged."""
-        both = with_both(staged(pairs.distinct(), f"{name}-all"), self.light, ["n", "digest", *ODD])
+        """The pairs (a, b) whose sizes and parities allow the similarity, each once, with both ids, digests and sizes; staged."""
+        both = with_both(staged(pairs.distinct(), f"{name}-all"), self.light, ["n", "id", "digest", *ODD])
         fits = both.where(_sizes_fit(F.col("a_n"), F.col("b_n"), self.percent)).withColumn("score", _over(self.percent)).where("score <= 0")
-        return staged(fits.select("a", "b", "a_n", "b_n", "a_digest", "b_digest"), name)
-
-    def segments(self, nodes: DataFrame) -> DataFrame:
-        """(piece, part) of the nodes' sets: a piece is the digest and the fragment's number, a part its shingles. nodes: (node), staged."""
-        ids = staged(self.light.join(nodes, "node", "left_semi").select(F.col("id").alias("_id")).distinct(), "near-wanted")
-        ids = F.broadcast(ids) if ids.count() <= BROADCAST_NODES else ids
-        docs = self.docs.select("id", "text").join(ids, F.col("id").eqNullSafe(F.col("_id")), "left_semi")
+        return staged(fits.select("a", "b", *(f"{s}_{c}" for s in "ab" for c in ("n", "id", "digest"))), name)
+
+    def segments(self, edges: DataFrame) -> DataFrame:
+        """Segments of the sets of edges (as `told` gives them), each where it is compared: (piece, b, part), a piece being the digest of the edge's first
+        set and a fragment's number. b is the edge's second set, whose part it is; null where it is the first set's own."""
+        first = edges.groupBy("a").agg(F.any_value("a_id").alias("_id"), F.any_value("a_digest").alias("_digest"))
+        second = edges.groupBy("b").agg(F.any_value("b_id").alias("_id"), F.any_value("b_digest").alias("_digest"), F.collect_list("a_digest").alias("_to"))  # as many as it has keys at most
+        wanted = first.select("_id", "_digest", F.lit(None).cast("long").alias("_b"), F.array("_digest").alias("_to")).unionByName(second.select("_id", "_digest", F.col("b").alias("_b"), "_to"))
+        wanted = staged(wanted, "near-wanted")
+        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_WANTED else wanted
+        ids = F.broadcast(wanted.select("_id").distinct()) if wanted.count() <= BROADCAST_WANTED else wanted.select("_id").distinct()
+        docs = self.docs.select("id", "text")
+        near = docs.join(ids, F.col("id").eqNullSafe(F.col("_id")), "left_semi")
+        if not near.groupBy("id").count().where("count > 1").isEmpty():
+            docs = near.dropDuplicates(["id", "text"])  # a row and its copies have their segments once
         order, words = self.order, self.words
 
         def rows(batch: pa.RecordBatch) -> dict:
-            pieces, parts = [], []
-            for text in batch.column(0):
+            pieces, owners, parts = [], [], []
+            for text, want, b, to in zip(*(batch.column(i) for i in range(4)), strict=True):
                 distinct = np.unique(shingle_hashes(text.as_py() or "", words))
-                digest = digest_of(distinct)
+                if digest_of(distinct) != want.as_py():
+                    continue  # another text of the same id
+                owner, places = b.as_py(), to.as_py()
                 for i, part in segments(distinct, order.value[0]):
-                    pieces.append(digest + bytes([i]))
-                    parts.append(part.view(np.int64))
-            return {"piece": pa.array(pieces, pa.binary()), "part": pa.array(parts, pa.list_(pa.int64()))}
+                    for digest in places:
+                        pieces.append(digest + bytes([i]))
+                        owners.append(owner)
+                        parts.append(part.tobytes())
+            return {"piece": pa.array(pieces, pa.binary()), "b": pa.array(owners, pa.int64()), "part": pa.array(parts, pa.binary())}
 
-        made = map_batches(dealt_out(docs.select("text")), rows, "piece binary, part array<long>")
-        return staged(made.dropDuplicates(["piece"]), "near-segments")  # rows that share an id may be copies, or of no interest
+        joined = docs.join(wanted, F.col("id").eqNullSafe(F.col("_id"))).select("text", "_digest", "_b", "_to")
+        return map_batches(dealt_out(joined), rows, "piece binary, b long, part binary")
 
     def verified(self, edges: DataFrame) -> DataFrame:
         """The edges (as `told` gives them) whose sets have the similarity: partial overlaps by fragment, summed per pair. (a, b), staged."""
-        nodes = staged(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-nodes")
-        parts = self.segments(nodes)
-        fragment = F.explode(F.array(*(F.lit(bytes([i])) for i in range(FRAGMENTS + 1))))
-        pieces = edges.withColumn("f", fragment)
-        hot = {side: hot_keys(edges, f"{side}_digest").withColumn("f", fragment).select(F.concat(f"{side}_digest", "f").alias(f"{side}_piece")) for side in "ab"}
-        named = {side: parts.select(F.col("piece").alias(f"{side}_piece"), F.col("part").alias(f"{side}_part")) for side in "ab"}
-        met = pieces.select("a", "b", "a_n", "b_n", *(F.concat(f"{s}_digest", "f").alias(f"{s}_piece") for s in "ab"))
-        met = salted_join(met, named["b"], "b_piece", "a", hot["b"]).drop("b_piece")
-        met = salted_join(met, named["a"], "a_piece", "b", hot["a"])
-        shared = F.sum(F.size(F.array_intersect("a_part", "b_part")))
-        sums = met.groupBy("a", "b", "a_n", "b_n").agg(shared.alias("shared"))
+        parts = staged(self.segments(edges), "near-segments")
+        own = parts.where("b IS NULL").select("piece", F.col("part").alias("own"))
+        hot = hot_keys(parts.where("b IS NOT NULL"), "piece")
+        met = salted_join(parts.where("b IS NOT NULL"), own, "piece", "b", hot)
+
+        def overlaps(batch: pa.RecordBatch) -> dict:
+            shared = [np.intersect1d(*(np.frombuffer(x.as_py(), np.uint64) for x in pair), assume_unique=True).size for pair in zip(batch.column(2), batch.column(3), strict=True)]
+            return {"a_digest": pa.array([p.as_py()[:16] for p in batch.column(0)], pa.binary()), "b": batch.column(1), "shared": pa.array(shared, pa.int64())}
+
+        partial = map_batches(met.select("piece", "b", "part", "own"), overlaps, "a_digest binary, b long, shared long")
+        sums = partial.groupBy("a_digest", "b").agg(F.sum("shared").alias("shared"))
+        told = edges.select("a", "b", "a_n", "b_n", "a_digest").join(sums, ["a_digest", "b"])
         # both sets of a pair are empty only where blank texts are alike; they are one class then
-        return staged(sums.where((100 + self.percent) * F.col("shared") >= self.percent * (F.col("a_n") + F.col("b_n"))).select("a", "b"), "near-edges")
+        return staged(told.where((100 + self.percent) * F.col("shared") >= self.percent * (F.col("a_n") + F.col("b_n"))).select("a", "b"), "near-edges")
 
     def components(self, proposed: DataFrame | None = None) -> DataFrame:
         """(node, root) of every class that is linked to another; root is the smallest node that links lead to. proposed: pairs (a, b) to try beside the keys'."""
@@ -314,9 +329,13 @@ def _apart_pairs(rows: DataFrame, percent: int) -> DataFrame:
     here = marked.where("root <> main").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("main", "chunks")
     here = here.select("key", "chunk", *(F.col(c).alias(f"a_{c}") for c in ("node", "root", "n", "at", *ODD)))
     once = F.col("b_main") | (F.col("a_node") < F.col("b_node"))
-    met = here.join(there, ["key", "chunk"]).where((F.col("a_root") != F.col("b_root")) & once & _possible("a_", "b_", percent))
-    scored = met.withColumn("score", _over(percent)).where("score <= 0")
-    a, b = (F.struct(F.col(f"{s}_node").alias("node"), F.col(f"{s}_root").alias("root")) for s in ("a", "b"))
-    pairs = scored.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y"), "score")
-    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.root").alias("root"), F.col("y.root").alias("b_root"), "score")
-    return pairs.groupBy("a", "b").agg(F.first("root").alias("root"), F.first("b_root").alias("b_root"), F.min("score").alias("score"))
+    met = here.join(there, ["key", "chunk"]).where((F.col("a_root") != F.col("b_root")) & once & _sizes_fit(F.col("a_n"), F.col("b_n"), percent))
+    scored = met.withColumn("score", _over(percent)).where("score <= 0").withColumn("possible", _possible("a_", "b_", percent))
+    a, b = (F.struct(F.col(f"{s}_node").alias("node"), F.col(f"{s}_root").alias("root"), F.col(f"{s}_n").alias("n")) for s in ("a", "b"))
+    pairs = scored.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y"), "score", "possible")
+    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.root").alias("root"), F.col("x.n").alias("n"), F.col("y.n").alias("m"), "score", "possible")
+    each = pairs.groupBy("a", "b", "root", "n", "m").agg(F.min("score").alias("score"), F.bool_or("possible").alias("possible"), F.count("*").alias("common"))
+    # sets of different roots meet at every key that both have, so `common` is what their keys share; the rest of one of them is all that may come to it
+    beyond = lambda n: F.ceil(n * percent / 100 - 1e-9) - 1
+    reach = F.col("common") + F.greatest(beyond(F.col("n")), beyond(F.col("m")))
+    return each.where(F.col("possible") & (reach >= _shared_least(F.col("n"), F.col("m"), percent))).select("a", "b", "root", "score")

@@ -62,6 +62,7 @@ def test_ngram_join_loses_no_link(spark, monkeypatch, bound):
     monkeypatch.setattr(shared, "HOT_ROWS", 16)
     monkeypatch.setattr(setjoin, "CHUNK", 8)
     monkeypatch.setattr(setjoin, "BROADCAST_NODES", bound)
+    monkeypatch.setattr(setjoin, "BROADCAST_WANTED", bound)
     rng = random.Random(4)
     rows = [(1000 - i if i % 7 else 5000 + i, " ".join(words)) for i, words in enumerate(families(rng))]
     copied = rows[3][1]
