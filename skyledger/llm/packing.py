@@ -20,12 +20,15 @@ from pyspark.sql import functions as F
 
 from skyledger.llm.bpe import coder_for
 from skyledger.llm.shared import dealt_out, let_go, map_batches, staged
+from skyledger.operators.order import with_position_in
 
 #: Fixed value: the byte vocabulary's <|endoftext|>.
 END_ID = 50256
 #: Permitted lengths in tokens. A group has so many tokens and pieces on average.
 SIZES = (512, 1024, 2048, 4096)
 GROUP_TOKENS, GROUP_PIECES = 4_000_000, 20_000
+#: Kinds of repeated pieces up to this number (8 bytes each) are broadcast; beyond, they are joined by shuffle.
+BROADCAST_REPEATED = 1_000_000
 
 
 def opened_size(length: int, waiting: list[int], sizes: tuple[int, ...], overhead: int) -> int:
@@ -83,32 +86,48 @@ def id_kind(spec: str, end_id: int | None) -> str:
     return "<u2" if top < 1 << 16 else "<u4"
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, longest: int, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
-    """(doc_id, text_key, piece, start, length, ids) of every document: its ids, and the end id, cut into runs of at most `longest`.
+def token_pieces(docs: DataFrame, vocabulary: str, longest: int, end_id: int | None, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+    """(doc_id, text_key, piece, start, length, and ids or ids_crc32) of every document: its ids, and the end id, cut into runs of at most `longest`.
 
-    ids are bytes of numbers of the kind that comes with the table.
+    ids are bytes of numbers of the kind that comes with the table; without them (keep_ids) only their crc32 as 32-bit numbers is there.
     """
     with open(vocabulary, encoding="utf-8") as f:
         text = f.read()
     spec, kind = docs.sparkSession.sparkContext.broadcast(text), id_kind(text, end_id)
-    end, width = b"" if end_id is None else int(end_id).to_bytes(4, "little"), int(kind[2])
+    end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
+    last, value = ("ids binary", pa.binary()) if keep_ids else ("ids_crc32 long", pa.int64())
 
     def rows(batch: pa.RecordBatch) -> dict:
         coder, out = coder_for(spec.value), ([], [], [], [], [])
         for i, text in enumerate(batch.column(2)):
-            ids = np.frombuffer(coder.encode(text.as_py() or "") + end, "<u4").astype(kind).tobytes()
-            for piece, at in enumerate(range(0, max(len(ids), 1), width * longest)):
-                part = ids[at : at + width * longest]
-                for column, value in zip(out, (i, piece, at // width, len(part) // width, part), strict=True):
-                    column.append(value)
+            ids = coder.encode(text.as_py() or "") + end
+            for piece, at in enumerate(range(0, max(len(ids), 1), 4 * longest)):
+                part = ids[at : at + 4 * longest]
+                told = np.frombuffer(part, "<u4").astype(kind).tobytes() if keep_ids else zlib.crc32(part)
+                for column, x in zip(out, (i, piece, at // 4, len(part) // 4, told), strict=True):
+                    column.append(x)
         at = pa.array(out[0], pa.int64())
         return {
             "doc_id": batch.column(0).take(at), "text_key": batch.column(1).take(at), "piece": pa.array(out[1], pa.int32()), "start": pa.array(out[2], pa.int64()),
-            "length": pa.array(out[3], pa.int64()), "ids": pa.array(out[4], pa.binary()),
+            "length": pa.array(out[3], pa.int64()), last.split()[0]: pa.array(out[4], value),
         }
 
     slim = dealt_out(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text")))
-    return map_batches(slim, rows, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, text_key long, piece int, start long, length long, ids binary", keeps=True), kind
+    return map_batches(slim, rows, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, text_key long, piece int, start long, length long, {last}", keeps=True), kind
+
+
+def with_deal(pieces: DataFrame) -> DataFrame:
+    """The pieces (staged) with a hash by which they are dealt. Pieces that are the same in all respects are numbered, so that they go to several groups and a
+    second run, however the files are split, gives the same bins."""
+    same = pieces.withColumn("same", F.xxhash64("doc_id", "text_key", "piece"))
+    repeated = staged(same.groupBy("same").count().where("count > 1").select("same"), "pack-repeated")
+    if repeated.isEmpty():
+        return same.withColumn("deal", F.xxhash64("same", F.lit(0).cast("long"))).drop("same")
+    sent = F.broadcast(repeated) if repeated.count() <= BROADCAST_REPEATED else repeated
+    several = same.join(sent, "same", "left_semi").withColumn("row", F.monotonically_increasing_id())
+    numbered = with_position_in(several, ["same"], ["row"], name="copy", size="copies").drop("row", "copies")
+    once = same.join(sent, "same", "left_anti").withColumn("copy", F.lit(0).cast("long"))
+    return once.unionByName(numbered).withColumn("deal", F.xxhash64("same", "copy")).drop("same", "copy")
 
 
 def pack(
@@ -119,12 +138,11 @@ def pack(
 
     A piece is tokens start to start + length of the document (its end id included); the pieces of a document are numbered from 0 and cover it. It
     lies in its bin from bin_start on. Null and empty texts are their end id alone, without an end id one piece without length. Whole texts
-    are encoded, however long. Repeated rows are packed each; pieces of equal length go by a hash. Ids may be null. An empty table
-    gives no rows. Columns of the table besides id and text do not matter.
+    are encoded, however long. Repeated rows are packed each; pieces of equal length go by a hash. A second run gives the same bins. Ids may be null. An
+    empty table gives no rows. Columns of the table besides id and text do not matter.
     """
-    pieces, width = token_pieces(docs, vocabulary, max(sizes), end_id, id_col, text_col)
-    # rows that are the same in all columns still go to several groups
-    pieces = staged(pieces.withColumn("deal", F.xxhash64("doc_id", "text_key", "piece", F.monotonically_increasing_id())), "pack-pieces")
+    pieces, width = token_pieces(docs, vocabulary, max(sizes), end_id, keep_ids, id_col, text_col)
+    pieces = staged(pieces, "pack-pieces")
     tokens, n = pieces.agg(F.sum("length"), F.count("*")).first()
     groups = max(1, -(-(tokens or 0) // group_tokens), -(-n // group_pieces))
 
@@ -134,10 +152,9 @@ def pack(
         number, place, size = packed(pdf["length"].to_numpy(), sizes)
         first = int(pdf["of"].iloc[0]) << 40
         out = pdf[["doc_id", "text_key", "piece", "start", "length"]].assign(bin_id=number + first, bin_start=place, bin_size=size)
-        ids = [np.frombuffer(x, width).astype("<i4") for x in pdf["ids"]]
-        return out.assign(ids=ids) if keep_ids else out.assign(ids_crc32=[zlib.crc32(x.tobytes()) for x in ids])
+        return out.assign(ids=[np.frombuffer(x, width).astype("<i4") for x in pdf["ids"]]) if keep_ids else out.assign(ids_crc32=pdf["ids_crc32"])
 
-    dealt = pieces.withColumn("of", F.pmod("deal", F.lit(groups)))
+    dealt = with_deal(pieces).withColumn("of", F.pmod("deal", F.lit(groups)))
     kind = pieces.schema["doc_id"].dataType.simpleString()
     last = "ids array<int>" if keep_ids else "ids_crc32 long"
     return dealt.groupBy("of").applyInPandas(run, f"doc_id {kind}, text_key long, piece int, start long, length long, bin_id long, bin_start long, bin_size long, {last}")

@@ -464,6 +464,17 @@ def test_packing(spark, odd, docs):
     assert set(packing.pack(odd, path, keep_ids=False).columns) == {"doc_id", "text_key", "piece", "start", "length", "bin_id", "bin_start", "bin_size", "ids_crc32"}
 
 
+def test_packing_is_the_same_however_files_are_split(spark, odd):
+    """Repeated rows, too, lie in the same bins in a second run; ids and their crc32 agree."""
+    rows = [(1, "one two three " * 50)] * 40 + [(i, f"text number {i} " * (i % 9)) for i in range(80)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").unionByName(odd.select("doc_id", "text"))
+    own = ["doc_id", "text_key", "piece", "start", "length", "bin_id", "bin_start", "bin_size"]
+    whole = packing.pack(table.coalesce(1), vocabulary("byte_bpe_50k.json"), sizes=(64, 128), group_tokens=2000, group_pieces=50).collect()
+    split = packing.pack(table.repartition(7), vocabulary("byte_bpe_50k.json"), sizes=(64, 128), group_tokens=2000, group_pieces=50, keep_ids=False).collect()
+    assert Counter(tuple(r[c] for c in own) + (zlib.crc32(np.array(r.ids, "<i4").tobytes()),) for r in whole) == Counter(tuple(r[c] for c in own) + (r.ids_crc32,) for r in split)
+    assert len({r.bin_id >> 40 for r in whole if r.doc_id == 1 and r.piece == 0}) > 1
+
+
 @pytest.mark.parametrize("sizes", [(1000,), (250, 500, 1000), (100, 900, 1000, 1700)])
 def test_packing_against_a_slow_best_fit(sizes):
     rng = random.Random(21)
