@@ -9,7 +9,7 @@ from skyledger.operators.records import latest
 from skyledger.registry import query
 from skyledger.sources.parts import PartStore, residency
 from skyledger.sources.tables import read, scratch
-from skyledger.streaming.commit import changes_of, commit_stream
+from skyledger.streaming.commit import changes_of, commit_stream, flushed_stream, quiet_commits
 
 
 _stores: dict[tuple[str, str], PartStore] = {}
@@ -125,6 +125,19 @@ def s8(spark, sf_dir):
     return commit_stream(changes, ["user_id", "event_type"], ["event_id"], ["last_id", "value"])
 
 
+@query(
+    "s8_quiet_gap",
+    """WITH c AS (SELECT user_id, event_id, event_type, CAST(ts AS TIMESTAMP) AS ts FROM events), g AS (SELECT *, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS begins FROM c WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    s AS (SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g)
+    SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type, min(ts) AS first_at, max(ts) AS last_at, count(*) AS changes FROM s GROUP BY user_id, session""",
+)
+def s8_quiet(spark, sf_dir):
+    """Of a user's changes no more than six hours apart the last one, committed by the stream once the gap has passed; the rest is flushed at the end."""
+    changes = changes_of(spark, f"{sf_dir}/events.parquet").select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    done = flushed_stream(changes, lambda rows: quiet_commits(rows, ["user_id"], "ts", ["ts", "event_id"], ["event_id", "event_type"], "6 hours", "40 days"), "ts")
+    return done.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_at", "last_at")})
+
+
 @query(
     "s15_static_dimension",
     "SELECT CAST(m AS INTEGER) AS m, CAST([31, 29, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31][m] AS INTEGER) AS days, count(o_orderkey) AS orders FROM range(1, 13) t(m) LEFT JOIN orders ON month(o_orderdate) = m GROUP BY m",

@@ -12,6 +12,8 @@ from skyledger.operators.order import with_position
 from skyledger.registry import query
 from skyledger.sources.tables import read, scratch
 from skyledger.sources.tables import stored as written
+from skyledger.streaming.commit import changes_of, merged_stream
+from skyledger.streaming.streaks import run_streaks, streaks_of
 
 TODAY = "DATE '2024-01-28'"
 DAYS_SQL = "d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS d FROM events)"
@@ -36,6 +38,13 @@ def w4(spark, sf_dir):
     return records.longest_streak(days(spark, sf_dir), "user_id", "d")
 
 
+@query("w3_running_streaks", f"WITH {ISLANDS_SQL} SELECT user_id, coalesce(max(CASE WHEN a <= {TODAY} AND b >= {TODAY} - 1 THEN date_diff('day', a, least(b, {TODAY})) + 1 END), 0) AS streak, max(n) AS longest FROM i GROUP BY user_id")
+def w3_running(spark, sf_dir):
+    """Both streaks of every user from islands that a stream of days keeps up to date, whatever the order in which days come."""
+    marked = changes_of(spark, f"{sf_dir}/events.parquet").select("user_id", F.to_date("ts").alias("d"))
+    return streaks_of(run_streaks(marked, "user_id", "d").read(), "user_id", today())
+
+
 @query("a4_distinct_days", "SELECT user_id, count(DISTINCT CAST(ts AS DATE)) AS days FROM events GROUP BY user_id")
 def a4(spark, sf_dir):
     return days(spark, sf_dir).groupBy("user_id").agg(F.count_distinct("d").alias("days"))
@@ -323,8 +332,12 @@ def s13(spark, sf_dir):
 
 @query("s14_journal_upsert", "WITH c AS (SELECT user_id AS ref, CASE WHEN event_type = 'error' THEN ' ' ELSE event_type END AS text, ts, event_id FROM events), l AS (SELECT ref, arg_max(text, event_id) AS text, min(event_id) AS first_event_id, max(event_id) AS last_event_id FROM c GROUP BY ref) SELECT * FROM l WHERE trim(text) <> ''")
 def s14(spark, sf_dir):
-    changes = read(spark, sf_dir, "events").select(F.col("user_id").alias("ref"), F.when(F.col("event_type") == "error", " ").otherwise(F.col("event_type")).alias("body"), "event_id")
-    return records.upserted(changes, "ref", "body", ["event_id"], ["event_id"])
+    """The journal's changes as a stream, merged into its state; the entries that are left."""
+    text = F.when(F.col("event_type") == "error", " ").otherwise(F.col("event_type"))
+    changes = changes_of(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").alias("ref"), text.alias("body"), "event_id")
+    rows = records.journal_changes(changes, "ref", "body", ["event_id"], ["event_id"])
+    state = merged_stream(rows, ["ref"], lambda x: records.journal_state(x, "ref", ["event_id"], ["event_id"]))
+    return records.entries_of(state.read(), "ref")
 
 
 @query("u1_union_distinct", "SELECT CAST(ts AS DATE) AS d FROM events WHERE user_id % 2 = 0 UNION SELECT CAST(ts AS DATE) FROM events WHERE user_id % 2 = 1")

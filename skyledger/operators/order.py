@@ -2,24 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from skyledger.sources.tables import small, stored
 
 
+def ranged(df: DataFrame, *order: str | Column) -> DataFrame:
+    """The rows dealt out by ranges of the columns and sorted within tasks, written once: with the task's number (_part, ascending) and the place in it (_in)."""
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stored(dealt.select("*", F.monotonically_increasing_id().alias("_at")), "ranged")
+    return placed.withColumn("_part", F.shiftright("_at", 33)).withColumn("_in", F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at")
+
+
+def tasks_before() -> WindowSpec:
+    """All tasks before a row's; for tables of one row per task."""
+    return Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+
+
 def with_position(df: DataFrame, *order: str | Column, name: str = "pos") -> DataFrame:
     """Adds the row's place (from 0) in the total order of the columns (descending where they say so).
 
     Rows are dealt out by ranges and sorted within tasks; a row's place is its place in the task plus the rows of all tasks before. The ranges
     are written once, as they may fall differently when made again. Rows that tie in all columns get places next to each other.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = stored(ranged.select("*", F.monotonically_increasing_id().alias("_at")), "ranged").withColumn("_part", F.shiftright("_at", 33)).withColumn("_in", F.col("_at").bitwiseAND((1 << 33) - 1))
+    placed = ranged(df, *order)
     sizes = placed.groupBy("_part").agg(F.count("*").alias("n"))
-    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per task of the range exchange
-    before = sizes.select("_part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("_before"))
-    return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_in")).drop("_at", "_part", "_in", "_before")
+    before = sizes.select("_part", F.coalesce(F.sum("n").over(tasks_before()), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
 
 
 def chunk_of(pos: Column, total: Column, chunks: int | Column) -> Column:

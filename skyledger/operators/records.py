@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyledger.operators.order import with_position, with_position_in
-from skyledger.sources.tables import small
+from skyledger.operators.order import ranged, tasks_before, with_position, with_position_in
+from skyledger.sources.tables import small, stored
 
 
 def islands(days: DataFrame, key: str, day: str) -> DataFrame:
@@ -41,11 +41,24 @@ def toggled(changes: DataFrame, keys: list[str]) -> DataFrame:
 
 def upserted(changes: DataFrame, key: str, text: str, order: list[str], first: list[str]) -> DataFrame:
     """A journal: the last text of each key stands with the `first` columns of its first entry; a blank last text deletes the key."""
-    ends = changes.groupBy(key).agg(
-        F.max_by(F.struct(F.col(text).alias("text"), *order), F.struct(*order)).alias("_b"), F.min_by(F.struct(*first), F.struct(*order)).alias("_a")
-    )
-    alive = F.coalesce(F.regexp_like(F.col("_b.text"), F.lit("(?U)\\S")), F.lit(False))
-    return ends.where(alive).select(key, F.col("_b.text").alias("text"), *(F.col(f"_a.{c}").alias(f"first_{c}") for c in first), *(F.col(f"_b.{c}").alias(f"last_{c}") for c in order))
+    return entries_of(journal_state(journal_changes(changes, key, text, order, first), key, order, first), key)
+
+
+def journal_changes(changes: DataFrame, key: str, text: str, order: list[str], first: list[str]) -> DataFrame:
+    """Changes as rows of a journal's state: key, text, first_... (each change's own) and last_... (its order)."""
+    return changes.select(key, F.col(text).alias("text"), *(F.col(c).alias(f"first_{c}") for c in first), *(F.col(c).alias(f"last_{c}") for c in order))
+
+
+def journal_state(rows: DataFrame, key: str, order: list[str], first: list[str]) -> DataFrame:
+    """One row per key of a journal's state; states reduce like changes, in any order and number of steps. Deleted keys stay, with their blank text."""
+    last, begun = [f"last_{c}" for c in order], [f"first_{c}" for c in first]
+    ends = rows.groupBy(key).agg(F.max_by(F.struct("text", *last), F.struct(*last)).alias("_b"), F.min(F.struct(*begun)).alias("_a"))
+    return ends.select(key, "_b.text", *(F.col(f"_a.{c}") for c in begun), *(F.col(f"_b.{c}") for c in last))
+
+
+def entries_of(state: DataFrame, key: str) -> DataFrame:
+    """The journal's entries: keys whose text is not blank."""
+    return state.where(F.coalesce(F.regexp_like("text", F.lit("(?U)\\S")), F.lit(False)))
 
 
 def insert_absent(mine: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
@@ -85,17 +98,24 @@ def first_appearance(rows: DataFrame, group: str, order: str) -> DataFrame:
 def runs(rows: DataFrame, part: str, order: str, value: str) -> DataFrame:
     """Groups of consecutive rows with the same value: part, run (from 1), value, n, first order. Nulls are equal to each other.
 
-    All rows have one global order. A row is joined with the one before it, and the rows that begin a run with the next such row, so a part of any size
-    is spread over tasks.
+    All rows have one global order and are dealt to tasks by its ranges, so a part of any size is spread. A row is compared with the one before it in its task, a
+    task's first with the last of the task before, from a table of one row per task; runs that cross tasks are ended in the same way.
     """
-    placed = with_position(rows.select(part, order, value), part, order)
-    before = placed.select((F.col("pos") + 1).alias("pos"), F.col(part).alias("_part"), F.col(value).alias("_value"), F.lit(True).alias("_there"))
-    same = F.col("_there") & F.col(part).eqNullSafe(F.col("_part")) & F.col(value).eqNullSafe(F.col("_value"))
-    begins = placed.join(before, "pos", "left").where(~F.coalesce(same, F.lit(False))).select(part, order, value, "pos")
-    total = placed.agg(F.count("*").alias("_total"))
-    starts = with_position(begins, "pos", name="_k").crossJoin(F.broadcast(total))  # one row
-    after = starts.select((F.col("_k") - 1).alias("_k"), F.col("pos").alias("_next"))
-    sized = starts.join(after, "_k", "left").withColumn("n", F.coalesce("_next", "_total") - F.col("pos"))
-    first = starts.groupBy(part).agg(F.min("_k").alias("_first")).withColumnRenamed(part, "_part")
-    joined = sized.join(small(first), sized[part].eqNullSafe(F.col("_part")))
-    return joined.select(part, (F.col("_k") - F.col("_first") + 1).alias("run"), value, "n", F.col(order).alias("start"))
+    placed = ranged(rows.select(part, order, value), part, order)
+    in_task, own = Window.partitionBy("_part").orderBy("_in"), F.struct(F.col(part).alias("p"), F.col(value).alias("v"))
+    tasks = stored(placed.groupBy("_part").agg(F.count("*").alias("_n"), F.max_by(own, "_in").alias("_end")), "run-tasks")
+    total = tasks.agg(F.sum("_n")).first()[0] or 0
+    edges = tasks.select("_part", F.coalesce(F.sum("_n").over(tasks_before()), F.lit(0)).alias("_offset"), F.lag("_end").over(Window.orderBy("_part")).alias("_end_before"))
+    marked = placed.withColumn("_prior", F.lag(own).over(in_task)).join(F.broadcast(edges), "_part")
+    before = F.coalesce("_prior", "_end_before")
+    same = before.isNotNull() & before["p"].eqNullSafe(F.col(part)) & before["v"].eqNullSafe(F.col(value))
+    begins = stored(marked.where(~same).select("_part", part, order, value, (F.col("_offset") + F.col("_in")).alias("_pos")), "run-begins")
+
+    counts = begins.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_pos").alias("_first"))  # one row per task
+    ends = counts.select("_part", F.coalesce(F.sum("_n").over(tasks_before()), F.lit(0)).alias("_k"), F.lead("_first").over(Window.orderBy("_part")).alias("_then"))
+    in_order = Window.partitionBy("_part").orderBy("_pos")
+    numbered = begins.withColumns({"_next": F.lead("_pos").over(in_order), "_i": F.row_number().over(in_order)}).join(F.broadcast(ends), "_part")
+    starts = numbered.select(part, order, value, (F.coalesce("_next", "_then", F.lit(total)) - F.col("_pos")).alias("n"), (F.col("_k") + F.col("_i")).alias("_run"))
+    first = small(starts.groupBy(part).agg(F.min("_run").alias("_one")).withColumnRenamed(part, "_of"))
+    joined = starts.join(first, starts[part].eqNullSafe(F.col("_of")))
+    return joined.select(part, (F.col("_run") - F.col("_one") + 1).alias("run"), value, "n", F.col(order).alias("start"))

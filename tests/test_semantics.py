@@ -178,6 +178,131 @@ def test_stream_commit_and_windows(spark, tmp_path):
     assert sorted(r.n for r in counts.collect()) == [1, 2]
 
 
+def test_state_is_merged_not_re_read(spark, tmp_path, monkeypatch):
+    """After many batches a read opens one version of each bucket; replays and a crash between data and list change nothing."""
+    from skyledger.streaming.state import StateFolder
+
+    schema = spark.createDataFrame([], "k int, v string, u int").schema
+    state = StateFolder(spark, str(tmp_path / "s"), ["k"], schema, lambda rows: records.latest(rows, ["k"], ["u"], ["v", "u"]), buckets=4)
+    assert state.read().count() == 0
+    rng, want = random.Random(1), {}
+    for batch in range(24):
+        rows = [(rng.randrange(12), f"b{batch}", rng.randrange(1000) * 100 + i) for i in range(rng.randrange(0, 3))]
+        for k, v, u in rows:
+            if k not in want or want[k][1] < u:
+                want[k] = (v, u)
+        state.merge(spark.createDataFrame(rows, schema).coalesce(1), batch)
+    assert {r.k: (r.v, r.u) for r in state.read().collect()} == want
+    assert len(state.read().inputFiles()) <= 4 and len(list((tmp_path / "s/lists").glob("*.json"))) <= 2
+    assert len(list((tmp_path / "s/data").iterdir())) <= 8
+    before = state.current()
+    state.merge(spark.createDataFrame([(1, "again", 10**6)], schema), 23)  # a replay
+    assert state.current() == before
+
+    def crash(made):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(state, "_switch", crash)
+        with pytest.raises(RuntimeError):
+            state.merge(spark.createDataFrame([(1, "lost", 10**6)], schema), 24)
+    assert state.current() == before and {r.k: (r.v, r.u) for r in state.read().collect()} == want
+    state.merge(spark.createDataFrame([(1, "kept", 10**6)], schema), 24)
+    assert {r.k: (r.v, r.u) for r in state.read().collect()} == want | {1: ("kept", 10**6)}
+
+
+def test_journal_states_reduce_in_any_steps(spark):
+    rng = random.Random(2)
+    rows = [(rng.randrange(5), rng.choice(["a", "b", " ", None]), i) for i in range(60)]
+    changes = records.journal_changes(spark.createDataFrame(rows, "ref int, body string, e int"), "ref", "body", ["e"], ["e"])
+    once = records.journal_state(changes, "ref", ["e"], ["e"])
+    steps = records.journal_state(changes.where("last_e % 3 = 1"), "ref", ["e"], ["e"])
+    for rest in (0, 2):
+        steps = records.journal_state(steps.unionByName(changes.where(f"last_e % 3 = {rest}")), "ref", ["e"], ["e"])
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, steps.collect()))
+
+
+def test_quiet_gap_commits(spark, tmp_path):
+    """The last change before a gap is committed; a change in time joins two sessions, one that is too late is lost, the end flushes what waits."""
+    from skyledger.streaming.commit import changes_of, flushed_stream, quiet_commits
+
+    at = lambda minute: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minute)
+    files = [
+        [(1, "a", at(0)), (1, "b", at(10)), (1, "c", at(21)), (2, "x", at(0))],
+        [(1, "d", at(40)), (2, "y", at(16)), (2, "m", at(8))],  # m, in time, joins x and y
+        [(1, "e", at(500))],
+        [(1, "f", at(505))],  # what is too late is told by the batch before
+        [(1, "late", at(30)), (2, "late", at(20)), (1, "g", at(509))],
+    ]
+    for i, rows in enumerate(files):
+        path = tmp_path / f"f{i}"
+        spark.createDataFrame(rows, "k int, v string, ts timestamp").coalesce(1).write.parquet(str(path))
+        (part,) = path.glob("part-*.parquet")
+        (tmp_path / "in").mkdir(exist_ok=True)
+        part.rename(tmp_path / f"in/{i}.parquet")
+    commits = lambda rows: quiet_commits(rows, ["k"], "ts", ["ts"], ["v"], "10 minutes", "1 hour")
+    got = flushed_stream(changes_of(spark, str(tmp_path / "in")), commits, "ts")
+    assert sorted((r.k, r.v, r.changes) for r in got.collect()) == [(1, "b", 2), (1, "c", 1), (1, "d", 1), (1, "g", 3), (2, "y", 3)]
+    whole = commits(spark.read.parquet(str(tmp_path / "in")).where("v <> 'late'"))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, got.select(*whole.columns).collect()))
+
+
+def test_islands_of_days():
+    """Whatever the order, the islands are the runs of the days."""
+    from skyledger.streaming.streaks import with_day
+
+    rng = random.Random(3)
+    for _ in range(200):
+        days = [rng.randrange(25) for _ in range(rng.randrange(0, 30))]
+        starts, ends = [], []
+        for day in days:
+            with_day(starts, ends, day)
+        have = set(days)
+        assert starts == sorted(x for x in have if x - 1 not in have) and ends == sorted(x for x in have if x + 1 not in have)
+
+
+def test_running_streaks_equal_the_batch(spark, tmp_path):
+    """Late days join islands; whatever files the days come in, the streaks are those of the whole table."""
+    from skyledger.streaming.commit import changes_of
+    from skyledger.streaming.streaks import run_streaks, streaks_of
+
+    rng = random.Random(4)
+    rows = [(rng.randrange(6) or None, dt.date(2024, 1, 1) + dt.timedelta(days=rng.randrange(30)) if rng.random() < 0.95 else None) for _ in range(160)]
+    for i in range(4):
+        spark.createDataFrame(rows[i::4], "u int, d date").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    whole = spark.createDataFrame(rows, "u int, d date")
+    today = F.lit("2024-01-24").cast("date")
+    got = {r.u: (r.streak, r.longest) for r in streaks_of(run_streaks(changes_of(spark, str(tmp_path / "in")), "u", "d").read(), "u", today).collect()}
+    longest = {r.u: r.longest for r in records.longest_streak(whole, "u", "d").collect()}
+    streak = {r.u: r.streak for r in records.current_streak(whole, "u", "d", today).collect()}
+    assert got == {u: (streak.get(u, 0), n) for u, n in longest.items()} and None in got
+
+
+def test_gram_index_finds_what_a_scan_finds(spark, tmp_path):
+    """Short and long queries, accents, characters beyond the first plane, replaced parts, nulls and repeated ids; few parts are opened."""
+    from skyledger.functions.fold import contains_folded
+    from skyledger.operators.gramindex import GramIndex
+    from skyledger.sources.parts import PartStore
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcÉé 𝒳x\n'’", k=rng.randrange(0, 40))) for _ in range(120)] + [None, "", "ab", "one needle here", "another Needle", "one needle here"]
+    rows = [(i if i % 10 else None, t, f"w{i % 3}" if i % 11 else None, f"p{i % 4}") for i, t in enumerate(texts)] + [(1, "same id, needles", "w1", "p1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, work string, part string")
+    store, index = PartStore(spark, str(tmp_path / "s")), GramIndex(spark, str(tmp_path / "g"), buckets=5, spread=2)
+    store.register(docs)
+    named = docs.withColumnRenamed("doc_id", "id")
+    index.add(named.where("work <=> 'w0' OR work IS NULL"), 0)
+    index.add(named.where("work <> 'w0'").withColumn("text", F.concat(F.lit("zebra "), "text")), 1)  # what these parts held before
+    index.add(named.where("work <> 'w0'"), 2)
+    for query in ("needle", "NEEDLE h", "abc", "éa", "ab", "x", "𝒳x", "bc𝒳", "'", "a'’", "zebra", "nothing like it", "\n c"):
+        got = sorted((r.doc_id or -1, r.text) for r in index.search(store, query, "doc_id").collect())
+        assert got == sorted((r.doc_id or -1, r.text) for r in docs.where(contains_folded(F.col("text"), query.strip())).collect()), query
+    assert index.candidates("zebra").count() == 0 and index.candidates("needle").count() == 4
+    held = {(r.work, r.part) for r in index.candidates("needle").collect()}
+    plan = index.search(store, "needle", "doc_id")
+    assert len(held) < docs.select("work", "part").distinct().count() and "dynamicpruning#" in plan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_part_store(spark, tmp_path):
     from skyledger.sources.parts import PartStore
 
