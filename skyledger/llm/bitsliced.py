@@ -25,8 +25,8 @@ BLOCK_ROWS = 1 << 15
 QUERY_ROWS = 64
 COMPONENT_BITS = 7
 QUERY_BITS = 6
-#: Buckets that index blocks are dealt to, at most; queries are sent once to each. Query blocks of a lane at most (about 8 kB each).
-BUCKETS, LANE = 4096, 2048
+#: Query blocks of a lane at most (about 8 kB each).
+LANE = 2048
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -203,7 +203,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: st
     n = vectors.count()
     blocks = staged(_blocked(rows.coalesce(max(1, -(-n // BLOCK_ROWS))), BLOCK_ROWS), "index-blocks")
     asked = staged(_blocked(rows.where(is_query).dropDuplicates(), QUERY_ROWS), "query-blocks")
-    spread = max(1, min(BUCKETS, blocks.count()))
+    spread = max(1, blocks.count())  # as many buckets as blocks, so that a task holds a few blocks at any size
     # few bytes but much work: as many tasks as the session has shuffle partitions; while there are fewer blocks than tasks,
     # blocks are sent to several lanes and each lane has a share of the queries, a bounded one at any size
     tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -186,8 +186,8 @@ def training_texts(docs: DataFrame, trainable: Column, sample_docs: int = SAMPLE
     known = docs.where(trainable & F.col("lang").isNotNull() & F.col("text").isNotNull())
     lowest = Window.partitionBy("lang").orderBy("h", "doc_id")
     chosen = (
-        known.select("doc_id", "lang", F.xxhash64(F.col("doc_id").cast("string")).alias("h")).where("doc_id IS NOT NULL").distinct()
-        .withColumn("nth", F.row_number().over(lowest)).where(F.col("nth") <= sample_docs).select("doc_id", "lang", "h")
+        known.select("doc_id", "lang", F.xxhash64(F.col("doc_id").cast("string")).alias("h")).where("doc_id IS NOT NULL")
+        .withColumn("nth", F.dense_rank().over(lowest)).where(F.col("nth") <= sample_docs).select("doc_id", "lang", "h").distinct()
     )
     read = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("lang", "h", "doc_id").agg(F.min("text").alias("text"))
     texts = defaultdict(list)

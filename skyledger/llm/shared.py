@@ -60,6 +60,8 @@ HOT_ROWS, HOT_SHARE, SALTS = 2048, 100_000, 64
 def hot_keys(rows: DataFrame, key: str, n: str | None = None) -> DataFrame:
     """The hot keys (at most HOT_SHARE of them) of rows, or of counts of rows per key in the column `n`."""
     counts = rows.groupBy(key).agg(F.count("*").alias("_n")) if n is None else rows.select(key, F.col(n).alias("_n"))
+    if n is not None and counts.where(F.col("_n") > HOT_ROWS).isEmpty():
+        return rows.sparkSession.createDataFrame([], counts.select(key).schema)
     many = staged(counts.where(F.col("_n") > HOT_ROWS), "hot-keys")
     total = (rows.count() if n is None else rows.agg(F.sum(n)).first()[0]) or 0
     return many.where(F.col("_n") > total // HOT_SHARE).select(key)

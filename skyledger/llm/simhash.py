@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.llm.components import components
-from skyledger.llm.shared import dealt_out, map_batches, staged
+from skyledger.llm.shared import dealt_out, hot_keys, map_batches, salted_join, staged
 
 BITS = 64
 #: Keys with more distinct fingerprints than this go by neighbours instead of pairs.
@@ -86,13 +86,13 @@ def links(distinct: DataFrame, radius: int = 2, paired: int = PAIRED) -> DataFra
     """Edges (a, b) among distinct fingerprints (column fp) that connect just what pairs within `radius` bits connect."""
     if radius not in (0, 1, 2):
         raise ValueError("radius is 0, 1 or 2")
-    keyed = staged(distinct.select("fp", F.explode(block_keys(F.col("fp"), radius)).alias("key")).select("fp", "key.which", "key.bits"), "fp-blocks")
-    sizes = keyed.groupBy("which", "bits").agg(F.count("*").alias("n")).where("n > 1")
-    members = staged(keyed.join(sizes, ["which", "bits"]), "fp-members")
+    keyed = staged(distinct.select("fp", F.explode(block_keys(F.col("fp"), radius)).alias("key")), "fp-blocks")
+    sizes = staged(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "fp-sizes")
+    members = staged(salted_join(keyed, sizes, "key", "fp", hot_keys(sizes, "key", "n")), "fp-members")
     few = members.where(F.col("n") <= paired)
-    left, right = few.select("which", "bits", F.col("fp").alias("a")), few.select("which", "bits", F.col("fp").alias("b"))
+    left, right = few.select("key", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b"))
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
-    pairs = left.join(right, ["which", "bits"]).where((F.col("a") > F.col("b")) & close).select("a", "b")
+    pairs = left.join(right, "key").where((F.col("a") > F.col("b")) & close).select("a", "b")
 
     many = members.where(F.col("n") > paired).select("fp").distinct()
     flips = F.array(F.lit(0).cast("long"), *(F.lit(_signed(1 << i)).cast("long") for i in range(BITS)))
@@ -107,13 +107,16 @@ def links(distinct: DataFrame, radius: int = 2, paired: int = PAIRED) -> DataFra
 def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 2, paired: int = PAIRED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that links lead to).
 
-    Null, empty and blank texts have fingerprint zero and are linked like any other. Null ids are kept; they never are
-    a component's id unless it has no other. Repeated rows are each returned. An empty table gives no rows.
+    Null, empty and blank texts have fingerprint zero and are linked like any other. Whole texts are read, however long. Null ids are kept; they never are
+    a component's id unless it has no other. Repeated rows are each returned. An empty table gives no rows. Other columns do not matter. Fingerprints that
+    many texts have, and components of many fingerprints, are spread over tasks.
     """
     rows = staged(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    distinct = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp-distinct")
+    distinct = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "fp-distinct")
     roots = components(links(distinct.select("fp"), radius, paired))
-    in_component = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = in_component.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = in_component.join(smallest, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    in_component = staged(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root")), "fp-roots")
+    smallest = staged(in_component.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "fp-smallest")
+    by_fp = staged(salted_join(in_component.select("fp", "rows", "root"), smallest.drop("n"), "root", "fp", hot_keys(smallest, "root", "n")).drop("root"), "fp-components")
+    # rows of one fingerprint are spread by their places, as ids may be repeated
+    named = salted_join(rows.withColumn("_row", F.monotonically_increasing_id()), by_fp.drop("rows"), "fp", "_row", hot_keys(by_fp, "fp", "rows"))
+    return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -16,7 +16,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyledger.llm.shared import staged
+from skyledger.llm.shared import hot_keys, salted_join, staged
 
 #: Longest context.
 ORDER = 5
@@ -183,7 +183,8 @@ def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url
     """page_id, host, path, rule (null if none fits), verdict ('allow' or 'block') and lm_score (null where a rule decided).
 
     The models learn from all addresses that rules decide, but those held out. Addresses without host and path score like any text, by the
-    empty one; without both verdicts among the rules' addresses, all others are allowed. Repeated rows are each judged.
+    empty one; without both verdicts among the rules' addresses, all others are allowed; where all addresses of a verdict would be held out, the models learn
+    from them, too, and the threshold is 0. Whole addresses are read, however long. Repeated rows are each judged. An empty table gives no rows.
     """
     host, path = address_parts(F.col(url_col))
     judged = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
@@ -205,7 +206,9 @@ def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url
     ruled, free = judged.where("ruled IS NOT NULL"), judged.where("ruled IS NULL")
     wanted = staged(addresses.where("ruled IS NULL").join(scores, "text").select("text", "score"), "url-free")
     if wanted.count() <= BROADCAST_RUNS:
-        wanted = F.broadcast(wanted)
-    scored = free.join(wanted, "text").withColumn("verdict", F.when(F.col("score") >= threshold, "allow").otherwise("block"))
+        scored = free.join(F.broadcast(wanted), "text")
+    else:  # addresses without host and path are one text, of any number of rows
+        scored = salted_join(free.withColumn("_row", F.monotonically_increasing_id()), wanted, "text", "_row", hot_keys(free, "text")).drop("_row")
+    scored = scored.withColumn("verdict", F.when(F.col("score") >= threshold, "allow").otherwise("block"))
     columns = ["page_id", "host", "path", "rule", "verdict"]
     return scored.select(*columns, F.col("score").alias("lm_score")).unionByName(ruled.withColumn("verdict", F.col("ruled")).select(*columns, F.lit(None).cast("double").alias("lm_score")))
