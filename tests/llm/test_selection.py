@@ -150,3 +150,29 @@ def test_rows_fall_into_ranges():
     got = resampling.ranges_of(list(rows.T), list(cuts.T))
     assert got.tolist() == [sum(tuple(c) <= tuple(r) for c in cuts.tolist()) for r in rows.tolist()]
     assert resampling.ranges_of(list(rows.T), [np.zeros(0, np.int64)] * 4).tolist() == [0] * 200
+
+
+def test_toxicity_score_is_that_of_plain_loops():
+    """The score of a text from the vectors themselves, word by word and passage by passage."""
+    from skyledger.llm import toxicity
+
+    draw = np.random.default_rng(9)
+    model = toxicity.Model(draw.normal(0, 1, (toxicity.BUCKETS, toxicity.DIM)), draw.normal(0, 1, (2, toxicity.DIM)), -0.7)
+    judge = toxicity.Judge(model.scale(), model.bias)
+    rng = random.Random(9)
+    for n in (0, 1, 5, 6, 7, 40):
+        text = " ".join("".join(rng.choices("abcdeé", k=rng.randrange(1, 7))) for _ in range(n))
+        words = re.findall(r"[^\W\d_]+", text.lower())
+        odds = []
+        for at in range(max(1, len(words) - toxicity.PASSAGE + 1)):
+            passage = words[at : at + toxicity.PASSAGE]
+            total = np.zeros(toxicity.DIM)
+            for word in passage:
+                marked = f"<{word}>"
+                grams = [marked[i : i + k] for k in range(3, 6) for i in range(len(marked) - k + 1)] + [marked]
+                total += np.mean([model.vectors[zlib.crc32(g.encode()) % toxicity.BUCKETS] for g in grams], 0)
+            mean = total / max(1, len(passage))
+            odds.append(float(model.weights[1] @ mean - model.weights[0] @ mean + model.bias))
+        weight = [math.exp(toxicity.POOL * o) for o in odds]
+        log_odds = sum(w * o for w, o in zip(weight, odds, strict=True)) / sum(weight)
+        assert judge.score(text) == pytest.approx(1 / (1 + math.exp(-log_odds)), abs=1e-9)
