@@ -1,9 +1,9 @@
 """Exact deduplication with a log-structured merge index of text digests.
 
 A task's digests gather in a memtable of bounded size. A full memtable is sorted, equal digests are put together, and it is flushed as a run: one
-row with its digests, identifiers and counts, its range, and a Bloom filter. Compaction merges the runs of all levels by digest into runs of level 1,
-one bucket of digests beside the other, and keeps the smallest (or largest) identifier. A lookup reads the runs whose range and filter
-admit the digest.
+row with its digests, identifiers and counts, its range, and a Bloom filter. Compaction cuts the sorted runs of all levels at the bounds of ranges of digests
+and merges the slices of a range into one run of level 1, which keeps the smallest (or largest) identifier; nothing is sorted anew. A lookup reads the
+runs whose range and filter admit the digest.
 
 A digest met more than once is a hit. All hits fill one more Bloom filter of bounded size; the texts that pass it, and no others, are grouped byte by
 byte, and these groups decide which texts are equal.
@@ -11,6 +11,7 @@ byte, and these groups decide which texts are equal.
 
 from __future__ import annotations
 
+import heapq
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -88,35 +89,26 @@ def _columns(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, ...]:
     return raw, ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False), batch.column(at + 2).to_numpy()
 
 
-def flushed(entries: DataFrame, keep: str, level: int = 0) -> DataFrame:
-    """Runs of the entries (digest, keep_id, n), a memtable at a time; with a column bucket before them, sorted by it, a run has one bucket."""
-    bucketed = entries.columns[0] == "bucket"
+def flushed(entries: DataFrame, keep: str) -> DataFrame:
+    """Runs of level 0 of the entries (digest, keep_id, n), a memtable at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, now = [], 0, -1
+        held, n = [], 0
 
         def told() -> Iterator[pa.RecordBatch]:
             nonlocal held, n
             if n:
-                yield _run_row(level, now, memtable(*(np.concatenate(c) for c in zip(*held, strict=True)), keep))
+                yield _run_row(0, -1, memtable(*(np.concatenate(c) for c in zip(*held, strict=True)), keep))
             held, n = [], 0
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            buckets = batch.column(0).to_numpy() if bucketed else np.full(batch.num_rows, -1)
-            cuts = np.concatenate([[0], np.nonzero(np.diff(buckets))[0] + 1, [len(buckets)]])
-            columns = _columns(batch, int(bucketed))
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if buckets[a] != now:
+            columns, a = _columns(batch, 0) if batch.num_rows else (), 0
+            while a < batch.num_rows:
+                take = min(batch.num_rows - a, MEMTABLE - n)
+                held.append(tuple(c[a : a + take] for c in columns))
+                n, a = n + take, a + take
+                if n == MEMTABLE:
                     yield from told()
-                    now = int(buckets[a])
-                while a < b:
-                    take = min(b - a, MEMTABLE - n)
-                    held.append(tuple(c[a : a + take] for c in columns))
-                    n, a = n + take, a + take
-                    if n == MEMTABLE:
-                        yield from told()
         yield from told()
 
     return entries.mapInArrow(run, RUN)
@@ -150,14 +142,67 @@ def entries_of(runs: DataFrame, least: int = 1) -> DataFrame:
     return runs.select("width", "digests", "ids", "known", "counts").mapInArrow(run, ENTRY)
 
 
+def ranges_of(digests: np.ndarray, buckets: int) -> np.ndarray:
+    """The range of each digest, in their order, when all digests are cut into so many."""
+    width = digests.dtype.itemsize
+    head = np.zeros((len(digests), 8), np.uint8)
+    head[:, : min(width, 8)] = np.frombuffer(digests.tobytes(), np.uint8).reshape(len(digests), width)[:, :8]
+    return ((head.view(">u8").ravel().astype(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def merged_runs(one: tuple[np.ndarray, ...], two: tuple[np.ndarray, ...], keep: str) -> tuple[np.ndarray, ...]:
+    """Two sorted runs as one: entries of equal digests are put together, others go to their places; nothing is sorted anew."""
+    digests, ids, known, counts = (x.copy() for x in one)
+    at = np.searchsorted(digests, two[0])
+    same = np.zeros(len(two[0]), bool)
+    inside = at < len(digests)
+    same[inside] = digests[at[inside]] == two[0][inside]
+    to, other = at[same], tuple(x[same] for x in two)
+    better = other[2] & (~known[to] | (other[1] < ids[to] if keep == "min" else other[1] > ids[to]))
+    ids[to] = np.where(better, other[1], ids[to])
+    known[to] |= other[2]
+    counts[to] += other[3]
+    return tuple(np.insert(x, at[~same], y[~same]) for x, y in zip((digests, ids, known, counts), two, strict=True))
+
+
+SLICE = "bucket long, width int, digests binary, ids binary, known binary, counts binary"
+
+
+def slices(runs: DataFrame, buckets: int) -> DataFrame:
+    """The runs cut at the bounds of the digests' ranges; a run has slices in the ranges that its own range meets, and only these move."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                part = _opened(row)
+                bucket = ranges_of(part[0], buckets)
+                cuts = [0, *(np.nonzero(np.diff(bucket))[0] + 1).tolist(), len(bucket)]
+                own = list(zip(cuts[:-1], cuts[1:], strict=True)) if len(bucket) else []
+                out = {"bucket": pa.array([int(bucket[a]) for a, _ in own], pa.int64()), "width": pa.array([row["width"]] * len(own), pa.int32())}
+                for name, column in zip(("digests", "ids", "known", "counts"), part, strict=True):
+                    out[name] = pa.array([column[a:b].tobytes() for a, b in own], pa.binary())
+                yield pa.RecordBatch.from_pydict(out)
+
+    return runs.select("width", "digests", "ids", "known", "counts").mapInArrow(run, SLICE)
+
+
 def merged(runs: DataFrame, keep: str) -> DataFrame:
-    """Level 1: the runs' entries merged by digest; bucket by bucket, each about a memtable."""
+    """Level 1: the runs of all levels merged, one run for each range of digests, of about a memtable. Slices of a range are merged two by two, the shortest first."""
     n = runs.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-n // MEMTABLE))
-    entries = entries_of(runs).withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(buckets)))
-    pick = F.min("keep_id") if keep == "min" else F.max("keep_id")
-    dealt = entries.repartition(buckets, "bucket").groupBy("bucket", "digest").agg(pick.alias("keep_id"), F.sum("n").alias("n"))
-    return flushed(dealt.select("bucket", "digest", "keep_id", "n").sortWithinPartitions("bucket", "digest"), keep, level=1)
+
+    def run(table: pa.Table) -> pa.Table:
+        kinds = (f"S{table['width'][0].as_py()}", np.int64, bool, np.int64)
+        columns = (table[c].to_pylist() for c in ("digests", "ids", "known", "counts"))
+        waiting = [(len(part[0]), i, part) for i, part in enumerate(tuple(np.frombuffer(x, kind) for x, kind in zip(row, kinds, strict=True)) for row in zip(*columns, strict=True))]
+        heapq.heapify(waiting)
+        while len(waiting) > 1:
+            (_, i, one), (_, _, two) = heapq.heappop(waiting), heapq.heappop(waiting)
+            both = merged_runs(two, one, keep)
+            heapq.heappush(waiting, (len(both[0]), i, both))
+        return pa.Table.from_batches([_run_row(1, table["bucket"][0].as_py(), waiting[0][2])])
+
+    return slices(runs, buckets).groupBy("bucket").applyInArrow(run, RUN)
 
 
 def hit_filter(hits: DataFrame, bits: int = HIT_BITS) -> np.ndarray:
@@ -291,7 +336,7 @@ class MergeIndex:
         return self.entries().groupBy("digest").agg(pick.alias("keep_id"), F.sum("n").alias("n"))
 
     def lookup(self, text: str) -> DataFrame:
-        """(keep_id, n) of texts with this text's digest; runs whose range or filter lacks it are not opened."""
+        """(keep_id, n) of texts with this text's digest, however often it was added; runs whose range or filter lacks it are not opened."""
         wanted = bytes(self.spark.range(1).select(self.digest(F.lit(text)).alias("d")).first()["d"])
         near = self.runs().where((F.col("lo") <= F.lit(wanted)) & (F.col("hi") >= F.lit(wanted)))
 
@@ -310,7 +355,10 @@ class MergeIndex:
         return found.groupBy("digest").agg(pick.alias("keep_id"), F.sum("n").alias("n")).select("keep_id", "n")
 
     def seen(self, docs: DataFrame, corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """Documents whose text is in the indexed corpus: doc_id, keep_id. Hits are compared byte by byte with the kept document's text."""
+        """Documents whose text is in the indexed corpus: doc_id, keep_id. Hits are compared byte by byte with the kept document's text.
+
+        Null texts are empty ones. Texts kept without an id are not found; repeated documents are told once.
+        """
         new = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
         hits = new.withColumn("digest", self.digest(F.col("body"))).join(self.table(), "digest")
         held = corpus.select(F.col(id_col).alias("keep_id"), F.coalesce(F.col(text_col), F.lit("")).alias("held"))

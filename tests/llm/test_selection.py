@@ -176,3 +176,22 @@ def test_toxicity_score_is_that_of_plain_loops():
         weight = [math.exp(toxicity.POOL * o) for o in odds]
         log_odds = sum(w * o for w, o in zip(weight, odds, strict=True)) / sum(weight)
         assert judge.score(text) == pytest.approx(1 / (1 + math.exp(-log_odds)), abs=1e-9)
+
+
+def test_sorted_runs_merge():
+    """Merging two runs gives what a memtable of both gives; ranges cut runs in their order."""
+    from skyledger.llm import exact_dedup
+
+    draw = np.random.default_rng(10)
+    for keep in ("min", "max"):
+        for sizes in ((0, 5), (5, 0), (40, 60), (300, 7)):
+            parts = []
+            for n in sizes:
+                digests = np.array([bytes([int(x)]) + b"\0a" for x in draw.integers(0, 120, n)], "S3")
+                parts.append(exact_dedup.memtable(digests, draw.integers(0, 50, n), draw.random(n) < 0.8, draw.integers(1, 4, n), keep))
+            got = exact_dedup.merged_runs(*parts, keep)
+            want = exact_dedup.memtable(*(np.concatenate(c) for c in zip(*parts, strict=True)), keep)
+            for g, w, there in zip(got, want, (None, want[2], None, None), strict=True):
+                assert (g == w).all() if there is None else (g[there] == w[there]).all()
+            at = exact_dedup.ranges_of(want[0], 7)
+            assert (np.diff(at) >= 0).all() and (not len(at) or 0 <= at.min() <= at.max() < 7)
