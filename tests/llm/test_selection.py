@@ -195,3 +195,42 @@ def test_sorted_runs_merge():
                 assert (g == w).all() if there is None else (g[there] == w[there]).all()
             at = exact_dedup.ranges_of(want[0], 7)
             assert (np.diff(at) >= 0).all() and (not len(at) or 0 <= at.min() <= at.max() < 7)
+
+
+def slow_edit(old, stats, order, shards):
+    """The next map {unit: shard} in plain loops. old: {unit: shard}; stats: {unit: bytes}; order: {unit: its hash}. A unit is (vslot, text_key, part)."""
+    fair = sum(stats.values()) / shards
+    now, loads, filled, over = {}, [0] * shards, Counter(), []
+    was = {u: old.get(u, old.get((u[0], 0, -1))) for u in stats}
+    for u in sorted(stats, key=lambda u: (order[u], u)):
+        filled[was[u]] += stats[u]
+        if was[u] is not None and was[u] < shards and filled[was[u]] <= fair:
+            now[u] = was[u]
+            loads[was[u]] += stats[u]
+        else:
+            over.append(u)
+    for u in sorted(over, key=lambda u: (-stats[u], u)):
+        now[u] = loads.index(min(loads))
+        loads[now[u]] += stats[u]
+    return now | {u: s for u, s in old.items() if u[1:] == (0, -1) and u not in stats and s < shards}
+
+
+@pytest.mark.parametrize(("before", "after"), [(8, 8), (8, 9), (8, 5)])
+def test_edited_maps_are_those_of_plain_loops(spark, before, after):
+    """Maps of documents with large groups, edited twice; and every row's place follows from map and unit alone."""
+    from skyledger.llm import sharding
+
+    rng = random.Random(11)
+    rows = [(i, "word " * rng.randrange(0, 40)) for i in range(300)] + [(400 + i, "a large group " * 9) for i in range(60)] + [(500 + i, "larger " * 60) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    unit = lambda r: (r.vslot, r.text_key, r.part)
+    now = sharding.first_map(spark, before, 64)
+    for shards in (before, after):
+        slots = sharding.slot_rows(docs, 64)
+        stats = sharding.unit_stats(sharding.in_units(slots, sharding.large_groups(slots, shards, 64)))
+        held = stats.withColumn("h", F.xxhash64(*sharding.UNIT)).collect()
+        old = {unit(r): r.shard for r in now.collect()}
+        want = slow_edit(old, {unit(r): r.bytes for r in held}, {unit(r): r.h for r in held}, shards)
+        now = sharding.edited_map(now, stats, shards)
+        assert {unit(r): r.shard for r in now.collect()} == want and now.count() == len(want)
+        assert len(want) > 64 and set(want.values()) <= set(range(shards))
