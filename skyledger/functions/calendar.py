@@ -46,11 +46,15 @@ def weekday(date: Column) -> Column:
     return F.dayofweek(date) - 1
 
 
+#: The months of each season north of the equator; south of it the opposite season has them.
+SEASONS = {"spring": (3, 4, 5), "summer": (6, 7, 8), "autumn": (9, 10, 11), "winter": (12, 1, 2)}
+OPPOSITE = {"spring": "autumn", "summer": "winter", "autumn": "spring", "winter": "summer"}
+
+
 def season(month: Column, latitude: Column) -> Column:
     """Season by month bands; swapped south of the equator."""
-    north = F.when(month.isin(3, 4, 5), "spring").when(month.isin(6, 7, 8), "summer").when(month.isin(9, 10, 11), "autumn").otherwise("winter")
-    south = F.when(month.isin(3, 4, 5), "autumn").when(month.isin(6, 7, 8), "winter").when(month.isin(9, 10, 11), "spring").otherwise("summer")
-    return F.when(latitude < 0, south).otherwise(north)
+    named = lambda name: F.coalesce(*(F.when(month.isin(*months), name(s)) for s, months in SEASONS.items()))
+    return F.when(latitude < 0, named(OPPOSITE.get)).otherwise(named(lambda s: s))
 
 
 def millis(ts: Column) -> Column:

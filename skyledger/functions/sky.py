@@ -79,7 +79,7 @@ def longitude_label(longitude: Column) -> Column:
 
 
 def _solar(day_of_year: Column, hour: float | Column = 12.0) -> tuple[Column, Column]:
-    """Equation of time (minutes) and declination (radians) by the published Fourier series."""
+    """Equation of time (minutes) and declination (radians). The coefficients of the published Fourier series."""
     g = 2 * math.pi / 365 * (day_of_year - 1 + (hour - 12) / 24)
     minutes = 229.18 * (0.000075 + 0.001868 * F.cos(g) - 0.032077 * F.sin(g) - 0.014615 * F.cos(2 * g) - 0.040849 * F.sin(2 * g))
     decl = 0.006918 - 0.399912 * F.cos(g) + 0.070257 * F.sin(g) - 0.006758 * F.cos(2 * g) + 0.000907 * F.sin(2 * g) - 0.002697 * F.cos(3 * g) + 0.00148 * F.sin(3 * g)
@@ -154,16 +154,17 @@ def centuries(ts: Column) -> Column:
 
 
 def obliquity(t: Column) -> Column:
+    """Mean obliquity of the ecliptic. The published polynomial."""
     return 23.439291111 - 0.0130041667 * t - 1.6666667e-7 * t * t + 5.027778e-7 * t * t * t
 
 
 def mean_node(t: Column) -> Column:
-    """Longitude of the moon's mean ascending node."""
+    """Longitude of the moon's mean ascending node. The published polynomial."""
     return turn(125.0445479 - 1934.1362891 * t + 0.0020754 * t * t + t * t * t / 467441 - t * t * t * t / 60616000)
 
 
 def sidereal_degrees(ts: Column, longitude: Column) -> Column:
-    """Local mean sidereal time as an angle (published polynomial)."""
+    """Local mean sidereal time as an angle. The published polynomial."""
     days = millis(ts) / 86_400_000 + 2440587.5 - 2451545.0
     t = days / 36525
     return turn(280.46061837 + 360.98564736629 * days + 0.000387933 * t * t - t * t * t / 38710000 + longitude)
