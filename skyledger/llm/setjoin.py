@@ -37,6 +37,8 @@ FRAGMENTS = 8
 BROADCAST_NODES = 1_000_000
 #: Sets that are to be compared, up to this number (some 100 bytes each) broadcast to the readers of texts.
 BROADCAST_WANTED = 100_000
+#: Whole texts whose shingles a worker holds at once.
+TEXTS_AT_ONCE = 256
 #: Members of a key that a row meets in one task.
 CHUNK = 256
 #: Bits of the bitmap of keys met again, at most (16 MB), keys of a bucket that look for those on average, and keys that a task gathers before it sends them.
@@ -61,7 +63,7 @@ def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
         found = [np.unique(shingle_hashes(t.as_py() or "", words)) for t in batch.column(0)]
         return {"key": pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())}
 
-    sampled = map_batches(docs.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).select("text"), rows, "key long")
+    sampled = map_batches(docs.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).select("text"), rows, "key long", at_once=TEXTS_AT_ONCE)
     counts = staged(sampled.groupBy("key").agg(F.count("*").alias("n")).where("n > 2"), "near-frequent")
     least, total = 1 << 62, 0
     for n, keys in sorted(((r["n"], r["keys"]) for r in counts.groupBy("n").agg(F.count("*").alias("keys")).collect()), reverse=True):
@@ -117,7 +119,7 @@ def sketches(docs: DataFrame, words: int, percent: int, order, blank: bool = Fal
         return out | {c: pa.array(sides[:, i]) for i, c in enumerate(ODD)} | {"keys": pa.array(keys, pa.binary())}
 
     kind = docs.schema["id"].dataType.simpleString()
-    made = map_batches(dealt_out(docs.select("id", "text")), rows, f"id {kind}, n int, fp long, digest binary, {', '.join(f'{c} long' for c in ODD)}, keys binary")
+    made = map_batches(dealt_out(docs.select("id", "text")), rows, f"id {kind}, n int, fp long, digest binary, {', '.join(f'{c} long' for c in ODD)}, keys binary", at_once=4 * TEXTS_AT_ONCE)
     return made.withColumn("row", F.monotonically_increasing_id())
 
 
@@ -180,7 +182,7 @@ def shared_keys(sets: DataFrame) -> DataFrame:
         which = pa.array(owner[good])
         return {"key": pa.array(keys[good].view(np.int64)), "node": batch.column(0).take(which), "n": batch.column(1).take(which), "at": pa.array(place[good].astype(np.int32))}
 
-    return map_batches(sets.select("node", "n", "keys"), rows, "key long, node long, n int, at int")
+    return map_batches(sets.select("node", "n", "keys"), rows, "key long, node long, n int, at int", at_once=4 * TEXTS_AT_ONCE)
 
 
 def _shared_least(n: Column, m: Column, percent: int) -> Column:
@@ -264,7 +266,7 @@ class Join:
             return {"piece": pa.array(pieces, pa.binary()), "b": pa.array(owners, pa.int64()), "part": pa.array(parts, pa.binary())}
 
         joined = docs.join(wanted, F.col("id").eqNullSafe(F.col("_id"))).select("text", "_digest", "_b", "_to")
-        return map_batches(dealt_out(joined), rows, "piece binary, b long, part binary")
+        return map_batches(dealt_out(joined), rows, "piece binary, b long, part binary", at_once=TEXTS_AT_ONCE)
 
     def verified(self, edges: DataFrame) -> DataFrame:
         """The edges (as `told` gives them) whose sets have the similarity: partial overlaps by fragment, summed per pair. (a, b), staged."""
@@ -277,7 +279,7 @@ class Join:
             shared = [np.intersect1d(*(np.frombuffer(x.as_py(), np.uint64) for x in pair), assume_unique=True).size for pair in zip(batch.column(2), batch.column(3), strict=True)]
             return {"a_digest": pa.array([p.as_py()[:16] for p in batch.column(0)], pa.binary()), "b": batch.column(1), "shared": pa.array(shared, pa.int64())}
 
-        partial = map_batches(met.select("piece", "b", "part", "own"), overlaps, "a_digest binary, b long, shared long")
+        partial = map_batches(met.select("piece", "b", "part", "own"), overlaps, "a_digest binary, b long, shared long", at_once=8 * TEXTS_AT_ONCE)
         sums = partial.groupBy("a_digest", "b").agg(F.sum("shared").alias("shared"))
         told = edges.select("a", "b", "a_n", "b_n", "a_digest").join(sums, ["a_digest", "b"])
         # both sets of a pair are empty only where blank texts are alike; they are one class then

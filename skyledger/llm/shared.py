@@ -36,10 +36,10 @@ def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str, keeps: bool = False) -> DataFrame:
+def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str, keeps: bool = False, at_once: int = 4096) -> DataFrame:
     """Apply ``rows`` (record batch -> column name to values) to every Arrow batch of ``df``.
 
-    Batches over 4096 rows are cut so that the Python side holds few whole texts at once. Only functions that say so (keeps) find what
+    Batches over `at_once` rows are cut so that the Python side holds what comes of few whole texts at once. Only functions that say so (keeps) find what
     an earlier job kept in the worker; for others it is let go first.
     """
 
@@ -47,8 +47,8 @@ def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: s
         if not keeps:
             let_go()
         for whole in batches:
-            for start in range(0, whole.num_rows, 4096):
-                yield pa.RecordBatch.from_pydict(rows(whole.slice(start, 4096)))
+            for start in range(0, whole.num_rows, at_once):
+                yield pa.RecordBatch.from_pydict(rows(whole.slice(start, at_once)))
 
     return df.mapInArrow(run, schema)
 
@@ -88,14 +88,14 @@ _kept: dict[str, object] = {}
 
 
 def let_go() -> None:
-    """Frees what earlier jobs kept in this worker, and gives the memory back."""
+    """Frees what earlier jobs kept in this worker, and gives the memory back that their batches took."""
     if _kept:
         _kept.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
-        if trim:
-            trim(0)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim:
+        trim(0)
 
 
 def kept_in_worker(key: str, build: Callable[[], object]) -> object:
