@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skyledger.catalog.dates import slot_spine
 from skyledger.catalog.longitudes import longitudes_sql
-from skyledger.functions import calendar as cal
 from skyledger.functions.ephemeris import with_longitudes
 from skyledger.operators import ranges
 from skyledger.operators.order import with_position
