@@ -163,7 +163,7 @@ class ByteBpe:
     Special tokens in a text become their own ids; no truncation, no padding, nothing added.
     """
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, cached: int = CACHED_WORDS):
         config = json.loads(spec)
         letters = byte_letters()
         vocab, merges = config["model"]["vocab"], config["model"]["merges"]
@@ -179,7 +179,7 @@ class ByteBpe:
         self.not_near = re.compile("[\x1c-\x1fɐ-\U0010ffff]")
         self.far = re.compile("[՘-\U0010ffff]")
         self.spec, self.library = spec, None
-        self.words = _Words(self)
+        self.words = _Words(self, cached)
 
     def pieces(self, text: str) -> list[str]:
         """The pre-split words. Characters that Python's tables do not know yet are split by the library's own."""
@@ -196,8 +196,6 @@ class ByteBpe:
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         words = self.words
-        if len(words) > CACHED_WORDS:
-            words.clear()
         if self.at_special is None or not self.at_special.search(text):
             return b"".join(map(words.__getitem__, self.pieces(text)))
         out = []
@@ -213,20 +211,25 @@ class ByteBpe:
 
 
 class _Words(dict):
-    """word -> ids as bytes, worked out when first read."""
+    """word -> ids as bytes, worked out when first read. Of at most `most` words those read last are kept: when half as many are new, the others go."""
 
-    def __init__(self, coder: ByteBpe):
-        self.coder = coder
+    def __init__(self, coder: ByteBpe, most: int):
+        self.coder, self.half, self.before = coder, max(1, most // 2), {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = b"".join(i.to_bytes(4, "little") for i in self.coder.automaton.encode(word.encode("utf-8", "replace")))
+        ids = self.before.get(word)
+        if ids is None:
+            ids = b"".join(i.to_bytes(4, "little") for i in self.coder.automaton.encode(word.encode("utf-8", "replace")))
+        if len(self) >= self.half:
+            self.before = dict(self)
+            self.clear()
         self[word] = ids
         return ids
 
 
-def coder_for(spec: str) -> ByteBpe:
-    """The worker's coder for a vocabulary file's text, built once for each worker."""
-    return kept_in_worker(f"byte-bpe:{hash(spec)}", lambda: ByteBpe(spec))
+def coder_for(spec: str, cached: int = CACHED_WORDS) -> ByteBpe:
+    """The worker's coder for a vocabulary file's text, built once for each worker; it keeps the ids of so many words at most."""
+    return kept_in_worker(f"byte-bpe:{hash(spec)}:{cached}", lambda: ByteBpe(spec, cached))
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.bpe import coder_for
+from skyledger.llm.bpe import CACHED_WORDS, coder_for
 from skyledger.llm.shared import dealt_out, let_go, map_batches, staged
 from skyledger.operators.order import with_position_in
 
@@ -86,7 +86,7 @@ def id_kind(spec: str, end_id: int | None) -> str:
     return "<u2" if top < 1 << 16 else "<u4"
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, longest: int, end_id: int | None, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+def token_pieces(docs: DataFrame, vocabulary: str, longest: int, end_id: int | None, keep_ids: bool = True, cached_words: int = CACHED_WORDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
     """(doc_id, text_key, piece, start, length, and ids or ids_crc32) of every document: its ids, and the end id, cut into runs of at most `longest`.
 
     ids are bytes of numbers of the kind that comes with the table; without them (keep_ids) only their crc32 as 32-bit numbers is there.
@@ -98,7 +98,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, longest: int, end_id: int | N
     last, value = ("ids binary", pa.binary()) if keep_ids else ("ids_crc32 long", pa.int64())
 
     def rows(batch: pa.RecordBatch) -> dict:
-        coder, out = coder_for(spec.value), ([], [], [], [], [])
+        coder, out = coder_for(spec.value, cached_words), ([], [], [], [], [])
         for i, text in enumerate(batch.column(2)):
             ids = coder.encode(text.as_py() or "") + end
             for piece, at in enumerate(range(0, max(len(ids), 1), 4 * longest)):
@@ -113,7 +113,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, longest: int, end_id: int | N
         }
 
     slim = dealt_out(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text")))
-    return map_batches(slim, rows, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, text_key long, piece int, start long, length long, {last}", keeps=True), kind
+    return map_batches(slim, rows, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, text_key long, piece int, start long, length long, {last}", keeps=True, at_once=1024), kind
 
 
 def with_deal(pieces: DataFrame) -> DataFrame:
@@ -132,16 +132,16 @@ def with_deal(pieces: DataFrame) -> DataFrame:
 
 def pack(
     docs: DataFrame, vocabulary: str, sizes: tuple[int, ...] = SIZES, end_id: int | None = END_ID, group_tokens: int = GROUP_TOKENS, group_pieces: int = GROUP_PIECES,
-    keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text",
+    keep_ids: bool = True, cached_words: int = CACHED_WORDS, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row per piece: doc_id, text_key, piece, start, length, bin_id, bin_start, bin_size, and ids (keep_ids) or ids_crc32.
 
     A piece is tokens start to start + length of the document (its end id included); the pieces of a document are numbered from 0 and cover it. It
     lies in its bin from bin_start on. Null and empty texts are their end id alone, without an end id one piece without length. Whole texts
     are encoded, however long. Repeated rows are packed each; pieces of equal length go by a hash. A second run gives the same bins. Ids may be null. An
-    empty table gives no rows. Columns of the table besides id and text do not matter.
+    empty table gives no rows. Columns of the table besides id and text do not matter. A worker keeps the ids of `cached_words` words at most (some 250 bytes each).
     """
-    pieces, width = token_pieces(docs, vocabulary, max(sizes), end_id, keep_ids, id_col, text_col)
+    pieces, width = token_pieces(docs, vocabulary, max(sizes), end_id, keep_ids, cached_words, id_col, text_col)
     pieces = staged(pieces, "pack-pieces")
     tokens, n = pieces.agg(F.sum("length"), F.count("*")).first()
     groups = max(1, -(-(tokens or 0) // group_tokens), -(-n // group_pieces))

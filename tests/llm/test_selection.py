@@ -234,3 +234,17 @@ def test_edited_maps_are_those_of_plain_loops(spark, before, after):
         now = sharding.edited_map(now, stats, shards)
         assert {unit(r): r.shard for r in now.collect()} == want and now.count() == len(want)
         assert len(want) > 64 and set(want.values()) <= set(range(shards))
+
+
+def test_few_cached_words_change_nothing():
+    from skyledger.llm import bpe
+    from skyledger.llm.vocabularies import vocabulary
+
+    with open(vocabulary("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    few, many = bpe.ByteBpe(spec, 4), bpe.ByteBpe(spec)
+    rng = random.Random(12)
+    for _ in range(30):
+        text = " ".join("".join(rng.choices("abcé 1", k=rng.randrange(1, 6))) for _ in range(40))
+        assert few.encode(text) == many.encode(text)
+        assert len(few.words) + len(few.words.before) <= 4
