@@ -66,8 +66,11 @@ def op9_segmentation_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_variable_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's tokens in sequences of permitted lengths, told piece by piece. Null and empty texts are their end id."""
-    return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), keep_ids=False)
+    """Every document's tokens in sequences of permitted lengths, told piece by piece. Null and empty texts are their end id.
+
+    The workers have the executor's memory for themselves, so they keep more words than the operator does by itself.
+    """
+    return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), keep_ids=False, cached_words=1_600_000)
 
 
 URL_RULES = [
