@@ -8,7 +8,7 @@ from skyledger.catalog.dates import months
 from skyledger.operators.records import latest
 from skyledger.registry import query
 from skyledger.sources.parts import PartStore, residency
-from skyledger.sources.tables import read, scratch
+from skyledger.sources.tables import read, scratch, tables_read
 from skyledger.streaming.commit import changes_of, commit_stream, flushed_stream, quiet_commits
 
 
@@ -166,11 +166,13 @@ def s22(spark, sf_dir):
     return rows.groupBy("part").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
 
 
-@query("s16_lazy_dimension", "SELECT r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, NULL FROM region WHERE r_regionkey NOT IN (SELECT n_regionkey FROM nation)")
+@query("s16_lazy_dimension", "SELECT r_name, n_name, 'nation,region' AS held_after FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, NULL, 'region' FROM region")
 def s16(spark, sf_dir):
-    """Regions with their nations; Spark reads a dimension when a plan needs it, and columns that it needs."""
+    """Regions alone and regions with their nations; Spark reads a dimension when a plan needs it, and each plan tells which ones it reads."""
     nation, region = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
-    return region.join(F.broadcast(nation), F.col("n_regionkey") == F.col("r_regionkey"), "left").select("r_name", "n_name")  # 25 nations
+    both = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name")
+    alone = region.select("r_name", F.lit(None).cast("string").alias("n_name"))
+    return both.withColumn("held_after", F.lit(",".join(tables_read(both)))).unionByName(alone.withColumn("held_after", F.lit(",".join(tables_read(alone)))))
 
 
 @query("p18_work_of_plan", "WITH m(plan, work) AS (VALUES ('bible', 'en'), ('hymns', 'fr'), ('lost', 'xx')) SELECT plan, work, work IN (SELECT lang FROM documents) AS ready FROM m")

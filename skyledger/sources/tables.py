@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,6 +15,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tables_read(df: DataFrame) -> list[str]:
+    """Names of the driver tables whose files a table is read from, sorted."""
+    return sorted({found[1] for file in df.inputFiles() if (found := re.search(r"/([a-z]+)\.parquet(?=/|$)", file))})
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path, with its scheme, under ``spark.checkpoint.dir``; removed when the JVM ends.
 

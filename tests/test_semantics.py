@@ -479,3 +479,13 @@ def test_orbits_obey_kepler():
     r, _, lat = ephemeris._orbit("Mercury", days, np.zeros((len(days), 4)))
     a, e = 0.387098, 0.205635
     assert abs(r.min() - a * (1 - e)) < 1e-4 and abs(r.max() - a * (1 + e)) < 1e-4 and np.abs(np.degrees(lat)).max() < 7.01
+
+
+def test_regions_alone_and_with_nations(spark, tmp_path):
+    """Every region is told alone, whether it has nations or not, and once more with each nation."""
+    from skyledger.catalog.parts import s16
+
+    spark.createDataFrame([(0, "EAST"), (1, "WEST")], "r_regionkey int, r_name string").write.parquet(str(tmp_path / "region.parquet"))
+    spark.createDataFrame([("A", 0), ("B", 0), ("C", None)], "n_name string, n_regionkey int").write.parquet(str(tmp_path / "nation.parquet"))
+    got = sorted(map(tuple, s16(spark, str(tmp_path)).collect()), key=str)
+    assert got == [("EAST", "A", "nation,region"), ("EAST", "B", "nation,region"), ("EAST", None, "region"), ("WEST", None, "region")]
