@@ -9,7 +9,7 @@ The automaton reads token ids, not characters. It starts as one state that every
 
 After all gadgets exactly one path spells any byte string, and it is the string's BPE encoding. The table has a row for each state and a cell for each
 token: the next state, or DEAD. Written out, it would have states x tokens cells (14,639 x 50,256 for a common vocabulary), so a cell is worked out
-from the gadgets when it is first read, by the token that stands for its row, and then stays.
+from the gadgets when it is first read, by the token that stands for its row, and is then kept, of so many cells as a worker may hold.
 
 A pre-split word is encoded by one run over its bytes: as there is one path for every beginning of the word, each place has one state,
 which the table gives from an earlier place's state and a token between the two (tokens that end at a place are read off a table of their bytes, last byte
@@ -22,6 +22,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 
 import pyarrow as pa
 import regex
@@ -46,20 +47,23 @@ def byte_letters() -> dict[str, int]:
 
 
 class MergeAutomaton:
-    """Token automaton of a merge list; see the module's text."""
+    """Token automaton of a merge list; see the module's text. Of the cells, and of the steps by which they are worked out, it holds `cells` at most."""
 
-    def __init__(self, labels: dict[int, bytes], merges: list[tuple[int, int, int]]):
-        self.labels = labels
+    def __init__(self, labels: dict[int, bytes], merges: list[tuple[int, int, int]], cells: int = NEVER):
+        self.labels, self.cells = labels, cells
         self.ids = {label: token for token, label in labels.items()}
         made = {m for _, _, m in merges}
-        self.rank = dict.fromkeys((t for t in labels if t not in made), 0)
-        #: token -> (token whose arcs it copies, token whose state it copies)
-        self.copies: dict[int, tuple[int, int]] = {}
-        #: (token, token) -> rank of the gadget that takes the arc away
-        self.taken: dict[tuple[int, int], int] = {}
+        base = [t for t in labels if t not in made]
+        #: what is kept per token lies in arrays; a pair of tokens (u, v) is the number u * span + v
+        self.span = span = max(labels, default=0) + 1
+        self.rank = array("i", [0]) * span
+        #: the token whose arcs a merged one copies, and the token whose state it copies
+        self.left, self.right = array("i", [-1]) * span, array("i", [-1]) * span
+        #: pair -> rank of the gadget that takes the arc away
+        self.taken: dict[int, int] = {}
         #: token -> number of the state it leads to, and how many tokens lead to a state; START has a row that no gadget changes
-        self.state = dict.fromkeys(self.rank, 1)
-        sharing, states = {1: len(self.rank)}, 2
+        self.state = array("i", [1]) * span
+        sharing, states = {1: len(base)}, 2
         for rank, (left, right, merged) in enumerate(merges, 1):
             # the new arc leads to where `right` led before this gadget
             self.state[merged] = target = self.state[right]
@@ -69,22 +73,24 @@ class MergeAutomaton:
                 self.state[left], sharing[states] = states, 1
                 states += 1
             self.rank[merged] = rank
-            self.copies[merged] = (left, right)
-            self.taken[(left, right)] = rank
+            self.left[merged], self.right[merged] = left, right
+            self.taken[left * span + right] = rank
         self.states = states
         #: state -> a token that leads to it, which its row is worked out by
-        self.stands: dict[int, int] = {}
-        for token, state in self.state.items():
-            self.stands.setdefault(state, token)
-        self.gone: dict[tuple[int, int], int] = {}
+        self.stands = array("i", [-1]) * states
+        for token in (*base, *(m for _, _, m in merges)):
+            if self.stands[self.state[token]] < 0:
+                self.stands[self.state[token]] = token
+        self.gone: dict[int, int] = {}
         for rank, (left, right, merged) in enumerate(merges, 1):  # an arc whose parts never met was not put in
             if self._gone(left, right) != rank or self.labels[left] not in self.ids or self.labels[right] not in self.ids:
                 self.ids.pop(self.labels[merged], None)
-        #: state -> token -> next state
-        self.table: list[dict[int, int]] = [{} for _ in range(states)]
+        self.gone.clear()
+        #: state * span + token -> next state
+        self.table: dict[int, int] = {}
         #: tokens read backward: (node << 8 | byte) -> node, and the token that ends at a node or -1
         self.child: dict[int, int] = {}
-        self.token_at = [-1]
+        self.token_at = array("i", [-1])
         for label, token in self.ids.items():
             node = 0
             for byte in reversed(label):
@@ -97,18 +103,17 @@ class MergeAutomaton:
 
     def _gone(self, before: int, arc: int) -> int:
         """The rank at which `arc` after `before` is taken away; 0: it never was there; NEVER: it stays."""
-        cell = (before, arc)
+        cell = before * self.span + arc
         known = self.gone.get(cell)
         if known is not None:
             return known
         rank_before, rank_arc = self.rank[before], self.rank[arc]
         if rank_arc > rank_before:  # the arc was copied from that of its left part, if that was there after the gadget
-            alive = self._gone(before, self.copies[arc][0]) > rank_arc
+            alive = self._gone(before, self.left[arc]) > rank_arc
         elif rank_arc == rank_before > 0:  # uv after uv: both parts as they were before the gadget
-            left, right = self.copies[arc]
-            alive = self._gone(right, left) >= rank_arc
+            alive = self._gone(self.right[arc], self.left[arc]) >= rank_arc
         elif rank_before:  # the state was copied from that of the right part, as it was before the gadget
-            alive = self._gone(self.copies[before][1], arc) >= rank_before
+            alive = self._gone(self.right[before], arc) >= rank_before
         else:
             alive = True
         gone = self.taken.get(cell, NEVER) if alive else 0
@@ -117,16 +122,20 @@ class MergeAutomaton:
 
     def next_state(self, state: int, token: int) -> int:
         """The table's cell: where the token leads from the state, or DEAD."""
-        row = self.table[state]
-        after = row.get(token)
+        cell = state * self.span + token
+        after = self.table.get(cell)
         if after is None:
+            if len(self.table) >= self.cells:
+                self.table.clear()
+            if len(self.gone) >= self.cells:
+                self.gone.clear()
             stays = state == START or self._gone(self.stands[state], token) == NEVER
-            after = row[token] = self.state[token] if stays else DEAD
+            after = self.table[cell] = self.state[token] if stays else DEAD
         return after
 
     def encode(self, word: bytes) -> list[int]:
         """The ids on the one accepted path that spells `word`."""
-        child, token_at, table = self.child.get, self.token_at, self.table
+        child, token_at, span, known = self.child.get, self.token_at, self.span, self.table.get
         states, arcs = [START], [(-1, 0)]  # at each place of the word: the state there, and the token that ends there with where it begins
         for end in range(len(word)):
             node, after = 0, DEAD
@@ -137,7 +146,7 @@ class MergeAutomaton:
                 token = token_at[node]
                 before = states[at]
                 if token >= 0 and before != DEAD:
-                    after = table[before].get(token)
+                    after = known(before * span + token)
                     if after is None:
                         after = self.next_state(before, token)
                     if after != DEAD:
@@ -169,7 +178,7 @@ class ByteBpe:
         vocab, merges = config["model"]["vocab"], config["model"]["merges"]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
         raw = lambda piece: bytes(map(letters.__getitem__, piece))
-        self.automaton = MergeAutomaton({i: raw(p) for p, i in vocab.items()}, [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs])
+        self.automaton = MergeAutomaton({i: raw(p) for p, i in vocab.items()}, [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], cached)
         self.special = {t["content"]: t["id"] for t in config["added_tokens"]}
         self.labels = self.automaton.labels | {i: s.encode() for s, i in self.special.items()}
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None

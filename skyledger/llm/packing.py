@@ -13,13 +13,12 @@ import zlib
 from bisect import bisect_left, insort
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.llm.bpe import CACHED_WORDS, coder_for
-from skyledger.llm.shared import dealt_out, let_go, map_batches, staged
+from skyledger.llm.shared import dealt_out, let_go, map_batches, small_batches, staged
 from skyledger.operators.order import with_position_in
 
 #: Fixed value: the byte vocabulary's <|endoftext|>.
@@ -130,6 +129,17 @@ def with_deal(pieces: DataFrame) -> DataFrame:
     return once.unionByName(numbered).withColumn("deal", F.xxhash64("same", "copy")).drop("same", "copy")
 
 
+def as_lists(runs: pa.ChunkedArray, kind: str) -> pa.ChunkedArray:
+    """Lists of numbers from byte strings that hold them. All of a chunk are turned at once: a group holds millions."""
+    lists, size = [], np.dtype(kind).itemsize
+    for chunk in runs.cast(pa.binary()).chunks:
+        ends = np.frombuffer(chunk.buffers()[1], "<i4")[chunk.offset :][: len(chunk) + 1]
+        first, last = (int(ends[0]), int(ends[-1])) if len(ends) else (0, 0)
+        numbers = np.frombuffer(chunk.buffers()[2], kind, (last - first) // size, first).astype("<i4") if last > first else np.zeros(0, "<i4")
+        lists.append(pa.ListArray.from_arrays(pa.array((ends - first) // size, pa.int32()), pa.array(numbers)))
+    return pa.chunked_array(lists, pa.list_(pa.int32()))
+
+
 def pack(
     docs: DataFrame, vocabulary: str, sizes: tuple[int, ...] = SIZES, end_id: int | None = END_ID, group_tokens: int = GROUP_TOKENS, group_pieces: int = GROUP_PIECES,
     keep_ids: bool = True, cached_words: int = CACHED_WORDS, id_col: str = "doc_id", text_col: str = "text",
@@ -142,22 +152,26 @@ def pack(
     empty table gives no rows. Columns of the table besides id and text do not matter. A worker keeps the ids of `cached_words` words at most (some 250 bytes each).
     """
     pieces, width = token_pieces(docs, vocabulary, max(sizes), end_id, keep_ids, cached_words, id_col, text_col)
-    pieces = staged(pieces, "pack-pieces")
+    with small_batches(docs.sparkSession):
+        pieces = staged(pieces, "pack-pieces")
     tokens, n = pieces.agg(F.sum("length"), F.count("*")).first()
     groups = max(1, -(-(tokens or 0) // group_tokens), -(-n // group_pieces))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(group: pa.Table) -> pa.Table:
         let_go()  # the coder is not needed any more
-        pdf = pdf.sort_values(["length", "deal"], ascending=[False, True], kind="stable")
-        number, place, size = packed(pdf["length"].to_numpy(), sizes)
-        first = int(pdf["of"].iloc[0]) << 40
-        out = pdf[["doc_id", "text_key", "piece", "start", "length"]].assign(bin_id=number + first, bin_start=place, bin_size=size)
-        return out.assign(ids=[np.frombuffer(x, width).astype("<i4") for x in pdf["ids"]]) if keep_ids else out.assign(ids_crc32=pdf["ids_crc32"])
+        lengths = group["length"].to_numpy()
+        order = np.lexsort((group["deal"].to_numpy(), -lengths))
+        number, place, size = (np.zeros(len(order), np.int64) for _ in range(3))
+        number[order], place[order], size[order] = packed(lengths[order], sizes)
+        number += group["of"][0].as_py() << 40
+        placed = {"bin_id": pa.array(number), "bin_start": pa.array(place), "bin_size": pa.array(size)}
+        told = {"ids": as_lists(group["ids"], width)} if keep_ids else {"ids_crc32": group["ids_crc32"]}
+        return pa.table({c: group[c] for c in ("doc_id", "text_key", "piece", "start", "length")} | placed | told)
 
     dealt = with_deal(pieces).withColumn("of", F.pmod("deal", F.lit(groups)))
     kind = pieces.schema["doc_id"].dataType.simpleString()
     last = "ids array<int>" if keep_ids else "ids_crc32 long"
-    return dealt.groupBy("of").applyInPandas(run, f"doc_id {kind}, text_key long, piece int, start long, length long, bin_id long, bin_start long, bin_size long, {last}")
+    return dealt.groupBy("of").applyInArrow(run, f"doc_id {kind}, text_key long, piece int, start long, length long, bin_id long, bin_start long, bin_size long, {last}")
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

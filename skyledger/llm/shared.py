@@ -6,6 +6,7 @@ import ctypes
 import gc
 import sys
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,6 +54,22 @@ def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: s
     return df.mapInArrow(run, schema)
 
 
+#: Bytes of the Arrow batches that go to workers while `small_batches` holds.
+SMALL_BATCH = 4 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs within send rows to Python in batches of few bytes: whole texts, ten thousand at once, take tens of MB in the JVM and as many again in the worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(SMALL_BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 #: A key is hot if it has over this many rows and over one in HOT_SHARE of all; so there are never over HOT_SHARE hot keys. SALTS: ways it is spread to.
 HOT_ROWS, HOT_SHARE, SALTS = 2048, 100_000, 64
 

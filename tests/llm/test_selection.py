@@ -248,3 +248,46 @@ def test_few_cached_words_change_nothing():
         text = " ".join("".join(rng.choices("abcé 1", k=rng.randrange(1, 6))) for _ in range(40))
         assert few.encode(text) == many.encode(text)
         assert len(few.words) + len(few.words.before) <= 4
+
+
+def test_few_cells_change_nothing():
+    """The automaton's table holds no more cells than it may, and gives the same ids."""
+    from skyledger.llm import bpe
+    from skyledger.llm.vocabularies import vocabulary
+
+    with open(vocabulary("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    few, many = bpe.ByteBpe(spec, 20), bpe.ByteBpe(spec)
+    rng = random.Random(13)
+    for _ in range(300):
+        word = "".join(rng.choices("abcdeé 1", k=rng.randrange(1, 12)))
+        assert few.encode(word) == many.encode(word)
+        assert len(few.automaton.table) <= 20
+    assert len(many.automaton.table) > 20
+
+
+def test_packing_takes_few_bytes_at_once(spark, monkeypatch):
+    """Texts go to the workers in batches of bounded bytes, and the session's own bound holds again afterwards."""
+    import pyarrow as pa
+
+    from skyledger.llm import packing, shared
+
+    name, docs = "spark.sql.execution.arrow.maxBytesPerBatch", spark.createDataFrame([(i, "x" * 10_000) for i in range(400)], "doc_id long, text string").coalesce(1)
+    before, bound = spark.conf.get(name), 200_000
+    monkeypatch.setattr(shared, "SMALL_BATCH", bound)
+    sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": pa.array([b.nbytes], pa.int64())}) for b in batches), "n long")
+    with packing.small_batches(spark):
+        assert max(r.n for r in sizes.collect()) < 2 * bound
+    assert spark.conf.get(name) == before and max(r.n for r in sizes.collect()) > 10 * bound
+
+
+def test_ids_of_a_group_as_lists():
+    import pyarrow as pa
+
+    from skyledger.llm.packing import as_lists
+
+    for kind in ("<u2", "<u4"):
+        want = [[1, 2, 65_535], [], [7], [50_256] * 5]
+        told = pa.array([np.array(x, kind).tobytes() for x in want])
+        assert as_lists(pa.chunked_array([told, told.slice(1, 2), told.slice(4)]), kind).to_pylist() == want + want[1:3]
+    assert as_lists(pa.chunked_array([], pa.binary()), "<u2").to_pylist() == []
