@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +16,8 @@ from skyledger.sources.tables import small
 
 #: Trigrams of a query that are looked up at most, the rarest first; fewer rows are read for the same hits.
 LOOKED_UP = 4
+#: Rows of which a posting list is made at most; a list holds no more ids.
+LISTED = 4096
 
 
 def grams(text: Column) -> Column:
@@ -18,8 +25,27 @@ def grams(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(fold(text), F.lit("(?s)(?=(...))"), 1))
 
 
+def posting_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(work, part, gram, ids) of rows (work, part, id, grams): a batch's rows of the same part that hold a gram are one list."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, LISTED):
+            rows = whole.slice(start, LISTED)
+            held = rows.column("grams")
+            row = np.repeat(np.arange(len(held)), pc.list_value_length(held).to_numpy(zero_copy_only=False))
+            told = held.flatten().dictionary_encode()
+            work, part = (rows.column(c).dictionary_encode(null_encoding="encode") for c in ("work", "part"))
+            place = work.indices.to_numpy().astype(np.int64) * len(part.dictionary) + part.indices.to_numpy()
+            gram = told.indices.to_numpy()
+            key = place[row] * len(told.dictionary) + gram
+            order = np.argsort(key, kind="stable")
+            row, gram, first = row[order], gram[order], np.flatnonzero(np.diff(key[order], prepend=-1))
+            ids = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), rows.column("id").take(pa.array(row)))
+            at = pa.array(row[first])
+            yield pa.RecordBatch.from_pydict({"work": rows.column("work").take(at), "part": rows.column("part").take(at), "gram": told.dictionary.take(pa.array(gram[first])), "ids": ids})
+
+
 class GramIndex:
-    """Postings (gram, work, part, id) in Parquet files by a hash of the gram, sorted within, so that a lookup opens one folder and few row groups.
+    """Posting lists (gram, work, part, ids) in Parquet files by a hash of the gram, sorted within, so that a lookup opens one folder and few row groups.
 
     Parts are added as they come: each addition is a generation of its own, and of a part that was added again only the last one counts. Searches
     give the rows whose folded text holds the folded query, all of them: the grams only choose which parts and rows are looked at. Queries
@@ -37,13 +63,15 @@ class GramIndex:
 
     def add(self, rows: DataFrame, generation: int) -> None:
         """Index rows (work, part, id, text) of whole parts. Generations are numbered upward; one that is written again replaces itself."""
-        each = rows.select("work", "part", "id", F.explode(grams(F.col("text"))).alias("gram")).withColumn("bucket", self._bucket("gram"))
+        kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("work", "part"))
+        lists = rows.select("work", "part", "id", grams(F.col("text")).alias("grams")).mapInArrow(posting_lists, f"{kinds}, gram string, ids array<{rows.schema['id'].dataType.simpleString()}>")
+        each = lists.withColumns({"bucket": self._bucket("gram"), "n": F.size("ids")})
         # a bucket is dealt to several tasks, as some grams are in nearly every text
-        dealt = each.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(self.spread))).sortWithinPartitions("bucket", "gram", "work", "part", "id")
+        dealt = each.repartition("bucket", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(self.spread))).sortWithinPartitions("bucket", "gram", "work", "part")
         place = f"generation={generation}"
         dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/{place}")
         written = self.spark.read.parquet(f"{self.path}/postings/{place}")
-        written.groupBy("bucket", "gram").agg(F.count("*").alias("n")).repartition("bucket").sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/counts/{place}")
+        written.groupBy("bucket", "gram").agg(F.sum("n").alias("n")).repartition("bucket").sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/counts/{place}")
         rows.select("work", "part").distinct().write.mode("overwrite").parquet(f"{self.path}/parts/{place}")
 
     def _rarest(self, wanted: list[tuple[int, str]]) -> list[tuple[int, str]] | None:
@@ -63,10 +91,10 @@ class GramIndex:
         rarest = self._rarest(wanted)
         postings = self._chosen(self._table("postings"), rarest or wanted)
         if rarest is None:
-            return postings.where(F.lit(False)).select("work", "part", "id")
+            return postings.where(F.lit(False)).select("work", "part", F.explode("ids").alias("id"))
         last = small(self._table("parts").groupBy("work", "part").agg(F.max("generation").alias("_last"))).withColumnsRenamed({"work": "_work", "part": "_part"})
         valid = postings.join(last, F.col("work").eqNullSafe(F.col("_work")) & F.col("part").eqNullSafe(F.col("_part")) & (F.col("generation") == F.col("_last")))
-        return valid.groupBy("work", "part", "id").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(rarest)).select("work", "part", "id")
+        return valid.select("work", "part", "gram", F.explode("ids").alias("id")).groupBy("work", "part", "id").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(rarest)).select("work", "part", "id")
 
     def search(self, store: PartStore, query: str, id_col: str, text_col: str = "text") -> DataFrame:
         """The store's rows whose folded text holds the query."""

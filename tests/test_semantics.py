@@ -489,3 +489,17 @@ def test_regions_alone_and_with_nations(spark, tmp_path):
     spark.createDataFrame([("A", 0), ("B", 0), ("C", None)], "n_name string, n_regionkey int").write.parquet(str(tmp_path / "nation.parquet"))
     got = sorted(map(tuple, s16(spark, str(tmp_path)).collect()), key=str)
     assert got == [("EAST", "A", "nation,region"), ("EAST", "B", "nation,region"), ("EAST", None, "region"), ("WEST", None, "region")]
+
+
+def test_gram_index_stores_lists(spark, tmp_path):
+    """A gram's rows of one part are a few lists instead of a row each, and no (gram, id) is lost or told twice."""
+    from skyledger.operators.gramindex import GramIndex, grams
+
+    texts = [(i % 3, None if i % 7 == 0 else "src", i if i % 11 else None, None if i % 13 == 0 else "some words " * (i % 5) + str(i)) for i in range(300)]
+    rows = spark.createDataFrame([(f"w{w}", *r) for w, *r in texts], "work string, part string, id long, text string").coalesce(1)
+    GramIndex(spark, str(tmp_path / "g"), buckets=3).add(rows, 0)
+    held = spark.read.parquet(str(tmp_path / "g" / "postings"))
+    want = rows.select("work", "part", F.explode(grams(F.col("text"))).alias("gram"), "id")
+    got = held.select("work", "part", "gram", F.explode("ids").alias("id"))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert held.count() < want.count() / 3 and held.agg(F.sum("n")).first()[0] == want.count()
