@@ -1,6 +1,6 @@
 """Best-fit packing of token ids into sequences of several permitted lengths.
 
-Texts are encoded (`bpe`), an end id is put after each, and documents longer than the longest sequence are cut, between tokens, into whole
+Texts are encoded (`bpe`; words by the tokenizers library, each once while it is kept), an end id is put after each, and documents longer than the longest sequence are cut, between tokens, into whole
 sequences and a rest. Pieces are dealt by hash into groups of a bounded number of tokens; a group is packed by itself: longest piece
 first, each into the open bin that it fills best. Where none has room, a bin is opened at the size that costs least for the pieces still to come; at the end
 every bin is made as small as its contents allow.
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.bpe import CACHED_WORDS, coder_for
+from skyledger.llm.bpe import CACHED_WORDS, LibraryBpe, coder_for
 from skyledger.llm.shared import dealt_out, let_go, map_batches, small_batches, staged
 from skyledger.operators.order import with_position_in
 
@@ -97,7 +97,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, longest: int, end_id: int | N
     last, value = ("ids binary", pa.binary()) if keep_ids else ("ids_crc32 long", pa.int64())
 
     def rows(batch: pa.RecordBatch) -> dict:
-        coder, out = coder_for(spec.value, cached_words), ([], [], [], [], [])
+        coder, out = coder_for(spec.value, cached_words, LibraryBpe), ([], [], [], [], [])
         for i, text in enumerate(batch.column(2)):
             ids = coder.encode(text.as_py() or "") + end
             for piece, at in enumerate(range(0, max(len(ids), 1), 4 * longest)):

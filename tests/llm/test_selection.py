@@ -266,6 +266,28 @@ def test_few_cells_change_nothing():
     assert len(many.automaton.table) > 20
 
 
+def test_packing_encodes_as_the_automaton_does():
+    """Words that the library is asked for have the automaton's ids, each asked for once while it is kept; no automaton is built for packing."""
+    from skyledger.llm import bpe
+    from skyledger.llm.vocabularies import vocabulary
+
+    with open(vocabulary("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    ours, theirs = bpe.ByteBpe(spec), bpe.coder_for(spec, 1000, bpe.LibraryBpe)
+    asked, plain = [], theirs.word_ids
+    theirs.word_ids = lambda word: asked.append(word) or plain(word)
+    rng = random.Random(14)
+    texts = ["", " ", "a<|endoftext|>b<|endoftext|>", "日本語 テキスト１２", "\ud800 z", "\U0001f600\U0010ffff\u0378x", "it's  l'été ½²", "\x00\x1c\x1f\t\r\n \n x"]
+    texts += [" ".join("".join(rng.choices("abcdeé 1ß日.", k=rng.randrange(1, 14))) for _ in range(20)) for _ in range(100)]
+    for text in texts:
+        assert theirs.encode(text) == ours.encode(text)
+    assert not hasattr(theirs, "automaton")
+    theirs.encode("onceonly")
+    before = len(asked)
+    theirs.encode("onceonly")
+    assert len(asked) == before
+
+
 def test_packing_takes_few_bytes_at_once(spark, monkeypatch):
     """Texts go to the workers in batches of bounded bytes, and the session's own bound holds again afterwards."""
     import pyarrow as pa
