@@ -8,7 +8,8 @@ the sets have, and the parities of their shingles bound what they can share. The
 * Keys that occur once, nearly all of them, never move: hashes of four bytes a key are exchanged first, and those met again fill a bitmap of bounded
   size, which every key must pass. What passes in vain costs work, never a link.
 * A key is not turned into all its pairs. First its members are compared with its smallest; verified links make components. Then only members outside
-  the key's largest component meet the key's other members, chunk by chunk. A pair within one component needs no further look.
+  the key's largest component meet the key's other members, chunk by chunk. A pair within one component needs no further look, nor one that has met before:
+  a member knows its last few keys, and a pair that shares one of them was looked at there.
 * A pair is decided by vertical partitioning: the order is cut into fragments, every set into the segments that fall into them. A pair's segments of
   one fragment meet by themselves, their partial overlap is counted there, and the counts are summed per pair. So no row holds a whole set.
 """
@@ -39,8 +40,8 @@ BROADCAST_NODES = 1_000_000
 BROADCAST_WANTED = 100_000
 #: Whole texts whose shingles a worker holds at once.
 TEXTS_AT_ONCE = 256
-#: Members of a key that a row meets in one task.
-CHUNK = 256
+#: Members of a key that a row meets in one task, and keys before this one that a row knows.
+CHUNK, KNOWN = 256, 4
 #: Bits of the bitmap of keys met again, at most (16 MB), keys of a bucket that look for those on average, and keys that a task gathers before it sends them.
 AGAIN_BITS, BUCKET_KEYS, GATHERED = 27, 1 << 20, 1 << 20
 
@@ -301,9 +302,8 @@ class Join:
         members = salted_join(shared, hubs.select("key"), "key", "node", crowded)
         placed = members.join(found, "node", "left").select("key", "node", "n", "at", F.coalesce("root", "node").alias("root"))
         split = staged(placed.groupBy("key").agg((F.min("root") != F.max("root")).alias("split")).where("split").drop("split"), "near-split")
-        open_ = salted_join(placed, split, "key", "node", crowded)
-        open_ = staged(open_.join(self.light.select("node", *ODD), "node"), "near-open")
-        rest = staged(_apart_pairs(open_, percent).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "near-rest")
+        open_ = staged(salted_join(placed, split, "key", "node", crowded), "near-open")
+        rest = staged(_apart_pairs(open_, self.light.select("node", *ODD), percent).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "near-rest")
         # of a document's pairs with one component the likeliest goes first; it often saves the others
         first = staged(rest.groupBy("root", "b").agg(F.min_by("a", F.struct("score", "a")).alias("a")).select("a", "b"), "near-first")
         edges = edges.unionByName(self.verified(self.told(first, "near-first-told")))
@@ -316,28 +316,38 @@ class Join:
         return staged(components(edges.unionByName(self.verified(self.told(still, "near-still-told")))), "near-components")
 
 
-def _apart_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of rows (key, node, root, n, at, parities) of one key, but of different roots, that can be similar enough; with their roots and score.
+def _with_known(lists: DataFrame) -> DataFrame:
+    """(key, at, known, node, n, root, parities) of each key of nodes (keys, ats: their keys in order, and places): `known` are up to KNOWN keys before it."""
+    known = f"slice(keys, greatest(i - {KNOWN} + 1, 1), least(i, {KNOWN}))"
+    return lists.select(F.expr(f"inline(transform(keys, (k, i) -> named_struct('key', k, 'at', ats[i], 'known', {known})))"), "node", "n", "root", *ODD)
+
+
+def _apart_pairs(rows: DataFrame, odd: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of rows (key, node, root, n, at) of one key, but of different roots, that can be similar enough; with their roots and score. odd: the nodes' parities.
 
     Rows outside the key's largest root meet all rows of the key, which are dealt into chunks of about CHUNK. Scores are lower for pairs more likely to
-    be similar.
+    be similar. A pair's first common key is the one by which it is judged; those that follow it closely in both sets do not make the pair again.
     """
+    # a node has as many keys as its text's prefix at most
+    lists = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.sort_array(F.collect_list(F.struct("at", "key"))).alias("own"))
+    lists = lists.select("node", "n", "root", F.col("own.key").alias("keys"), F.col("own.at").alias("ats"))
+    lists = staged(lists.join(odd, "node"), "near-lists")
     by_root = staged(rows.groupBy("key", "root").agg(F.count("*").alias("n_root")), "near-roots")
     main = by_root.groupBy("key").agg(F.max_by("root", F.struct("n_root", "root")).alias("main"), F.ceil(F.sum("n_root") / CHUNK).cast("int").alias("chunks"), F.sum("n_root").alias("members"))
     main = staged(main, "near-main")
-    marked = staged(salted_join(rows, main.drop("members"), "key", "node", hot_keys(main.select("key", "members"), "key", "members")), "near-marked")
+    marked = staged(salted_join(_with_known(lists), main.drop("members"), "key", "node", hot_keys(main.select("key", "members"), "key", "members")), "near-marked")
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    there = marked.select("key", chunk.alias("chunk"), (F.col("root") == F.col("main")).alias("b_main"), *(F.col(c).alias(f"b_{c}") for c in ("node", "root", "n", "at", *ODD)))
+    there = marked.select("key", chunk.alias("chunk"), (F.col("root") == F.col("main")).alias("b_main"), *(F.col(c).alias(f"b_{c}") for c in ("node", "root", "n", "at", "known", *ODD)))
     here = marked.where("root <> main").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("main", "chunks")
-    here = here.select("key", "chunk", *(F.col(c).alias(f"a_{c}") for c in ("node", "root", "n", "at", *ODD)))
+    here = here.select("key", "chunk", *(F.col(c).alias(f"a_{c}") for c in ("node", "root", "n", "at", "known", *ODD)))
     once = F.col("b_main") | (F.col("a_node") < F.col("b_node"))
     met = here.join(there, ["key", "chunk"]).where((F.col("a_root") != F.col("b_root")) & once & _sizes_fit(F.col("a_n"), F.col("b_n"), percent))
-    scored = met.withColumn("score", _over(percent)).where("score <= 0").withColumn("possible", _possible("a_", "b_", percent))
+    scored = met.withColumn("score", _over(percent)).where((F.col("score") <= 0) & _possible("a_", "b_", percent) & ~F.arrays_overlap("a_known", "b_known"))
     a, b = (F.struct(F.col(f"{s}_node").alias("node"), F.col(f"{s}_root").alias("root"), F.col(f"{s}_n").alias("n")) for s in ("a", "b"))
-    pairs = scored.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y"), "score", "possible")
-    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.root").alias("root"), F.col("x.n").alias("n"), F.col("y.n").alias("m"), "score", "possible")
-    each = pairs.groupBy("a", "b", "root", "n", "m").agg(F.min("score").alias("score"), F.bool_or("possible").alias("possible"), F.count("*").alias("common"))
-    # sets of different roots meet at every key that both have, so `common` is what their keys share; the rest of one of them is all that may come to it
+    pairs = scored.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y"), "score")
+    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.root").alias("root"), F.col("x.n").alias("n"), F.col("y.n").alias("m"), "score")
+    each = with_both(staged(pairs.distinct(), "near-apart"), lists.select("node", "keys"), ["keys"])
+    # sets of different roots meet at every key that both have, so these are all that their keys share; the rest of one of them is all that may come to it
     beyond = lambda n: F.ceil(n * percent / 100 - 1e-9) - 1
-    reach = F.col("common") + F.greatest(beyond(F.col("n")), beyond(F.col("m")))
-    return each.where(F.col("possible") & (reach >= _shared_least(F.col("n"), F.col("m"), percent))).select("a", "b", "root", "score")
+    reach = F.size(F.array_intersect("a_keys", "b_keys")) + F.greatest(beyond(F.col("n")), beyond(F.col("m")))
+    return each.where(reach >= _shared_least(F.col("n"), F.col("m"), percent)).select("a", "b", "root", "score")

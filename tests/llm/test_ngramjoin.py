@@ -122,3 +122,46 @@ def test_bitmap_holds_every_key_met_again(spark, monkeypatch):
     assert set(met) == wanted and set(met.values()) == {2}
     assert len(got) - 1200 < 1200  # few others pass in vain
     assert all(np.uint64(r.key & (2**64 - 1)) == lists[r.node][r["at"]] and r.n == len(lists[r.node]) for r in got)
+
+
+def test_pairs_of_many_common_keys_are_made_few_times(spark, monkeypatch):
+    """Sets of one family share nearly all keys, but no two are similar enough: a pair comes of its first common key, not of each, and none is lost."""
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+
+    from skyledger.llm import setjoin
+
+    percent, size, family = 80, 400, 16
+    rng = np.random.default_rng(5)
+    common = np.unique(rng.integers(0, 1 << 62, size, dtype=np.int64))
+    own = [np.unique(np.concatenate([rng.permutation(common)[: size - 45], rng.integers(0, 1 << 62, 45, dtype=np.int64)])).view(np.uint64) for _ in range(family)]
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    keys = [setjoin.prefix(x, percent, *none) for x in own]
+    rows = [(int(k), node, node, len(own[node]), at) for node, ks in enumerate(keys) for at, k in enumerate(ks.view(np.int64))]
+    odd = [(node, *(int(x) for x in setjoin.parities(own[node]))) for node in range(family)]
+    monkeypatch.setattr(setjoin, "_over", lambda percent: F.lit(0))  # the parities alone would drop some
+    seen, kind = [], type(spark.range(1))
+    plain = kind.distinct
+
+    def distinct(self):
+        if "score" not in self.columns:
+            return plain(self)
+        seen.append(Observation())
+        return plain(self.observe(seen[-1], F.count(F.lit(1)).alias("rows")))
+
+    monkeypatch.setattr(kind, "distinct", distinct)
+    held = spark.createDataFrame(rows, "key long, node long, root long, n int, at int")
+    sides = spark.createDataFrame(odd, ", ".join(["node long", *(f"{c} long" for c in setjoin.ODD)]))
+    got = {(r["a"], r["b"]) for r in setjoin._apart_pairs(held, sides, percent).collect()}
+
+    def reached(a, b):
+        n, m, both = len(own[a]), len(own[b]), np.intersect1d(keys[a], keys[b])
+        least, beyond = -(-(n + m) * percent // (100 + percent)), max(-(-n * percent // 100), -(-m * percent // 100)) - 1
+        at = min((int(np.flatnonzero(keys[a] == k)[0]), int(np.flatnonzero(keys[b] == k)[0])) for k in both)
+        return min(n - at[0], m - at[1]) >= least and len(both) + beyond >= least
+
+    every = {(a, b) for a in range(family) for b in range(a)}
+    want = {(a, b) for a, b in every if reached(a, b)}
+    assert {(max(x), min(x)) for x in got} == want and len(want) > 50
+    meetings = sum(len(np.intersect1d(keys[a], keys[b])) for a, b in every)
+    assert seen[0].get["rows"] < 3 * len(every) < meetings / 5
