@@ -43,7 +43,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places every token of every document in a sequence of a permitted length. Null and empty texts are their end id; repeated rows are placed each."""
-    return pack(docs, vocabulary("byte_bpe_50k.json"), cached_words=150_000)  # the executors hold what earlier stages made their heaps grow to
+    return pack(docs, vocabulary("byte_bpe_50k.json"), cached_words=60_000)  # the executors hold what earlier stages made their heaps grow to
 
 
 STAGES = [

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.llm.components import components
-from skyledger.llm.shared import dealt_out, hot_keys, let_go, map_batches, salted_join, staged
+from skyledger.llm.shared import dealt_out, hot_keys, let_go, map_batches, salted_join, small_batches, staged
 from skyledger.llm.simhash import fingerprint, shingle_hashes
 
 #: One in so many documents is read for the order of shingles; so many frequent ones at most (12 bytes each) are put last.
@@ -65,7 +65,8 @@ def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
         return {"key": pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())}
 
     sampled = map_batches(docs.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).select("text"), rows, "key long", at_once=TEXTS_AT_ONCE)
-    counts = staged(sampled.groupBy("key").agg(F.count("*").alias("n")).where("n > 2"), "near-frequent")
+    with small_batches(docs.sparkSession):
+        counts = staged(sampled.groupBy("key").agg(F.count("*").alias("n")).where("n > 2"), "near-frequent")
     least, total = 1 << 62, 0
     for n, keys in sorted(((r["n"], r["keys"]) for r in counts.groupBy("n").agg(F.count("*").alias("keys")).collect()), reverse=True):
         total += keys
@@ -223,7 +224,8 @@ class Join:
     def __init__(self, docs: DataFrame, words: int, percent: int, blank: bool = False):
         self.docs, self.words, self.percent, self.blank = docs, words, percent, blank
         self.order = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, words))
-        self.rows = staged(sketches(docs, words, percent, self.order, blank), "near-sketches")
+        with small_batches(docs.sparkSession):
+            self.rows = staged(sketches(docs, words, percent, self.order, blank), "near-sketches")
         some = self.rows if blank else self.rows.where("n > 0")
         # a class's node is the number of one of its rows; `least` is its smallest id
         self.classes = staged(some.groupBy("digest").agg(F.min("row").alias("node"), F.min("id").alias("least")), "near-classes")
@@ -271,7 +273,9 @@ class Join:
 
     def verified(self, edges: DataFrame) -> DataFrame:
         """The edges (as `told` gives them) whose sets have the similarity: partial overlaps by fragment, summed per pair. (a, b), staged."""
-        parts = staged(self.segments(edges), "near-segments")
+        parts = self.segments(edges)
+        with small_batches(edges.sparkSession):
+            parts = staged(parts, "near-segments")
         own = parts.where("b IS NULL").select("piece", F.col("part").alias("own"))
         hot = hot_keys(parts.where("b IS NOT NULL"), "piece")
         met = salted_join(parts.where("b IS NOT NULL"), own, "piece", "b", hot)
